@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, simhash
+from . import bpe, shards, simhash, toxicity
 from .shared import table
 
 
@@ -29,10 +29,16 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op3_prefix_bpe": op3_prefix_bpe,
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
+    "op10_subword_toxicity": op10_subword_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
