@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, simhash, toxicity
+from . import bpe, quality, shards, simhash, toxicity
 from .shared import table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -35,6 +39,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_js_quality": op2_js_quality,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
