@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, shards, simhash, toxicity
+from . import bpe, packing, quality, shards, simhash, toxicity
 from .shared import table
 
 
@@ -33,6 +33,11 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.withColumnRenamed("queue", "source")
+
+
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_prefix_bpe": op3_prefix_bpe,
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
+    "op7_mixture_packing": op7_mixture_packing,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
