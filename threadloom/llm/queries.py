@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, shards, simhash, toxicity
+from . import ann, bpe, packing, passages, quality, shards, simhash, toxicity
 from .shared import table
 
 
@@ -15,6 +15,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_stable_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.spans(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,10 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_stable_kdtree": op1_stable_kdtree,
     "op2_js_quality": op2_js_quality,
     "op3_prefix_bpe": op3_prefix_bpe,
+    "op4_line_hashing": op4_line_hashing,
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_mixture_packing": op7_mixture_packing,
