@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, passages, quality, shards, simhash, toxicity
+from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, toxicity
 from .shared import table
 
 
@@ -46,6 +46,12 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("queue", "source")
 
 
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixity drill over all pages: the replica is damaged at the pages whose id's SHA-256 starts below 04."""
+    pages = table(spark, sf_dir, "pages")
+    return fixity.drill(pages, F.sha2(F.col("page_id").cast("string"), 256) < "04")
+
+
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +65,22 @@ QUERIES = {
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_mixture_packing": op7_mixture_packing,
+    "op9_merkle_fixity": op9_merkle_fixity,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_merkle_fixity": f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, chr(13) || chr(10) AS nl FROM pages),
+q AS (SELECT *, sha256(u || h) AS n FROM p),
+r AS (SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || replace(replace(u, chr(13), ''), chr(10), '') || nl
+  || 'WARC-Date: {fixity.DATE}' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(n, 1, 8) || '-' || substr(n, 9, 4) || '-5' || substr(n, 14, 3) || '-8' || substr(n, 18, 3) || '-' || substr(n, 21, 12) || '>' || nl
+  || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(h) || nl || nl || h || nl || nl AS t FROM q),
+l AS (SELECT page_id, sha256(t) AS sha256, strlen(t) AS length FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256, length) - 1 AS k FROM l),
+f AS (SELECT *, k // {fixity.FILE} AS file, k % {fixity.FILE} AS seq FROM o)
+SELECT page_id, file, CAST(seq AS INTEGER) AS seq,
+  CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length, sha256, CASE WHEN sha256(CAST(page_id AS VARCHAR)) < '04' THEN 'altered' ELSE 'ok' END AS status
+FROM f""",
+}

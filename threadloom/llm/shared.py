@@ -46,12 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it.
+
+    ``keep``: :func:`retire` leaves it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    if not keep:
+        _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
