@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, toxicity
+from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, tokenfiles, toxicity
 from .shared import table
 
 
@@ -46,6 +46,10 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("queue", "source")
 
 
+def op8_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixity drill over all pages: the replica is damaged at the pages whose id's SHA-256 starts below 04."""
     pages = table(spark, sf_dir, "pages")
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_simhash_bytes": op5_simhash_bytes,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_mixture_packing": op7_mixture_packing,
+    "op8_mixing_coder": op8_mixing_coder,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
