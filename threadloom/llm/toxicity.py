@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ WINDOW = 8
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 #: Rows of each class that a fit takes at most, and the longest text (code points) it takes: the bound of its memory.
-FIT_ROWS, FIT_CHARS = 3000, 20_000
+FIT_ROWS, FIT_CHARS = 3000, 8_000
 #: Scores that a worker remembers before it starts anew (a bound of memory; results don't depend on it).
 MEMO_ENTRIES = 600_000
 THRESHOLD = 0.3
@@ -71,15 +72,18 @@ def fit(texts: list[str], toxic: np.ndarray, width: int = 8, epochs: int = 90, r
     if not len(texts) or len(set(map(int, toxic))) < 2:
         return Model(e * 0, w, np.array([2.0, -2.0]))
     vocab: dict[str, int] = {}
-    docs = [[vocab.setdefault(x, len(vocab)) for x in words_of(t)] for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
+    docs = [np.array([vocab.setdefault(x, len(vocab)) for x in words_of(t)], np.int32) for t in texts]
+    keep = [i for i, d in enumerate(docs) if len(d)]
     y = np.asarray(toxic, np.int64)[keep]
     docs = [docs[i] for i in keep]
-    bags = [grams(x) for x in vocab]
-    flat = np.concatenate([np.array(x, np.int64) for x in bags])
-    sizes = np.array([len(x) for x in bags])
+    bags, sizes = array("i"), array("i")
+    for x in vocab:
+        before = len(bags)
+        bags.extend(grams(x))
+        sizes.append(len(bags) - before)
+    flat, sizes = np.frombuffer(bags, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
     first = np.cumsum(sizes) - sizes
-    token = np.concatenate([np.array(d, np.int64) for d in docs])
+    token = np.concatenate(docs)
     length = np.array([len(d) for d in docs])
     at = np.cumsum(length) - length
     starts = [bounds(n) + a for n, a in zip(length, at)]
@@ -181,9 +185,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int
     """
     marked = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("toxic")).where("i is not null and toxic in (0, 1)").dropDuplicates(["i"])
     marked = marked.where(~_held(F.col("i")))
-    both = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where(F.char_length("text") <= chars).join(marked, "i")
+    lengths = docs.select(F.col(id_col).alias("i"), F.char_length(text_col).alias("n")).where(F.col("n") <= chars)
+    both = lengths.join(marked, "i").select("i", "toxic").distinct()
     order = [F.xxhash64("i"), F.col("i")]
-    return both.where("toxic = 1").orderBy(*order).limit(rows).union(both.where("toxic = 0").orderBy(*order).limit(rows)).select("text", "toxic")
+    chosen = both.where("toxic = 1").orderBy(*order).limit(rows).union(both.where("toxic = 0").orderBy(*order).limit(rows))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where(F.char_length("text") <= chars)
+    return texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]).select("text", "toxic")  # 2 * rows ids at most
 
 
 def _held(i):
