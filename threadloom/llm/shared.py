@@ -1,30 +1,14 @@
-"""What the operators of this subpackage share: shipping code to executors, shared storage, small plan helpers."""
+"""What the operators of this subpackage share: shared storage and small plan helpers."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that they need no shared source folder."""
-    sc = spark.sparkContext
-    if getattr(sc, "_threadloom_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="threadloom-"), "threadloom.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(_PACKAGE.rglob("*.py")):
-            z.write(f, f"{_PACKAGE.name}/{f.relative_to(_PACKAGE)}")
-    sc.addPyFile(target)
-    sc._threadloom_shipped = True
+from ..functions.ship import ship  # noqa: F401  for the operators
 
 
 def shared_dir(spark: SparkSession) -> str:
