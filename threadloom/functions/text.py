@@ -63,17 +63,16 @@ def head_tail(c: Column, most: int, note: str) -> Column:
 
 
 def overlapping(text: str, part: str) -> str:
-    """SQL: how often ``part`` occurs in ``text``, overlaps counted; 0 for an empty part."""
-    return (
-        f"CASE WHEN char_length({part}) = 0 OR NOT contains({text}, {part}) THEN 0 ELSE size(filter(sequence(1, char_length({text}) - char_length({part}) + 1), i -> substring({text}, i, char_length({part})) = {part})) END"
-    )
+    """SQL: how often ``part`` occurs in ``text``, overlaps counted; 0 for an empty part. One pass over the text."""
+    quoted = rf"concat('(?=\\Q', replace({part}, '\\E', '\\E\\\\E\\Q'), '\\E)')"
+    return f"CASE WHEN char_length({part}) = 0 OR NOT contains({text}, {part}) THEN 0 ELSE regexp_count({text}, {quoted}) END"
 
 
 def offsets(text: str, part: str) -> str:
-    """SQL: the starts (from 0) of all overlapping occurrences."""
-    return (
-        f"CASE WHEN char_length({part}) = 0 OR NOT contains({text}, {part}) THEN cast(array() AS array<int>) ELSE transform(filter(sequence(1, char_length({text}) - char_length({part}) + 1), i -> substring({text}, i, char_length({part})) = {part}), i -> i - 1) END"
-    )
+    """SQL: the starts (from 0) of all overlapping occurrences; one search from the last start per occurrence."""
+    step = f"locate({part}, {text}, CASE WHEN size(acc) = 0 THEN 1 ELSE element_at(acc, -1) + 2 END) - 1"
+    n = overlapping(text, part)
+    return f"CASE WHEN ({n}) = 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, {n}), cast(array() AS array<int>), (acc, i) -> concat(acc, array({step}))) END"
 
 
 def ascii_lower(c: Column) -> Column:
