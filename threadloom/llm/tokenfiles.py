@@ -3,7 +3,7 @@
 Per block, three orders predict the next id. Order 2 and order 1 each name one id, the one last seen after the previous two
 ids and after the previous one, with a confidence; how often predictions of that confidence come true is learned, and the
 two chances are mixed into one split of the coder's range: order 2's id, order 1's id, anything else. Anything else is coded
-by order 0, adaptive frequencies of classes of 64 neighbouring ids, uniform inside a class. Everything is integer
+by order 0, adaptive frequencies of classes of 256 neighbouring ids, uniform inside a class. Everything is integer
 arithmetic, and a block starts from the same state as any other, so each can be decoded, and checked, alone.
 
 Since blocks don't depend on each other, all blocks of a segment are coded side by side as the lanes of numpy arrays.
@@ -28,13 +28,14 @@ END, BLOCK = 2, 2048
 #: Ids after which a segment is closed (a bound of memory).
 SEGMENT = 1 << 22
 _MAGIC, _HEAD = b"TLRC", struct.Struct("<4sBBHIIQI")
-_T2, _T1, _SIDE, _SHIFT = 11, 10, 32, 6
+_T2, _T1, _SIDE, _SHIFT = 9, 8, 16, 8
 _CLASSES, _SUM = _SIDE * _SIDE, 1 << 14
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
+_SCALE = 16 + 14 + _SHIFT
+_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 42)
 _REFRESH = {16, 48, 112, 240, 496, 752, 1008, 1264, 1520, 1776}
 #: Chance, of 65536, that a prediction of each confidence is right, before anything is learned; and order 0's first counts.
-_START = np.array([600, 6000, 16000, 26000, 36000, 44000, 50000, 54000], np.int64)
-_FIRST = (4096 // (np.arange(_CLASSES) + 8)).astype(np.int64) + 1
+_START = np.array([600, 6000, 16000, 26000, 36000, 44000, 50000, 54000], np.int32)
+_FIRST = (4096 // (np.arange(_CLASSES) + 3)).astype(np.int64) + 1
 
 
 class _Mixer:
@@ -45,76 +46,94 @@ class _Mixer:
         self.of2, self.of1, self.of8, self.of0 = n << _T2, n << _T1, n * 8, n * _CLASSES
         self.t2, self.t1 = np.zeros(lanes << _T2, np.int32), np.zeros(lanes << _T1, np.int32)
         self.p2, self.p1 = np.tile(_START, lanes), np.tile(_START, lanes)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.a, self.b = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.counts = np.tile(_FIRST, (lanes, 1)).astype(np.int32)
+        self.flat = self.counts.reshape(-1)
         self.refresh()
 
     def refresh(self) -> None:
-        """Order 0's frequencies from its counts: at least 1 each, _SUM in all, as starts by group and by class."""
+        """Order 0's frequencies from its counts: at least 1 each, _SUM in all, packed as start and size."""
         total = self.counts.sum(axis=1, keepdims=True, dtype=np.int64)
         f = (self.counts * (_SUM - _CLASSES) // total).astype(np.int32) + 1
         f[:, 0] += _SUM - f.sum(axis=1, dtype=np.int32)
-        self.size = f.ravel()
         ends = np.cumsum(f, axis=1, dtype=np.int32)
-        self.start = (ends - f).ravel()
-        self.groups = np.ascontiguousarray(ends[:, _SIDE - 1 :: _SIDE])
-        self.ends = ends.reshape(-1, _SIDE)
+        self.part = ((ends - f) << 16 | f).ravel()
+        self.groups = np.ascontiguousarray(ends[:, _SIDE - 1 :: _SIDE]).astype(np.int16)
+        self.ends = ends.reshape(-1, _SIDE).astype(np.int16)
 
     def predict(self, n: int):
         a, b = self.a[:n], self.b[:n]
-        self.i2 = self.of2[:n] + (((a * 40503 + b * 10007) >> 3) & ((1 << _T2) - 1))
-        self.i1 = self.of1[:n] + ((a * 40503 >> 4) & ((1 << _T1) - 1))
+        self.i2 = self.of2[:n] + (((a * 12347 + b * 10007) >> 3) & ((1 << _T2) - 1))
+        self.i1 = self.of1[:n] + (((a * 12347) >> 4) & ((1 << _T1) - 1))
         e2, e1 = self.t2[self.i2], self.t1[self.i1]
         self.id2, self.id1, self.c2, self.c1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
         self.j2, self.j1 = self.of8[:n] + self.c2, self.of8[:n] + self.c1
         self.q2, self.q1 = self.p2[self.j2], self.p1[self.j1]
-        rest = (65536 - self.q2) * self.q1 >> 16
+        rest = ((65536 - self.q2) >> 1) * (self.q1 >> 1) >> 14
         same = self.id2 == self.id1
-        f2 = self.q2 + np.where(same, rest, 0)
-        return f2, np.where(same, 0, rest)
+        return self.q2 + rest * same, rest * ~same
 
     def learn(self, ids: np.ndarray, n: int) -> None:
+        fresh = (ids << 3) | 1
         for t, p, i, j, known, c, q in ((self.t2, self.p2, self.i2, self.j2, self.id2, self.c2, self.q2), (self.t1, self.p1, self.i1, self.j1, self.id1, self.c1, self.q1)):
             hit = known == ids
-            t[i] = np.where(hit, (known << 3) | np.minimum(c + 1, 7), np.where(c <= 1, (ids << 3) | 1, (known << 3) | (c >> 1)))
-            p[j] = q + ((np.where(hit, 64000, 200) - q) >> 4)
-        self.counts.reshape(-1)[self.of0[:n] + (ids >> _SHIFT)] += 32
+            kept = (known << 3) | np.where(hit, np.minimum(c + 1, 7), c >> 1)
+            t[i] = np.where(hit | (c > 1), kept, fresh)
+            p[j] = q + ((hit * 63800 + 200 - q) >> 4)
+        self.flat[self.of0[:n] + (ids >> _SHIFT)] += 32
         self.b[:n] = self.a[:n]
         self.a[:n] = ids
 
 
+class _Coder:
+    """Carry-less range coding of all lanes: 64-bit registers, 16-bit words, a scale of 2^38 for each id."""
+
+    def __init__(self, lanes: int):
+        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def narrow(self, n: int, r: np.ndarray, start: np.ndarray, size: np.ndarray, shift) -> None:
+        """Take the part [start, start + size) of the first n lanes; ``shift(n, lanes, need)`` moves a word where needed.
+
+        Words move while the leading 16 bits are settled, or the range is short and is cut at the next border.
+        """
+        low, rng = self.low[:n], self.rng[:n]
+        low += r * start
+        np.multiply(r, size, out=rng)
+        settled = (low ^ (low + rng)) < _TOP
+        need = settled | (rng < _LOW)
+        cut = need & ~settled
+        if cut.any():
+            rng[cut] = (np.uint64(0) - low[cut]) & (_LOW - np.uint64(1))
+        shift(slice(0, n), need)
+        by = need.astype(np.uint64) << np.uint64(4)
+        np.left_shift(low, by, out=low)
+        np.left_shift(rng, by, out=rng)
+        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _LOW))
+        while len(todo):
+            lo, r = low[todo], rng[todo]
+            r = np.where((lo ^ (lo + r)) < _TOP, r, (np.uint64(0) - lo) & (_LOW - np.uint64(1)))
+            shift(todo, True)
+            lo, r = lo << np.uint64(16), r << np.uint64(16)
+            low[todo], rng[todo] = lo, r
+            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _LOW)]
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The coded blocks of ``ids``, each of ``block`` ids but the last."""
     lanes = -(-len(ids) // block)
     if not lanes:
         return []
     last = len(ids) - (lanes - 1) * block
-    padded = np.zeros(lanes * block, np.int64)
+    padded = np.zeros(lanes * block, np.int32)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    m = _Mixer(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    m, c = _Mixer(lanes), _Coder(lanes)
     width = 3 * block + 8
-    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
-
-    def narrow(who, start, size, bits):
-        lo, r = low[who], rng[who] >> np.uint64(bits)
-        lo = lo + r * start.astype(np.uint64)
-        r = r * size.astype(np.uint64)
-        low[who], rng[who] = lo, r
-        todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _LOW))
-        if not len(todo):
-            return
-        todo = (np.arange(lanes)[who])[todo]
-        while len(todo):
-            lo, r = low[todo], rng[todo]
-            r = np.where((lo ^ (lo + r)) < _TOP, r, (np.uint64(0) - lo) & (_LOW - np.uint64(1)))
-            p = pos[todo]
-            out[p] = lo >> np.uint64(48)
-            pos[todo] = p + 1
-            lo, r = lo << np.uint64(16), r << np.uint64(16)
-            low[todo], rng[todo] = lo, r
-            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _LOW)]
+    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes)  # word by word over lanes, which advance alike
+
+    def shift(who, need):
+        out[pos[who]] = c.low[who] >> np.uint64(48)  # where it isn't needed, the next word overwrites it
+        pos[who] += need * np.int64(lanes)
 
     for t in range(block):
         n = lanes if t < last else lanes - 1
@@ -125,21 +144,23 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         x = steps[t, :n]
         f2, f1 = m.predict(n)
         two, one = m.id2 == x, m.id1 == x
-        start = np.where(two, 0, np.where(one, f2, f2 + f1))
-        size = np.where(two, f2, np.where(one, f1, 65536 - f2 - f1))
-        narrow(slice(0, n), start, size, 16)
-        rest = np.flatnonzero(~(two | one))
-        if len(rest):
-            x_ = x[rest]
-            at = m.of0[rest] + (x_ >> _SHIFT)
-            size = m.size[at].astype(np.int64)
-            narrow(rest, (m.start[at].astype(np.int64) << _SHIFT) + size * (x_ & 63), size, 14 + _SHIFT)
+        rest = 65536 - f2 - f1
+        at = m.of0[:n] + (x >> _SHIFT)
+        part = m.part[at]
+        size = part & 0xFFFF
+        first = ((part >> 16) << _SHIFT) + size * (x & ((1 << _SHIFT) - 1))
+        hit = two | one
+        start = np.where(two, 0, np.where(one, f2, f2 + f1)).astype(np.uint64) << np.uint64(_SCALE - 16)
+        start += np.where(hit, 0, rest.astype(np.int64) * first).astype(np.uint64)
+        part = np.where(hit, np.where(two, f2, f1).astype(np.int64) << (_SCALE - 16), rest.astype(np.int64) * size).astype(np.uint64)
+        c.narrow(n, c.rng[:n] >> np.uint64(_SCALE), start, part, shift)
         m.learn(x, n)
     for _ in range(4):
-        out[pos] = low >> np.uint64(48)
-        low <<= np.uint64(16)
-        pos += 1
-    return [out[k * width : p].astype("<u2").tobytes() for k, p in enumerate(pos.tolist())]
+        out[pos] = c.low >> np.uint64(48)
+        c.low <<= np.uint64(16)
+        pos += lanes
+    out = np.ascontiguousarray(out.reshape(width, lanes).T)
+    return [out[k, : p // lanes].astype("<u2").tobytes() for k, p in enumerate(pos.tolist())]
 
 
 def decode(blocks: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
@@ -149,32 +170,21 @@ def decode(blocks: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
         return np.zeros(0, np.int64)
     last = total - (lanes - 1) * block
     width = max(len(x) for x in blocks) // 2 + 4
-    words = np.zeros((lanes, width), np.uint64)
+    words = np.zeros((lanes, width), np.uint16)
     for k, x in enumerate(blocks):
         words[k, : len(x) // 2] = np.frombuffer(x, "<u2")
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-    words, pos = words.ravel(), np.arange(lanes) * width + 4
-    m = _Mixer(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    steps = np.zeros((block, lanes), np.int64)
-
-    def narrow(who, r, start, size):
-        lo = low[who] + r * start.astype(np.uint64)
-        r = r * size.astype(np.uint64)
-        low[who], rng[who] = lo, r
-        todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _LOW))
-        if not len(todo):
-            return
-        todo = (np.arange(lanes)[who])[todo]
-        while len(todo):
-            lo, r = low[todo], rng[todo]
-            r = np.where((lo ^ (lo + r)) < _TOP, r, (np.uint64(0) - lo) & (_LOW - np.uint64(1)))
-            p = pos[todo]
-            code[todo] = (code[todo] << np.uint64(16)) | words[p]
-            pos[todo] = p + 1
-            lo, r = lo << np.uint64(16), r << np.uint64(16)
-            low[todo], rng[todo] = lo, r
-            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _LOW)]
+    code = np.zeros(lanes, np.uint64)
+    for k in range(4):
+        code = (code << np.uint64(16)) | words[:, k]
+    words, pos = np.ascontiguousarray(words.T).ravel(), np.arange(lanes) + 4 * lanes
+    m, c = _Mixer(lanes), _Coder(lanes)
+    steps = np.zeros((block, lanes), np.int32)
+
+    def shift(who, need):
+        by = np.uint64(16) if need is True else need.astype(np.uint64) << np.uint64(4)
+        word = words[pos[who]] if need is True else words[pos[who]] * need
+        code[who] = (code[who] << by) | word
+        pos[who] += need * np.int64(lanes)
 
     for t in range(block):
         n = lanes if t < last else lanes - 1
@@ -183,28 +193,32 @@ def decode(blocks: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
         if t in _REFRESH:
             m.refresh()
         f2, f1 = m.predict(n)
-        who = slice(0, n)
-        r = rng[who] >> np.uint64(16)
-        v = np.minimum((code[who] - low[who]) // r, np.uint64(65535)).astype(np.int64)
-        two, one = v < f2, v < f2 + f1
-        x = np.where(two, m.id2, m.id1).astype(np.int64)
-        start = np.where(two, 0, np.where(one, f2, f2 + f1))
-        narrow(who, r, start, np.where(two, f2, np.where(one, f1, 65536 - f2 - f1)))
-        rest = np.flatnonzero(~one)
-        if len(rest):
-            r = rng[rest] >> np.uint64(14 + _SHIFT)
-            v = np.minimum((code[rest] - low[rest]) // r, np.uint64((_SUM << _SHIFT) - 1)).astype(np.int64)
-            c = (v >> _SHIFT).astype(np.int32)
-            g = (m.groups[rest] <= c[:, None]).sum(axis=1)
-            k = g * _SIDE + (m.ends[rest * _SIDE + g] <= c[:, None]).sum(axis=1)
-            at = m.of0[rest] + k
-            first, size = m.start[at].astype(np.int64) << _SHIFT, m.size[at].astype(np.int64)
-            inside = (v - first) // size
-            x[rest] = (k << _SHIFT) + inside
-            narrow(rest, r, first + size * inside, size)
+        r = c.rng[:n] >> np.uint64(_SCALE)
+        v = np.minimum((code[:n] - c.low[:n]) // r, np.uint64((1 << _SCALE) - 1)).astype(np.int64)
+        top = (v >> (_SCALE - 16)).astype(np.int32)
+        both = f2 + f1
+        two, hit = top < f2, top < both
+        x = np.where(two, m.id2, m.id1)
+        start = np.where(two, 0, f2).astype(np.int64) << (_SCALE - 16)
+        part = np.where(two, f2, f1).astype(np.int64) << (_SCALE - 16)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            rest, base = (65536 - both[miss]).astype(np.int64), both[miss].astype(np.int64) << (_SCALE - 16)
+            w = (v[miss] - base) // rest
+            k = (w >> _SHIFT).astype(np.int16)
+            g = (m.groups[miss] <= k[:, None]).sum(axis=1)
+            g = g * _SIDE + (m.ends[miss * _SIDE + g] <= k[:, None]).sum(axis=1)
+            at = m.of0[miss] + g
+            packed = m.part[at].astype(np.int64)
+            first, size = (packed >> 16) << _SHIFT, packed & 0xFFFF
+            inside = (w - first) // size
+            x[miss] = (g << _SHIFT) + inside
+            start[miss] = base + rest * (first + size * inside)
+            part[miss] = rest * size
+        c.narrow(n, r, start.astype(np.uint64), part.astype(np.uint64), shift)
         steps[t, :n] = x
         m.learn(x, n)
-    return steps.T.ravel()[:total]
+    return steps.T.ravel()[:total].astype(np.int64)
 
 
 def _raw(ids: np.ndarray) -> bytes:
