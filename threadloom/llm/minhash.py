@@ -1,0 +1,126 @@
+"""Near-duplicates by the Jaccard similarity of 5-word shingles: MinHash bands find candidates, the real sets decide.
+
+Texts of similarity s agree in a band of ``ROWS`` minima with probability s ** ROWS, so a pair at the limit of 0.8 shares
+none of the 32 bands with probability 5e-8, and a closer pair with less. Every candidate is verified on its full shingle
+sets. In each bucket all members are first compared with the smallest one. Pairs that this does not connect are compared
+too, unless their distances to the smallest member rule them out: Jaccard distance is a metric, so these must not differ
+by more than the distance allowed. The links therefore connect exactly what all pairs of all buckets would.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import components, ship, written
+
+#: Words of a shingle, seed of its hash, least similarity of a link.
+SHINGLE, SEED, LEAST = 5, 42, 0.8
+#: Bands of a sketch and minima of a band.
+BANDS, ROWS = 32, 4
+
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(raw: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of one text in UTF-8; a shorter text is one shingle."""
+    words = raw.lower().split()
+    text = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(text, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-SHINGLE] + 1)).tolist()
+    cuts = map(slice, starts, ends[SHINGLE - 1 :].tolist())
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), repeat(SEED)), np.uint64, len(starts)))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One key per band of a shingle set."""
+    least = np.array([(found * a).min() for a in _ODD], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``doc_id, node, bands`` of every row of ``rows (doc_id, node, text)``."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            keys = [bands(shingles(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b, distance``: the Jaccard distance of each of ``pairs (a, b)``, from the texts themselves."""
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+
+    def run(batches):
+        last, of_b = None, None
+        for batch in batches:
+            far = []
+            for b, s, t in zip(batch.column("b"), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if last != b:
+                    last, of_b = b, shingles(t.as_py())
+                far.append(1 - similarity(shingles(s.as_py()), of_b))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.float64())], ["a", "b", "distance"])
+
+    return written(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, distance double"), "verified")
+
+
+def links(marks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, root`` of every text that has a near-duplicate. ``marks``: node, bands; ``rows``: node, text."""
+    postings = marks.select("node", F.explode("bands").alias("key")).distinct()
+    buckets = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    shared = written(postings.join(buckets, "key"), "buckets")
+    near = verified(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), rows)
+    limit = 1 - LEAST + 1e-9
+    linked = near.where(F.col("distance") <= limit).select("a", "b")
+    roots = components(linked)
+    member = shared.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = member.join(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance"), ["node", "hub"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    member = written(member, "members")
+    open_ = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    member = member.where(F.col("node") != F.col("hub")).join(open_, "key", "left_semi")
+    one, two = (member.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("distance").alias(f"far_{c}")) for c in ("a", "b"))
+    rest = one.join(two, "key").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit))
+    rest = rest.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
+    more = verified(rest, rows).where(F.col("distance") <= limit).select("a", "b")
+    return roots if more.isEmpty() else components(linked.union(more))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, node, component_id`` for every row: the smallest doc_id reachable over links, its own included.
+
+    ``node`` is the hash of the text, a null text counting as empty; texts without words are equal to each other.
+    Repeated rows give repeated results; a row without doc_id takes part and is never anyone's component_id; other
+    columns are ignored; empty in, empty out.
+    """
+    rows = _texts(docs, id_col, text_col)
+    marks = written(sketches(rows), "sketches")
+    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = links(marks, rows)
+    named = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(named.join(best, "root").select("node", "component_id"), "classes")
+    return marks.join(of, "node").select("doc_id", "node", "component_id")
