@@ -65,6 +65,14 @@ def test_good_documents_stay_and_symbol_junk_goes(spark):
     assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.2 * len(junk)
 
 
+def test_short_symbol_junk_goes_and_short_good_documents_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [r for r in op2_js_quality(spark, sf).collect() if not r.base_failed and r.doc_id in labels and 50 <= r.n_words < 100]
+    good, junk = [[r.kept for r in judged if labels[r.doc_id] == q] for q in (1, 0)]
+    assert len(junk) == 29 and sum(junk) <= 0.2 * len(junk) and sum(good) >= 0.97 * len(good)
+
+
 def test_awkward_rows(spark):
     rows = awkward(spark)
     assert rows_of(quality.judged(rows)) == sorted(plain_verdicts(rows.collect()))

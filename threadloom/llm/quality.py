@@ -4,7 +4,7 @@ Every document gets two histograms: characters by class, and words by a fixed li
 bin). A language's reference is the mean histogram of all its documents that pass the minimum length and the base rules;
 counts are kept as whole parts per million, so sums are exact and do not depend on the order of the rows. A document is
 rejected when the base rules fail or the two distances (square roots of the divergence, base 2, 0 to 1) sum to more than
-the limit. Documents below the guard's length are too short for histograms, and the guard leaves them to the base rules.
+the limit. Documents below the guard's length, the base rules' own minimum, are too short for histograms.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ COMMON = {
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other", "beyond")
 MIN_WORDS = 50
 #: Fewest words for histograms to be compared, and the largest sum of the two distances to the language's reference.
-GUARD_WORDS, LIMIT = 100, 0.46
+GUARD_WORDS, LIMIT = MIN_WORDS, 0.46
 
 _WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 _BIN = {v.encode(): k for k, w in enumerate(_WORDS, 1) for form in (w, w.capitalize()) for v in (form, form + ",", form + ".")}
