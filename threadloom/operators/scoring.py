@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: The bootstrap's repeats and seed, and its order statistics.
 REPEATS, SEED, TAILS = 2000, 20261017, (0.025, 0.975)
 
@@ -81,6 +85,34 @@ def resample_weights(spark: SparkSession, profiles: list, repeats: int = REPEATS
     return spark.createDataFrame(rows, "rep int, profile string, weight int") if rows else spark.createDataFrame([], "rep int, profile string, weight int")
 
 
+def drawn_weights(profiles: DataFrame, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """What :func:`resample_weights` gives for the sorted distinct values of ``profiles (profile)``, made in Spark.
+
+    A task draws its own repeats: numpy's Mersenne Twister gives the numbers of random.Random, and earlier ones are skipped.
+    """
+    spark = profiles.sparkSession
+    ship(spark)
+    names = profiles.where("profile is not null").distinct().orderBy("profile")
+    numbered = spark.createDataFrame(names.rdd.map(lambda r: r[0]).zipWithIndex(), "profile string, k long")
+    n = names.count()
+
+    def run(batches):
+        _, state, _ = random.Random(seed).getstate()
+        rng, at = np.random.RandomState(), 0
+        rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+        for b in batches:
+            for r in b.column("id").to_pylist():
+                while at < r * n:
+                    at += len(rng.random_sample(min(1 << 20, r * n - at)))
+                k, weight = np.unique((rng.random_sample(n) * n).astype(np.int64), return_counts=True)
+                at += n
+                for i in range(0, n, 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), r, np.int32)), pa.array(k[part]), pa.array(weight[part].astype(np.int32))], ["rep", "k", "weight"])
+
+    return spark.range(repeats).mapInArrow(run, "rep int, k long, weight int").join(numbered, "k").select("rep", "profile", "weight")
+
+
 def bootstrap_f1(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Clustered interval of the micro F1: profiles are drawn whole, and order statistics give the ends."""
     s = scores(rows, "profile").select("profile", "tp", "fp", "fn")

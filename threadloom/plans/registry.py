@@ -484,8 +484,7 @@ def balanced_items(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     """No SQL form: the draws come from a seeded generator."""
     rows = _labelled(spark, sf_dir)
-    profiles = [r.profile for r in rows.select("profile").distinct().orderBy("profile").limit(10_000).collect() if r.profile is not None]
-    return scoring.bootstrap_f1(rows, scoring.resample_weights(spark, profiles, 200))
+    return scoring.bootstrap_f1(rows, scoring.drawn_weights(rows.select("profile")))
 
 
 @query()
