@@ -33,6 +33,8 @@ BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L
 _ANY_CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _ASCII_CHUNK = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _ANY_WORD = re.compile(rf"[^{WHITE}]+")
+#: Marks that a word's end is tried without first.
+_MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 #: Entries that a worker's memo of words may hold before it starts anew (a bound of memory; results don't depend on it).
 MEMO_ENTRIES = 600_000
 PAIR_ENTRIES = 500_000
@@ -74,7 +76,7 @@ class PrefixBpe:
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         self._check(d, suffix)
-        self.words = bool(suffix)
+        self.words, self.suffix = bool(suffix), suffix
         letters = byte_letters()
 
         def inner(token: str) -> str:
@@ -95,6 +97,7 @@ class PrefixBpe:
         self.rank = rank
         made = {*rank, *(i for t, i in vocab.items() if len(inner(t)) == 1)}
         self.size_of = {i: len(inner(t)) for t, i in vocab.items() if i in made}
+        self._special_ids = [t["id"] for t in d.get("added_tokens") or []]
         self._prepare({inner(t): i for t, i in vocab.items() if i in made})
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens") or []}
         self.tokens |= {i: t for t, i in self.special.items()}
@@ -242,8 +245,6 @@ class PrefixBpe:
     def chunks(self, text: str) -> list[str]:
         """Cuts where no pre-token can cross, so that the stretches can be encoded, and remembered, one by one."""
         if self.words:
-            if not text.isascii():
-                return _ANY_WORD.findall(text)
             return _ANY_WORD.findall(text) if _EXTRA.search(text) else text.split()
         return (_ASCII_CHUNK if text.isascii() else _ANY_CHUNK).findall(text)
 
@@ -313,18 +314,36 @@ class RankBpe(PrefixBpe):
             elif raw in ranks:
                 names[ranks[raw]] = token
         self._names = names | {512 + r: t for t, r in self.rank.items()}
+        wide = max(self.tokens) > 0xFFFF or max(self._special_ids, default=0) > 0xFFFF
+        self._coded = {r: t.to_bytes(4 if wide else 2, "little") for r, t in self._names.items()}
+        self._known = _Memo(self._packed_part)
         self._piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
+    def _parts(self, chunk: str) -> list[str]:
+        """Pre-tokens of a stretch as :meth:`_ids` describes it."""
+        if not chunk.isascii():
+            return self._split.findall("".join(c.lower() for c in unicodedata.normalize("NFC", chunk)) if self.words else chunk)
+        if not self.words:
+            return [chunk] if chunk[1:].isalpha() and chunk[0] != "'" else self._split.findall(chunk)
+        chunk = chunk.lower()
+        word = chunk.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._split.findall(chunk)
+        return [chunk] if len(word) == len(chunk) else [word, chunk[len(word) :]]
+
     def _ids(self, chunk: str) -> list[int]:
-        names, piece = self._names, self._piece
-        if chunk.isascii():
-            if self.words:
-                chunk = chunk.lower()
-            parts = [chunk] if (chunk if self.words else chunk[1:]).isalpha() and chunk[0] != "'" else self._split.findall(chunk)
-        else:
-            parts = self._split.findall("".join(c.lower() for c in unicodedata.normalize("NFC", chunk)) if self.words else chunk)
-        end = b"\xff" if self.words else b""
-        return [names[i] for part in parts for i in piece(part.encode("utf-8", "replace") + end)]
+        names, piece, end = self._names, self._piece, b"\xff" if self.words else b""
+        return [names[i] for part in self._parts(chunk) for i in piece(part.encode("utf-8", "replace") + end)]
+
+    def _packed(self, chunk: str) -> bytes:
+        known = self._known
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        return b"".join([known[part] for part in self._parts(chunk)])
+
+    def _packed_part(self, part: str) -> bytes:
+        code = self._coded
+        return b"".join([code[i] for i in self._piece(part.encode("utf-8", "replace") + (b"\xff" if self.words else b""))])
 
 
 _READY: dict[tuple, PrefixBpe] = {}

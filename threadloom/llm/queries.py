@@ -42,8 +42,7 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return found.withColumnRenamed("queue", "source")
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,29 +29,62 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-_TABLES: list[str] = []
+class Scope:
+    """The tables in the shared folder that the operators called inside a :func:`scope` made."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it.
+    def free(self, spark: SparkSession) -> None:
+        """Delete them; only once nothing reads the results made inside the scope any more."""
+        while self.paths:
+            fs, path = _store(spark, self.paths.pop())
+            fs.delete(path, True)
 
-    ``keep``: :func:`retire` leaves it.
-    """
+
+_SCOPES: ContextVar[tuple[Scope, ...]] = ContextVar("threadloom_scopes", default=())
+
+
+@contextmanager
+def scope():
+    """Collect the tables made inside, and only those, so that the caller can :meth:`Scope.free` them later."""
+    made = Scope()
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPES.reset(token)
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def claim(spark: SparkSession, path: str) -> str:
+    """Mark ``path`` as ours: it goes when the innermost scope is freed, or else when the application ends."""
+    if _SCOPES.get():
+        _SCOPES.get()[-1].paths.append(path)
+    fs, where = _store(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not keep:
-        _TABLES.append(path)
+    path = claim(spark, f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}")
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def retire(spark: SparkSession) -> None:
-    """Delete the tables that :func:`written` made so far; only for callers whose results no longer read them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
