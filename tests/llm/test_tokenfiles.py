@@ -1,38 +1,72 @@
+import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.rows import awkward, empty
-from threadloom.llm import tokenfiles
+from threadloom.llm import bpe, jvm, tokenfiles
 from threadloom.llm.queries import op8_mixing_coder, tokenizer
 
 WORDS = "word_bpe_49k.json"
 
 
+def there_and_back(spark, ids, width, block):
+    jvm.register(spark)
+    raw = np.asarray(ids).astype(f"<u{width}").tobytes()
+    row = spark.createDataFrame([(bytearray(raw),)], "raw binary").select(F.expr(f"threadloom_encode{width}(raw, {block})").alias("coded"))
+    coded = bytes(row.first().coded)
+    back = spark.createDataFrame([(bytearray(coded),)], "coded binary").select(F.expr("threadloom_decode(coded)").alias("raw")).first().raw
+    assert bytes(back) == raw
+    return coded
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 500])
-@pytest.mark.parametrize("most", [1, 3, 49408, 65536])
-def test_exact_round_trip(n, most):
-    ids = np.random.default_rng(n + most).integers(0, most, n)
-    assert (tokenfiles.decode(tokenfiles.encode(ids, 64), n, 64) == ids).all()
+@pytest.mark.parametrize("most", [1, 3, 49408, 65536, 1 << 20])
+def test_exact_round_trip(spark, n, most):
+    there_and_back(spark, np.random.default_rng(n + most).integers(0, most, n), 4 if most > 65536 else 2, 64)
+
 
+def test_ids_of_more_than_twenty_bits_raise(spark):
+    with pytest.raises(Exception, match="ids of 20 bits at most"):
+        there_and_back(spark, [1 << 20], 4, 64)
 
-def test_repeating_ids_shrink():
-    ids = np.tile(np.random.default_rng(1).integers(0, 49408, 40), 100)
-    assert sum(map(len, tokenfiles.encode(ids))) < 0.2 * 2 * len(ids)
 
+def test_every_order_predicts(spark):
+    """Ids that follow one another by rule shrink far below what their frequencies alone would need."""
+    rng = np.random.default_rng(1)
+    one, two, noise = np.zeros(60_000, np.int64), np.zeros(60_000, np.int64), rng.random(60_000) < 0.1
+    rule, rules = rng.permutation(512), rng.integers(0, 64, (64, 64))
+    for k in range(2, len(one)):
+        one[k] = rng.integers(0, 512) if noise[k] else rule[one[k - 1]]
+        two[k] = rng.integers(0, 64) if noise[k] else rules[two[k - 2], two[k - 1]]
+    assert 8 * len(there_and_back(spark, one, 2, 1 << 17)) / 60_000 < 2.2  # 9 bits by frequency
+    assert 8 * len(there_and_back(spark, two, 2, 1 << 17)) / 60_000 < 2.6  # 6 bits by frequency
+    skewed = rng.geometric(0.3, 60_000)
+    p = np.bincount(skewed) / 60_000
+    entropy = -sum(x * math.log2(x) for x in p if x)
+    assert 8 * len(there_and_back(spark, skewed, 2, 1 << 17)) / 60_000 < 1.03 * entropy + 0.05
 
-def test_damage_is_found_and_located():
+
+def test_damage_is_found_and_located(spark):
     ids = np.random.default_rng(2).integers(0, 1000, 5000)
-    data = tokenfiles.segment([1, None, 7], [2000, 0, 3000], ids)
-    names, lengths, back = tokenfiles.read_segment(data)
-    assert names == [1, None, 7] and lengths == [2000, 0, 3000] and (back == ids).all()
-    for at, what in ((6, "header"), (60, "header"), (len(data) - 40, "block 2")):
-        bad = bytearray(data)
+    coded = there_and_back(spark, ids, 2, 1000)
+    for at, what in ((3, "damaged"), (40, "damaged"), (len(coded) - 300, "block 4")):
+        bad = bytearray(coded)
         bad[at] ^= 4
-        with pytest.raises(ValueError, match=what):
-            tokenfiles.read_segment(bytes(bad))
+        with pytest.raises(Exception, match=what):
+            spark.createDataFrame([(bad,)], "c binary").select(F.expr("threadloom_decode(c)").alias("x")).collect()
+    listing = tokenfiles.directory(3, 4, [1, None, 7], [2000, 0, 3000])
+    assert tokenfiles.read_directory(listing) == ([1, None, 7], [2000, 0, 3000])
+    bad = bytearray(listing)
+    bad[30] ^= 1
+    with pytest.raises(ValueError, match="directory"):
+        tokenfiles.read_directory(bytes(bad))
+    with pytest.raises(ValueError, match="cut short"):
+        tokenfiles.split(listing + (100).to_bytes(8, "big") + b"x" * 50)
 
 
 def plain(rows):
@@ -50,11 +84,48 @@ def test_query_equals_the_library(spark, sf):
     assert got == plain(spark.read.parquet(f"{sf}/documents.parquet").collect())
 
 
+def test_files_are_smaller_than_the_entropy_of_single_ids(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = str(tmp_path / "files")
+    tokenfiles.write(docs.coalesce(1), tokenizer(WORDS), out)
+    rows = tokenfiles.documents(spark, out).collect()
+    n = sum(r.n_tokens for r in rows)
+    size = sum(p.stat().st_size for p in Path(out).glob("part-*"))
+    assert len(rows) == docs.count() and 8 * size / n < 8.36  # bits an id; 8.36 is the entropy of a static table of single ids
+    file = max(Path(out).glob("part-*"), key=lambda p: p.stat().st_size)
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 16
+    file.write_bytes(bytes(data))
+    for crc in Path(out).glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="damaged"):
+        tokenfiles.documents(spark, out).collect()
+
+
 def test_awkward_rows_in_small_segments(spark):
     rows = awkward(spark)
-    got = tokenfiles.round_trip(rows, tokenizer(WORDS), size=100).collect()
+    got = tokenfiles.round_trip(rows, tokenizer(WORDS), size=100, block=64).collect()
     want = plain(rows.collect())
     whole = lambda rows: sorted((-1 if x[0] is None else x[0], *x[1:]) for x in rows)
     assert whole((*r,) for r in got)[2:] == whole(want)[2:]  # the two rows without doc_id may swap
     assert sorted(r.start for r in got)[:1] == [0] and len({r.start for r in got}) == len(want)
     assert tokenfiles.round_trip(empty(spark), tokenizer(WORDS)).count() == 0
+
+
+def test_plain_texts_are_encoded_in_the_jvm_as_the_library_does(spark, sf):
+    jvm.register(spark)
+    name = jvm.words(spark, bpe.model(open(tokenizer(WORDS), "rb").read(), bpe.RankBpe))
+    lib = Tokenizer.from_file(tokenizer(WORDS))
+    rng = np.random.default_rng(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCXYZ", *"0123456789", *"    \t\n\r", *"'''.,;:!?()-_<>|#*$%&@", *"äöüßéèêçñÄÖÜÉ", *"’“…½²αΩЖ中İ́가\U0001f600\x1c\x85\xa0 Å"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(3000)]
+    texts += ["it's we're I'LL they've'd can't''s 'tis x'' 'S", "<|endoftext|> a", "a<|b", "x" * 990, "y" * 5000, "", "naïve café ÀÉÎ"]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.ids for r in df.select("k", F.expr(f"threadloom_words(cast(t AS binary), '{name}')").alias("ids")).collect()}
+    done = 0
+    for k, t in enumerate(texts):
+        if got[k] is not None:
+            done += 1
+            assert np.frombuffer(bytes(got[k]), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert done > 300 and all(got[3000 + k] is not None for k in (0, 3, 5, 6)) and got[3001] is None and got[3004] is None

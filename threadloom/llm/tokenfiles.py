@@ -1,291 +1,107 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Per block, three orders predict the next id. Order 2 and order 1 each name one id, the one last seen after the previous two
-ids and after the previous one, with a confidence; how often predictions of that confidence come true is learned, and the
-two chances are mixed into one split of the coder's range: order 2's id, order 1's id, anything else. Anything else is coded
-by order 0, adaptive frequencies of classes of 256 neighbouring ids, uniform inside a class. Everything is integer
-arithmetic, and a block starts from the same state as any other, so each can be decoded, and checked, alone.
-
-Since blocks don't depend on each other, all blocks of a segment are coded side by side as the lanes of numpy arrays.
-A segment holds whole documents: a header, the directory of its documents, lengths and CRC-32s of the blocks, the blocks.
+Every id is coded as binary decisions; for each decision the order-0, order-1 and order-2 predictions are mixed in the
+logistic domain with weights that learn, and the mixed chance drives the range coder. A block starts from the same state as
+any other, so each can be decoded, and checked, alone. The coder itself is scalar and sequential, which neither columns nor
+numpy can hide, so it is a Java function (``MixingCoder.java``, see :mod:`.jvm`), as is the plain merge loop that most texts
+are encoded with (``WordBpe.java``).
+
+A file holds segments of whole documents, each a header, the directory of its documents and the coded ids::
+
+    "TLS1" | file, seg, n_docs, n_ids, size of the directory (5 x u32) | directory (zlib: doc_id steps i64, lengths u64,
+    flags u8 that are 0 for a null doc_id) | u32 CRC-32 of all so far | u64 big-endian size | coded ids | newline
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import ship, written
-
-END, BLOCK = 2, 2048
-#: Ids after which a segment is closed (a bound of memory).
-SEGMENT = 1 << 22
-_MAGIC, _HEAD = b"TLRC", struct.Struct("<4sBBHIIQI")
-_T2, _T1, _SIDE, _SHIFT = 9, 8, 16, 8
-_CLASSES, _SUM = _SIDE * _SIDE, 1 << 14
-_SCALE = 16 + 14 + _SHIFT
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 42)
-_REFRESH = {16, 48, 112, 240, 496, 752, 1008, 1264, 1520, 1776}
-#: Chance, of 65536, that a prediction of each confidence is right, before anything is learned; and order 0's first counts.
-_START = np.array([600, 6000, 16000, 26000, 36000, 44000, 50000, 54000], np.int32)
-_FIRST = (4096 // (np.arange(_CLASSES) + 3)).astype(np.int64) + 1
-
-
-class _Mixer:
-    """The predictors of all lanes. ``predict`` splits the range, ``learn`` takes the ids that came."""
-
-    def __init__(self, lanes: int):
-        n = np.arange(lanes)
-        self.of2, self.of1, self.of8, self.of0 = n << _T2, n << _T1, n * 8, n * _CLASSES
-        self.t2, self.t1 = np.zeros(lanes << _T2, np.int32), np.zeros(lanes << _T1, np.int32)
-        self.p2, self.p1 = np.tile(_START, lanes), np.tile(_START, lanes)
-        self.a, self.b = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.counts = np.tile(_FIRST, (lanes, 1)).astype(np.int32)
-        self.flat = self.counts.reshape(-1)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Order 0's frequencies from its counts: at least 1 each, _SUM in all, packed as start and size."""
-        total = self.counts.sum(axis=1, keepdims=True, dtype=np.int64)
-        f = (self.counts * (_SUM - _CLASSES) // total).astype(np.int32) + 1
-        f[:, 0] += _SUM - f.sum(axis=1, dtype=np.int32)
-        ends = np.cumsum(f, axis=1, dtype=np.int32)
-        self.part = ((ends - f) << 16 | f).ravel()
-        self.groups = np.ascontiguousarray(ends[:, _SIDE - 1 :: _SIDE]).astype(np.int16)
-        self.ends = ends.reshape(-1, _SIDE).astype(np.int16)
-
-    def predict(self, n: int):
-        a, b = self.a[:n], self.b[:n]
-        self.i2 = self.of2[:n] + (((a * 12347 + b * 10007) >> 3) & ((1 << _T2) - 1))
-        self.i1 = self.of1[:n] + (((a * 12347) >> 4) & ((1 << _T1) - 1))
-        e2, e1 = self.t2[self.i2], self.t1[self.i1]
-        self.id2, self.id1, self.c2, self.c1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
-        self.j2, self.j1 = self.of8[:n] + self.c2, self.of8[:n] + self.c1
-        self.q2, self.q1 = self.p2[self.j2], self.p1[self.j1]
-        rest = ((65536 - self.q2) >> 1) * (self.q1 >> 1) >> 14
-        same = self.id2 == self.id1
-        return self.q2 + rest * same, rest * ~same
-
-    def learn(self, ids: np.ndarray, n: int) -> None:
-        fresh = (ids << 3) | 1
-        for t, p, i, j, known, c, q in ((self.t2, self.p2, self.i2, self.j2, self.id2, self.c2, self.q2), (self.t1, self.p1, self.i1, self.j1, self.id1, self.c1, self.q1)):
-            hit = known == ids
-            kept = (known << 3) | np.where(hit, np.minimum(c + 1, 7), c >> 1)
-            t[i] = np.where(hit | (c > 1), kept, fresh)
-            p[j] = q + ((hit * 63800 + 200 - q) >> 4)
-        self.flat[self.of0[:n] + (ids >> _SHIFT)] += 32
-        self.b[:n] = self.a[:n]
-        self.a[:n] = ids
-
-
-class _Coder:
-    """Carry-less range coding of all lanes: 64-bit registers, 16-bit words, a scale of 2^38 for each id."""
-
-    def __init__(self, lanes: int):
-        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def narrow(self, n: int, r: np.ndarray, start: np.ndarray, size: np.ndarray, shift) -> None:
-        """Take the part [start, start + size) of the first n lanes; ``shift(n, lanes, need)`` moves a word where needed.
-
-        Words move while the leading 16 bits are settled, or the range is short and is cut at the next border.
-        """
-        low, rng = self.low[:n], self.rng[:n]
-        low += r * start
-        np.multiply(r, size, out=rng)
-        settled = (low ^ (low + rng)) < _TOP
-        need = settled | (rng < _LOW)
-        cut = need & ~settled
-        if cut.any():
-            rng[cut] = (np.uint64(0) - low[cut]) & (_LOW - np.uint64(1))
-        shift(slice(0, n), need)
-        by = need.astype(np.uint64) << np.uint64(4)
-        np.left_shift(low, by, out=low)
-        np.left_shift(rng, by, out=rng)
-        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _LOW))
-        while len(todo):
-            lo, r = low[todo], rng[todo]
-            r = np.where((lo ^ (lo + r)) < _TOP, r, (np.uint64(0) - lo) & (_LOW - np.uint64(1)))
-            shift(todo, True)
-            lo, r = lo << np.uint64(16), r << np.uint64(16)
-            low[todo], rng[todo] = lo, r
-            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _LOW)]
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of ``ids``, each of ``block`` ids but the last."""
-    lanes = -(-len(ids) // block)
-    if not lanes:
-        return []
-    last = len(ids) - (lanes - 1) * block
-    padded = np.zeros(lanes * block, np.int32)
-    padded[: len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    m, c = _Mixer(lanes), _Coder(lanes)
-    width = 3 * block + 8
-    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes)  # word by word over lanes, which advance alike
-
-    def shift(who, need):
-        out[pos[who]] = c.low[who] >> np.uint64(48)  # where it isn't needed, the next word overwrites it
-        pos[who] += need * np.int64(lanes)
-
-    for t in range(block):
-        n = lanes if t < last else lanes - 1
-        if not n:
-            break
-        if t in _REFRESH:
-            m.refresh()
-        x = steps[t, :n]
-        f2, f1 = m.predict(n)
-        two, one = m.id2 == x, m.id1 == x
-        rest = 65536 - f2 - f1
-        at = m.of0[:n] + (x >> _SHIFT)
-        part = m.part[at]
-        size = part & 0xFFFF
-        first = ((part >> 16) << _SHIFT) + size * (x & ((1 << _SHIFT) - 1))
-        hit = two | one
-        start = np.where(two, 0, np.where(one, f2, f2 + f1)).astype(np.uint64) << np.uint64(_SCALE - 16)
-        start += np.where(hit, 0, rest.astype(np.int64) * first).astype(np.uint64)
-        part = np.where(hit, np.where(two, f2, f1).astype(np.int64) << (_SCALE - 16), rest.astype(np.int64) * size).astype(np.uint64)
-        c.narrow(n, c.rng[:n] >> np.uint64(_SCALE), start, part, shift)
-        m.learn(x, n)
-    for _ in range(4):
-        out[pos] = c.low >> np.uint64(48)
-        c.low <<= np.uint64(16)
-        pos += lanes
-    out = np.ascontiguousarray(out.reshape(width, lanes).T)
-    return [out[k, : p // lanes].astype("<u2").tobytes() for k, p in enumerate(pos.tolist())]
-
-
-def decode(blocks: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of coded blocks that hold ``total`` ids together."""
-    lanes = len(blocks)
-    if not lanes:
-        return np.zeros(0, np.int64)
-    last = total - (lanes - 1) * block
-    width = max(len(x) for x in blocks) // 2 + 4
-    words = np.zeros((lanes, width), np.uint16)
-    for k, x in enumerate(blocks):
-        words[k, : len(x) // 2] = np.frombuffer(x, "<u2")
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << np.uint64(16)) | words[:, k]
-    words, pos = np.ascontiguousarray(words.T).ravel(), np.arange(lanes) + 4 * lanes
-    m, c = _Mixer(lanes), _Coder(lanes)
-    steps = np.zeros((block, lanes), np.int32)
-
-    def shift(who, need):
-        by = np.uint64(16) if need is True else need.astype(np.uint64) << np.uint64(4)
-        word = words[pos[who]] if need is True else words[pos[who]] * need
-        code[who] = (code[who] << by) | word
-        pos[who] += need * np.int64(lanes)
-
-    for t in range(block):
-        n = lanes if t < last else lanes - 1
-        if not n:
-            break
-        if t in _REFRESH:
-            m.refresh()
-        f2, f1 = m.predict(n)
-        r = c.rng[:n] >> np.uint64(_SCALE)
-        v = np.minimum((code[:n] - c.low[:n]) // r, np.uint64((1 << _SCALE) - 1)).astype(np.int64)
-        top = (v >> (_SCALE - 16)).astype(np.int32)
-        both = f2 + f1
-        two, hit = top < f2, top < both
-        x = np.where(two, m.id2, m.id1)
-        start = np.where(two, 0, f2).astype(np.int64) << (_SCALE - 16)
-        part = np.where(two, f2, f1).astype(np.int64) << (_SCALE - 16)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            rest, base = (65536 - both[miss]).astype(np.int64), both[miss].astype(np.int64) << (_SCALE - 16)
-            w = (v[miss] - base) // rest
-            k = (w >> _SHIFT).astype(np.int16)
-            g = (m.groups[miss] <= k[:, None]).sum(axis=1)
-            g = g * _SIDE + (m.ends[miss * _SIDE + g] <= k[:, None]).sum(axis=1)
-            at = m.of0[miss] + g
-            packed = m.part[at].astype(np.int64)
-            first, size = (packed >> 16) << _SHIFT, packed & 0xFFFF
-            inside = (w - first) // size
-            x[miss] = (g << _SHIFT) + inside
-            start[miss] = base + rest * (first + size * inside)
-            part[miss] = rest * size
-        c.narrow(n, r, start.astype(np.uint64), part.astype(np.uint64), shift)
-        steps[t, :n] = x
-        m.learn(x, n)
-    return steps.T.ravel()[:total].astype(np.int64)
-
-
-def _raw(ids: np.ndarray) -> bytes:
-    return ids.astype("<u4").tobytes()
-
-
-def segment(doc_ids: list, lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One segment of whole documents; ``doc_ids`` may hold nulls."""
-    if len(ids) and int(ids.max()) >= _CLASSES << _SHIFT:
-        raise ValueError("ids above 65535 need a wider format")
+from . import bpe, jvm
+from .shared import claim, shared_dir, ship
+
+#: The id after each document, and the ids of a block.
+END, BLOCK = 2, 1 << 17
+#: Ids after which a segment is closed (a bound of memory), and segments of a file.
+SEGMENT, FILE_SEGMENTS = 1 << 20, 32
+_MAGIC, _HEAD = b"TLS1", struct.Struct("<4s5I")
+
+
+def directory(file: int, seg: int, doc_ids: list, lengths: list[int]) -> bytes:
+    """Header and directory of a segment, checksummed; ``doc_ids`` may hold nulls."""
     known = np.array([i is not None for i in doc_ids], np.uint8)
     names = np.array([0 if i is None else i for i in doc_ids], "<i8")
     listing = zlib.compress(np.diff(names, prepend=0).astype("<i8").tobytes() + np.array(lengths, "<u8").tobytes() + known.tobytes(), 1)
-    blocks = encode(ids, block)
-    sizes = np.array([len(x) for x in blocks], "<u4").tobytes()
-    sums = np.array([zlib.crc32(_raw(ids[k : k + block])) for k in range(0, len(ids), block)], "<u4").tobytes()
-    head = _HEAD.pack(_MAGIC, 1, 0, block, len(doc_ids), len(blocks), len(ids), len(listing))
-    body = head + listing + sizes + sums
-    return body + struct.pack("<I", zlib.crc32(body)) + b"".join(blocks)
-
-
-def read_segment(data: bytes) -> tuple[list, list[int], np.ndarray]:
-    """The documents of a segment; ValueError says which part of it is damaged."""
-    magic, version, _, block, n_docs, n_blocks, n_ids, n_list = _HEAD.unpack_from(data)
-    if magic != _MAGIC or version != 1:
-        raise ValueError("not a segment of token ids")
-    at = _HEAD.size + n_list
-    stop = at + 8 * n_blocks
-    if zlib.crc32(data[:stop]) != struct.unpack_from("<I", data, stop)[0]:
+    body = _HEAD.pack(_MAGIC, file, seg, len(doc_ids), sum(lengths), len(listing)) + listing
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def read_directory(data: bytes) -> tuple[list, list[int]]:
+    """doc_ids and lengths; ValueError where it is damaged."""
+    _, _, _, n, _, _ = _HEAD.unpack_from(data)
+    if zlib.crc32(data[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
         raise ValueError("the segment's header or directory is damaged")
-    listing = zlib.decompress(data[_HEAD.size : at])
-    names = np.cumsum(np.frombuffer(listing, "<i8", n_docs))
-    lengths = np.frombuffer(listing, "<u8", n_docs, 8 * n_docs).tolist()
-    known = np.frombuffer(listing, np.uint8, n_docs, 16 * n_docs)
-    sizes, sums = np.frombuffer(data, "<u4", n_blocks, at), np.frombuffer(data, "<u4", n_blocks, at + 4 * n_blocks)
-    ends = stop + 4 + np.cumsum(sizes, dtype=np.int64)
-    ids = decode([data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], n_ids, block)
-    for k in range(n_blocks):
-        if zlib.crc32(_raw(ids[k * block : (k + 1) * block])) != sums[k]:
-            raise ValueError(f"block {k} is damaged")
-    return [int(i) if ok else None for i, ok in zip(names, known, strict=True)], lengths, ids
-
-
-def segments(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT) -> DataFrame:
-    """``file, seg, n_docs, n_ids, data``: all documents in ascending doc_id order, file by file and segment by segment.
-
-    A null text counts as empty (the end id alone); rows without doc_id come first; rows of equal doc_id keep any order.
+    listing = zlib.decompress(data[_HEAD.size : -4])
+    names, known = np.cumsum(np.frombuffer(listing, "<i8", n)), np.frombuffer(listing, np.uint8, n, 16 * n)
+    return [int(i) if ok else None for i, ok in zip(names, known, strict=True)], np.frombuffer(listing, "<u8", n, 8 * n).tolist()
+
+
+def split(data) -> list[tuple[int, int, int, bytes, bytes]]:
+    """file, seg, n_ids, directory and coded ids of every segment of a file."""
+    out, at = [], 0
+    while at < len(data):
+        magic, file, seg, _, n_ids, listing = _HEAD.unpack_from(data, at)
+        if magic != _MAGIC:
+            raise ValueError("not a file of token ids")
+        stop = at + _HEAD.size + listing + 4
+        end = stop + 8 + int.from_bytes(data[stop : stop + 8], "big")
+        if end >= len(data) or data[end] != 10:
+            raise ValueError("a segment is cut short")
+        out.append((file, seg, n_ids, bytes(data[at:stop]), bytes(data[stop + 8 : end])))
+        at = end + 1
+    return out
+
+
+def segments(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT, block: int = BLOCK) -> DataFrame:
+    """``data binary``, a segment a row: all documents in ascending doc_id order, file by file and segment by segment.
+
+    ``path``: the tokenizer file. A null text counts as empty (the end id alone); rows without doc_id come first; rows of
+    equal doc_id keep any order and may lie in several files; other columns are ignored, whatever their names; an empty
+    table gives no segment.
     """
     spark = docs.sparkSession
     ship(spark)
+    jvm.register(spark)
     spec = bpe.load(spark, path)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    words = bpe.model(spec.value, bpe.RankBpe)
+    width = 4 if words.wide else 2
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id")  # the place parts the rows of a hot doc_id
+    known = jvm.words(spark, words)
+    rows = rows.withColumn("ids", F.expr(f"threadloom_words(cast(text AS binary), '{known}')") if known else F.lit(None).cast("binary"))
+    rows = rows.select("doc_id", F.when(F.col("ids").isNull(), F.col("text")).alias("text"), "ids")
 
     def run(batches):
-        encoder = bpe.model(spec.value, bpe.RankBpe)
-        kind = "<u4" if encoder.wide else "<u2"
-        stop = end.to_bytes(4 if encoder.wide else 2, "little")
-        file, seg, names, lengths, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        stop = end.to_bytes(width, "little")
+        file, seg, names, lengths, parts, held, encoder = TaskContext.get().partitionId(), 0, [], [], [], 0, None
 
         def close():
-            data = segment(names, lengths, np.frombuffer(b"".join(parts), kind).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["file", "seg", "n_docs", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([directory(file, seg, names, lengths)], pa.binary()), pa.array([b"".join(parts)], pa.binary())], ["directory", "ids"])
 
         for b in batches:
-            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-                raw = encoder.ids_bytes(t.as_py() or "") + stop
+            for i, t, known in zip(b.column("doc_id"), b.column("text"), b.column("ids"), strict=True):
+                if known.is_valid:
+                    raw = known.as_py() + stop
+                else:
+                    encoder = encoder or bpe.model(spec.value, bpe.RankBpe)
+                    raw = encoder.ids_bytes(t.as_py()) + stop
                 names.append(i.as_py())
                 lengths.append(len(raw) // len(stop))
                 parts.append(raw)
@@ -296,31 +112,66 @@ def segments(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
         if names:
             yield close()
 
-    return rows.mapInArrow(run, "file int, seg int, n_docs long, n_ids long, data binary")
+    made = rows.mapInArrow(run, "directory binary, ids binary")
+    made = made.select("directory", F.expr(f"threadloom_encode{width}(ids, {int(block)})").alias("coded"))
+    return made.select(F.concat("directory", F.unhex(F.lpad(F.hex(F.octet_length("coded")), 16, "0")), "coded").alias("data"))
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """What the segments hold: ``doc_id, start, n_tokens, ids_crc32`` of every document, decoded and checked."""
-    ship(files.sparkSession)
+def write(docs: DataFrame, path: str, out: str, **names) -> None:
+    """Write :func:`segments` as files under ``out``, through Spark's own writer (any store that Spark reaches)."""
+    made = segments(docs, path, **names).select(F.col("data").cast("string").alias("value"))  # bytes as they are; a line is a segment
+    made.write.mode("append").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).text(out)
 
-    def run(batches):
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files under ``path``, decoded and checked.
+
+    ``start``: ids of all documents before it, in the files' order. A damaged directory, block or index raises. A folder
+    without segments gives an empty result.
+    """
+    ship(spark)
+    jvm.register(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+
+    def sizes(batches):
+        for b in batches:
+            for data in b.column("content"):
+                found = split(memoryview(data.as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())], ["file", "seg", "n_ids"])
+
+    def parts(batches):
         for b in batches:
-            for f, s, data in zip(b.column("file"), b.column("seg"), b.column("data"), strict=True):
-                names, lengths, ids = read_segment(data.as_py())
-                raw, at, starts, sums = memoryview(_raw(ids)), 0, [], []
-                for n in lengths:
-                    starts.append(at)
-                    sums.append(zlib.crc32(raw[4 * at : 4 * (at + n)]))
-                    at += n
+            for data in b.column("content"):
+                for file, seg, _, listing, coded in split(memoryview(data.as_buffer())):
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([seg], pa.int32()), pa.array([listing], pa.binary()), pa.array([coded], pa.binary())], ["file", "seg", "directory", "coded"])
+
+    def cut(batches):
+        for b in batches:
+            for f, s, listing, raw in zip(b.column("file"), b.column("seg"), b.column("directory"), b.column("ids"), strict=True):
+                names, lengths = read_directory(listing.as_py())
+                width = len(raw.as_buffer()) // max(1, sum(lengths))
+                ids = memoryview(np.frombuffer(raw.as_buffer(), "<u4" if width == 4 else "<u2").astype("<u4")).cast("B")
+                stops = np.cumsum(np.array(lengths, np.int64))
+                starts = stops - lengths
+                sums = [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)]
                 k = len(names)
-                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()] * k, pa.int32()), pa.array([s.as_py()] * k, pa.int32()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["file", "seg", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()] * k, pa.int32()), pa.array([s.as_py()] * k, pa.int32()), pa.array(names, pa.int64()), pa.array(starts), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["file", "seg", "doc_id", "local", "n_tokens", "ids_crc32"])
 
+    counts = files.mapInArrow(sizes, "file int, seg int, n_ids long")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    of_file = files.groupBy("file").agg(F.sum("n_ids").alias("n_ids")).select("file", before(Window.orderBy("file")).alias("first"))
-    of_seg = files.select("file", "seg", before(Window.partitionBy("file").orderBy("seg")).alias("base")).join(of_file, "file")
-    return files.select("file", "seg", "data").mapInArrow(run, "file int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long").join(of_seg, ["file", "seg"]).select("doc_id", (F.col("first") + F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    of_file = counts.groupBy("file").agg(F.sum("n_ids").alias("n_ids")).select("file", before(Window.orderBy("file")).alias("first"))  # a row per file
+    of_seg = counts.select("file", "seg", before(Window.partitionBy("file").orderBy("seg")).alias("base")).join(of_file, "file")
+    held = files.mapInArrow(parts, "file int, seg int, directory binary, coded binary").select("file", "seg", "directory", F.expr("threadloom_decode(coded)").alias("ids"))
+    rows = held.mapInArrow(cut, "file int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return rows.join(of_seg, ["file", "seg"]).select("doc_id", (F.col("first") + F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, **names) -> DataFrame:
-    """Write every document's ids to segments in the shared folder and report what reading them back gives."""
-    return documents(written(segments(docs, path, **names), "segments"))
+    """Write every document's ids to files in the shared folder and report what reading them back gives.
+
+    Nulls, repeated rows, empty tables and other columns as in :func:`segments`.
+    """
+    spark = docs.sparkSession
+    out = claim(spark, f"{shared_dir(spark)}/threadloom/token-files-{uuid.uuid4().hex}")
+    write(docs, path, out, **names)
+    return documents(spark, out)
