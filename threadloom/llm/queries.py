@@ -50,9 +50,10 @@ def op8_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixity drill over all pages: the replica is damaged at the pages whose id's SHA-256 starts below 04."""
+    """A fixity drill over all pages: what befalls a page's record in the replica goes by the SHA-256 of its page_id."""
     pages = table(spark, sf_dir, "pages")
-    return fixity.drill(pages, F.sha2(F.col("page_id").cast("string"), 256) < "04")
+    h = F.sha2(F.col("page_id").cast("string"), 256)
+    return fixity.drill(pages, h < "02", (h >= "02") & (h < "04"), (h >= "04") & (h < "05"))
 
 
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,18 +74,22 @@ QUERIES = {
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
+_WARC = f"""'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || replace(replace(u, chr(13), ''), chr(10), '') || nl
+  || 'WARC-Date: {fixity.DATE}' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(n, 1, 8) || '-' || substr(n, 9, 4) || '-5' || substr(n, 14, 3) || '-8' || substr(n, 18, 3) || '-' || substr(n, 21, 12) || '>' || nl
+  || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(h) || nl || nl || h || nl || nl"""
+
 ORACLES: dict[str, str] = {
     "op9_merkle_fixity": f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, chr(13) || chr(10) AS nl FROM pages),
-q AS (SELECT *, sha256(u || h) AS n FROM p),
-r AS (SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || replace(replace(u, chr(13), ''), chr(10), '') || nl
-  || 'WARC-Date: {fixity.DATE}' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(n, 1, 8) || '-' || substr(n, 9, 4) || '-5' || substr(n, 14, 3) || '-8' || substr(n, 18, 3) || '-' || substr(n, 21, 12) || '>' || nl
-  || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(h) || nl || nl || h || nl || nl AS t FROM q),
-l AS (SELECT page_id, sha256(t) AS sha256, strlen(t) AS length FROM r),
-o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256, length) - 1 AS k FROM l),
-f AS (SELECT *, k // {fixity.FILE} AS file, k % {fixity.FILE} AS seq FROM o)
+q AS (SELECT *, sha256(coalesce(CAST(page_id AS VARCHAR), '') || u || h) AS n FROM p),
+l AS (SELECT page_id, sha256({_WARC}) AS sha256, strlen({_WARC}) AS length, strlen(h) AS body FROM q),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256) - 1 AS k FROM l),
+f AS (SELECT *, k // {fixity.FILE} AS file, k % {fixity.FILE} AS seq, sha256(CAST(page_id AS VARCHAR)) AS fate FROM o),
+s AS (SELECT 'http://stray.example/' || CAST(page_id AS VARCHAR) AS u, '' AS h, nl, sha256('http://stray.example/' || CAST(page_id AS VARCHAR)) AS n FROM p
+  WHERE sha256(CAST(page_id AS VARCHAR)) >= '04' AND sha256(CAST(page_id AS VARCHAR)) < '05')
 SELECT page_id, file, CAST(seq AS INTEGER) AS seq,
   CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  length, sha256, CASE WHEN sha256(CAST(page_id AS VARCHAR)) < '04' THEN 'altered' ELSE 'ok' END AS status
-FROM f""",
+  length, sha256, CASE WHEN fate < '02' AND body > 0 THEN 'altered' WHEN fate >= '02' AND fate < '04' THEN 'missing' ELSE 'ok' END AS status
+FROM f
+UNION ALL SELECT NULL, NULL, NULL, NULL, strlen({_WARC}), sha256({_WARC}), 'added' FROM s""",
 }
