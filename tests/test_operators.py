@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,24 +150,155 @@ def test_redaction_numbers_by_order_and_is_idempotent(spark):
     assert {(r.conv_id, r.kind): r.n for r in redaction.replacement_counts(once).collect()}[("c", "email")] == 3
 
 
+def _native(**more):
+    return {"type": "文本消息", "content": "x", "isSend": 1, "formattedTime": "2024-01-01 00:00:00", **more}
+
+
+def _canonical(**more):
+    people = [{"id": "p", "role": "me", "name": "P"}, {"id": "q", "role": "other", "name": "Q"}]
+    rows = [{"id": "1", "sender_id": "q", "time": "1970-01-01 08:00:01", "type": "image"}]
+    return {"schema": "some.conversation", "version": 1, "session": {"id": "s", "type": "private", "display_name": "Q"}, "participants": people, "messages": rows, **more}
+
+
+MD = "# t\n\n- 会话：`s`\n- 导出账号：me\\_1\n- 导出时间：2024-01-01 00:00:00\n\n---\n"
+BODY = "**me\\_1** · 2024-01-01 10:00:00\nhi \\*there\\*\nmore\n\n**you** · 2024-01-01 10:00:01 · 图片\n\n**you** · 2024-01-01 10:00:02 · 红包\nx\n**you** · 2024-01-01 10:00:03\n\n**x** · 2024-01-01 10:00:04 · 系统\nnote\n"
+
+
 def test_exports(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"session": {"type": "私聊"}, "messages": [{"type": "文本消息", "content": "x", "isSend": 1, "formattedTime": "2024-01-01 00:00:00", "createTime": 5}]}), encoding="utf-8-sig")
-    (tmp_path / "b.json").write_text(json.dumps({"schema": exports.SCHEMA, "version": 1, "session": {"id": "s", "type": "private"}, "participants": [{"id": "p", "role": "me"}, {"id": "q", "role": "other"}], "messages": [{"id": "1", "sender_id": "q", "time": "1970-01-01 08:00:01", "type": "image"}]}))
-    (tmp_path / "c.md").write_text("# t\n\n- 会话：`s`\n- 导出账号：me\\_1\n- 导出时间：2024-01-01 00:00:00\n\n---\n**me\\_1** · 2024-01-01 10:00:00\nhi \\*there\\*\nmore\n\n**you** · 2024-01-01 10:00:01 · 图片\n\n**you** · 2024-01-01 10:00:02 · 红包\nx\n")
-    (tmp_path / "d.json").write_text(json.dumps({"session": {}, "messages": [{"type": "文本消息", "content": "x", "isSend": True}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"session": {"type": "私聊"}, "messages": [_native(createTime=5)]}), encoding="utf-8-sig")
+    (tmp_path / "b.json").write_text(json.dumps(_canonical()))
+    (tmp_path / "c.md").write_text("\ufeff" + (MD + BODY).replace("\n", "\r\n"))
+    (tmp_path / "d.json").write_text(json.dumps({"session": {}, "messages": [_native(isSend=True)]}))
+    (tmp_path / "e.md").write_text("no transcript")
     got = {}
     for r in exports.read(spark, str(tmp_path)).orderBy("conv_id", "original_index").collect():
         got.setdefault(r.conv_id, []).append(r)
     assert (got["a"][0].create_time, got["a"][0].is_send) == ("5", 1)
     assert (got["b"][0].create_time, got["b"][0].content, got["b"][0].type) == ("1", "[图片消息]", "图片消息")
-    assert [r.content for r in got["c"]] == ["hi *there*\nmore", "[图片消息]", "[原导出类型：红包；仅保留发生记录，附件内容未解析]"] and [r.is_send for r in got["c"]] == [1, 0, 0]
-    assert got["d"][0].error.startswith("ValueError")
+    assert [r.content for r in got["c"]] == ["hi *there*\nmore", "[图片消息]", "[原导出类型：红包；仅保留发生记录，附件内容未解析]", "[原导出类型：文本；仅保留发生记录，导出正文为空]", "note"]
+    assert [r.is_send for r in got["c"]] == [1, 0, 0, 0, 0] and [r.type for r in got["c"]] == ["文本消息", "图片消息", "文件消息", "文件消息", "系统消息"]
+    assert [r.original_index for r in got["c"]] == [0, 1, 2, 3, 4] and got["c"][0].create_time == "1704074400"
+    assert "isSend" in got["d"][0].error and got["d"][0].content is None and "head" in got["e"][0].error
     assert [r.conv_id for r in exports.read(spark, str(tmp_path), names=["A", "B"], limit=1).collect()] == ["a"]
     exports.publish(spark.range(3).toDF("x"), str(tmp_path / "pub"), "t", "r1")
     exports.publish(spark.range(5).toDF("x"), str(tmp_path / "pub"), "t", "r2")
     assert exports.current(spark, str(tmp_path / "pub"), "t").count() == 5
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"messages": []}, {"messages": [_native(formattedTime=None)]}, {"messages": [_native(type="text")]}, {"messages": [_native(content=5)]}, {"isGroup": True}, {"session": {"isGroupChat": True}},
+        {"session": {"type": "chatroom"}}, {"session": {"id": "x@chatroom"}}, {"session": {"participants": [1, 2, 3]}}, {"session": {"displayName": " "}}, {"session": []},
+        {"messages": [_native(senderId=1), _native(senderId="2")]}, {"messages": [_native(senderUin=1.5)]},
+    ],
+)
+def test_native_exports_that_break_a_rule(change):
+    with pytest.raises(ValueError):
+        exports.parse_json(json.dumps({"messages": [_native()], **change}).encode())
+
+
+def test_native_exports_that_keep_the_rules():
+    rows = [_native(senderId=1, sender_id="a"), _native(senderId="1", isSend=0, content=None), _native(type="系统消息", senderId="zz")]
+    assert len(exports.parse_json(json.dumps({"session": {"type": "anything"}, "messages": rows}).encode())) == 3
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"schema": "other"}, {"version": True}, {"session": {"id": "s", "type": "group", "display_name": "Q"}}, {"session": {"id": "s", "type": "private"}}, {"participants": [{"id": "p", "role": "me", "name": "P"}]},
+        {"participants": [{"id": "p", "role": "me", "name": "P"}, {"id": "q", "role": "me", "name": "Q"}]}, {"isGroup": True}, {"messages": []},
+        *[{"messages": [{"id": "1", "sender_id": "q", "time": "1970-01-01 08:00:01", "type": "text", "content": "x", **m}]} for m in ({"content": " "}, {"type": "note"}, {"sender_id": None}, {"type": "system", "sender_id": "zz"}, {"time": "1970-1-1 8:0:1"}, {"content": 4}, {"id": ""})],
+    ],
+)
+def test_canonical_exports_that_break_a_rule(change):
+    with pytest.raises(ValueError):
+        exports.parse_json(json.dumps(_canonical(**change)).encode())
+
+
+def test_transcripts_that_break_a_rule(spark):
+    bad = [MD.replace("- 会话：`s`\n", "") + BODY, MD.replace("- 会话", "- 会话：y\n- 会话") + BODY, MD.replace("`s`", "s@chatroom") + BODY, MD.replace("2024-01-01 00:00:00", "2024-1-1 0:0:0") + BODY, MD, MD + "text\n" + BODY, MD + BODY.replace("**you** ·", "**you** · later"), MD + BODY.replace("you", "me\\_1"), MD + BODY.replace("me\\_1", "him"), MD + BODY.replace("10:00:03", "10:00:63")]
+    rows = exports.transcripts(spark.createDataFrame([(str(k), t) for k, t in enumerate([*bad, MD + BODY])], "conv_id string, text string")).collect()
+    assert sorted(r.conv_id for r in rows if r.error) == sorted(map(str, range(len(bad)))) and sum(r.error is None for r in rows) == 5
+
+
+def test_terms_are_read_whole(spark, tmp_path):
+    (tmp_path / "t.json").write_text("[\n" + ",\n" * 0 + "\n" * 20_000 + '"b", "a", " a "]')
+    (tmp_path / "t.txt").write_text("b\na\n")
+    assert exports.read_terms(spark, str(tmp_path / "t.json")) == exports.read_terms(spark, str(tmp_path / "t.txt")) == ["a", "b"]
+    (tmp_path / "many.txt").write_text("\n".join(f"t{k}" for k in range(10_001)))
+    with pytest.raises(ValueError):
+        exports.read_terms(spark, str(tmp_path / "many.txt"))
+
+
+def test_a_plan_of_too_many_queries_raises(spark):
+    rows = spark.createDataFrame([("c", 1, "q1 q128 q129 x"), ("c", 2, None)], "conv_id string, position int, content string")
+    plan = lambda n: spark.createDataFrame([("a", "support", f"q{k}") for k in range(1, n + 1)], "question string, direction string, query string")
+    assert {r.query for r in retrieval.proposition_hits(plan(128), rows).collect()} == {"q1", "q12", "q128"}
+    with pytest.raises(ValueError, match="128"):
+        retrieval.proposition_hits(plan(129), rows)
+
+
+KINDS = [  # a plain restatement of what each kind of match looks like, tried at every place in order of priority
+    ("placed", r"\[(?:手机号|邮箱|证件|银行卡|链接|账号|自定义)\d+\]|\[参与者\]"), *redaction.PATTERNS.items(),
+]
+
+
+def plain_redaction(rows, known, terms):
+    """rows: (conv, index, text); every conversation by a plain loop over its texts, matches and numbers."""
+    numbers, out = {}, {}
+    for conv, index, text in sorted(rows, key=lambda r: r[:2]):
+        kinds = [*KINDS, *[("known", re.escape(w)) for w in sorted(known.get(conv, {}), key=lambda w: (-len(w), w))], *[("custom", re.escape(w)) for w in sorted(terms, key=lambda w: (-len(w), w))]]
+        at, done = 0, ""
+        while at < len(text):
+            for kind, pattern in kinds:
+                m = re.compile(pattern).match(text, at)
+                if m and m.end() > at:
+                    break
+            else:
+                done, at = done + text[at], at + 1
+                continue
+            value, at = m.group(), m.end()
+            if kind in ("placed", "technical"):
+                done += value
+            elif kind == "known":
+                done += known[conv][value]
+            else:
+                key = re.sub("[ -]", "", value) if kind in ("phone", "card") else value
+                digits = re.sub(r"\D", "", key)
+                if kind == "phone" and len(digits) == 13 and key.lstrip("+").startswith("86"):
+                    key = digits[2:]
+                mine = numbers.setdefault((conv, kind), {})
+                done += f"[{redaction.LABELS[kind]}{mine.setdefault(key, len(mine) + 1)}]"
+        out[conv, index] = done
+    return out
+
+
+def test_redaction_equals_a_plain_loop(spark):
+    rng = random.Random(6)
+    parts = ["a@b.com", "A.b@c.org", "+86 138 0013 8000", "13800138000", "138-0013-8000", "6222 0202 0000 1111 222", "11010119900307123X", "wxid_abc12", "QQ：123456", "https://x.y/z?a=1", "www.q.r，", "Bob", "Bobby", "term", "[邮箱1]", "[参与者]", "M_" + "a" * 32, "high|medium|low", "中文", " ", ", ", "0571-1234567", "٣٤", "x", "\n", "E.Q\\E"]
+    rows = [(f"c{k % 3}", k, "".join(rng.choice(parts) + rng.choice(["", " ", "。"]) for _ in range(rng.randrange(9)))) for k in range(300)]
+    known = {"c0": {"Bob": "对方", "Bobby": "我"}, "c1": {"E.Q\\E": "[参与者]"}}
+    alias = spark.createDataFrame([(c, v, a) for c, of in known.items() for v, a in of.items()], "conv_id string, value string, alias string")
+    got = redaction.redact(spark.createDataFrame(rows, "conv_id string, original_index int, content string"), alias, ["term", "中文"])
+    assert {(r.conv_id, r.original_index): r.content for r in got.collect()} == plain_redaction(rows, known, ["term", "中文"])
+
+
+def test_byte_limits_cut_between_characters():
+    rng = random.Random(8)
+    for _ in range(500):
+        t = "".join(rng.choice("aé中\U0001f600\n") for _ in range(rng.randrange(60)))
+        most = rng.randrange(1, 90)
+        got = tx.limited(t, most, "[..]")
+        raw = t.encode()
+        if len(raw) <= most:
+            assert got == t
+        elif most <= 4:
+            assert got == "[..]"[:most]
+        else:
+            assert got == raw[: (most - 4) // 2].decode(errors="ignore") + "[..]" + raw[len(raw) - (most - 4 - (most - 4) // 2) :].decode(errors="ignore")
+
+
 def test_scores_golden(spark):
     rows = spark.createDataFrame([("1", "p", "a", 2, 0), ("1", "p", "b", 0, 0), ("1", "p", "c", 1, None)], "case_id string, profile string, dim string, gold int, pred int")
     r = scoring.scores(rows).first()

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: Fixed values: (dates, sessions, days) that a scope needs.
 REPEATED, LONG_TERM = (2, 2, 0), (3, 3, 30)
-KEYS = ("section", "text", "kind", "subject", "scope", "confidence", "supporting_evidence", "counter_evidence", "limiting_evidence", "counter_review", "context_review", "uncertainty", "actions", "time_links")
+#: What the enumerated fields of a claim may be, and its prose.
+ENUMS = {"kind": ("fact", "inference", "hypothesis", "uncertain"), "scope": ("local", "repeated", "long_term"), "confidence": ("high", "medium", "low"), "subject": ("peer", "interaction", "user"), "counter_review": ("found", "not_found_in_selected", "not_assessed")}
+PROSE = ("text", "context_review", "uncertainty")
 
 
 def coverage(refs: DataFrame) -> DataFrame:
@@ -78,12 +82,80 @@ def verdicts(reviews: DataFrame) -> DataFrame:
 
 
 def revised(claims: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Whole rows replaced for the claims that were revised; a revision of anything else is an error."""
-    extra = revisions.join(claims.select("claim_id"), "claim_id", "left_anti")
-    rest = claims.join(revisions.select("claim_id"), "claim_id", "left_anti")
-    guard = extra.select(F.raise_error(F.concat(F.lit("no such claim: "), F.col("claim_id").cast("string"))).cast("boolean").alias("x"))
-    checked = rest.unionByName(revisions.select(*claims.columns))
-    return checked.join(guard, F.lit(False), "left").drop("x") if extra.isEmpty() else checked.join(guard)
+    """Whole rows replaced for the claims that were revised; a revision of anything else raises when its row is read."""
+    new = revisions.join(claims.select(F.col("claim_id").alias("_known")).distinct(), F.col("claim_id") == F.col("_known"), "left")
+    stop = F.raise_error(F.concat(F.lit("no such claim: "), F.col("claim_id").cast("string")))
+    new = new.withColumn("claim_id", F.when(F.col("_known").isNotNull(), F.col("claim_id")).otherwise(stop.cast(revisions.schema["claim_id"].dataType)))
+    return claims.join(revisions.select("claim_id"), "claim_id", "left_anti").unionByName(new.select(*claims.columns))
+
+
+def shape_violations(claims: DataFrame, sections: int) -> DataFrame:
+    """``claim_id, field``: enumerations, sections and prose that break a claim's shape."""
+    rules = [F.when(F.coalesce(~F.col(f).isin(*values), F.lit(True)), f) for f, values in ENUMS.items()]
+    rules += [F.when(tx.unfit_prose(F.col(f)), f) for f in PROSE]
+    rules.append(F.when(F.coalesce(~F.col("section").between(1, sections), F.lit(True)), "section"))
+    return claims.select("claim_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("field"))
+
+
+def gate_violations(claims: DataFrame, refs: DataFrame, context: DataFrame) -> DataFrame:
+    """``claim_id, violation``: rules between a claim's fields and its references (claim_id, role, evidence_id, sender).
+
+    ``context``: the evidence ids that have their whole context. An inference, or a claim beyond its place, may cite only
+    those; what is said of the peer needs the peer's own words, and the counter-evidence must agree with its review.
+    """
+    known = refs.join(context.select("evidence_id").distinct().withColumn("_in", F.lit(True)), "evidence_id", "left")
+    of = known.groupBy("claim_id").agg(
+        F.count_if(F.col("role") == "support").alias("support"), F.count_if(F.col("role") == "counter").alias("counter"),
+        F.count_if(F.col("_in").isNull()).alias("outside"), F.count_if((F.col("role") == "support") & (F.col("sender") == "other")).alias("peer"),
+    )
+    both = claims.join(of, "claim_id", "left").fillna(0, ["support", "counter", "outside", "peer"])
+    unsure = F.col("kind") == "uncertain"
+    rules = [
+        F.when(~unsure & (F.col("support") == 0), "no_support"), F.when(unsure & ((F.col("confidence") != "low") | (F.col("scope") != "local")), "uncertain"),
+        F.when(((F.col("counter") > 0) != (F.col("counter_review") == "found")) | (~unsure & (F.col("counter_review") == "not_assessed")), "counter_review"),
+        F.when(~unsure & ((F.col("kind") != "fact") | (F.col("scope") != "local")) & (F.col("outside") > 0), "context"),
+        F.when((F.col("subject") == "peer") & ~unsure & (F.col("peer") == 0), "peer_words"),
+    ]
+    return both.select("claim_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("violation"))
+
+
+def alias_map(messages: DataFrame, refs: DataFrame) -> DataFrame:
+    """References (claim_id, ref) with ``id``: ``P_n`` stands for the message at position n; any other stays what it is."""
+    known = messages.select(F.concat(F.lit("P_"), F.col("position").cast("string")).alias("ref"), F.col("message_id").alias("_id"))
+    return refs.join(known, "ref", "left").select("claim_id", "ref", F.coalesce("_id", "ref").alias("id"))
+
+
+def identified(claims: DataFrame, source_id: str, report: str, body: tuple[str, ...]) -> DataFrame:
+    """Claims with ``claim_key`` (``C_`` and 32 digits over source, report and body) and whether it is a ``duplicate``.
+
+    Of equal claims the one with the smallest claim_id is no duplicate.
+    """
+    text = F.to_json(F.struct(F.lit(source_id).alias("source"), F.lit(report).alias("report"), *body), {"ignoreNullFields": "false"})
+    keyed = claims.withColumn("claim_key", F.concat(F.lit("C_"), F.substring(F.sha2(text, 256), 1, 32)))
+    return keyed.withColumn("duplicate", F.row_number().over(Window.partitionBy("claim_key").orderBy("claim_id")) > 1)
+
+
+def allowed(covered: DataFrame, refs: DataFrame) -> DataFrame:
+    """``claim_id, scopes, subjects``: what a claim with this support may say at most."""
+    scopes = F.filter(F.array(F.lit("local"), F.when(meets(REPEATED), "repeated"), F.when(meets(LONG_TERM), "long_term")), lambda x: x.isNotNull())
+    peer = refs.groupBy("claim_id").agg(F.bool_or(F.col("sender") == "other").alias("_peer"))
+    subjects = F.when(F.col("_peer"), F.array(F.lit("user"), F.lit("interaction"), F.lit("peer"))).otherwise(F.array(F.lit("user"), F.lit("interaction")))
+    return covered.join(peer, "claim_id", "left").select("claim_id", scopes.alias("scopes"), subjects.alias("subjects"))
+
+
+def rendered(claims: DataFrame) -> DataFrame:
+    """``section, body``: a report's sections, facts first, then by number; a line a claim."""
+    line = F.concat(F.lit("- "), tx.markdown_escaped(F.col("text")), F.lit(" ["), F.col("claim_key"), F.lit("]"))
+    order = F.struct((F.col("kind") != "fact").alias("k"), "claim_id", line.alias("line"))
+    return claims.groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["line"]), "\n").alias("body"))
+
+
+def report_audit(claims: DataFrame, report: DataFrame) -> DataFrame:
+    """``section, violation``: sections of a report (section, body) that are not what rendering the claims again gives."""
+    again = rendered(claims).withColumnRenamed("body", "_body")
+    both = again.join(report, "section", "full")
+    bad = F.when(F.col("_body").isNull(), "extra").when(F.col("body").isNull(), "missing").when(F.col("body") != F.col("_body"), "changed")
+    return both.select("section", bad.alias("violation")).where("violation is not null")
 
 
 def repeated_texts(messages: DataFrame) -> DataFrame:
@@ -92,8 +164,9 @@ def repeated_texts(messages: DataFrame) -> DataFrame:
     return text.withColumn("same_text", F.count("*").over(Window.partitionBy("conv_id", "content"))).withColumn("same_sender", F.count("*").over(Window.partitionBy("conv_id", "content", "sender")))
 
 
-def citation_numbers(text_rows: DataFrame, pattern: str = r"[MEC]_[0-9a-f]{32}") -> DataFrame:
-    """``report, ref, number``: references numbered by first occurrence in a report."""
-    found = text_rows.select("report", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("at", "ref"))
+def citation_numbers(text_rows: DataFrame, pattern: str = tx.REFERENCE) -> DataFrame:
+    """``report, ref, number``: references numbered by first occurrence in a report; those in fences and comments don't count."""
+    body = F.regexp_replace(F.regexp_replace("body", r"(?s)<!--.*?-->", ""), r"(?ms)^\s*(```+|~~~+).*?(^\s*\1[^\n]*$|\z)", "")
+    found = text_rows.select("report", F.posexplode(F.regexp_extract_all(body, F.lit(f"(?U){pattern}"), F.lit(0))).alias("at", "ref"))
     first = found.groupBy("report", "ref").agg(F.min("at").alias("at"))
     return first.withColumn("number", F.row_number().over(Window.partitionBy("report").orderBy("at"))).select("report", "ref", "number")

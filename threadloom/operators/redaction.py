@@ -1,16 +1,13 @@
 """Pseudonyms: patterns in priority order, numbered per conversation and kind by first occurrence.
 
-Numbers depend on the order of a conversation's messages, so rows are dealt by conversation and streamed in order through one
-pass; what is held is the conversation's own table of placeholders. Counting and per-document masking need no order and
-are expressions.
+Everything is a plan: the matches of a text become rows, the first occurrence of each value ranks it within its conversation
+and kind, and the texts are put together again from what lay between the matches. So a conversation needs no task of its
+own; only its distinct values are ordered.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Placeholder names, words that are no alias, and the patterns in order of priority.
@@ -25,7 +22,10 @@ PATTERNS = {
     "account": r"(?i:wxid_[A-Za-z0-9_-]+|(?:QQ|微信号?|WeChat)\s*[:：=]\s*[A-Za-z0-9_-]{5,64})",
     "phone": r"(?<!\d)(?:(?:\+?86[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}|0\d{2,3}[ -]?\d{7,8}|\+[1-9](?:[ -]?\d){6,14})(?!\d)",
 }
-_PLACED = re.compile("(" + r"\[(?:" + "|".join(LABELS.values()) + r")\d+\]|\[参与者\]" + ")")
+#: Placeholders that are in a text already; they come before all kinds, so doing it twice changes nothing.
+PLACED = r"\[(?:" + "|".join(LABELS.values()) + r")\d+\]|\[参与者\]"
+#: The groups of the one pattern that all texts are matched with.
+KINDS = ("placed", *PATTERNS, "known", "custom")
 
 
 def custom_terms(terms: list[str]) -> list[str]:
@@ -35,43 +35,6 @@ def custom_terms(terms: list[str]) -> list[str]:
     return sorted({t.strip() for t in terms})
 
 
-class Placeholders:
-    """One conversation's numbering."""
-
-    def __init__(self, aliases: dict[str, str] | None = None, terms: list[str] | None = None):
-        self.aliases, self.given, self.last, self.counts = dict(aliases or {}), {}, {}, {}
-        kinds = dict(PATTERNS)
-        for kind, words in (("known", self.aliases), ("custom", custom_terms(terms or []))):
-            if words:
-                kinds[kind] = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-        self.find = re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()))
-
-    @staticmethod
-    def normal(kind: str, value: str) -> str:
-        if kind not in ("phone", "card"):
-            return value
-        value = re.sub("[ -]", "", value)
-        digits = re.sub(r"\D", "", value)
-        return digits[2:] if kind == "phone" and len(digits) == 13 and value.lstrip("+").startswith("86") else value
-
-    def put(self, m: re.Match) -> str:
-        kind, value = m.lastgroup, m.group()
-        if kind == "technical":
-            return value
-        self.counts[kind] = self.counts.get(kind, 0) + 1
-        if kind == "known":
-            return self.aliases[value]
-        key = (kind, self.normal(kind, value))
-        if key not in self.given:
-            self.last[kind] = self.last.get(kind, 0) + 1
-            self.given[key] = f"[{LABELS[kind]}{self.last[kind]}]"
-        return self.given[key]
-
-    def redact(self, text: str) -> str:
-        """Placeholders that are there already stay, so doing it twice changes nothing."""
-        return "".join(p if _PLACED.fullmatch(p) else self.find.sub(self.put, p) for p in _PLACED.split(text))
-
-
 def alias_registry(participants: DataFrame) -> DataFrame:
     """``conv_id, value, alias`` from (conv_id, value, role): names of both roles are nobody's in particular."""
     usable = participants.where(F.col("value").isNotNull() & (F.trim("value") != "") & ~F.col("value").isin(*RESERVED))
@@ -79,32 +42,78 @@ def alias_registry(participants: DataFrame) -> DataFrame:
     return each.select("conv_id", "value", F.when(F.col("n") > 1, "[参与者]").when(F.col("role") == "me", "我").otherwise("对方").alias("alias"))
 
 
+def _quoted(words: Column) -> Column:
+    """A pattern of literal words, longest first; one that never matches for none."""
+    order = "array_sort(w, (a, b) -> CASE WHEN char_length(a) <> char_length(b) THEN char_length(b) - char_length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)"
+    literal = F.transform(F.expr(order), lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size("w") > 0, F.array_join(literal, "|")).otherwise("(?!)")
+
+
+def patterns(aliases: DataFrame | None, conversations: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """``conv_id, pattern``: every conversation's own alternation, a group for each of ``KINDS``."""
+    own = conversations.select("conv_id").distinct()
+    if aliases is None:
+        own = own.withColumn("w", F.array().cast("array<string>"))
+    else:
+        of = aliases.groupBy("conv_id").agg(F.collect_set("value").alias("w"))
+        own = own.join(of, "conv_id", "left").withColumn("w", F.coalesce("w", F.array().cast("array<string>")))
+    own = own.withColumn("known", _quoted(F.col("w"))).withColumn("w", F.array(*[F.lit(t) for t in custom_terms(terms or [])]).cast("array<string>"))
+    fixed = "|".join(f"({p})" for p in (PLACED, *PATTERNS.values()))
+    return own.select("conv_id", F.concat(F.lit(f"(?U){fixed}|("), F.col("known"), F.lit(")|("), _quoted(F.col("w")), F.lit(")")).alias("pattern"))
+
+
+def matches(texts: DataFrame) -> DataFrame:
+    """``conv_id, original_index, h, at, kind, value, key`` of every match in ``texts (conv_id, original_index, h, content, pattern)``.
+
+    The kind is the group that took part; ``key`` is the value by which two matches are the same person's or thing's.
+    """
+    found = [F.expr(f"regexp_extract_all(content, pattern, {k})").alias(f"g{k}") for k in range(len(KINDS) + 1)]
+    rows = texts.select("conv_id", "original_index", "h", *found).where(F.size("g0") > 0)
+    each = F.arrays_zip(*[f"g{k}" for k in range(len(KINDS) + 1)])
+    rows = rows.select("conv_id", "original_index", "h", F.posexplode(each).alias("at", "m"))
+    kind = F.coalesce(*[F.when(F.col(f"m.g{k}") != "", name) for k, name in enumerate(KINDS, 1)])
+    rows = rows.select("conv_id", "original_index", "h", "at", kind.alias("kind"), F.col("m.g0").alias("value"))
+    bare = F.regexp_replace("value", "[ -]", "")
+    digits = F.regexp_replace(bare, r"(?U)\D", "")
+    phone = F.when((F.char_length(digits) == 13) & F.regexp_replace(bare, r"^\++", "").startswith("86"), F.substring(digits, 3, 11)).otherwise(bare)
+    return rows.withColumn("key", F.when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", bare).otherwise(F.col("value")))
+
+
+def serials(found: DataFrame) -> DataFrame:
+    """``conv_id, kind, key, serial, n``: the kinds with numbers, counted from 1 by first occurrence."""
+    numbered = found.where(F.col("kind").isin(*LABELS))
+    first = numbered.groupBy("conv_id", "kind", "key").agg(F.min(F.struct("original_index", "at")).alias("first"), F.count("*").alias("n"))
+    return first.withColumn("serial", F.row_number().over(Window.partitionBy("conv_id", "kind").orderBy("first"))).select("conv_id", "kind", "key", "serial", "n")
+
+
 def redact(messages: DataFrame, aliases: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
-    """``messages`` (conv_id, original_index, content) with redacted content and a map of what was replaced in the row."""
-    rows = messages
+    """``messages`` (conv_id, original_index, content) with redacted content and a map of what was replaced in the row.
+
+    ``aliases``: conv_id, value, alias, see :func:`alias_registry`. Technical ids and placeholders stay, a null content too;
+    rows equal in all three columns are redacted alike. Matching does not cross a placeholder that is there already.
+    """
+    own = patterns(aliases, messages, terms)
+    h = F.xxhash64("content")
+    texts = messages.join(own, "conv_id").withColumn("h", h)
+    found = matches(texts.select("conv_id", "original_index", "h", "content", "pattern"))
+    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    placed = found.join(serials(found).drop("n"), ["conv_id", "kind", "key"], "left")
+    put = F.when(F.col("serial").isNotNull(), F.concat(F.lit("["), label[F.col("kind")], F.col("serial").cast("string"), F.lit("]")))
     if aliases is not None:
-        of = aliases.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "alias"))).alias("_aliases"))
-        rows = rows.join(of, "conv_id", "left")
-    else:
-        rows = rows.withColumn("_aliases", F.lit(None).cast("map<string,string>"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "original_index")
-    names = [f.name for f in messages.schema]
-
-    def run(batches):
-        conv, p = object(), None
-        for b in batches:
-            text, counts = [], []
-            for c, t, a in zip(b.column("conv_id").to_pylist(), b.column("content").to_pylist(), b.column("_aliases").to_pylist(), strict=True):
-                if c != conv:
-                    conv, p = c, Placeholders(dict(a or []), terms)
-                p.counts = {}
-                text.append(None if t is None else p.redact(t))
-                counts.append(sorted(p.counts.items()))
-            cols = [pa.array(text, pa.string()) if n == "content" else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.map_(pa.string(), pa.int32()))], [*names, "replaced"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
-    return rows.mapInArrow(run, f"{types}, replaced map<string,int>")
+        named = aliases.select("conv_id", F.lit("known").alias("kind"), F.col("value").alias("key"), "alias")
+        placed = placed.join(named, ["conv_id", "kind", "key"], "left")
+        put = F.coalesce(put, F.col("alias"))
+    placed = placed.withColumn("put", F.coalesce(put, F.col("value"))).dropDuplicates(["conv_id", "original_index", "h", "at"])
+    of = placed.groupBy(F.col("conv_id").alias("_c"), F.col("original_index").alias("_i"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "put"))).alias("_m"))
+    both = texts.join(of, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("original_index").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left")
+    between = F.split("content", F.col("pattern"), -1)
+    joined = F.array_join(F.expr("zip_with(_parts, _m, (p, m) -> concat(p, coalesce(m.put, '')))"), "")
+    kinds = F.filter(F.transform("_m", lambda m: m["kind"]), lambda k: ~k.isin("technical", "placed"))
+    counted = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("n"))))
+    none = F.lit(None).cast("map<string,int>")
+    both = both.withColumn("_parts", between).withColumn("replaced", F.when(F.col("_m").isNotNull(), counted).otherwise(F.coalesce(none, F.create_map().cast("map<string,int>"))))
+    text = F.when(F.col("_m").isNotNull(), joined).otherwise(F.col("content"))
+    return both.select(*[text.alias(c) if c == "content" else F.col(c) for c in messages.columns], "replaced")
 
 
 def replacement_counts(redacted: DataFrame) -> DataFrame:
@@ -116,12 +125,3 @@ def masked(text: Column, kinds: tuple[str, ...] = ("url", "email")) -> Column:
     for k in kinds:
         text = F.regexp_replace(text, PATTERNS[k], f"[{LABELS[k]}]")
     return text
-
-
-def serials(rows: DataFrame, pattern: str) -> DataFrame:
-    """``conv_id, value, serial`` of one pattern: numbered by first occurrence, in expressions only."""
-    from pyspark.sql import Window
-
-    found = rows.select("conv_id", "original_index", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("at", "value"))
-    first = found.groupBy("conv_id", "value").agg(F.min(F.struct("original_index", "at")).alias("first"), F.count("*").alias("n"))
-    return first.withColumn("serial", F.row_number().over(Window.partitionBy("conv_id").orderBy("first"))).select("conv_id", "value", "serial", "n")

@@ -11,6 +11,8 @@ from ..functions import text as tx
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Bounds of a query and of its limit.
 QUERY, LIMIT = (1, 200), (1, 50)
+#: Fixed value: queries of a plan.
+PLAN = 8 * 8 * 2
 
 
 def check_query(query: str, limit: int) -> list[str]:
@@ -91,11 +93,14 @@ def resolve(refs: DataFrame, ids: DataFrame) -> DataFrame:
 def proposition_hits(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """``question, direction, query, conv_id, position``: rows whose text or description holds the query, case aside.
 
-    ``queries`` are the few of one plan (at most 8 by 8 by 2), which is what is broadcast.
+    ``queries`` are those of one plan, at most 8 questions by 8 queries by 2 directions, which is what is broadcast; more
+    raise. A null text or description holds nothing.
     """
-    text = F.array(F.lower("content"), F.lower(F.coalesce("description", F.lit("")))) if "description" in rows.columns else F.array(F.lower("content"))
-    q = queries.limit(128)
-    return rows.withColumn("_t", text).join(F.broadcast(q), F.exists("_t", lambda t: F.contains(t, F.lower(F.col("query"))))).select("question", "direction", "query", "conv_id", "position").distinct()
+    if queries.limit(PLAN + 1).count() > PLAN:
+        raise ValueError(f"a plan has at most {PLAN} queries")
+    names = [c for c in ("content", "description") if c in rows.columns]
+    text = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in names])
+    return rows.withColumn("_t", text).join(F.broadcast(queries), F.exists("_t", lambda t: F.contains(t, F.lower(F.col("query"))))).select("question", "direction", "query", "conv_id", "position").distinct()
 
 
 def query_weights(queries: DataFrame, hits: DataFrame, total: int) -> DataFrame:
@@ -104,7 +109,7 @@ def query_weights(queries: DataFrame, hits: DataFrame, total: int) -> DataFrame:
     return each.withColumn("weight", tx.idf(F.lit(total), F.col("hits")))
 
 
-def merged_hit_sets(hits: DataFrame, bound: int = 10_000) -> DataFrame:
+def merged_hit_sets(hits: DataFrame) -> DataFrame:
     """Queries of one question with equal hit sets are one: ``question, hit_key, queries``."""
     each = hits.select("question", "query", F.xxhash64("conv_id", "position").alias("h")).groupBy("question", "query").agg(F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 8)).alias("s"), F.count("*").alias("n"))
     return each.groupBy("question", "x", "s", "n").agg(F.sort_array(F.collect_set("query")).alias("queries")).select("question", "n", "queries")
@@ -121,3 +126,42 @@ def query_status(weights: DataFrame, visible: DataFrame, over: Column | None = N
 def complete_if_fits(rows: DataFrame, budget: int) -> DataFrame:
     """Per conversation, whether the whole snapshot renders within a budget (bytes and line ends)."""
     return rows.groupBy("conv_id").agg((F.sum(F.octet_length("content") + 1)).alias("bytes")).withColumn("fits", F.col("bytes") <= budget)
+
+
+def need_retrieval(windows: DataFrame, visible: DataFrame) -> DataFrame:
+    """``conv_id, position, needed``: whether some row of an anchor's window (left, right) is not visible yet."""
+    inside = windows.join(visible.select("conv_id", F.col("position").alias("_p")).distinct(), "conv_id").where(F.col("_p").between(F.col("left"), F.col("right")))
+    seen = inside.groupBy("conv_id", "position").agg(F.count("*").alias("seen"))
+    both = windows.join(seen, ["conv_id", "position"], "left")
+    return both.select("conv_id", "position", (F.coalesce("seen", F.lit(0)) < F.col("right") - F.col("left") + 1).alias("needed"))
+
+
+def revision(*parts: Column) -> Column:
+    """The key of a cached result: SHA-256 over its inputs, each with its length before it, so none can run into the next."""
+    each = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat(*[x for p in each for x in (F.octet_length(p).cast("string"), F.lit(":"), p)]), 256)
+
+
+def in_scope(store: DataFrame, source_id: str, policy: str) -> DataFrame:
+    """The store itself, if all its rows are of this snapshot and policy; a row of another scope raises."""
+    same = F.col("source_id").eqNullSafe(F.lit(source_id)) & F.col("policy").eqNullSafe(F.lit(policy))
+    checked = F.when(same, F.col("source_id")).otherwise(F.raise_error(F.lit("the store belongs to another snapshot or policy")).cast("string"))
+    return store.withColumn("source_id", checked)
+
+
+def catalogue(tokens: DataFrame, evidence: DataFrame, messages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``ref, kind, status, id`` of references: resolved, missing, ambiguous, or quarantined (evidence that is not bound).
+
+    ``evidence``: id, status; ``messages``: id; ``chunks``: chunk_index. Dots at the end of a shortened id don't count.
+    """
+    t = tokens.select("ref").distinct()
+    short = t.where(~F.col("ref").startswith("chunk_")).select("ref", F.regexp_replace("ref", r"[.…]+$", "").alias("p"))
+    ids = evidence.select("id").union(messages.select("id"))
+    found = resolve(short.select(F.col("p").alias("ref")), ids).withColumnRenamed("ref", "p")
+    bad = evidence.where(F.col("status").isin("unmatched", "ambiguous")).select("id").distinct().withColumn("bad", F.lit(True))
+    named = short.join(found, "p").join(bad, "id", "left")
+    named = named.select("ref", F.when(F.col("ref").startswith("E_"), "evidence").otherwise("message").alias("kind"), F.when(F.col("bad"), "quarantined").otherwise(F.col("status")).alias("status"), "id")
+    own = t.where(F.col("ref").startswith("chunk_")).select("ref", F.format_string("chunk_%03d", F.expr("cast(substring(ref, 7) AS int)")).alias("id"))
+    there = chunks.select(F.format_string("chunk_%03d", F.col("chunk_index").cast("int")).alias("id")).distinct().withColumn("there", F.lit(True))
+    own = own.join(there, "id", "left").select("ref", F.lit("chunk").alias("kind"), F.when(F.col("there"), "resolved").otherwise("missing").alias("status"), "id")
+    return named.union(own)
