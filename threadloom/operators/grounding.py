@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import text as tx
+from ..functions.ship import ship
 
 #: References kept when a quote is ambiguous; categories, their required fields and enumerations.
 CANDIDATES = 20
@@ -17,19 +21,67 @@ FIELDS = {
     "uncertainties": ("question", "reason"),
 }
 ENUMS = {"confidence": ("high", "medium", "low"), "direction": ("support", "against", "mixed"), "stability": ("local", "repeated", "unclear")}
+#: Characters of a window that can be an anchor, and one in how many is.
+GRAM, EVERY = 12, 32
 STATUSES = ("matched", "unmatched", "ambiguous", "not_applicable")
 
 
+def anchors(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``anchors array<long>``: hashes of those of a text's ``GRAM``-character windows that fall on a mark.
+
+    Whether a window falls on a mark depends on its characters alone, so whatever contains a quote has all of its anchors.
+    About one window in ``EVERY`` is one; a text without any, all short ones among them, gives an empty array.
+    """
+    ship(rows.sparkSession)
+    at = rows.columns.index(text)
+    power = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
+
+    def of(t: str | None) -> np.ndarray:
+        c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        if len(c) < GRAM:
+            return np.zeros(0, np.int64)
+        h = sum((c[k : len(c) - GRAM + 1 + k] + np.uint64(1)) * power[k] for k in range(GRAM))
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return np.unique(h[h >> np.uint64(59) == 0]).view(np.int64)
+
+    def run(batches):
+        for b in batches:
+            found = [of(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "anchors"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("anchors", ArrayType(LongType()))]))
+
+
+def candidates(quotes: DataFrame, messages: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of quotes and messages of one chunk that share the quote's rarest anchor; a quote without one meets its whole chunk."""
+    q = anchors(quotes, "quote")
+    m = anchors(messages, "content")
+    wanted = q.select(*on, "quote_id", F.explode("anchors").alias("anchor"))
+    posted = m.select(*on, F.explode("anchors").alias("anchor")).join(wanted.select(*on, "anchor").distinct(), [*on, "anchor"], "left_semi")
+    counts = posted.groupBy(*on, "anchor").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, [*on, "anchor"]).groupBy(*on, "quote_id").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
+    # An anchor that no message holds leaves no row, and its quote no candidate, unless another anchor of it is held: then
+    # the quote cannot occur either, since a message that contains it has all of them.
+    whole = wanted.groupBy(*on, "quote_id").agg(F.count_distinct("anchor").alias("all"))
+    held = wanted.join(counts, [*on, "anchor"], "left_semi").groupBy(*on, "quote_id").agg(F.count_distinct("anchor").alias("held"))
+    rarest = rarest.join(whole.join(held, [*on, "quote_id"]).where(F.col("all") == F.col("held")).select(*on, "quote_id"), [*on, "quote_id"])
+    keyed = quotes.join(rarest, [*on, "quote_id"])
+    by_anchor = keyed.join(m.withColumn("anchor", F.explode("anchors")).drop("anchors"), [*on, "anchor"]).drop("anchor")
+    short = q.where(F.size("anchors") == 0).drop("anchors").join(messages, on)
+    return by_anchor.unionByName(short)
+
+
 def ground(quotes: DataFrame, messages: DataFrame, keys: tuple[str, ...] = ("conv_id", "chunk_index")) -> DataFrame:
     """Adds ``status, candidate_count, source_refs`` to quotes (``keys``, quote_id, quote, optional hint).
 
     messages: keys, message_id, position, content, type-filtered to what may be quoted. A quote without text is not
     applicable. Occurrences may overlap; one is a match, several are ambiguous (the first CANDIDATES references are kept).
-    The join is on the chunk, so a quote meets only its own chunk's messages.
+    A quote meets only messages of its own chunk, and of those only the ones that :func:`candidates` finds.
     """
     q = quotes.where("quote is not null and quote <> ''")
     on = list(keys)
-    both = q.join(messages.select(*on, "message_id", "position", "content"), on).where(F.contains("content", "quote"))
+    both = candidates(q, messages.select(*on, "message_id", "position", "content"), on).where(F.contains("content", "quote"))
     if "hint" in quotes.columns:
         both = both.where("hint is null or hint = message_id")
     hits = both.select("quote_id", "message_id", "position", F.explode(F.expr(tx.offsets("content", "quote"))).alias("start"), F.char_length("quote").alias("n"))

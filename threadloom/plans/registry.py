@@ -200,15 +200,15 @@ def compact_transcript(spark, sf_dir):
     return messages.compact_transcript(td.events(spark, sf_dir).withColumn("chunk_index", F.expr("(position - 1) div 200")))
 
 
-_GROUND = """WITH h AS (SELECT b.item_id, d.doc_id, (strlen(d.text) - strlen(replace(d.text, b.text, ''))) // strlen(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+_GROUND = """WITH h AS (SELECT b.item_id, d.doc_id, len([i FOR i IN range(1, length(d.text) - length(b.text) + 2) IF substr(d.text, CAST(i AS INTEGER), length(b.text)) = b.text]) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 q AS (SELECT b.item_id, coalesce(sum(n), 0)::BIGINT AS candidate_count FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY b.item_id),
 st AS (SELECT item_id, candidate_count, CASE WHEN candidate_count = 0 THEN 'unmatched' WHEN candidate_count = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM q)"""
 
 
 def _grounded(spark, sf_dir):
+    """One chunk holds all documents, so any item may occur in any of them; see grounding.anchors for what keeps that small."""
     items = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), F.lit(1).alias("chunk_index"))
-    # One chunk: every item meets every document. An item's first words narrow the test to rows that hold them.
-    docs = td.documents(spark, sf_dir).select(F.lit(1).alias("chunk_index"), F.col("doc_id").alias("message_id"), "position", "content")
+    docs = td.table(spark, sf_dir, "documents").select(F.lit(1).alias("chunk_index"), F.col("doc_id").alias("message_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
     return grounding.ground(items, docs, ("chunk_index",))
 
 
@@ -250,15 +250,15 @@ def _tf(term: str) -> str:
     return f"len([i FOR i IN range(1, length(l) - {len(term)} + 2) IF substr(l, CAST(i AS INTEGER), {len(term)}) = '{term}'])"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, lower(text) AS l, greatest(0, length(lower(text)) - 2) AS len FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS l, greatest(0, length(lower(coalesce(text, ''))) - 2) AS len FROM documents),
 t AS (SELECT *, CASE WHEN contains(l, 'the re') THEN {_tf('the re')} ELSE 0 END AS a, CASE WHEN contains(l, 'tion') THEN {_tf('tion')} ELSE 0 END AS b FROM d),
 s AS (SELECT count(*) AS n, avg(len) AS al, count(*) FILTER (WHERE a > 0) AS na, count(*) FILTER (WHERE b > 0) AS nb FROM t),
 w AS (SELECT *, CASE WHEN ln((n - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - na + 0.5) / (na + 0.5)) END AS ia, CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nb + 0.5) / (nb + 0.5)) END AS ib FROM s),
 x AS (SELECT lang AS role, doc_id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al))) - (ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM t, w WHERE a > 0 AND b > 0),
 k AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY round(score, 9), doc_id) AS rank, doc_id, round(score, 5) AS score FROM x) SELECT * FROM k WHERE rank <= 10""")
 def trigram_bm25(spark, sf_dir):
-    d = td.table(spark, sf_dir, "documents").where("text is not null")
-    rows = retrieval.bm25(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("role"), F.lower("text").alias("l")), ["the re", "tion"])
+    d = td.table(spark, sf_dir, "documents")
+    rows = retrieval.bm25(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("role"), F.lower(F.coalesce("text", F.lit(""))).alias("l")), ["the re", "tion"])
     w = Window.partitionBy("role").orderBy(F.round("score", 9), "id")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("role", "rank", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
@@ -282,8 +282,9 @@ _FOUND = f"WITH d AS (SELECT source AS conv_id, doc_id, regexp_extract_all(text,
 
 @query(_FOUND + " SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS serial, n FROM g")
 def placeholder_serials(spark, sf_dir):
-    d = td.table(spark, sf_dir, "documents").select(F.col("source").alias("conv_id"), F.col("doc_id").alias("original_index"), F.col("text").alias("content"))
-    return redaction.serials(d, _MAIL)
+    d = td.table(spark, sf_dir, "documents").select(F.col("source").alias("conv_id"), F.col("doc_id").alias("original_index"), F.xxhash64("text").alias("h"), F.col("text").alias("content"))
+    found = redaction.matches(d.join(redaction.patterns(None, d), "conv_id"))
+    return redaction.serials(found).where("kind = 'email'").select("conv_id", F.col("key").alias("value"), "serial", "n")
 
 
 @query(_FOUND + " SELECT conv_id, 'email' AS kind, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY conv_id")
@@ -311,7 +312,7 @@ tf AS (SELECT *, CASE WHEN lag(sender) OVER w IS NULL OR lag(sender) OVER w <> s
 tn AS (SELECT *, sum(tf) OVER (PARTITION BY conv_id, session ORDER BY position) AS turn FROM tf),
 tb AS (SELECT *, min(position) OVER (PARTITION BY conv_id, session) AS sa, max(position) OVER (PARTITION BY conv_id, session) AS sz, min(position) OVER (PARTITION BY conv_id, session, turn) AS ta, max(position) OVER (PARTITION BY conv_id, session, turn) AS tz FROM tn),
 aw AS (SELECT conv_id, position, session, coalesce(lag(ta, 16) OVER w, sa) AS "left", coalesce(lead(tz, 16) OVER w, sz) AS "right", idx FROM tb WINDOW w AS (PARTITION BY conv_id, session ORDER BY position)),
-an AS (SELECT conv_id, position, session, "left", "right" FROM aw WHERE idx % 7 = 0)"""
+an AS (SELECT conv_id, position, session, "left", "right" FROM aw JOIN events ON event_id = idx WHERE event_type = 'purchase')"""
 
 
 @query(_CTX + " SELECT conv_id, position, session FROM cs")
@@ -321,7 +322,7 @@ def context_sessions(spark, sf_dir):
 
 def _anchored(spark, sf_dir):
     e = td.events(spark, sf_dir)
-    return sessions.anchor_windows(e, e.where("original_index % 7 = 0"))
+    return sessions.anchor_windows(e, e.where("type = 'purchase'"))
 
 
 @query(_CTX + " SELECT * FROM an")
@@ -362,11 +363,17 @@ def query_idf(spark, sf_dir):
     return retrieval.query_weights(_plan(spark), _hits(spark, sf_dir), total).withColumn("weight", F.round("weight", 6))
 
 
-@query(_PQ + _IDF + ", v AS (SELECT question, direction, query, count(*) AS n FROM h WHERE doc_id < 300 GROUP BY ALL) SELECT w.question, w.direction, w.query, hits, coalesce(n, 0) AS included_hits, CASE WHEN hits = 0 THEN 'no_match' WHEN coalesce(n, 0) >= hits THEN 'selected' WHEN coalesce(n, 0) > 0 THEN 'partially_selected' ELSE 'budget_exceeded' END AS status FROM w LEFT JOIN v ON w.question = v.question AND w.direction = v.direction AND w.query = v.query")
+_SEEN = ", b AS (SELECT h.*, sum(n_chars) OVER (PARTITION BY question, direction, query ORDER BY h.doc_id) AS held FROM h JOIN documents d ON d.doc_id = h.doc_id AND d.source = h.conv_id), v AS (SELECT question, direction, query, count(*) AS n FROM b WHERE held <= 40000 GROUP BY ALL)"
+
+
+@query(_PQ + _IDF + _SEEN + " SELECT w.question, w.direction, w.query, hits, coalesce(n, 0) AS included_hits, CASE WHEN hits = 0 THEN 'no_match' WHEN coalesce(n, 0) >= hits THEN 'selected' WHEN coalesce(n, 0) > 0 THEN 'partially_selected' ELSE 'budget_exceeded' END AS status FROM w LEFT JOIN v ON w.question = v.question AND w.direction = v.direction AND w.query = v.query")
 def query_status(spark, sf_dir):
+    """What is visible: a query's hits in order, while their texts have at most 40,000 characters together."""
     hits = _hits(spark, sf_dir)
     weights = retrieval.query_weights(_plan(spark), hits, 1).drop("weight")
-    return retrieval.query_status(weights, hits.where("position < 300"))
+    sizes = td.table(spark, sf_dir, "documents").select(F.col("source").alias("conv_id"), F.col("doc_id").alias("position"), "n_chars")
+    w = Window.partitionBy("question", "direction", "query").orderBy("position")
+    return retrieval.query_status(weights, hits.join(sizes, ["conv_id", "position"]).withColumn("held", F.sum("n_chars").over(w)).where("held <= 40000"))
 
 
 _COV = """WITH c AS (SELECT o_custkey AS claim_id, count(DISTINCT o_orderkey) AS n_positions, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_days, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS n_sessions, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS INTEGER) AS span_days FROM orders GROUP BY o_custkey)"""
@@ -393,13 +400,13 @@ def time_links(spark, sf_dir):
     return claims.time_links(e.select("conv_id", F.col("position").alias("from_position"), (F.col("position") + 3).alias("to_position")), e)
 
 
-_REF = "WITH i AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS id FROM documents), r AS (SELECT DISTINCT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2 + CAST(doc_id % 5 AS INTEGER)) AS ref FROM documents WHERE doc_id % 10 < 5 UNION SELECT 'zz' || CAST(doc_id % 3 AS VARCHAR) FROM documents)"
+_REF = "WITH i AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS id FROM documents), r AS (SELECT DISTINCT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2 + CAST(doc_id % 5 AS INTEGER)) AS ref FROM documents UNION SELECT 'zz' || CAST(doc_id % 3 AS VARCHAR) FROM documents)"
 
 
 @query(_REF + ", g AS (SELECT r.ref, count(i.id) AS n, min(i.id) AS one FROM r LEFT JOIN i ON starts_with(i.id, r.ref) GROUP BY r.ref) SELECT ref, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN one END AS id FROM g")
 def reference_prefix_resolve(spark, sf_dir):
     d = td.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("id"))
-    refs = d.where("doc_id % 10 < 5").select(F.expr("substring(id, 1, cast(2 + doc_id % 5 as int))").alias("ref")).union(d.select(F.concat(F.lit("zz"), (F.col("doc_id") % 3).cast("string"))))
+    refs = d.select(F.expr("substring(id, 1, cast(2 + doc_id % 5 as int))").alias("ref")).union(d.select(F.concat(F.lit("zz"), (F.col("doc_id") % 3).cast("string"))))
     return retrieval.resolve(refs, d)
 
 
