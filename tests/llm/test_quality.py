@@ -1,5 +1,6 @@
 import math
 import re
+import string
 from collections import Counter
 
 from tests.llm.rows import awkward, empty
@@ -21,14 +22,33 @@ def plain(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked)
 
 
+def plain_histograms(text):
+    """Characters by class, and words by common word (0: any other), counted one by one."""
+    def kind(c):
+        for k, chars in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits, " \t\n\v\f\r", ".,;:!?'\"()-", "#*$%&|<>")):
+            if c in chars:
+                return k
+        return 6 if c.isascii() else 7
+
+    classes = [0] * 8
+    for c, n in Counter(text).items():
+        classes[kind(c)] += n
+    common = sorted({w for words in quality.COMMON.values() for w in words.split()})
+    bins = [0] * (len(common) + 1)
+    for w, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", text)).items():
+        bare = w[:-1] if w[-1] in ",." else w
+        bare = bare[0].lower() + bare[1:] if bare and bare == bare.capitalize() else bare
+        bins[common.index(bare) + 1 if bare in common else 0] += n
+    return classes, bins
+
+
 def plain_verdicts(docs):
     """Everything again with dictionaries, from the rows of ``documents``."""
     facts, refs = [], {}
     for d in docs:
         n, chars, sym, dup, rep = plain(d.text)
         failed = n < 50 or 100 * rep > 50 * n
-        raw = (d.text or "").encode()
-        _, _, _, _, _, classes, bins = quality.features(raw)
+        classes, bins = plain_histograms(d.text or "")
         hist = [[int(x) * 1_000_000 // int(sum(h)) if sum(h) else None for x in h] for h in (classes, bins)]
         facts.append((d, (n, chars, sym, dup, rep), failed, hist))
         if not failed and n >= quality.GUARD_WORDS:
@@ -77,3 +97,13 @@ def test_awkward_rows(spark):
     rows = awkward(spark)
     assert rows_of(quality.judged(rows)) == sorted(plain_verdicts(rows.collect()))
     assert quality.judged(empty(spark)).count() == 0
+
+
+def test_joined_references_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert rows_of(quality.judged(docs, languages=0)) == rows_of(quality.judged(docs))
+
+
+def test_no_row_moves_for_its_distances(spark, sf):
+    plan = quality.judged(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

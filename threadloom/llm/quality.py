@@ -27,6 +27,8 @@ CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other", "beyon
 MIN_WORDS = 50
 #: Fewest words for histograms to be compared, and the largest sum of the two distances to the language's reference.
 GUARD_WORDS, LIMIT = MIN_WORDS, 0.46
+#: Languages whose references every worker holds (a bound of memory); beyond, references are joined instead.
+LANGUAGES = 4096
 
 _WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 _BIN = {v.encode(): k for k, w in enumerate(_WORDS, 1) for form in (w, w.capitalize()) for v in (form, form + ",", form + ".")}
@@ -126,22 +128,61 @@ def references(rows: DataFrame) -> DataFrame:
     return total.select("lang", c.alias("c"), w.alias("w")).select("lang", F.expr(one.format("c")).alias("classes_ref"), F.expr(one.format("w")).alias("bins_ref"))
 
 
-def distance(mine: str, ref: str) -> Column:
-    """Jensen-Shannon distance, base 2, of counts ``mine`` to shares ``ref``; null where either is."""
-    share = f"transform({mine}, x -> x / aggregate({mine}, 0L, (a, y) -> a + y))"
-    term = "CASE WHEN {0} > 0 THEN {0} / 2 * log2(2 * {0} / (z.p + z.q)) ELSE 0D END"
-    return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({share}, {ref}, (p, q) -> named_struct('p', p, 'q', q)), 0D, (acc, z) -> acc + {term.format('z.p')} + {term.format('z.q')})))")
+def distance(mine: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, base 2, of each row of counts ``mine`` to the shares ``ref``."""
+    p = mine / mine.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, right = np.where(p > 0, p / 2 * np.log2(2 * p / (p + ref)), 0), np.where(ref > 0, ref / 2 * np.log2(2 * ref / (p + ref)), 0)
+    return np.sqrt(np.maximum(0, (left + right).sum(axis=1)))
 
 
-def judged(docs: DataFrame, limit: float = LIMIT, guard: int = GUARD_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _far(histograms: pa.Array, refs: list) -> pa.Array:
+    """Distances of a batch's histograms to each row's reference; null where either is."""
+    out = np.full(len(histograms), np.nan)
+    has = ~histograms.is_null().to_numpy(zero_copy_only=False)
+    by: dict[int, list[int]] = {}
+    for k in np.flatnonzero(has).tolist():
+        if refs[k] is not None:
+            by.setdefault(id(refs[k]), []).append(k)
+    for own in by.values():
+        rows = histograms.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+        out[own] = distance(rows, refs[own[0]])
+    return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+
+def compared(rows: DataFrame, refs: DataFrame, most: int = LANGUAGES) -> DataFrame:
+    """``rows`` of :func:`measured` with class_distance and word_distance.
+
+    Up to ``most`` references (a kilobyte each) go to every worker, and no row moves; more are joined by language.
+    """
+    found = refs.limit(most + 1).collect()
+    names = [c for c in rows.columns if c not in ("lang", "classes", "bins")]
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    pair = lambda r: (np.array(r["classes_ref"]), np.array(r["bins_ref"])) if r is not None and r["classes_ref"] is not None else None
+    sent = rows.sparkSession.sparkContext.broadcast({r.lang: pair(r) for r in found}) if len(found) <= most else None
+
+    def run(batches):
+        for b in batches:
+            if sent is not None:
+                of = [sent.value.get(x) for x in b.column("lang").to_pylist()]
+            else:
+                of = [pair(r) for r in b.select(["classes_ref", "bins_ref"]).to_pylist()]
+            far = [_far(b.column(c), [None if r is None else r[k] for r in of]) for k, c in enumerate(("classes", "bins"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *far], [*names, "class_distance", "word_distance"])
+
+    both = rows if sent is not None else rows.join(refs, "lang", "left")
+    return both.mapInArrow(run, f"{types}, class_distance double, word_distance double")
+
+
+def judged(docs: DataFrame, limit: float = LIMIT, guard: int = GUARD_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> DataFrame:
     """The base counts, ``base_failed``, both distances and ``kept`` for every row.
 
-    A null text has no words. A null language is a language of its own; one without any document that the base rules
-    and the guard keep has no reference, and no distance speaks against its documents. Repeated rows get equal results; other columns
-    are ignored; empty in, empty out.
+    A null text has no words. A null language is a language of its own, the same as an empty one; a language without any
+    document that the base rules and the guard keep has no reference, and no distance speaks against its documents. A
+    language's reference is the corpus's own: where all of it is junk, junk is what its documents are compared with.
+    Repeated rows get equal results; other columns are ignored, whatever their names; empty in, empty out.
     """
     rows = written(measured(docs, id_col, text_col, lang_col), "measured")
-    both = rows.join(references(rows), "lang", "left")
-    both = both.withColumn("base_failed", base_failed()).withColumn("class_distance", distance("classes", "classes_ref")).withColumn("word_distance", distance("bins", "bins_ref"))
+    both = compared(rows, references(rows), languages).withColumn("base_failed", base_failed())
     far = (F.col("n_words") >= guard) & (F.col("class_distance") + F.col("word_distance") > limit)
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
