@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tests.llm.rows import awkward, empty
 from threadloom.llm import passages
@@ -65,3 +66,22 @@ def test_awkward_rows(spark):
     assert len(out) == rows.count() and {f.name for f in passages.cut(rows).schema} == {*rows.columns, "removed"}
     assert sum(r.text == "" and r.removed is not None for r in out) <= 1
     assert passages.spans(empty(spark)).count() == 0 and passages.cut(empty(spark)).count() == 0
+
+
+def test_cut_is_linear_and_replaces_a_column_removed(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [" ".join(word() for _ in range(22)) + "." for _ in range(6000)]
+    long = "\n".join(f"{s}\nown{k}." for k, s in enumerate(shared))
+    df = spark.createDataFrame([(1, "\n".join(shared), 5, 6, 7), (2, long, 5, 6, 7)], "doc_id long, text string, removed int, id int, hash int")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in passages.cut(df).collect()}
+    assert time.monotonic() - began < 15
+    assert out[1].text == "\n".join(shared) and out[1].removed is None and (out[2].id, out[2].hash) == (6, 7)
+    assert out[2].text == "\n".join(f"\nown{k}." for k in range(6000)) and len(out[2].removed) == 6000
+
+
+def test_without_a_floor_every_later_occurrence_goes(spark):
+    df = spark.createDataFrame([(1, "Some line.\nown one."), (2, "some  LINE.\nown two.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in passages.cut(df, 1).collect()} == {1: "Some line.\nown one.", 2: "\nown two."}
+    assert {r.text for r in passages.cut(df).collect()} == {"Some line.\nown one.", "some  LINE.\nown two."}

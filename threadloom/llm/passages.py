@@ -2,9 +2,9 @@
 
 A unit is a sentence of a line, lower-cased and with its white space collapsed. Digests of all units of all documents are
 grouped; the earliest occurrence, by (doc_id, hash of the text, place), stays, and later ones are marked. Adjacent marked
-units form a run, and a run of at least ``MIN_WORDS`` words is removed: long copied passages go wherever they were put,
-while a short line or a licence notice that many documents share does not make its documents lose text. Removed spans
-keep their offsets (code points, half open) in the original text.
+units form a run, and a run of at least ``min_words`` words is removed: long copied passages go wherever they were put,
+while a short line or a licence notice that many documents share does not make its documents lose text (``min_words`` 1
+removes those too). Removed spans keep their offsets (code points, half open) in the original text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship, written
+from .shared import fresh, ship, written
 
 MIN_WORDS = 20
 _UNIT = re.compile(r"\n|(?<=\w[.!?])\s+")
@@ -67,7 +67,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     empty in, empty out.
     """
     at = F.struct("doc_id", "text_hash", "unit")
-    found = occurrences(docs, id_col, text_col)
+    found = written(occurrences(docs, id_col, text_col), "units")
     many = found.groupBy("d0", "d1").agg(F.min(at).alias("keep"), F.max(at).alias("last")).where("keep <> last").drop("last")
     many = written(many, "repeats")
     later = found.join(many, ["d0", "d1"]).where((F.col("unit") != F.col("keep.unit")) | (F.col("text_hash") != F.col("keep.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
@@ -81,13 +81,27 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
 def cut(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans taken out of ``text_col`` and a column ``removed``: their (start, end), null if none.
 
-    Every row stays, with every column; a text that was nothing but repeats becomes empty.
+    Every row stays, with every column, but for a column ``removed`` that ``docs`` has already, which is replaced; a null
+    text stays null, and a text that was nothing but repeats becomes empty. Empty in, empty out.
     """
-    gone = spans(docs, min_words, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
-    text = F.expr(
-        f"aggregate(_gone, named_struct('out', '', 'at', 0), (a, s) -> named_struct('out', concat(a.out, substring(`{text_col}`, a.at + 1, s.start - a.at)), 'at', s.end),"
-        f" a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
-    )
-    return both.withColumn(text_col, F.coalesce(text, F.col(text_col))).withColumn("removed", F.col("_gone")).drop("_id", "_hash", "_gone")
+    docs = docs.drop("removed")
+    own, other = fresh(docs, "id"), fresh(docs, "hash")
+    out = spans(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(other)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    both = docs.join(out, docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(other)), "left").drop(own, other)
+    at = both.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t, spans_ in zip(b.column(at), b.column("removed"), strict=True):
+                if not spans_.is_valid:
+                    texts.append(t.as_py())
+                    continue
+                text, kept, last = t.as_py(), [], 0
+                for x in spans_.as_py():
+                    kept.append(text[last : x["start"]])
+                    last = x["end"]
+                texts.append("".join(kept) + text[last:])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
+
+    return both.mapInArrow(run, both.schema)

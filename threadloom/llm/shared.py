@@ -79,6 +79,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HEAVY: dict = {}
+
+
+def worker_object(key, make):
+    """What ``make()`` gives, once per Python worker; a worker keeps one such object, since it outlives stages and their memory."""
+    if key not in _HEAVY:
+        _HEAVY.clear()
+        _HEAVY[key] = make()
+    return _HEAVY[key]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
