@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import ship, worker_object
 
 #: The white space of the tokenizer files' regular expressions (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,7 +36,7 @@ _ANY_WORD = re.compile(rf"[^{WHITE}]+")
 #: Marks that a word's end is tried without first.
 _MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 #: Entries that a worker's memo of words may hold before it starts anew (a bound of memory; results don't depend on it).
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 PAIR_ENTRIES = 500_000
 STEP_ENTRIES = 600_000
 
@@ -337,7 +337,7 @@ class RankBpe(PrefixBpe):
 
     def _packed(self, chunk: str) -> bytes:
         known = self._known
-        if len(known) > MEMO_ENTRIES:
+        if len(known) > MEMO_ENTRIES // 2:
             known.clear()
         return b"".join([known[part] for part in self._parts(chunk)])
 
@@ -346,15 +346,9 @@ class RankBpe(PrefixBpe):
         return b"".join([code[i] for i in self._piece(part.encode("utf-8", "replace") + (b"\xff" if self.words else b""))])
 
 
-_READY: dict[tuple, PrefixBpe] = {}
-
-
 def model(spec: bytes, kind: type[PrefixBpe] = PrefixBpe) -> PrefixBpe:
     """The encoder for a tokenizer file, built once per Python worker."""
-    key = (hashlib.sha256(spec).digest(), kind.__name__)
-    if key not in _READY:
-        _READY[key] = kind(spec)
-    return _READY[key]
+    return worker_object((hashlib.sha256(spec).digest(), kind.__name__), lambda: kind(spec))
 
 
 def load(spark: SparkSession, path: str):

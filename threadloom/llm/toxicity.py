@@ -1,15 +1,20 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (with borders), each hashed to a bucket with an embedding vector; a window's
-vector is the mean over its words of the words' mean n-gram vectors; a linear softmax over it gives the class. Unseen
-misspellings and endings share n-grams with words that were seen. A long text is cut into even windows of about
-``WINDOW`` words, and its score is that of its most toxic window, so a few words are not averaged away; training follows
-the same rule. Since everything before the softmax is a mean, a word adds one number, which scoring remembers.
+A word is the bag of its character n-grams (with borders), each hashed to a bucket with an embedding vector; a word's vector
+is their mean, and a text's vector the sum over its distinct words, divided by ``LEAST + n ** POWER`` for n of them: an
+average that does not dilute a few telling words in a long text quite so much. A linear softmax over it gives the class.
+Unseen misspellings and endings share n-grams with words that were seen.
+
+The embeddings start from what the labelled texts say about each n-gram alone: its log-odds of occurring in a toxic text,
+shrunk to nothing where the difference is within chance. Descent on the cross-entropy then moves embeddings and softmax
+jointly. Scale and shift of the log-odds come from texts that a fit has not seen, fold by fold, so few labels do as well.
+Everything before the softmax is a sum over words, so a word adds one number, which scoring remembers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -19,16 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import fresh, ship, worker_object
 
-WINDOW = 8
+#: How a text's length divides the sum over its words.
+LEAST, POWER = 8, 0.75
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 #: Rows of each class that a fit takes at most, and the longest text (code points) it takes: the bound of its memory.
 FIT_ROWS, FIT_CHARS = 3000, 8_000
 #: Scores that a worker remembers before it starts anew (a bound of memory; results don't depend on it).
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 THRESHOLD = 0.3
+#: Folds of the calibration, standard errors that count as chance, and the descent: chosen by cross-validation inside the
+#: training rows of three tables. A step is ``RATE`` times the root of the number of texts in the smaller class.
+FOLDS, CHANCE, EPOCHS, RATE, FLOOR = 4, 3.0, 20, 0.008, 0.5
 
 #: Marks at a word's ends that are no part of it.
 _EDGE = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x40), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
@@ -46,12 +55,6 @@ def grams(word: str) -> list[int]:
     return out
 
 
-def bounds(n: int) -> np.ndarray:
-    """Where the even windows of a text of ``n`` words begin."""
-    k = max(1, n // WINDOW)
-    return np.arange(k, dtype=np.int64) * n // k
-
-
 @dataclass
 class Model:
     embedding: np.ndarray  # buckets x width
@@ -63,74 +66,120 @@ class Model:
         return (self.embedding.astype(np.float64) @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float64)
 
 
-def fit(texts: list[str], toxic: np.ndarray, width: int = 8, epochs: int = 90, rate: float = 4.0, seed: int = 11) -> Model:
-    """Full-batch descent, with momentum and a global step size, on the cross-entropy of each text's most toxic window; whole texts for the first epochs."""
+def length_of(n):
+    """What the sum over ``n`` distinct words is divided by."""
+    return LEAST + n**POWER
+
+
+class _Corpus:
+    """The fitting texts as (text, distinct word) pairs and the words' n-gram buckets."""
+
+    def __init__(self, texts: list[str]):
+        vocab: dict[str, int] = {}
+        docs = [np.array([vocab.setdefault(x, len(vocab)) for x in dict.fromkeys(words_of(t))], np.int32) for t in texts]
+        bags, sizes = array("i"), array("i")
+        for x in vocab:
+            before = len(bags)
+            bags.extend(grams(x))
+            sizes.append(len(bags) - before)
+        self.flat, self.sizes = np.frombuffer(bags, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.count = np.array([len(d) for d in docs])
+        self.word, self.doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), self.count)
+        self.share = (1 / length_of(self.count))[self.doc]
+
+    def _buckets(self, words: np.ndarray) -> np.ndarray:
+        """Buckets of the words, one after the other."""
+        n = self.sizes[words]
+        return self.flat[np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def holding(self, group: np.ndarray, groups: int, step: int = 200) -> np.ndarray:
+        """Texts of each group (rows) that hold each bucket (columns)."""
+        out, ends = np.zeros((groups, BUCKETS), np.int32), np.cumsum(self.count)
+        for k in range(0, len(group), step):
+            last = min(k + step, len(group))
+            own = slice(ends[k] - self.count[k], ends[last - 1])
+            words = self.word[own]
+            key = np.unique(np.repeat(self.doc[own], self.sizes[words]) * BUCKETS + self._buckets(words))
+            np.add.at(out, (group[key // BUCKETS], key % BUCKETS), 1)
+        return out
+
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        words = np.add.reduceat(q[self.flat], self.first) / self.sizes
+        return np.bincount(self.doc, words[self.word] * self.share, len(self.count))
+
+    def pull(self, g: np.ndarray) -> np.ndarray:
+        """What a gradient of the texts' margins is for each bucket."""
+        per = np.bincount(self.word, g[self.doc] * self.share, len(self.sizes)) / self.sizes
+        live = np.flatnonzero(per)
+        return np.bincount(self._buckets(live), np.repeat(per[live], self.sizes[live]), BUCKETS)
+
+
+def _odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-odds of each bucket, from the numbers of texts that hold it, shrunk to 0 below ``CHANCE`` standard errors."""
+    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    p = (toxic + clean + 0.5) / (n1 + n0 + 1)
+    z = (toxic / n1 - clean / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    return odds * np.clip((np.abs(z) - CHANCE) / 2, 0, 1) * (toxic + clean > 0)
+
+
+def _descend(corpus: _Corpus, y: np.ndarray, seen: np.ndarray, start: np.ndarray, width: int, epochs: int, rate: float, seed: int):
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.01, (BUCKETS, width))
-    w = rng.normal(0, 0.5, (width, 2))
-    b = np.zeros(2)
-    if not len(texts) or len(set(map(int, toxic))) < 2:
-        return Model(e * 0, w, np.array([2.0, -2.0]))
-    vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(x, len(vocab)) for x in words_of(t)], np.int32) for t in texts]
-    keep = [i for i, d in enumerate(docs) if len(d)]
-    y = np.asarray(toxic, np.int64)[keep]
-    docs = [docs[i] for i in keep]
-    bags, sizes = array("i"), array("i")
-    for x in vocab:
-        before = len(bags)
-        bags.extend(grams(x))
-        sizes.append(len(bags) - before)
-    flat, sizes = np.frombuffer(bags, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
-    first = np.cumsum(sizes) - sizes
-    token = np.concatenate(docs)
-    length = np.array([len(d) for d in docs])
-    at = np.cumsum(length) - length
-    starts = [bounds(n) + a for n, a in zip(length, at)]
-    of_doc = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-    start = np.concatenate(starts)
-    stop = np.append(start[1:], len(token))
-    top = np.cumsum([len(s) for s in starts]) - [len(s) for s in starts]
-    of_fold = np.arange(len(docs)) % 5  # one fold in five is for calibration
-    seen = of_fold > 0
-    weight = seen * np.where(y == 1, 0.5 / max(1, (seen * y).sum()), 0.5 / max(1, (seen * (1 - y)).sum()))
-    momentum, norm = np.zeros(BUCKETS), 1e-12
-    for epoch in range(1, epochs + 1):
-        q = e @ (w[:, 1] - w[:, 0])
-        word = np.add.reduceat(q[flat], first) / sizes
-        score = word[token]
-        if epoch <= epochs // 6:
-            lo, hi = at, at + length
-        else:
-            mean = np.add.reduceat(score, start) / (stop - start)
-            best = np.maximum.reduceat(mean, top)
-            hit = np.flatnonzero(mean == best[of_doc])
-            pick = hit[np.searchsorted(of_doc[hit], np.arange(len(docs)))]
-            lo, hi = start[pick], stop[pick]
-        n = hi - lo
-        index = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        used = token[index]
-        share = np.repeat(1.0 / n, n)
-        margin = np.bincount(np.repeat(np.arange(len(docs)), n), share * score[index], len(docs)) + b[1] - b[0]
-        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        g = (p - y) * weight  # of the log-odds
-        per_word = np.bincount(used, np.repeat(g, n) * share, len(vocab)) / sizes
-        live = np.flatnonzero(per_word)
-        m = sizes[live]
-        at_gram = np.repeat(first[live] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        coef = np.bincount(flat[at_gram], np.repeat(per_word[live], m), BUCKETS)
+    e, w = rng.normal(0, 0.01, (BUCKETS, width)), rng.normal(0, 0.01, (width, 2))
+    e[:, 0] += start
+    w[0] = -0.5, 0.5
+    margin = corpus.margins(e @ (w[:, 1] - w[:, 0]))
+    middle = (margin[seen & (y == 1)].mean() + margin[seen & (y == 0)].mean()) / 2
+    spread = max(1e-9, margin[seen].std())
+    w /= spread
+    b = np.array([middle, -middle]) / spread / 2
+    rate *= math.sqrt(min((seen & (y == 1)).sum(), (seen & (y == 0)).sum()))
+    weight = seen * np.where(y == 1, 0.5 / (seen & (y == 1)).sum(), 0.5 / (seen & (y == 0)).sum())
+    for epoch in range(epochs):
         d = w[:, 1] - w[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(corpus.margins(e @ d) + b[1] - b[0], -40, 40)))
+        g = (p - y) * weight
+        coef = corpus.pull(g)
+        coef = np.sign(coef) * np.maximum(0, np.abs(coef) - FLOOR * np.abs(coef).max())  # rare n-grams of the fitting texts stay put
         toward = coef @ e
-        # One step size for the whole table, so that n-grams of many toxic texts move most and rare ones hardly.
-        pace = rate * min(1.0, 2 * (1 - (epoch - 1) / epochs))
-        momentum[:] = 0.8 * momentum + coef
-        norm = max(norm, np.abs(momentum).max())
-        e += (-pace * momentum / norm)[:, None] * (d / max(1e-12, np.abs(d).max()))[None, :]
-        w += 0.02 * pace * np.stack([toward, -toward], 1) / max(1e-12, np.abs(toward).max())
-        b -= 0.2 * pace * np.array([-g.sum(), g.sum()])
-    held = of_fold == 0
-    margin = np.maximum.reduceat(np.add.reduceat((np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[flat], first) / sizes)[token], start) / (stop - start), top)
-    scale, shift = _calibrate(margin[held], y[held]) if len(set(y[held])) == 2 else (1.0, b[1] - b[0])
+        pace = rate * (1 - epoch / epochs)
+        e -= pace * np.outer(coef / max(1e-12, np.abs(coef).max()), d / max(1e-12, np.abs(d).max()))
+        w += 0.02 * pace * np.abs(d).max() * np.stack([toward, -toward], 1) / max(1e-12, np.abs(toward).max())
+        b += pace * np.array([g.sum(), -g.sum()])
+    return e, w, b
+
+
+def fit(texts: list[str], toxic: np.ndarray, width: int = 8, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
+    """A model of the texts and their classes; the same rows in the same order give the same model.
+
+    Texts without words are left out. Without at least one text of each class, every text with a word gets the same low score.
+    """
+    keep = [i for i, t in enumerate(texts) if t and words_of(t)]
+    y = np.asarray(toxic, np.int64)[keep] if len(texts) else np.zeros(0, np.int64)
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros((BUCKETS, width)), np.zeros((width, 2)), np.array([2.0, -2.0]))
+    texts = [texts[i] for i in keep]
+    corpus = _Corpus(texts)
+    rank = np.zeros(len(y), np.int64)
+    for k in (0, 1):  # every fold gets its part of each class
+        rank[y == k] = np.arange((y == k).sum())
+    fold = rank % FOLDS
+    held = corpus.holding(2 * fold + y, 2 * FOLDS)
+
+    def learn(seen, parts):
+        n1, n0 = (seen & (y == 1)).sum(), (seen & (y == 0)).sum()
+        if not n1 or not n0:
+            return np.zeros((BUCKETS, width)), np.zeros((width, 2)), np.zeros(2)
+        start = _odds(held[[2 * k + 1 for k in parts]].sum(axis=0), held[[2 * k for k in parts]].sum(axis=0), n1, n0)
+        return _descend(corpus, y, seen, start, width, epochs, rate, seed)
+
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        e, w, b = learn(fold != k, [x for x in range(FOLDS) if x != k])
+        margin[fold == k] = (corpus.margins(e @ (w[:, 1] - w[:, 0])) + b[1] - b[0])[fold == k]
+    scale, shift = _calibrate(margin, y)
+    e, w, b = learn(np.ones(len(y), bool), range(FOLDS))
+    shift += scale * (b[1] - b[0])
     return Model(e, w * scale, np.array([-shift / 2, shift / 2]))
 
 
@@ -166,31 +215,27 @@ class Scorer:
         """Probability of the toxic class; 0 for a text without words, which has nothing toxic in it."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        words = words_of(text)
+        words = dict.fromkeys(words_of(text))  # distinct, in the order they come, so that sums are the same each time
         if not words:
             return 0.0
-        s = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
-        at = bounds(len(words))
-        margin = float((np.add.reduceat(s, at) / np.diff(np.append(at, len(words)))).max())
-        return float(1 / (1 + np.exp(-np.clip(margin + self.bias, -40, 40))))
-
-
-_READY: dict[bytes, Scorer] = {}
+        margin = sum(map(self.memo.__getitem__, words)) / length_of(len(words)) + self.bias
+        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, margin)))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``text, toxic``: up to ``rows`` labelled rows of each class outside the held-out quarter, the same ones each time.
+    """``i, text, toxic``: up to ``rows`` labelled rows of each class outside the held-out quarter, the same ones each time.
 
-    Rows with a null text, label or id, and texts longer than ``chars``, aren't taken.
+    Rows with a null text, label or id, and texts longer than ``chars``, aren't taken. An id labelled both ways is toxic; of
+    several texts under one id the first in order is taken. Other columns are ignored.
     """
-    marked = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("toxic")).where("i is not null and toxic in (0, 1)").dropDuplicates(["i"])
-    marked = marked.where(~_held(F.col("i")))
+    marked = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("toxic")).where("i is not null and toxic in (0, 1)")
+    marked = marked.where(~_held(F.col("i"))).groupBy("i").agg(F.max("toxic").alias("toxic"))
     lengths = docs.select(F.col(id_col).alias("i"), F.char_length(text_col).alias("n")).where(F.col("n") <= chars)
     both = lengths.join(marked, "i").select("i", "toxic").distinct()
     order = [F.xxhash64("i"), F.col("i")]
     chosen = both.where("toxic = 1").orderBy(*order).limit(rows).union(both.where("toxic = 0").orderBy(*order).limit(rows))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where(F.char_length("text") <= chars)
-    return texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]).select("text", "toxic")  # 2 * rows ids at most
+    return texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))  # 2 * rows ids at most
 
 
 def _held(i):
@@ -198,30 +243,36 @@ def _held(i):
 
 
 def train(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    found = sample(docs, labels, **names).collect()
-    return fit([r.text for r in found], np.array([r.toxic for r in found]))
+    """The model of :func:`sample`'s rows, which come to the driver (``2 * FIT_ROWS`` texts of ``FIT_CHARS`` at most).
+
+    The same tables give the same model, however they are partitioned. Without any row of one class nothing is learned, and
+    every text with a word scores the same.
+    """
+    found = sorted(((zlib.crc32(str(r.i).encode()), str(r.i), r.text, r.toxic) for r in sample(docs, labels, **names).collect()))
+    return fit([r[2] for r in found], np.array([r[3] for r in found]))
 
 
 def scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the columns named in ``keep``, for every row.
 
     A null text counts as empty and scores 0; repeated rows get equal scores; a null id is not held out; empty in, empty out.
+    Columns that are not kept are ignored, whatever their names; a kept one must not be called as one of the results.
     """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((fitted.margins(), float(fitted.bias[1] - fitted.bias[0])))  # 1 MB, whatever the corpus
     key = hashlib.sha256(sent.value[0].tobytes()).digest()
-    rows = docs.select(F.col(id_col).alias("doc_id"), _held(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_read"), *[F.col(c) for c in keep])
+    if clash := {c.lower() for c in keep} & {"doc_id", "held_out", "score", "predicted"}:
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
+    read = fresh(docs, "read")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _held(F.col(id_col)).alias("held_out"), F.col(text_col).alias(read), *[F.col(c) for c in keep])
 
     def run(batches):
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Scorer(*sent.value)
-        score = _READY[key]
+        score = worker_object(key, lambda: Scorer(*sent.value))
         for batch in batches:
-            s = [score(t.as_py() or "") for t in batch.column("_read")]
+            s = [score(t.as_py() or "") for t in batch.column(read)]
             kept = [batch.column(c) for c in ("doc_id", "held_out", *keep)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", *keep, "score", "predicted"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_read")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != read)
     return rows.mapInArrow(run, f"{types}, score double, predicted int")
