@@ -97,27 +97,35 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.S)
+
+
+def balanced_objects(text: str) -> list[str]:
+    """The outermost stretches between braces; braces inside strings don't count."""
+    out, depth, first = [], 0, 0
+    for m in _TOKEN.finditer(text):
+        if m[0] == "{":
+            first = m.start() if depth == 0 else first
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(text[first : m.end()])
+    return out
+
+
 def json_object(text: str) -> str | None:
-    """The JSON object in a model's answer: the last fenced block, else the whole text, else the last balanced object."""
-    tries = [*re.findall(r"```(?:json)?\s*\n(.*?)```", text, re.S)[::-1], text]
-    decoder = json.JSONDecoder()
-    for t in tries:
+    """The JSON object in a model's answer: the last fenced block that is one; without a fenced object, the whole text, or else
+    the last balanced stretch that is one."""
+    tries = [x for x in _FENCED.findall(text)[::-1] if x.startswith("{")]
+    for t in tries or [text.strip(), *balanced_objects(text)[::-1]]:
         try:
             if isinstance(json.loads(t), dict):
-                return t.strip()
-        except ValueError:
-            pass
-    found, at = None, text.find("{")
-    while at >= 0:
-        try:
-            value, end = decoder.raw_decode(text, at)
+                return t
         except ValueError:
-            at = text.find("{", at + 1)
             continue
-        if isinstance(value, dict):
-            found = text[at:end]
-        at = text.find("{", end)
-    return found
+    return None
 
 
 @F.pandas_udf(StringType())

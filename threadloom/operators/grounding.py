@@ -137,26 +137,27 @@ def ledger_audit(chunks: DataFrame, messages: DataFrame) -> DataFrame:
     return m.join(c, "conv_id", "left").select("conv_id", ((F.col("a") == 1) & (F.col("z") == F.col("n")) & (F.col("d") == F.col("n"))).alias("positions_ok"), (F.col("ids") == F.col("n")).alias("ids_ok"), F.coalesce(F.col("tiles") & (F.col("last") == F.col("n")), F.lit(False)).alias("chunks_ok"))
 
 
-def balanced(items: DataFrame, limit: int) -> DataFrame:
-    """Items (conv_id, chunk_index, depth from 0) chosen by depth round-robin, in (chunk, depth) order.
+def balanced(items: DataFrame, limit: int, *by: str) -> DataFrame:
+    """Items (conv_id, chunk_index, depth from 0) chosen by depth round-robin, for each conversation (and ``by``).
 
     More chunks than ``limit``: evenly spaced ones (the last for a limit of 1). In the level that does not fit whole, the
     chosen are evenly spaced too (the middle one if one place is left).
     """
-    w = Window.partitionBy("conv_id")
+    keys = ["conv_id", *by]
+    w = Window.partitionBy(*keys)
     chunk = F.dense_rank().over(w.orderBy("chunk_index")) - 1
     rows = items.withColumn("g", chunk).withColumn("groups", F.max("g").over(w) + 1)
     if limit == 1:
         rows = rows.where("g = groups - 1")
     else:
         rows = rows.where((F.col("groups") <= limit) | F.array_contains(F.expr(f"transform(sequence(0, {limit - 1}), i -> cast(bround(i * (groups - 1) / {limit - 1}) as int))"), F.col("g")))
-    level = Window.partitionBy("conv_id", "depth")
-    rows = rows.withColumn("at", F.row_number().over(level.orderBy("chunk_index")) - 1).withColumn("of", F.count("*").over(level))
-    sizes = rows.groupBy("conv_id", "depth").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(sizes.select("conv_id", "depth", (F.lit(limit) - before).alias("left")), ["conv_id", "depth"]).where("left > 0")
-    some = F.expr("CASE WHEN of <= left THEN true WHEN left = 1 THEN at = (of - 1) div 2 ELSE array_contains(transform(sequence(0, cast(left - 1 as int)), i -> cast(bround(i * (of - 1) / (left - 1)) as int)), at) END")
-    return rows.where(some).drop("g", "groups", "at", "of", "left")
+    level = Window.partitionBy(*keys, "depth")
+    rows = rows.withColumn("at_", F.row_number().over(level.orderBy("chunk_index")) - 1).withColumn("of_", F.count("*").over(level))
+    sizes = rows.groupBy(*keys, "depth").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*keys).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select(*keys, "depth", (F.lit(limit) - before).alias("left_")), [*keys, "depth"]).where("left_ > 0")
+    some = F.expr("CASE WHEN of_ <= left_ THEN true WHEN left_ = 1 THEN at_ = (of_ - 1) div 2 ELSE array_contains(transform(sequence(0, cast(left_ - 1 as int)), i -> cast(bround(i * (of_ - 1) / (left_ - 1)) as int)), at_) END")
+    return rows.where(some).drop("g", "groups", "at_", "of_", "left_")
 
 
 def evenly_spaced(rows: DataFrame, k: int, order: str) -> DataFrame:

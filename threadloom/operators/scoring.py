@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.ship import ship
 
 #: The bootstrap's repeats and seed, and its order statistics.
@@ -140,3 +141,30 @@ def annotations(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     same = lambda m: F.sort_array(F.map_entries(m))
     ok = (F.col("proposition") == F.col("_p")) & (F.col("assessment") == F.col("_a")) & (same("roles") == same("_r")) & (F.size(F.array_except("required_positions", "_v")) == 0)
     return both.select("case_id", F.coalesce(ok, F.lit(False)).alias("passed"), F.col("_p").isNull().alias("missing"))
+
+
+def macros(rows: DataFrame) -> DataFrame:
+    """``sample_macro_f1, label_macro_f1, jaccard``: means over cases, and over (dim, level), where something was to be met."""
+    g, p = F.col("gold"), F.col("pred")
+    tp, fp, fn = F.count_if(g == p), F.count_if(g != p), F.count_if(g.isNotNull() & (p.isNull() | (g != p)))
+    case = rows.groupBy("case_id").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).where("tp + fp + fn > 0")
+    f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    by_case = case.agg(F.avg(f1).alias("sample_macro_f1"), F.avg(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn"))).alias("jaccard"))
+    known = rows.where("gold is not null")
+    met = known.select("dim", g.alias("level"), (F.coalesce(g == p, F.lit(False))).alias("hit"), F.lit(False).alias("false_"))
+    told = known.where("pred <> gold").select("dim", p.alias("level"), F.lit(None).cast("boolean").alias("hit"), F.lit(True).alias("false_"))
+    label = met.union(told).groupBy("dim", "level").agg(F.count_if(F.col("hit")).alias("tp"), F.count_if("false_").alias("fp"), F.count_if(~F.col("hit")).alias("fn"))
+    return by_case.crossJoin(label.agg(F.avg(f1).alias("label_macro_f1"))).select("sample_macro_f1", "label_macro_f1", "jaccard")  # one row each
+
+
+def extraction_violations(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """Labels (case_id, dim, value, confidence, quote, source) that break a rule of extraction, with the rule.
+
+    A value is a level or null, a confidence lies in 0 to 1, and a level's quote stands in the source.
+    """
+    bad_quote = F.col("value").isNotNull() & F.coalesce((tx.stripped(F.col("quote")) == "") | ~F.contains("source", "quote"), F.lit(True))
+    rules = [
+        F.when(F.col("value").isNotNull() & ~F.col("value").isin(0, 1, 2), "value"), F.when(F.coalesce(~F.col("confidence").between(0, 1), F.lit(True)), "confidence"),
+        F.when(bad_quote, "quote"), F.when(F.coalesce(~F.col("dim").isin(*dims), F.lit(True)), "dimension"),
+    ]
+    return rows.select("case_id", "dim", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("violation"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +154,39 @@ def quarter_coverage(rows: DataFrame) -> DataFrame:
     each = rows.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("position")) - 1)
     slice_ = F.expr("size(filter(array(1, 2, 3), i -> r >= i * n div 4))")
     return each.groupBy("conv_id", slice_.alias("quarter")).agg(F.count("*").alias("total"), F.count_if("chosen").alias("chosen"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+
+
+def repetition_windows(messages: DataFrame, quotes: DataFrame, budget: int = 24_000) -> DataFrame:
+    """``conv_id, position, covered``: where a quoted text occurs more than once, and which of these windows fit a budget.
+
+    ``quotes``: conv_id, content. In order of position, a window's rows that are not in yet are added if their bytes still
+    fit; one that does not fit is passed over, and later ones are tried.
+    """
+    from .sessions import anchor_windows
+
+    hits = messages.join(quotes.select("conv_id", "content").distinct(), ["conv_id", "content"], "left_semi")
+    many = hits.withColumn("n", F.count("*").over(Window.partitionBy("conv_id", "content"))).where("n > 1").select("conv_id", "position")
+    windows = anchor_windows(messages, many).select("conv_id", "position", "left", "right")
+    upto = Window.partitionBy("conv_id").orderBy("position")
+    cost = F.sum(F.octet_length(F.coalesce("content", F.lit(""))) + 1).over(upto)  # bytes of all rows up to one
+    held = messages.select("conv_id", F.col("position").alias("p"), cost.alias("upto"))
+    ends = windows.join(held.select("conv_id", F.col("p").alias("right"), F.col("upto").alias("z")), ["conv_id", "right"]).join(held.select("conv_id", (F.col("p") + 1).alias("left"), F.col("upto").alias("a")), ["conv_id", "left"], "left").fillna(0, ["a"])
+    rows = ends.select("conv_id", "position", "left", "right", "a", "z").repartition("conv_id").sortWithinPartitions("conv_id", "position")
+
+    def run(batches):
+        conv, left_over, reach, reach_bytes = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for c, left, right, a, z in zip(*(b.column(x).to_pylist() for x in ("conv_id", "left", "right", "a", "z")), strict=True):
+                if c != conv:
+                    conv, left_over, reach, reach_bytes = c, budget, 0, 0
+                # Windows come in order of their anchors, so both of their ends only grow: what is in is all up to ``reach``.
+                new = 0 if right <= reach else z - (reach_bytes if left <= reach else a)
+                fits = new <= left_over
+                if fits and right > reach:
+                    left_over, reach, reach_bytes = left_over - new, right, z
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("position"), pa.array(out, pa.bool_())], ["conv_id", "position", "covered"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, position {kinds['position']}, covered boolean")
