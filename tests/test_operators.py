@@ -339,8 +339,8 @@ def test_selection():
     rows = {"s": [f"- x / {'support' if k % 2 else 'against'}: {k}" for k in range(20)]}
     kept = selection.pack_sections(rows, 200)["s"]
     assert abs(sum("support" in r for r in kept) - sum("against" in r for r in kept)) <= 1 and sum(len(r) + 1 for r in kept) + 2 <= 200
-    best = selection.best_sessions([("a", 60, {"q1": 1.0}), ("b", 50, {"q2": 1.0}), ("c", 100, {"q1": 5.0})], 110)
-    assert best.chosen == ("a", "b") and best.covered == {"q1", "q2"}
+    best = selection.best_sessions({"a": 60, "b": 50, "c": 100}, [("q1", frozenset("a"), 1.0), ("q2", frozenset("b"), 1.0), ("q1", frozenset("c"), 5.0)], 110)
+    assert best == {"a", "b"}
 
 
 def test_text_functions(spark):

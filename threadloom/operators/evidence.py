@@ -153,3 +153,31 @@ def phase_measures(texts: DataFrame) -> DataFrame:
         "conv_id", "name", F.octet_length("body").alias("bytes"), found(r"\bE_[0-9a-f]{32}\b").alias("n_ids"), found(r"\b\d{4}-\d{2}-\d{2}\b").alias("n_dates"),
         (has("【我】", " / 我 / ") & has("【对方】", " / 对方 / ")).alias("has_speakers"), has("反证").alias("has_counter"), has("验证的问题", "存疑").alias("has_open"),
     )
+
+
+def extracted(chunks: DataFrame, extractor) -> DataFrame:
+    """``conv_id, chunk_index, answer``: what a model (or its stand-in) says of each chunk's transcript.
+
+    ``extractor`` takes and gives pandas frames, a batch at a time, in the Python workers: conv_id, chunk_index, transcript
+    in, conv_id, chunk_index, answer out.
+    """
+    rows = chunks.select("conv_id", "chunk_index", "transcript")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInPandas(lambda frames: (extractor(f) for f in frames), f"conv_id {kinds['conv_id']}, chunk_index {kinds['chunk_index']}, answer string")
+
+
+def artefact_audit(documents: DataFrame, items: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``conv_id, violation``: counts of a run's artefacts that do not agree with each other.
+
+    A document for each planned chunk and no other, items only of documents that were read, and an open question from each
+    that could not be.
+    """
+    keys = ["conv_id", "chunk_index"]
+    d, m = documents.groupBy(*keys).agg(F.count("*").alias("n"), F.min("parse_status").alias("parse_status")), manifest.select(*keys).distinct().withColumn("planned", F.lit(True))
+    i = items.groupBy(*keys).agg(F.count("*").alias("items"), F.count_if(F.col("category") == "uncertainties").alias("open"))
+    both = m.join(d, keys, "full").join(i, keys, "full")
+    rules = [
+        F.when(F.col("planned").isNull() & F.col("n").isNotNull(), "extra_document"), F.when(F.col("n").isNull() & F.col("planned"), "missing_document"), F.when(F.col("n") > 1, "repeated_document"),
+        F.when(F.col("items").isNotNull() & F.col("n").isNull(), "stray_items"), F.when((F.col("parse_status") == "fallback") & ((F.coalesce("open", F.lit(0)) != 1) | (F.col("items") != 1)), "fallback_items"),
+    ]
+    return both.select(*keys, F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("violation"))

@@ -125,3 +125,65 @@ def masked(text: Column, kinds: tuple[str, ...] = ("url", "email")) -> Column:
     for k in kinds:
         text = F.regexp_replace(text, PATTERNS[k], f"[{LABELS[k]}]")
     return text
+
+
+#: Fixed value: the revision of these rules, part of a policy's fingerprint.
+POLICY, OTHER = "1", "其他消息"
+
+
+def policy(terms: list[str] | None = None) -> str:
+    """The fingerprint of the rules and the custom terms."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps([POLICY, custom_terms(terms or [])], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def snapshot(messages: DataFrame, kinds: tuple[str, ...], aliases: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
+    """Messages as they may leave: redacted, with neutral types, ids and times.
+
+    ``messages``: conv_id, original_index, type, content, time_str, source_message_id. A type that is not among ``kinds``
+    becomes another message's, a time that is none is redacted like text (with the numbers of its conversation), and a source
+    id becomes its place.
+    """
+    from ..functions import times
+
+    bad = times.parse_time(F.col("time_str")).isNull() & F.col("time_str").isNotNull()
+    i = F.col("original_index").cast("long")
+    texts = messages.select("conv_id", (i * 2).alias("original_index"), "content").union(messages.where(bad).select("conv_id", (i * 2 + 1).alias("original_index"), F.col("time_str").alias("content")))
+    done = redact(texts, aliases, terms)
+    body = done.where("original_index % 2 = 0").select("conv_id", F.expr("original_index div 2").alias("_i"), "content")
+    when = done.where("original_index % 2 = 1").select("conv_id", F.expr("original_index div 2").alias("_i"), F.col("content").alias("_time"))
+    rows = messages.drop("content").withColumn("_i", i).join(body, ["conv_id", "_i"]).join(when, ["conv_id", "_i"], "left")
+    return rows.select(
+        "conv_id", "original_index", F.when(F.col("type").isin(*kinds), F.col("type")).otherwise(OTHER).alias("type"), "content", F.coalesce("_time", "time_str").alias("time_str"),
+        F.when(F.col("source_message_id").isNotNull(), F.concat(F.lit("source:"), (F.col("original_index") + 1).cast("string"))).alias("source_message_id"),
+    )
+
+
+def redact_json(rows: DataFrame, enums: dict[str, tuple[str, ...]], aliases: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
+    """``rows`` (conv_id, original_index, answer) with every string inside the JSON of ``answer`` redacted.
+
+    Strings are taken out, redacted as rows and put back, so that keys, numbers and structure stay; a field of ``enums`` keeps
+    a legal value even if it is somebody's name. An answer that is no JSON is redacted as text.
+    """
+    parts = rows.select("conv_id", "original_index", "answer", F.call_function("try_parse_json", "answer").isNotNull().alias("is_json"))
+    token = r'"(?:[^"\\\\]|\\\\.)*"(?:\\s*:)?'
+    found = F.expr(f"CASE WHEN is_json THEN regexp_extract_all(answer, '{token}', 0) ELSE array(answer) END")
+    each = parts.select("conv_id", "original_index", "answer", "is_json", F.posexplode(found).alias("at", "s"))
+    key = F.col("is_json") & F.col("s").rlike(r":$")
+    legal = F.lit(False)
+    w = Window.partitionBy("conv_id", "original_index").orderBy("at")
+    for name, values in enums.items():
+        legal = legal | (F.lag("s").over(w).rlike(rf'^"{name}"\s*:$') & F.col("s").isin(*[f'"{v}"' for v in values]))
+    each = each.withColumn("stay", key | F.coalesce(legal, F.lit(False)))
+    plain = F.when(F.col("is_json"), F.get(F.from_json(F.concat(F.lit("["), "s", F.lit("]")), "array<string>"), F.lit(0))).otherwise(F.col("s"))
+    place = F.col("original_index").cast("long") * (1 << 20) + F.col("at")
+    texts = each.where("not stay").select("conv_id", place.alias("original_index"), plain.alias("content"))
+    done = redact(texts, aliases, terms).select("conv_id", F.col("original_index").alias("_p"), F.col("content").alias("_t"))
+    again = F.when(F.col("is_json"), F.regexp_replace(F.regexp_replace(F.to_json(F.array("_t")), r"^\[", ""), r"\]$", "")).otherwise(F.col("_t"))
+    both = each.withColumn("_p", place).join(done, ["conv_id", "_p"], "left").withColumn("s", F.when(F.col("stay"), F.col("s")).otherwise(again))
+    put = both.groupBy("conv_id", "original_index", "answer", "is_json").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("new"))
+    between = F.expr(f"CASE WHEN is_json THEN split(answer, '{token}', -1) ELSE array('', '') END")
+    joined = F.array_join(F.expr("zip_with(old, new, (a, b) -> concat(a, coalesce(b, '')))"), "")
+    return put.withColumn("old", between).select("conv_id", "original_index", joined.alias("answer"))

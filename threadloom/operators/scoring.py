@@ -168,3 +168,19 @@ def extraction_violations(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         F.when(bad_quote, "quote"), F.when(F.coalesce(~F.col("dim").isin(*dims), F.lit(True)), "dimension"),
     ]
     return rows.select("case_id", "dim", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("violation"))
+
+
+def permuted(rows: DataFrame) -> DataFrame:
+    """A baseline that keeps scenes and shifts persons: each profile gets the predictions of the next one in order, and the
+    last those of the first, for the same (variant, dim); nobody keeps their own unless there is one profile."""
+    order = Window.orderBy("profile")  # a row per profile
+    names = rows.select("profile").distinct().withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))
+    other = names.select(F.col("profile").alias("_next"), "k")
+    pairs = names.select("profile", (F.col("k") % F.col("n") + 1).alias("k")).join(other, "k").drop("k")
+    given = rows.select(F.col("profile").alias("_next"), "variant", "dim", F.col("pred").alias("_pred"))
+    return rows.drop("pred").join(pairs, "profile").join(given, ["_next", "variant", "dim"], "left").drop("_next").withColumnRenamed("_pred", "pred")
+
+
+def uniform(rows: DataFrame, trial: int = 0, levels: int = 3) -> DataFrame:
+    """A baseline of levels drawn evenly, the same ones for the same trial."""
+    return rows.withColumn("pred", F.pmod(F.xxhash64("case_id", "dim", F.lit(trial)), F.lit(levels)).cast("int"))

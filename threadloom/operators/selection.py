@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import markdown_blocks
+
 
 def spread_order(values: list) -> Iterator:
     """Middle, first, last, then the middles of what lies between, level by level; a longer prefix keeps a shorter one."""
@@ -80,32 +82,85 @@ def pack_sections(sections: dict[str, list[str]], budget: int, first: tuple[str,
 
 
 @dataclass(frozen=True)
-class State:
-    cost: int = 0
-    gain: float = 0.0
-    covered: frozenset = field(default_factory=frozenset)
-    chosen: tuple = ()
+class Choice:
+    """Sessions chosen together, their bytes, and the share of each question's weight that they answer."""
+
+    sessions: frozenset
+    cost: int
+    shares: tuple
 
+    def worth(self) -> tuple:
+        """The worst answered question counts first, then the next; of equals the smaller choice is worth more."""
+        return tuple(sorted(self.shares)), -self.cost
 
-def best_sessions(sessions: list[tuple[str, int, dict[str, float]]], budget: int, width: int = 8) -> State:
-    """Sessions (name, bytes, weight by question) within a budget: most questions covered, then most weight, then fewest bytes.
 
-    States are kept apart by the questions they cover; of each the ``width`` best and the ``width`` cheapest go on.
+def best_sessions(costs: dict, groups: list[tuple[str, frozenset, float]], budget: int, rendered=None, width: int = 8) -> frozenset:
+    """The sessions (bytes by name) that answer the questions most evenly within a budget.
+
+    ``groups``: question, the sessions that a query hits, weight; a query counts once all of its sessions are in. Choices
+    that answer the same questions compete: the ``width`` best and the ``width`` cheapest of them go on. ``rendered`` gives
+    the bytes that a choice really takes, and the best choice that fits is returned; none if nothing does.
+    """
+    questions = sorted({g[0] for g in groups}, key=str)
+    total = {q: sum(w for of, _, w in groups if of == q) for q in questions}
+
+    def choice(sessions: frozenset) -> Choice:
+        got = [sum(w for of, need, w in groups if of == q and need <= sessions) / total[q] for q in questions]
+        return Choice(sessions, sum(costs[x] for x in sessions), tuple(got))
+
+    kept = [choice(frozenset())]
+    for need in dict.fromkeys(g[1] for g in groups):
+        rivals: dict[tuple, set[Choice]] = {}
+        for c in {*kept, *(choice(k.sessions | need) for k in kept)}:
+            if c.cost <= budget:
+                rivals.setdefault(tuple(x > 0 for x in c.shares), set()).add(c)
+        name = lambda c: sorted(map(str, c.sessions))  # noqa: E731  ties don't depend on the order of a set
+        kept = []
+        for of in rivals.values():
+            steady = sorted(of, key=name)
+            best = sorted(steady, key=Choice.worth, reverse=True)[:width]
+            cheap = sorted(steady, key=lambda c: (c.cost, [-x for x in sorted(c.shares)]))[:width]
+            kept += dict.fromkeys(best + cheap)
+    for c in sorted(kept, key=Choice.worth, reverse=True):
+        if rendered is None or rendered(c.sessions) <= budget:
+            return c.sessions
+    return frozenset()
+
+
+def first_occurrences(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """Distinct values per conversation in the order they first occur: ``conv_id, value, rank``."""
+    first = rows.groupBy("conv_id", value).agg(F.min(order).alias("_f"))
+    return first.select("conv_id", value, F.row_number().over(Window.partitionBy("conv_id").orderBy("_f", value)).alias("rank"))
+
+
+def pruned(ids: str, visible: str) -> tuple[Column, Column]:
+    """What of an array of ids is kept, and what goes, when only some are visible."""
+    return F.array_intersect(ids, visible), F.array_except(ids, visible)
+
+
+def phase_budget(summaries: list[str], budget: int, most: int = 6) -> str:
+    """Summaries of phases within a budget of bytes: all if they fit, else evenly spaced ones, by whole blocks.
+
+    A summary is a first line and sections under ``###``; each block goes in whole or not at all.
     """
-    states = {frozenset(): [State()]}
-    for name, cost, weights in sessions:
-        more: dict[frozenset, list[State]] = {k: list(v) for k, v in states.items()}
-        for group in states.values():
-            for s in group:
-                if s.cost + cost <= budget:
-                    t = State(s.cost + cost, s.gain + sum(weights.values()), s.covered | frozenset(weights), (*s.chosen, name))
-                    more.setdefault(t.covered, []).append(t)
-        states = {}
-        for k, group in more.items():
-            best = sorted(group, key=lambda s: (-s.gain, s.cost, s.chosen))[:width]
-            cheap = sorted(group, key=lambda s: (s.cost, -s.gain, s.chosen))[:width]
-            states[k] = list(dict.fromkeys(best + cheap))
-    return min((s for g in states.values() for s in g), key=lambda s: (-len(s.covered), -s.gain, s.cost, s.chosen))
+    whole = "\n\n".join(summaries)
+    if len(whole.encode()) <= budget or not summaries:
+        return whole
+    n = len(summaries)
+    take = range(n) if n <= most else [round(k * (n - 1) / (most - 1)) for k in range(most)]
+    head = f"[阶段材料共 {n} 份，预算选取 {len(take)} 份；按完整 Markdown 单元选择，存在省略。阶段解释均待原文复核。]"
+    sections: dict[str, list[str]] = {}
+    for k in take:
+        top, _, rest = summaries[k].partition("\n")
+        title = top
+        for block in markdown_blocks(rest):
+            if block.startswith("### "):
+                title = f"{top}\n{block}"
+            else:
+                sections.setdefault(title, []).append(block)
+    size = sum(len(t.encode()) + 2 for t in sections) + len(head.encode()) + 2
+    packed = pack_sections({t: [b.replace("\n", "\0") + "\0" for b in blocks] for t, blocks in sections.items()}, budget - size + sum(len(t.encode()) + 1 for t in sections))
+    return "\n\n".join([head, *(x for t, blocks in packed.items() for x in (t, *(b[:-1].replace("\0", "\n") for b in blocks)))])
 
 
 def select_units(units: list[dict], cost_of, budget: int) -> list[str]:

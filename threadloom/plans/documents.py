@@ -291,3 +291,68 @@ def latest_usage_session(spark, sf_dir):
     none = F.lit(None).cast("string")
     log = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("time"), F.lit("s").alias("stage"), F.lit("m").alias("model"), F.struct(p.cast("string").alias("prompt_tokens"), c.cast("string").alias("completion_tokens"), (p + c).cast("string").alias("total_tokens"), none.alias("prompt_cache_hit_tokens"), none.alias("prompt_cache_miss_tokens"), none.alias("reasoning_tokens")).alias("usage"))
     return usage.latest_session(usage.normalised(log)).select("session_id", "requests", "total_tokens")
+
+
+_PERM = """WITH r AS (SELECT d.doc_id, d.source AS profile, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS variant, CAST(l.quality AS INTEGER) AS pred FROM documents d LEFT JOIN labels l USING (doc_id)),
+n AS (SELECT profile, row_number() OVER (ORDER BY profile) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT profile FROM r))"""
+
+
+@query(_PERM + " SELECT r.doc_id AS case_id, o.pred FROM r JOIN n a USING (profile) JOIN n b ON b.k = a.k % a.n + 1 LEFT JOIN r o ON o.profile = b.profile AND o.variant = r.variant")
+def permuted_baseline(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents").withColumn("variant", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    lab = td.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("pred"))
+    rows = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("case_id"), F.col("source").alias("profile"), "variant", F.lit("d").alias("dim"), "pred")
+    return scoring.permuted(rows).select("case_id", "pred")
+
+
+@query(_EV + ", f AS (SELECT conv_id, event_type, min(position) AS p FROM m GROUP BY ALL) SELECT conv_id, event_type, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS rank FROM f")
+def first_occurrences(spark, sf_dir):
+    return selection.first_occurrences(td.events(spark, sf_dir).withColumnRenamed("type", "event_type"), "event_type", "position")
+
+
+@query("WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_id % 20))) AS ids, list_distinct(list(event_id % 7)) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY user_id) SELECT user_id, [x FOR x IN ids IF list_contains(seen, x)] AS kept, [x FOR x IN ids IF NOT list_contains(seen, x)] AS gone FROM u")
+def pruned_ids(spark, sf_dir):
+    e = td.table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set(F.col("event_id") % 20)).alias("ids"), F.collect_set(F.col("event_id") % 7).alias("seen"))
+    kept, gone = selection.pruned("ids", "seen")
+    return e.select("user_id", kept.alias("kept"), gone.alias("gone"))
+
+
+@query(_EV + " SELECT conv_id, idx AS original_index, CASE WHEN event_type = 'error' THEN '其他消息' ELSE event_type END AS type, event_type || ' [邮箱1] [手机号1]' AS content, CASE WHEN idx % 10 = 0 THEN 'at [手机号1]' ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS time_str, CASE WHEN idx % 2 = 0 THEN 'source:' || (idx + 1) END AS source_message_id FROM m")
+def safe_snapshot(spark, sf_dir):
+    from ..operators import redaction
+
+    i, c = F.col("original_index"), F.col("conv_id").cast("string")
+    phone = F.concat(F.lit("1380013"), F.lpad(c, 4, "0"))
+    m = td.events(spark, sf_dir).select("conv_id", "original_index", "type", F.concat("content", F.lit(" u"), c, F.lit("@x.org "), phone).alias("content"), F.when(i % 10 == 0, F.concat(F.lit("at +86"), phone)).otherwise(F.col("time_str")).alias("time_str"), F.when(i % 2 == 0, F.lit("secret")).alias("source_message_id"))
+    return redaction.snapshot(m, ("click", "view", "purchase", "scroll", "login", "logout", "signup"))
+
+
+@query(_EV + """ SELECT conv_id, idx AS original_index, CASE WHEN idx % 3 = 0 THEN 'mail [邮箱1]' ELSE '{"u@x.org": "[邮箱1]", "n": ' || idx || ', "confidence": "high", "other": "对方", "list": ["[邮箱1] \\"q\\"", true]}' END AS answer FROM m""")
+def redacted_answers(spark, sf_dir):
+    from ..operators import redaction
+
+    mail, i = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@x.org")), F.col("original_index")
+    body = F.concat(F.lit('{"u@x.org": "'), mail, F.lit('", "n": '), i.cast("string"), F.lit(', "confidence": "high", "other": "high", "list": ["'), mail, F.lit(' \\"q\\"", true]}'))
+    rows = td.events(spark, sf_dir).select("conv_id", "original_index", F.when(i % 3 == 0, F.concat(F.lit("mail "), mail)).otherwise(body).alias("answer"))
+    known = rows.select("conv_id").distinct().select("conv_id", F.lit("high").alias("value"), F.lit("对方").alias("alias"))
+    return redaction.redact_json(rows, grounding.ENUMS, known)
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) AS html_md5 FROM pages")
+def html_escapes(spark, sf_dir):
+    from ..functions import text as tx
+
+    return td.table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_escaped(F.col("html"))).alias("html_md5"))
+
+
+@query("""WITH x AS (SELECT DISTINCT user_id % 12 AS conv_id, user_id AS chunk_index FROM events WHERE user_id IS NOT NULL)
+SELECT conv_id, chunk_index, 'missing_document' AS violation FROM x WHERE chunk_index % 10 = 1 UNION ALL SELECT conv_id, chunk_index, 'stray_items' FROM x WHERE chunk_index % 10 = 1 AND chunk_index % 3 = 0 UNION ALL SELECT conv_id, chunk_index, 'extra_document' FROM x WHERE chunk_index % 10 = 2 UNION ALL SELECT conv_id, chunk_index, 'repeated_document' FROM x WHERE chunk_index % 10 = 3
+UNION ALL SELECT conv_id, chunk_index, 'fallback_items' FROM x WHERE chunk_index % 10 = 4 AND chunk_index % 3 = 0""")
+def artefact_audits(spark, sf_dir):
+    """Planned chunks of which some have no document, some one too many, and some items that do not go with it."""
+    x = td.table(spark, sf_dir, "events").where("user_id is not null").select((F.col("user_id") % 12).alias("conv_id"), F.col("user_id").alias("chunk_index")).distinct()
+    k = F.col("chunk_index")
+    documents = x.where(k % 10 != 1).withColumn("parse_status", F.when(k % 10 == 4, "fallback").otherwise("ok"))
+    documents = documents.union(documents.where(k % 10 == 3))
+    items = x.where((k % 3 == 0) & (k % 10 != 4)).withColumn("category", F.lit("events")).union(x.where(k % 10 == 4).withColumn("category", F.lit("uncertainties"))).union(x.where((k % 10 == 4) & (k % 3 == 0)).withColumn("category", F.lit("events")))
+    return evidence.artefact_audit(documents, items, x.where(k % 10 != 2))

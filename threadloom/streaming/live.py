@@ -5,10 +5,14 @@ Messages arrive as (conv_id, time, sender); rows later than the watermark are dr
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from ..operators import usage
 from ..operators.sessions import GAP
 
 
@@ -22,6 +26,53 @@ def daily(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("time", late).groupBy("conv_id", F.window("time", "1 day")).agg(F.count("*").alias("total")).select("conv_id", F.col("window.start").alias("day"), "total")
 
 
+def tumbling(stream: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """Messages by conversation, sender and window of ``length``."""
+    w = F.window("time", length)
+    return stream.withWatermark("time", late).groupBy("conv_id", "sender", w).agg(F.count("*").alias("total")).select("conv_id", "sender", F.col("window.start").alias("start"), "total")
+
+
+def out_of_order(stream: DataFrame) -> DataFrame:
+    """``conv_id, time, sender, late``: whether a later message of its conversation has come before it."""
+    def step(key, batches, state):
+        newest = state.get[0] if state.exists else None
+        out = []
+        for pdf in batches:
+            for s, t in pdf[["sender", "time"]].itertuples(index=False):
+                out.append((key[0], t, s, newest is not None and t < newest))
+                newest = t if newest is None else max(newest, t)
+        state.update((newest,))
+        yield pd.DataFrame(out, columns=["conv_id", "time", "sender", "late"])
+
+    return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id string, time timestamp, sender string, late boolean", "newest timestamp", "append", "NoTimeout")
+
+
+def usage_log(spark: SparkSession, path: str) -> DataFrame:
+    """The running roll-up by stage of an append-only usage log (JSON lines); for output mode ``complete``."""
+    schema = "session_id string, time string, stage string, model string, usage struct<prompt_tokens: string, completion_tokens: string, total_tokens: string, prompt_cache_hit_tokens: string, prompt_cache_miss_tokens: string, reasoning_tokens: string>"
+    return usage.normalised(spark.readStream.schema(schema).json(path)).groupBy("stage").agg(*usage.measures())
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the last events of queries: (event, query's name or id, batch, input rows)."""
+
+    def __init__(self, most: int = 1000):
+        self.events: deque = deque(maxlen=most)
+
+    def onQueryStarted(self, event):  # noqa: N802  names of the interface
+        self.events.append(("started", event.name or str(event.id), None, None))
+
+    def onQueryProgress(self, event):  # noqa: N802
+        p = event.progress
+        self.events.append(("progress", p.name or str(p.id), p.batchId, p.numInputRows))
+
+    def onQueryIdle(self, event):  # noqa: N802
+        self.events.append(("idle", str(event.id), None, None))
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        self.events.append(("failed" if event.exception else "ended", str(event.id), None, None))
+
+
 def turns(stream: DataFrame) -> DataFrame:
     """Finished speaker turns, with the running one kept as state per conversation."""
     def step(key, batches, state):
