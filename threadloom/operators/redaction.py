@@ -170,7 +170,7 @@ def redact_json(rows: DataFrame, enums: dict[str, tuple[str, ...]], aliases: Dat
     parts = rows.select("conv_id", "original_index", "answer", F.call_function("try_parse_json", "answer").isNotNull().alias("is_json"))
     token = r'"(?:[^"\\\\]|\\\\.)*"(?:\\s*:)?'
     found = F.expr(f"CASE WHEN is_json THEN regexp_extract_all(answer, '{token}', 0) ELSE array(answer) END")
-    each = parts.select("conv_id", "original_index", "answer", "is_json", F.posexplode(found).alias("at", "s"))
+    each = parts.select("conv_id", "original_index", "answer", "is_json", F.posexplode_outer(found).alias("at", "s"))
     key = F.col("is_json") & F.col("s").rlike(r":$")
     legal = F.lit(False)
     w = Window.partitionBy("conv_id", "original_index").orderBy("at")
