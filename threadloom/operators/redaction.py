@@ -181,7 +181,7 @@ def redact_json(rows: DataFrame, enums: dict[str, tuple[str, ...]], aliases: Dat
     place = F.col("original_index").cast("long") * (1 << 20) + F.col("at")
     texts = each.where("not stay").select("conv_id", place.alias("original_index"), plain.alias("content"))
     done = redact(texts, aliases, terms).select("conv_id", F.col("original_index").alias("_p"), F.col("content").alias("_t"))
-    again = F.when(F.col("is_json"), F.regexp_replace(F.regexp_replace(F.to_json(F.array("_t")), r"^\[", ""), r"\]$", "")).otherwise(F.col("_t"))
+    again = F.when(F.col("_t").isNull(), "").when(F.col("is_json"), F.regexp_replace(F.regexp_replace(F.to_json(F.array("_t")), r"^\[", ""), r"\]$", "")).otherwise(F.col("_t"))
     both = each.withColumn("_p", place).join(done, ["conv_id", "_p"], "left").withColumn("s", F.when(F.col("stay"), F.col("s")).otherwise(again))
     put = both.groupBy("conv_id", "original_index", "answer", "is_json").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("new"))
     between = F.expr(f"CASE WHEN is_json THEN split(answer, '{token}', -1) ELSE array('', '') END")
