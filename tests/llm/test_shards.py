@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.rows import awkward, empty
 from threadloom.llm import shards
 from threadloom.llm.queries import op6_bounded_ring
@@ -44,3 +46,30 @@ def test_rows_stay_near_their_arc_and_move_little(spark, sf):
     grown = {r.doc_id: r.shard for r in shards.assign(docs, k + 1, eps).collect()}
     moved = sum(grown[i] != r.shard for i, r in got.items())
     assert moved < 0.4 * len(got)
+
+
+def plain_walk(rows, points, shards, capacities):
+    """rows: (at, key); every row asks the shard of the first point not before it, and goes on clockwise from full ones."""
+    room, placed = list(capacities), {}
+    arcs = {}
+    for at, key in sorted(rows):
+        arc = next((k for k, p in enumerate(points) if at <= p[0]), 0)
+        arcs.setdefault(arc, []).append(key)
+    for arc in range(len(points)):  # arcs are served in ring order, the rows beyond the last point with those of the first
+        for key in arcs.get(arc, []):
+            at = arc
+            while room[points[at][1]] == 0:
+                at = (at + 1) % len(points)
+            room[points[at][1]] -= 1
+            placed[key] = points[at][1]
+    return placed
+
+
+def test_query_equals_a_plain_walk(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    points = [(p.at, p.shard) for p in spark.range(1).select(shards.ring(16).alias("p")).first().p]
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32(text), (F.octet_length(text) + 1).cast("long")), 33).alias("at")).collect()
+    n = len(rows)
+    want = plain_walk([(r.at, r.doc_id) for r in rows], points, 16, [n // 16 + (s < n % 16) for s in range(16)])
+    assert {r.doc_id: r.shard for r in op6_bounded_ring(spark, sf).collect()} == want
