@@ -234,3 +234,64 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         q = live.out_of_order(spark.readStream.schema(schema).json(str(source))).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def plain_scores(rows):
+    """rows: (gold, pred); the metrics of a bootstrap by definition."""
+    known = [(g, p) for g, p in rows if g is not None]
+    both = [(g, p) for g, p in known if p is not None]
+    tp = sum(g == p for g, p in both)
+    f1 = 2 * tp / (2 * tp + 2 * (len(both) - tp) + len(known) - len(both)) if known else None
+    mae = sum(1 if p is None else abs(g - p) / 2 for g, p in known) / len(known) if known else None
+    n = len(both)
+    out = {"micro_f1": f1, "coverage": n / len(known) if known else None, "mae_penalised": mae, "coupling": (f1 + 1 - mae) / 2 if known else None}
+    chance = sum((a - b) ** 2 for a, _ in both for _, b in both)
+    out["weighted_kappa"] = 1 - sum((g - p) ** 2 for g, p in both) * n / chance if chance else None
+    if n > 1:
+        grand = sum(g + p for g, p in both) / (2 * n)
+        msr = sum(2 * ((g + p) / 2 - grand) ** 2 for g, p in both) / (n - 1)
+        columns = [sum(x[k] for x in both) / n for k in (0, 1)]
+        msc = n * sum((c - grand) ** 2 for c in columns)
+        mse = sum((x[k] - (x[0] + x[1]) / 2 - columns[k] + grand) ** 2 for x in both for k in (0, 1)) / (n - 1)
+        down = msr + mse + 2 * (msc - mse) / n
+        out["icc"] = (msr - mse) / down if abs(down) > 1e-15 else None
+    return out
+
+
+def test_bootstrap_of_all_metrics_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(f"c{k}", f"p{k % 6}", "d", rng.choice([0, 1, 2, None]), rng.choice([0, 1, 2, None])) for k in range(70)]
+    df = spark.createDataFrame(rows, "case_id string, profile string, dim string, gold int, pred int")
+    got = {r.metric: (r.low, r.high) for r in scoring.bootstrap(df, scoring.drawn_weights(df.select("profile"), 200)).collect()}
+    draw, keys, values = random.Random(scoring.SEED), sorted({r[1] for r in rows}), {}
+    for _ in range(200):
+        drawn = [(r[3], r[4]) for k in draw.choices(keys, k=len(keys)) for r in rows if r[1] == k]
+        for name, x in plain_scores(drawn).items():
+            if x is not None:
+                values.setdefault(name, []).append(x)
+    assert got.keys() == set(scoring.INTERVALS)
+    for name, x in values.items():
+        x.sort()
+        want = x[int(0.025 * (len(x) - 1))], x[int(0.975 * (len(x) - 1))]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[name], want, strict=True)), name
+
+
+def test_queries_that_cannot_be_cited_and_cases_of_letters(spark):
+    rows = spark.createDataFrame([("c", 1, 1, "图片消息", "STRASSE here"), ("c", 2, 2, "文本消息", "another Straße"), ("c", 3, 3, "图片消息", "only a picture")], "conv_id string, position int, session int, type string, content string")
+    plan = spark.createDataFrame([("a", "support", " straße "), ("a", "challenge", "PICTURE"), ("b", "support", "none")], "question string, direction string, query string")
+    hits = retrieval.proposition_hits(plan, rows)
+    assert sorted((r.query.strip(), r.position) for r in hits.collect()) == [("PICTURE", 3), ("straße", 1), ("straße", 2)]
+    weights = retrieval.query_weights(plan, hits, 3).drop("weight")
+    got = {r["query"].strip(): r.status for r in retrieval.query_status(weights, hits.limit(0), retrieval.citable_hits(hits, rows, ("文本消息",))).collect()}
+    assert got == {"straße": "budget_exceeded", "PICTURE": "missing_reference", "none": "no_match"}
+
+
+def test_budgeted_summary_keeps_counts_and_takes_turns():
+    rows = {"### A": [f"- E_{k:032x} / support: {'a' * 20}" for k in range(6)], "### B": [f"- E_{k:032x} x" for k in range(10, 13)]}
+    notes = {"### A": ["- 总数 6"]}
+    whole = evidence.budgeted_summary(rows, notes, 10_000)
+    assert all(line in whole for of in rows.values() for line in of) and "- 总数 6" in whole
+    wanted = rows["### A"][5]
+    some = evidence.budgeted_summary(rows, notes, 420, (f"E_{5:032x}",))
+    assert len(some.encode()) <= 420 and wanted in some and "- 总数 6" in some and sum(line in some for of in rows.values() for line in of) < 9
+    assert evidence.budgeted_summary(rows, notes, 100).startswith("[") and len(evidence.budgeted_summary(rows, notes, 60).encode()) <= 60

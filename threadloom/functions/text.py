@@ -93,6 +93,14 @@ def offsets(text: str, part: str) -> str:
     return f"CASE WHEN ({n}) = 0 THEN cast(array() AS array<int>) ELSE aggregate(sequence(1, {n}), cast(array() AS array<int>), (acc, i) -> concat(acc, array({step}))) END"
 
 
+def casefold(c: Column) -> Column:
+    """Lower case with the letters that have several small forms made one: ß is ss, ς is σ, ſ is s."""
+    out = F.lower(c)
+    for a, b in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -205,8 +213,10 @@ def unfit_prose(c: Column, most: int = 1200) -> Column:
 
 def references(c: Column) -> Column:
     """The references in a report, distinct, in order; ``chunk_1/2/3`` stands for three."""
-    whole = F.regexp_replace(c, r"(?U)(?<=chunk_\d{1,6}(?:/\d{1,6}){0,50})/(?=\d{1,6})", "/chunk_")
-    return F.array_distinct(F.regexp_extract_all(whole, F.lit(f"(?U){REFERENCE}"), F.lit(0)))
+    several = REFERENCE.replace(r"chunk_\d{1,6}", r"chunk_\d{1,6}(?:/\d{1,6})*")
+    found = F.regexp_extract_all(c, F.lit(f"(?U){several}"), F.lit(0))
+    each = F.transform(found, lambda x: F.when(x.startswith("chunk_"), F.transform(F.split(F.substring(x, 7, 1 << 20), "/"), lambda n: F.concat(F.lit("chunk_"), n))).otherwise(F.array(x)))
+    return F.array_distinct(F.flatten(each))
 
 
 def quoted_missing(prose: str, source: str) -> Column:

@@ -95,3 +95,14 @@ def missing(planned: DataFrame, cached: DataFrame) -> DataFrame:
 def batches_by_bytes(rows: DataFrame, most: int) -> DataFrame:
     """Greedy batches of summaries under a prompt budget: the same recurrence without a count limit."""
     return chunked(rows, size=2**31 - 1, most=most)
+
+
+def in_chunks(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, position) with the ``chunk_index`` of the chunk (conv_id, chunk_index, start_message, end_message)
+    that holds them, null outside all of them. One sort by position serves both sides, so there is no range join."""
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("conv_id", "position")]
+    marks = found.select("conv_id", F.col("start_message").cast(rows.schema["position"].dataType).alias("position"), *none, F.struct(F.col("chunk_index").alias("k"), F.col("end_message").alias("z")).alias("_chunk"), F.lit(0).alias("_side"))
+    both = marks.select(*rows.columns, "_chunk", "_side").unionByName(rows.withColumn("_chunk", F.lit(None).cast(marks.schema["_chunk"].dataType)).withColumn("_side", F.lit(1)))
+    last = F.last("_chunk", True).over(Window.partitionBy("conv_id").orderBy("position", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("_in", last).where("_side = 1")
+    return held.withColumn("chunk_index", F.when(F.col("position") <= F.col("_in.z"), F.col("_in.k"))).drop("_chunk", "_side", "_in")

@@ -69,6 +69,66 @@ def time_links(pairs: DataFrame, messages: DataFrame) -> DataFrame:
     return both.select("conv_id", "from_position", "to_position", F.datediff("_b", "_a").alias("days"), (times.seconds(F.col("_b")) - times.seconds(F.col("_a"))).alias("seconds"), (F.col("to_position") > F.col("from_position")).alias("forward"))
 
 
+def time_link_violations(links: DataFrame, facts: DataFrame) -> DataFrame:
+    """``claim_id, from_id, to_id, violation``: links to what the claim does not cite, not forward, or between the same
+    two messages again. ``facts``: claim_id, evidence_id, message_id, position, time."""
+    own = facts.select("claim_id", "evidence_id", "message_id", "position", "time")
+    a = own.withColumnsRenamed({"evidence_id": "from_id", "message_id": "_fm", "position": "_fp", "time": "_ft"})
+    b = own.withColumnsRenamed({"evidence_id": "to_id", "message_id": "_tm", "position": "_tp", "time": "_tt"})
+    both = links.join(a, ["claim_id", "from_id"], "left").join(b, ["claim_id", "to_id"], "left")
+    again = F.row_number().over(Window.partitionBy("claim_id", "_fm", "_tm").orderBy("from_id", "to_id")) > 1
+    both = both.withColumn("_again", again)
+    bad = F.when(F.col("_fm").isNull() | F.col("_tm").isNull(), "unknown").when((F.col("_fp") >= F.col("_tp")) | F.coalesce(F.col("_tt") < F.col("_ft"), F.lit(False)), "order").when(F.col("_again"), "repeated")
+    return both.select("claim_id", "from_id", "to_id", bad.alias("violation")).where("violation is not null")
+
+
+def basis_violations(basis: DataFrame, statements: DataFrame, sources: DataFrame, registered: DataFrame) -> DataFrame:
+    """``claim_id, field, source_id, violation``: what a review's basis (claim_id, field, statement, source_id, quote, usage)
+    gets wrong: a statement that the field does not hold, a source nobody sees, a quote that is not the source's, or an
+    assertion whose quote is no registered citation of the claim.
+
+    ``statements``: claim_id, field, text; ``sources``: source_id, message_id, text; ``registered``: claim_id, message_id, quote.
+    """
+    both = basis.join(statements.withColumnRenamed("text", "_field"), ["claim_id", "field"], "left").join(sources.withColumnsRenamed({"message_id": "_m", "text": "_source"}), "source_id", "left")
+    cited = registered.groupBy("claim_id", F.col("message_id").alias("_m")).agg(F.collect_set("quote").alias("_cited"))
+    both = both.join(cited, ["claim_id", "_m"], "left")
+    inside = lambda part, whole: F.coalesce((tx.stripped(F.col(part)) != "") & F.contains(F.col(whole), F.col(part)), F.lit(False))
+    usage = F.coalesce("usage", F.lit("assertion"))
+    held = F.coalesce(F.exists("_cited", lambda q: F.contains(q, F.col("quote"))), F.lit(False))
+    bad = (
+        F.when(~inside("statement", "_field"), "statement").when(F.col("_source").isNull(), "source").when(~usage.isin("assertion", "context"), "usage")
+        .when(~inside("quote", "_source"), "quote").when((usage == "assertion") & ~held, "unregistered")
+    )
+    return both.select("claim_id", "field", "source_id", bad.alias("violation")).where("violation is not null")
+
+
+def source_violations(facts: DataFrame, targets: DataFrame, visible: DataFrame) -> DataFrame:
+    """``position, violation`` of readings (position, participants, event, uncertainty, bindings) of the ``targets (position)``.
+
+    Each target is read once; participants are known and distinct, or unknown alone with a doubt and no binding; every one
+    of them is bound to a quote of a visible position (``visible``: position, text).
+    """
+    cover = exact_cover(targets, facts, "position")
+    people = F.coalesce("participants", F.array().cast("array<string>"))
+    unsure = F.array_contains(people, "unknown")
+    legal = (F.size(people) > 0) & (F.size(F.array_distinct(people)) == F.size(people)) & F.forall(people, lambda x: x.isin("me", "peer", "third_party", "unknown"))
+    shape = F.when(~legal, "participants").when(F.coalesce(tx.stripped(F.col("event")) == "", F.lit(True)), "event").when(unsure & ((F.size(people) > 1) | (F.size("bindings") > 0) | F.coalesce(tx.stripped(F.col("uncertainty")) == "", F.lit(True))), "unknown")
+    rows = facts.select("position", shape.alias("violation"), people.alias("people"), unsure.alias("unsure"), "bindings")
+    text = visible.select(F.col("position").alias("_p"), F.col("text").alias("_t"))
+    bound = rows.where("violation is null and not unsure").select("position", "people", F.explode_outer("bindings").alias("b")).join(text, F.col("b.position") == F.col("_p"), "left")
+    good = F.coalesce(F.array_contains("people", F.col("b.participant")) & (tx.stripped(F.col("b.quote")) != "") & F.contains("_t", F.col("b.quote")), F.lit(False))
+    each = bound.groupBy("position", "people").agg(F.bool_and(good).alias("ok"), F.collect_set("b.participant").alias("who"))
+    binding = each.select("position", F.when(~F.col("ok") | (F.size(F.array_except("people", "who")) > 0), "binding").alias("violation"))
+    return cover.union(rows.select("position", "violation")).union(binding).where("violation is not null").distinct()
+
+
+def unresolved(claims: DataFrame, cited: DataFrame, facts: DataFrame) -> DataFrame:
+    """``claim_id, positions``: claims that are not uncertain but cite (claim_id, position) what nobody can be named for."""
+    open_ = facts.where(F.col("participants") == F.array(F.lit("unknown"))).select("position").distinct()
+    hit = cited.join(open_, "position", "left_semi").groupBy("claim_id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+    return claims.where("kind <> 'uncertain'").select("claim_id").join(hit, "claim_id")
+
+
 def exact_cover(expected: DataFrame, given: DataFrame, *keys: str) -> DataFrame:
     """Keys that are missing, extra or repeated in ``given``."""
     e, g = expected.groupBy(*keys).agg(F.count("*").alias("want")), given.groupBy(*keys).agg(F.count("*").alias("got"))

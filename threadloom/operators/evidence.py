@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import grounding
+from . import grounding, selection
 
 #: Titles of the categories, items of a category in a summary, chunks of a phase, and what an answer that
 #: cannot be read becomes.
@@ -181,3 +181,18 @@ def artefact_audit(documents: DataFrame, items: DataFrame, manifest: DataFrame)
         F.when(F.col("items").isNotNull() & F.col("n").isNull(), "stray_items"), F.when((F.col("parse_status") == "fallback") & ((F.coalesce("open", F.lit(0)) != 1) | (F.col("items") != 1)), "fallback_items"),
     ]
     return both.select(*keys, F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("violation"))
+
+
+def budgeted_summary(sections: dict[str, list[str]], notes: dict[str, list[str]], budget: int, first: tuple[str, ...] = ()) -> str:
+    """An evidence summary within a budget of bytes: whole items, taken in turn from the sections, ``first`` ids before others.
+
+    ``notes``: a section's lines on counts, which always stay. If not even those fit, one line says so.
+    """
+    top = ["## 结构化证据摘要", "[按完整条目选择；存在省略，不能把省略当作不存在。]"]
+    said = lambda t, n: f"- 选择 {n}/{len(sections[t])} 条。"
+    size = lambda x: len(x.encode()) + 1
+    fixed = sum(map(size, top)) + sum(size(said(t, len(rows))) + sum(map(size, notes.get(t, ()))) for t, rows in sections.items()) - 1
+    if fixed + sum(map(size, sections)) > budget:
+        return tx.limited("[预算不足以展示材料结构；本部分全部省略。]", max(0, budget))
+    packed = selection.pack_sections(sections, budget - fixed, first)
+    return "\n".join([*top, *(x for t, rows in packed.items() for x in (t, *notes.get(t, ()), said(t, len(rows)), *rows))])

@@ -99,8 +99,8 @@ def proposition_hits(queries: DataFrame, rows: DataFrame) -> DataFrame:
     if queries.limit(PLAN + 1).count() > PLAN:
         raise ValueError(f"a plan has at most {PLAN} queries")
     names = [c for c in ("content", "description") if c in rows.columns]
-    text = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in names])
-    return rows.withColumn("_t", text).join(F.broadcast(queries), F.exists("_t", lambda t: F.contains(t, F.lower(F.col("query"))))).select("question", "direction", "query", "conv_id", "position").distinct()
+    text = F.array(*[tx.casefold(F.coalesce(F.col(c), F.lit(""))) for c in names])
+    return rows.withColumn("_t", text).join(F.broadcast(queries), F.exists("_t", lambda t: F.contains(t, tx.casefold(tx.stripped(F.col("query")))))).select("question", "direction", "query", "conv_id", "position").distinct()
 
 
 def query_weights(queries: DataFrame, hits: DataFrame, total: int) -> DataFrame:
@@ -115,12 +115,26 @@ def merged_hit_sets(hits: DataFrame) -> DataFrame:
     return each.groupBy("question", "x", "s", "n").agg(F.sort_array(F.collect_set("query")).alias("queries")).select("question", "n", "queries")
 
 
-def query_status(weights: DataFrame, visible: DataFrame, over: Column | None = None) -> DataFrame:
-    """no_match, selected, partially_selected or budget_exceeded, from hits and how many of them are in the context."""
-    v = visible.groupBy("question", "direction", "query").agg(F.count("*").alias("included_hits"))
-    each = weights.join(v, ["question", "direction", "query"], "left").fillna(0, ["included_hits"])
-    status = F.when(F.col("hits") == 0, "no_match").when(F.col("included_hits") >= F.col("hits"), "selected").when(F.col("included_hits") > 0, "partially_selected").otherwise("budget_exceeded")
-    return each.withColumn("status", status)
+def citable_hits(hits: DataFrame, sessions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``question, direction, query, citable``: hits in sessions (conv_id, position, session, type) that hold something quotable."""
+    quotable = sessions.where(F.col("type").isin(*kinds)).select("conv_id", "session").distinct().withColumn("_ok", F.lit(True))
+    at = sessions.select("conv_id", "position", "session").join(quotable, ["conv_id", "session"], "left")
+    return hits.join(at, ["conv_id", "position"]).groupBy("question", "direction", "query").agg(F.count_if(F.col("_ok")).alias("citable"))
+
+
+def query_status(weights: DataFrame, visible: DataFrame, citable: DataFrame | None = None) -> DataFrame:
+    """no_match, selected, partially_selected, budget_exceeded or missing_reference, from hits and how many are in the context.
+
+    ``citable``: :func:`citable_hits`; a query none of whose hits can be cited is not short of budget but of a reference.
+    """
+    keys = ["question", "direction", "query"]
+    v = visible.groupBy(*keys).agg(F.count("*").alias("included_hits"))
+    each = weights.join(v, keys, "left").fillna(0, ["included_hits"])
+    status = F.when(F.col("hits") == 0, "no_match").when(F.col("included_hits") >= F.col("hits"), "selected").when(F.col("included_hits") > 0, "partially_selected")
+    if citable is None:
+        return each.withColumn("status", status.otherwise("budget_exceeded"))
+    each = each.join(citable, keys, "left").fillna(0, ["citable"])
+    return each.withColumn("status", status.when(F.col("citable") > 0, "budget_exceeded").otherwise("missing_reference")).drop("citable")
 
 
 def complete_if_fits(rows: DataFrame, budget: int) -> DataFrame:

@@ -184,3 +184,46 @@ def permuted(rows: DataFrame) -> DataFrame:
 def uniform(rows: DataFrame, trial: int = 0, levels: int = 3) -> DataFrame:
     """A baseline of levels drawn evenly, the same ones for the same trial."""
     return rows.withColumn("pred", F.pmod(F.xxhash64("case_id", "dim", F.lit(trial)), F.lit(levels)).cast("int"))
+
+
+#: What a bootstrap gives intervals of.
+INTERVALS = ("micro_f1", "coverage", "mae_penalised", "coupling", "weighted_kappa", "icc")
+
+
+def bootstrap(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``metric, low, high`` of all INTERVALS: profiles are drawn whole with ``weights (rep, profile, weight)``.
+
+    Every metric is a function of counts that add up over profiles, so a repeat is a weighted sum of a row per profile. A
+    metric takes the repeats in which it is defined, and order statistics give its ends.
+    """
+    g, p = F.col("gold"), F.col("pred")
+    cells = {f"c{i}{j}": F.count_if((g == i) & (p == j)) for i in range(3) for j in range(3)}
+    base = {"known": F.count("gold"), "silent": F.count_if(g.isNotNull() & p.isNull())}
+    each = rows.groupBy("profile").agg(*[c.alias(n) for n, c in {**base, **cells}.items()])
+    names = [*base, *cells]
+    s = each.join(weights, "profile").groupBy("rep").agg(*[F.sum(F.col(n) * F.col("weight")).cast("double").alias(n) for n in names])
+    c = lambda i, j: F.col(f"c{i}{j}")
+    pairs = [(i, j) for i in range(3) for j in range(3)]
+    n, tp = sum((c(i, j) for i, j in pairs), F.lit(0.0)), sum((c(i, i) for i in range(3)), F.lit(0.0))
+    f1 = ratio(2 * tp, 2 * tp + (n - tp) + (n - tp) + F.col("silent"))
+    off = sum((c(i, j) * abs(i - j) / 2.0 for i, j in pairs), F.lit(0.0))
+    mae = ratio(off + F.col("silent"), F.col("known"))
+    gold, pred = [[sum((c(i, j) if k == 0 else c(j, i) for j in range(3)), F.lit(0.0)) for i in range(3)] for k in (0, 1)]
+    chance = sum((gold[i] * pred[j] * float((i - j) ** 2) for i, j in pairs), F.lit(0.0))
+    seen = sum((c(i, j) * float((i - j) ** 2) for i, j in pairs), F.lit(0.0))
+    a, b = (sum((m[i] * float(i) for i in range(3)), F.lit(0.0)) for m in (gold, pred))
+    squares, sums = sum((c(i, j) * float(i * i + j * j) for i, j in pairs), F.lit(0.0)), sum((c(i, j) * float((i + j) ** 2) for i, j in pairs), F.lit(0.0))
+    mean = (a + b) * (a + b) / (2 * n)
+    msr, msc = (sums / 2 - mean) / (n - 1), (a * a + b * b) / n - mean
+    mse = (squares - mean - (sums / 2 - mean) - msc) / (n - 1)
+    down = msr + mse + 2 * (msc - mse) / n
+    values = {"micro_f1": f1, "coverage": ratio(n, F.col("known")), "mae_penalised": mae, "coupling": (f1 + 1 - mae) / 2, "weighted_kappa": F.when(n > 0, F.when(chance != 0, 1 - seen * n / chance)), "icc": F.when(n > 1, F.when(F.abs(down) > 1e-15, (msr - mse) / down))}
+    long = s.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("x")) for k, v in values.items()])).alias("e")).select("rep", "e.metric", "e.x").where("x is not null")
+    ranked = long.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy("x")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("metric")))  # REPEATS rows each
+    return ranked.groupBy("metric").agg(*[F.max(F.when(F.col("r") == F.floor(q * (F.col("n") - 1)), F.col("x"))).alias(name) for q, name in zip(TAILS, ("low", "high"), strict=True)])
+
+
+def prediction_violations(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``case_id, violation``: predictions of no case (``extra``) and cases predicted more than once (``repeated``)."""
+    n = predictions.groupBy("case_id").agg(F.count("*").alias("n")).join(cases.select("case_id").distinct().withColumn("_known", F.lit(True)), "case_id", "left")
+    return n.select("case_id", F.when(F.col("_known").isNull(), "extra").when(F.col("n") > 1, "repeated").alias("violation")).where("violation is not null")

@@ -120,3 +120,18 @@ def contiguous_ranges(positions: DataFrame) -> DataFrame:
     """Runs of adjacent positions inside a session: ``conv_id, session, start, end``."""
     rn = F.row_number().over(Window.partitionBy("conv_id", "session").orderBy("position"))
     return positions.withColumn("_g", F.col("position") - rn).groupBy("conv_id", "session", "_g").agg(F.min("position").alias("start"), F.max("position").alias("end")).drop("_g")
+
+
+def unit_labels(units: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``conv_id, unit, categories, directions, contrast``: the labels of each unit's anchors (conv_id, position, category, direction).
+
+    There is contrast where something is said for and something against: support, mixed or an event on one side, against,
+    mixed or counter-evidence on the other. An anchor belongs to the unit that its position lies in.
+    """
+    a = anchors.select("conv_id", F.col("position").alias("_p"), "category", "direction")
+    both = units.select("conv_id", "unit", "left", "right").join(a, "conv_id").where(F.col("_p").between(F.col("left"), F.col("right")))
+    got = both.groupBy("conv_id", "unit").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("direction")).alias("directions"))
+    any_ = lambda c, *names: F.exists(c, lambda x: x.isin(*names))
+    against = any_("directions", "against", "mixed") | any_("categories", "counter_evidence")
+    for_ = any_("directions", "support", "mixed") | any_("categories", "events")
+    return got.withColumn("contrast", for_ & against)

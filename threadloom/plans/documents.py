@@ -356,3 +356,95 @@ def artefact_audits(spark, sf_dir):
     documents = documents.union(documents.where(k % 10 == 3))
     items = x.where((k % 3 == 0) & (k % 10 != 4)).withColumn("category", F.lit("events")).union(x.where(k % 10 == 4).withColumn("category", F.lit("uncertainties"))).union(x.where((k % 10 == 4) & (k % 3 == 0)).withColumn("category", F.lit("events")))
     return evidence.artefact_audit(documents, items, x.where(k % 10 != 2))
+
+
+@query(_EV + """, a AS (SELECT conv_id, position, event_type, t FROM m), l AS (SELECT conv_id AS claim_id, position AS from_id, position + CASE WHEN position % 5 = 0 THEN -1 WHEN position % 7 = 0 THEN 1000000 ELSE 2 END AS to_id FROM m UNION ALL SELECT conv_id, position, position + 2 FROM m WHERE position % 11 = 0)
+SELECT l.claim_id, from_id, to_id, CASE WHEN b.position IS NULL THEN 'unknown' WHEN from_id >= to_id THEN 'order' ELSE 'repeated' END AS violation FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, from_id, to_id) AS r FROM l) l LEFT JOIN a b ON b.conv_id = l.claim_id AND b.position = l.to_id WHERE b.position IS NULL OR from_id >= to_id OR r > 1""")
+def time_link_checks(spark, sf_dir):
+    e, p = td.events(spark, sf_dir), F.col("position")
+    facts = e.select(F.col("conv_id").alias("claim_id"), p.alias("evidence_id"), p.alias("message_id"), "position", "time")
+    to = p + F.when(p % 5 == 0, -1).when(p % 7 == 0, 1_000_000).otherwise(2)
+    links = e.select(F.col("conv_id").alias("claim_id"), p.alias("from_id"), to.alias("to_id"))
+    return claims.time_link_violations(links.union(e.where(p % 11 == 0).select("conv_id", p, p + 2)), facts)
+
+
+@query(_EV + """, b AS (SELECT conv_id AS claim_id, position, event_type AS t, position % 8 AS k FROM m)
+SELECT claim_id, 'text' AS field, position AS source_id, CASE k WHEN 0 THEN 'statement' WHEN 1 THEN 'source' WHEN 2 THEN 'usage' WHEN 3 THEN 'quote' ELSE 'unregistered' END AS violation FROM b WHERE k <= 4""")
+def basis_checks(spark, sf_dir):
+    """Review bases with a fault each: a statement not there, a source not seen, and so on; k above 4 has none."""
+    e, p = td.events(spark, sf_dir), F.col("position")
+    k = p % 8
+    of = F.concat_ws("/", "conv_id", "position")
+    basis = e.select(F.col("conv_id").alias("claim_id"), F.lit("text").alias("field"), F.when(k == 0, "not there").otherwise(F.lit("stated")).alias("statement"), of.alias("source_id"), F.when(k == 3, "zzz").otherwise(F.left("content", F.lit(3))).alias("quote"), F.when(k == 2, "gossip").when(k == 5, "context").when(k != 6, "assertion").alias("usage"))
+    sources = e.where(k != 1).select(of.alias("source_id"), of.alias("message_id"), F.col("content").alias("text"))
+    registered = e.where((k != 4) & (k != 5)).select(F.col("conv_id").alias("claim_id"), of.alias("message_id"), F.col("content").alias("quote"))
+    found = claims.basis_violations(basis, e.select(F.col("conv_id").alias("claim_id"), F.lit("text").alias("field"), F.lit("as stated here").alias("text")).distinct(), sources, registered)
+    return found.withColumn("source_id", F.element_at(F.split("source_id", "/"), -1).cast("int"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 9 AS k FROM documents)
+SELECT doc_id AS position, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'repeated' WHEN 2 THEN 'participants' WHEN 3 THEN 'event' WHEN 4 THEN 'unknown' ELSE 'binding' END AS violation FROM d WHERE k <= 6""")
+def source_readings(spark, sf_dir):
+    """Readings of sources with a fault each: none, two, a nobody, no event, an unknown with a binding, a quote that is not there, nobody bound."""
+    d, k = td.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("position"), "text"), F.col("doc_id") % 9
+    people = F.when(k == 2, F.array(F.lit("me"), F.lit("them"))).when((k == 4) | (k == 8), F.array(F.lit("unknown"))).otherwise(F.array(F.lit("me")))
+    one = F.struct(F.lit("me").alias("participant"), F.col("position").alias("position"), F.when(k == 5, "not in there").otherwise(F.left("text", F.lit(4))).alias("quote"))
+    facts = d.where(k != 0).select("position", people.alias("participants"), F.when(k == 3, " ").otherwise("said").alias("event"), F.when(k == 8, "who?").otherwise("").alias("uncertainty"), F.when((k == 6) | (k == 8), F.array().cast("array<struct<participant:string,position:bigint,quote:string>>")).otherwise(F.array(one)).alias("bindings"))
+    facts = facts.union(facts.where("position % 9 = 1"))
+    return claims.source_violations(facts, d.select("position"), d.select("position", "text"))
+
+
+@query("WITH c AS (SELECT l_orderkey AS claim_id, l_partkey AS position FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_partkey % 4 = 0) SELECT claim_id, list_sort(list_distinct(list(position))) AS positions FROM c GROUP BY claim_id")
+def unresolved_sources(spark, sf_dir):
+    line = td.table(spark, sf_dir, "lineitem")
+    cited = line.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("position"))
+    facts = line.select(F.col("l_partkey").alias("position"), F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("me"))).alias("participants"))
+    kinds = td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderkey") % 3 == 0, "uncertain").otherwise("fact").alias("kind"))
+    return claims.unresolved(kinds, cited, facts)
+
+
+_UN = _CTX + """, u0 AS (SELECT *, max("right") OVER (PARTITION BY conv_id, session ORDER BY "left", position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM an),
+uu AS (SELECT *, sum(CASE WHEN edge IS NULL OR "left" > edge + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY session, "left", position ROWS UNBOUNDED PRECEDING) AS unit FROM u0)"""
+
+
+@query(_UN + """, k AS (SELECT conv_id, CAST(unit AS BIGINT) AS unit, CASE position % 3 WHEN 0 THEN 'events' WHEN 1 THEN 'relation_signals' ELSE 'counter_evidence' END AS c, CASE WHEN position % 3 = 1 THEN CASE position % 2 WHEN 0 THEN 'support' ELSE 'against' END END AS d FROM uu),
+g AS (SELECT conv_id, unit, list_sort(list_distinct(list(c))) AS categories, list_sort(list_distinct(coalesce(list(d) FILTER (WHERE d IS NOT NULL), []))) AS directions FROM k GROUP BY ALL)
+SELECT *, (list_contains(directions, 'support') OR list_contains(categories, 'events')) AND (list_contains(directions, 'against') OR list_contains(categories, 'counter_evidence')) AS contrast FROM g""")
+def unit_label_sets(spark, sf_dir):
+    a, p = _anchored(spark, sf_dir), F.col("position")
+    labelled = a.select("conv_id", "position", F.when(p % 3 == 0, "events").when(p % 3 == 1, "relation_signals").otherwise("counter_evidence").alias("category"), F.when(p % 3 == 1, F.when(p % 2 == 0, "support").otherwise("against")).alias("direction"))
+    return sessions.unit_labels(sessions.candidate_units(a), labelled)
+
+
+@query("SELECT source AS conv_id, doc_id, CASE WHEN (rank - 1) % 12 < 10 THEN CAST((rank - 1) // 12 + 1 AS INTEGER) END AS chunk_index FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)")
+def positions_in_chunks(spark, sf_dir):
+    from ..operators import chunks
+
+    d = td.documents(spark, sf_dir).select("conv_id", "position", "doc_id")
+    found = d.groupBy("conv_id", F.expr("cast((position - 1) div 12 + 1 as int)").alias("chunk_index")).agg(F.min("position").alias("start_message"), (F.expr("min(position) div 12") * 12 + 10).alias("end_message"))
+    return chunks.in_chunks(d, found).select("conv_id", "doc_id", "chunk_index")
+
+
+@query("WITH p AS (SELECT doc_id AS case_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id + 100000000 FROM labels WHERE doc_id % 7 = 0) SELECT case_id, CASE WHEN d.doc_id IS NULL THEN 'extra' ELSE 'repeated' END AS violation FROM (SELECT case_id, count(*) AS n FROM p GROUP BY case_id) q LEFT JOIN documents d ON d.doc_id = q.case_id WHERE d.doc_id IS NULL OR n > 1")
+def prediction_checks(spark, sf_dir):
+    lab = td.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"))
+    given = lab.union(lab.where("case_id % 5 = 0")).union(lab.where("case_id % 7 = 0").select(F.col("case_id") + 100_000_000))
+    return scoring.prediction_violations(td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id")), given)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS report, ['E_' || left(md5(CAST(o_custkey AS VARCHAR)), 10) || '…', 'chunk_' || (o_custkey % 90), 'chunk_7', 'chunk_' || (o_custkey % 8), 'M_' || md5(CAST(o_orderkey AS VARCHAR))] AS refs FROM orders),
+x AS (SELECT report, unnest(refs) AS ref, generate_subscripts(refs, 1) AS k FROM r), f AS (SELECT report, ref, min(k) AS k FROM x GROUP BY ALL) SELECT report, ref, CAST(row_number() OVER (PARTITION BY report ORDER BY k) - 1 AS INTEGER) AS place FROM f""")
+def report_references(spark, sf_dir):
+    from ..functions import text as tx
+
+    o = td.table(spark, sf_dir, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    body = F.concat(F.lit("See E_"), F.left(F.md5(c.cast("string")), F.lit(10)), F.lit("… and chunk_"), (c % 90).cast("string"), F.lit("/7/"), (c % 8).cast("string"), F.lit(", not xE_0123456789 or E_123; M_"), F.md5(k.cast("string")), F.lit("."))
+    return o.select(k.alias("report"), F.posexplode(tx.references(body)).alias("place", "ref"))
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    """No SQL form: the draws come from a seeded generator; a test holds all metrics against a plain loop."""
+    rows = _labelled(spark, sf_dir)
+    return scoring.bootstrap(rows, scoring.drawn_weights(rows.select("profile")))
