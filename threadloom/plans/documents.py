@@ -30,15 +30,42 @@ def diagnostics_reports(spark, sf_dir):
 
 
 _PCT = "printf('%.1f', 100.0 * {0} / total) || '%)'"
+_NUM = "coalesce(CAST({0} AS VARCHAR), '-')"
+_R1 = "CAST(printf('%.1f', CAST({0} AS DOUBLE)) AS DOUBLE)"
+_SIDE = {"me": "我", "other": "对方"}
 
 
-@query(_EV + f""", t AS (SELECT conv_id, {_SENDERS}, count(DISTINCT CAST(t AS DATE)) AS days, count(*) FILTER (WHERE hour(t) IN (23, 0, 1, 2, 3, 4)) AS late, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS a, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS z FROM m GROUP BY conv_id),
+def _lines(*parts: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+
+
+_REPORT = _GAP + f""", mt AS (SELECT conv_id, position, coalesce(CASE WHEN lag(sender) OVER w <> sender THEN date_diff('second', lag(t) OVER w, t) END, -1) AS x, sender, CASE WHEN lag(sender) OVER w IS NULL OR lag(sender) OVER w <> sender THEN 1 ELSE 0 END AS f FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY position)),
+rl AS (SELECT conv_id, {', '.join(f"count(*) FILTER (WHERE x > 5 AND x < 7200 AND sender = '{k}') AS {k}_n, {_R1.format(f"avg(x) FILTER (WHERE x > 5 AND x < 7200 AND sender = '{k}')")} AS {k}_a, {_R1.format(f"median(x) FILTER (WHERE x > 5 AND x < 7200 AND sender = '{k}')")} AS {k}_m, count(*) FILTER (WHERE f = 1 AND sender = '{k}') AS {k}_t" for k in _SIDE)}, sum(f) AS turns FROM mt GROUP BY conv_id),
+ie AS (SELECT conv_id, session, sender, {_R1.format('avg(sd)')} AS a FROM d WHERE sd > 5 AND sd < 14400 GROUP BY ALL), ir AS (SELECT conv_id, {', '.join(f"{_R1.format(f"avg(a) FILTER (WHERE sender = '{k}')")} AS {k}_i" for k in _SIDE)} FROM ie GROUP BY conv_id),
+fl AS (SELECT conv_id, {', '.join(f"count(*) FILTER (WHERE {c} = '{k}') AS {c}_{k}" for c in ('f', 'l') for k in _SIDE)} FROM (SELECT conv_id, CAST(t AS DATE) AS day, arg_min(sender, position) AS f, arg_max(sender, position) AS l FROM m GROUP BY ALL) GROUP BY conv_id),
+sh AS (SELECT conv_id, count(*) AS n, {', '.join(f"count(*) FILTER (WHERE {c} = '{k}') AS {c}_{k}" for c in ('initiator', 'closer') for k in _SIDE)}, {_R1.format('avg(message_count)')} AS ms, {_R1.format('median(message_count)')} AS md, {_R1.format('avg(duration_minutes)')} AS da, {_R1.format('median(duration_minutes)')} AS dm FROM ss GROUP BY conv_id),
+t AS (SELECT conv_id, {_SENDERS}, count(DISTINCT CAST(t AS DATE)) AS days, count(*) FILTER (WHERE hour(t) IN (23, 0, 1, 2, 3, 4)) AS late, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS a, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS z FROM m GROUP BY conv_id),
+tp AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY message_count DESC, session) AS r FROM ss), ts AS (SELECT tp.conv_id, string_agg('  会话' || session || ': ' || strftime(x.t, '%Y-%m-%d %H:%M:%S') || ' ~ ' || strftime(y.t, '%Y-%m-%d %H:%M:%S') || '，总' || message_count || '条，我' || me_count || '条，对方' || other_count || '条，发起=' || CASE initiator WHEN 'me' THEN '我' ELSE '对方' END || '，收尾=' || CASE closer WHEN 'me' THEN '我' ELSE '对方' END, chr(10) ORDER BY r) AS x
+ FROM tp JOIN m x ON x.conv_id = tp.conv_id AND x.position = first_position JOIN m y ON y.conv_id = tp.conv_id AND y.position = last_position WHERE r <= 10 GROUP BY tp.conv_id),
 mo AS (SELECT conv_id, string_agg('  ' || month || ': 总' || total || '条 (我' || me || ', 对方' || other || ')', chr(10) ORDER BY month) AS x FROM (SELECT conv_id, strftime(t, '%Y-%m') AS month, {_SENDERS} FROM m GROUP BY ALL) GROUP BY conv_id),
-ho AS (SELECT conv_id, string_agg(printf('  %02d:00  %5d ', h, n) || repeat('█', CAST(least(50, n // 10) AS INTEGER)), chr(10) ORDER BY h) AS x FROM (SELECT conv_id, CAST(hour(t) AS INTEGER) AS h, CAST(count(*) AS INTEGER) AS n FROM m GROUP BY ALL) GROUP BY conv_id)
-SELECT conv_id, concat_ws(chr(10), '## 基本信息', '- 聊天时间跨度: ' || a || ' ~ ' || z, '- 活跃天数: ' || days || ' 天', '- 总消息数: ' || total, '- 我发送: ' || me || ' 条 (' || {_PCT.format('me')}, '- 对方发送: ' || other || ' 条 (' || {_PCT.format('other')},
-'- 每日平均消息数: ' || printf('%.1f', total / greatest(days, 1)) || ' 条', '- 深夜消息数(23-5点): ' || late, chr(10) || '## 月度趋势', mo.x, chr(10) || '## 每小时分布', ho.x) AS report FROM t JOIN mo USING (conv_id) JOIN ho USING (conv_id)""")
-def overview_reports(spark, sf_dir):
-    return reports.overview(td.events(spark, sf_dir))
+dy AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, p) AS r FROM (SELECT conv_id, strftime(t, '%Y-%m-%d') AS day, min(position) AS p, {_SENDERS} FROM m GROUP BY ALL)), td AS (SELECT conv_id, string_agg('  ' || day || ': 总' || total || '条 (我' || me || ', 对方' || other || ')', chr(10) ORDER BY r) AS x FROM dy WHERE r <= 10 GROUP BY conv_id),
+ho AS (SELECT conv_id, string_agg(printf('  %02d:00  %5d ', h, n) || repeat('█', CAST(least(50, n // 10) AS INTEGER)), chr(10) ORDER BY h) AS x FROM (SELECT conv_id, CAST(hour(t) AS INTEGER) AS h, CAST(count(*) AS INTEGER) AS n FROM m GROUP BY ALL) GROUP BY conv_id),
+sa AS (SELECT conv_id, string_agg('  ' || strftime(t, '%Y-%m-%d %H:%M:%S') || CASE WHEN sender = 'me' THEN ' 【我】 ' ELSE ' 【对方】 ' END || event_type, chr(10) ORDER BY position) AS x FROM m WHERE position % 20 = 0 GROUP BY conv_id)
+SELECT conv_id, {_lines(
+    "'## 基本信息'", "'- 聊天时间跨度: ' || a || ' ~ ' || z", "'- 活跃天数: ' || days || ' 天'", "'- 总消息数: ' || total", f"'- 我发送: ' || me || ' 条 (' || {_PCT.format('me')}", f"'- 对方发送: ' || other || ' 条 (' || {_PCT.format('other')}",
+    "'- 每日平均消息数: ' || printf('%.1f', total / greatest(days, 1)) || ' 条'", "'- 时间格式异常消息: 0 条'", "chr(10) || '## 主动性指标'", "'- 每日首条消息发起者: 我=' || f_me || '天, 对方=' || f_other || '天'", "'- 每日末条消息发送者: 我=' || l_me || '天, 对方=' || l_other || '天'",
+    "chr(10) || '## 消息特征'", "'- 我的平均文本消息长度: 0.0 字'", "'- 对方的平均文本消息长度: 0.0 字'", "'- 我的表情/图片消息数: 0'", "'- 对方的表情/图片消息数: 0'", "'- 深夜消息数(23-5点): ' || late", "chr(10) || '## 回复速度'",
+    *[f"'- {n}的平均回复间隔: ' || {_NUM.format(f'{k}_a')} || '秒 (样本' || {k}_n || '次)'" for k, n in _SIDE.items()], *[f"'- {n}的中位回复间隔: ' || {_NUM.format(f'{k}_m')} || '秒'" for k, n in _SIDE.items()],
+    "chr(10) || '## 对话轮次与会话'", "'- 总对话轮次: ' || turns", "'- 连续发言轮次发起统计: 我=' || me_t || '次, 对方=' || other_t || '次'", "'- 会话切分间隔: 4小时'", "'- 总会话数: ' || sh.n", "'- 会话发起者: 我=' || initiator_me || '次, 对方=' || initiator_other || '次'",
+    "'- 会话收尾者: 我=' || closer_me || '次, 对方=' || closer_other || '次'", "'- 平均每会话消息数: ' || ms || ' 条，中位 ' || md || ' 条'", "'- 平均会话时长: ' || da || ' 分钟，中位 ' || dm || ' 分钟'", f"'- 会话内我的平均回复: ' || {_NUM.format('me_i')} || '秒'", f"'- 会话内对方平均回复: ' || {_NUM.format('other_i')} || '秒'",
+    "chr(10) || '## 最活跃会话 TOP 10'", "ts.x", "chr(10) || '## 月度趋势'", "mo.x", "chr(10) || '## 最活跃日期 TOP 10'", "td.x", "chr(10) || '## 每小时分布'", "ho.x", "chr(10) || '## 文本消息样本'", "sa.x",
+)} AS report FROM t JOIN rl USING (conv_id) LEFT JOIN ir USING (conv_id) JOIN fl USING (conv_id) JOIN sh USING (conv_id) JOIN ts USING (conv_id) JOIN mo USING (conv_id) JOIN td USING (conv_id) JOIN ho USING (conv_id) LEFT JOIN sa USING (conv_id)"""  # noqa: E501
+
+
+@query(_REPORT)
+def statistics_reports(spark, sf_dir):
+    m = td.events(spark, sf_dir)
+    return reports.statistics_report(m, m.where("position % 20 = 0"))
 
 
 @query(_GAP + """, a AS (SELECT conv_id, session, message_count, row_number() OVER (PARTITION BY conv_id ORDER BY message_count DESC, session) AS z FROM ss), k AS (SELECT s.conv_id, z AS rank, s.position, s.t, s.sender, s.event_type, row_number() OVER (PARTITION BY s.conv_id, s.session ORDER BY s.position) AS r, message_count AS n FROM s JOIN a ON a.conv_id = s.conv_id AND a.session = s.session WHERE z <= 10)
