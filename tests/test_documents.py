@@ -295,3 +295,35 @@ def test_budgeted_summary_keeps_counts_and_takes_turns():
     some = evidence.budgeted_summary(rows, notes, 420, (f"E_{5:032x}",))
     assert len(some.encode()) <= 420 and wanted in some and "- 总数 6" in some and sum(line in some for of in rows.values() for line in of) < 9
     assert evidence.budgeted_summary(rows, notes, 100).startswith("[") and len(evidence.budgeted_summary(rows, notes, 60).encode()) <= 60
+
+
+def test_units_are_offered_in_turn_and_narrowed_where_they_do_not_fit():
+    def unit(name, quarter, priority, *windows):
+        return {"unit": name, "quarter": quarter, "priority": priority, "windows": list(windows)}
+
+    units = [unit("long", 0, 1, (5, 0, 20), (40, 30, 60), (90, 80, 95)), unit("short", 0, 9, (200, 198, 203)), unit("late", 3, 2, (300, 299, 301), (305, 304, 306))]
+    everything = selection.select_units(units, len, 1000)
+    assert set(everything.whole) == {"long", "short", "late"} and len(everything.positions) == 21 + 31 + 16 + 6 + 6 and not everything.narrowed
+    some = selection.select_units(units, len, 45)
+    assert some.whole == ["short", "late"] and some.narrowed == {"long": [40]} and len(some.positions) == 6 + 31 + 6
+    few = selection.select_units(units, len, 12)
+    assert few.whole == ["short", "late"] and few.narrowed == {} and len(few.positions) == 12
+    assert selection.select_units(units, lambda p: 50 + len(p), 40).positions == set()
+    rng = random.Random(1)
+    for _ in range(50):
+        many = [unit(k, rng.randrange(4), k, *[(a, a - rng.randrange(4), a + rng.randrange(4)) for a in sorted(rng.sample(range(k * 40, k * 40 + 30), rng.randrange(1, 4)))]) for k in range(1, 9)]
+        got = selection.select_units(many, len, budget := rng.randrange(5, 80))
+        assert len(got.positions) <= budget
+        for u in many:
+            shown = [w[0] for w in u["windows"] if set(range(w[1], w[2] + 1)) <= got.positions]
+            assert (u["unit"] in got.whole) == (len(shown) == len(u["windows"])) and got.narrowed.get(u["unit"], []) == ([] if u["unit"] in got.whole else shown)
+
+
+def test_postings_count_every_trigram(spark):
+    texts = [(1, "aaaa b"), (2, "Ab\U0001f600ab\U0001f600"), (3, "xy"), (4, None), (5, "")]
+    want = {}
+    for i, t in texts:
+        low = (t or "").lower()
+        for k in range(len(low) - 2):
+            want[low[k : k + 3], i] = want.get((low[k : k + 3], i), 0) + 1
+    assert {(r.trigram, r.doc): r.tf for r in retrieval.postings(spark.createDataFrame(texts, "evidence_id int, search_text string")).collect()} == want

@@ -23,9 +23,11 @@ def check_query(query: str, limit: int) -> list[str]:
 
 
 def postings(docs: DataFrame, id_col: str = "evidence_id", text_col: str = "search_text") -> DataFrame:
-    """``trigram, doc, tf``: an index that narrows a large store before the exact test."""
-    grams = F.expr(f"CASE WHEN char_length({text_col}) < 3 THEN cast(array() AS array<string>) ELSE transform(sequence(1, char_length({text_col}) - 2), i -> lower(substring({text_col}, i, 3))) END")
-    return docs.select(F.col(id_col).alias("doc"), F.explode(grams).alias("trigram")).groupBy("trigram", "doc").agg(F.count("*").alias("tf"))
+    """``trigram, doc, tf``: an index that narrows a large store before the exact test; a null or shorter text has no entry."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.split(F.lower(text_col), "").alias("c")).where(F.size("c") >= 3)
+    both = lambda a, b: F.concat(a, b)
+    grams = F.zip_with(F.zip_with("c", F.slice("c", 2, F.size("c")), both), F.slice("c", 3, F.size("c")), both)  # null at the end
+    return rows.select("doc", F.explode(grams).alias("trigram")).where("trigram is not null").groupBy("trigram", "doc").agg(F.count("*").alias("tf"))
 
 
 def search(docs: DataFrame, query: str, limit: int, id_col: str = "evidence_id", text_col: str = "search_text", role_col: str | None = "role") -> DataFrame:
@@ -48,14 +50,26 @@ def search(docs: DataFrame, query: str, limit: int, id_col: str = "evidence_id",
     return top.select("role", "rank", F.col("id").alias(id_col), "score")
 
 
-def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows (id, l, role) that hold all terms, with ``score``: the negative sum of weights, so less is better."""
-    length = F.greatest(F.lit(0), F.char_length("l") - 2)
-    each = rows.withColumn("len", length)
+def bm25(rows: DataFrame, terms: list[str], index: DataFrame | None = None) -> DataFrame:
+    """Rows (id, l, role) that hold all terms, with ``score``: the negative sum of weights, so less is better.
+
+    ``index``: :func:`postings` of the same ids and texts. Then only rows with all trigrams of some term are read in full; the
+    others count with their lengths, as every row does.
+    """
+    sized = rows.withColumn("len", F.greatest(F.lit(0), F.char_length("l") - 2))
+    each = sized
+    if index is not None:
+        grams = [sorted({t.lower()[i : i + 3] for i in range(len(t) - 2)}) for t in terms]
+        found = index.where(F.col("trigram").isin(sorted({g for of in grams for g in of}))).groupBy("doc").agg(F.collect_set("trigram").alias("g"))
+        whole = F.lit(False)
+        for of in grams:
+            whole = whole | (F.size(F.array_intersect("g", F.array(*[F.lit(g) for g in of]))) == len(of))
+        each = sized.join(found.where(whole).select(F.col("doc").alias("id")), "id", "left_semi")
     for k, t in enumerate(terms):
         each = each.withColumn(f"w{k}", F.lit(t.lower())).withColumn(f"tf{k}", F.expr(tx.overlapping("l", f"w{k}")))
-    stats = each.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
-    hits = each.where(" and ".join(f"tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of totals
+    holds = each.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
+    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).crossJoin(holds)  # one row of totals each
+    hits = each.where(" and ".join(f"tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for k in range(len(terms)):
         raw = F.log((F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))

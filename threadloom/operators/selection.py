@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,23 +164,47 @@ def phase_budget(summaries: list[str], budget: int, most: int = 6) -> str:
     return "\n\n".join([head, *(x for t, blocks in packed.items() for x in (t, *(b[:-1].replace("\0", "\n") for b in blocks)))])
 
 
-def select_units(units: list[dict], cost_of, budget: int) -> list[str]:
-    """Greedy units by time quarter: each has unit, quarter and priority; whole units while their rows fit.
+@dataclass
+class Selected:
+    """The positions that are shown, the units shown whole, and the anchors shown of the others."""
 
-    ``cost_of``: bytes that a unit's rows add, given the positions already in.
+    positions: set
+    whole: list
+    narrowed: dict
+
+
+def select_units(units: list[dict], size, budget: int) -> Selected:
+    """Units whose context fits a budget of bytes, evenly over time.
+
+    A unit has unit, quarter, priority and windows (anchor, left, right); ``size`` gives the bytes of a set of positions as
+    shown. Units of one anchor wait by quarter in spread order, the others by priority; a round offers one of each quarter,
+    first of the short ones, so that a long unit does not take all. A unit of several anchors that does not fit whole gets
+    the windows of single anchors, in spread order, as far as they fit.
     """
-    queues = {q: sorted((u for u in units if u["quarter"] == q), key=lambda u: u["priority"]) for q in range(4)}
-    inside, left, out = set(), budget, []
-    while any(queues.values()):
-        for q in range(4):
-            if queues[q]:
-                u = queues[q].pop(0)
-                new = [p for p in range(u["left"], u["right"] + 1) if p not in inside]
-                cost = cost_of(new)
-                if cost <= left:
-                    left -= cost
-                    inside.update(new)
-                    out.append(u["unit"])
+    single, several = ([[], [], [], []] for _ in range(2))
+    for u in sorted(units, key=lambda u: u["windows"][0]):
+        (several if len(u["windows"]) > 1 else single)[u["quarter"]].append(u)
+    queues = [deque(spread_order(q)) for q in single] + [deque(sorted(q, key=lambda u: u["priority"])) for q in several]
+    out = Selected(set(), [], {})
+    reach = lambda w: set(range(w[1], w[2] + 1))
+    if size(set()) > budget:
+        return out
+    while any(queues):
+        for queue in queues:
+            if not queue:
+                continue
+            u = queue.popleft()
+            tries = [set().union(*map(reach, u["windows"]))]
+            if len(u["windows"]) > 1 and size(out.positions | tries[0]) > budget:
+                tries = [reach(w) for w in spread_order(u["windows"])]
+            for more in tries:
+                if size(out.positions | more) <= budget:
+                    out.positions |= more
+            shown = [w[0] for w in u["windows"] if reach(w) <= out.positions]
+            if len(shown) == len(u["windows"]):
+                out.whole.append(u["unit"])
+            elif shown:
+                out.narrowed[u["unit"]] = shown
     return out
 
 

@@ -250,19 +250,36 @@ def _tf(term: str) -> str:
     return f"len([i FOR i IN range(1, length(l) - {len(term)} + 2) IF substr(l, CAST(i AS INTEGER), {len(term)}) = '{term}'])"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS l, greatest(0, length(lower(coalesce(text, ''))) - 2) AS len FROM documents),
+_BM25 = f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS l, greatest(0, length(lower(coalesce(text, ''))) - 2) AS len FROM documents),
 t AS (SELECT *, CASE WHEN contains(l, 'the re') THEN {_tf('the re')} ELSE 0 END AS a, CASE WHEN contains(l, 'tion') THEN {_tf('tion')} ELSE 0 END AS b FROM d),
 s AS (SELECT count(*) AS n, avg(len) AS al, count(*) FILTER (WHERE a > 0) AS na, count(*) FILTER (WHERE b > 0) AS nb FROM t),
 w AS (SELECT *, CASE WHEN ln((n - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - na + 0.5) / (na + 0.5)) END AS ia, CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nb + 0.5) / (nb + 0.5)) END AS ib FROM s),
 x AS (SELECT lang AS role, doc_id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al))) - (ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM t, w WHERE a > 0 AND b > 0),
-k AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY round(score, 9), doc_id) AS rank, doc_id, round(score, 5) AS score FROM x) SELECT * FROM k WHERE rank <= 10""")
-def trigram_bm25(spark, sf_dir):
-    d = td.table(spark, sf_dir, "documents")
-    rows = retrieval.bm25(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("role"), F.lower(F.coalesce("text", F.lit(""))).alias("l")), ["the re", "tion"])
+k AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY round(score, 9), doc_id) AS rank, doc_id, round(score, 5) AS score FROM x) SELECT * FROM k WHERE rank <= 10"""
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("role").orderBy(F.round("score", 9), "id")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("role", "rank", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
+def _searchable(spark, sf_dir) -> DataFrame:
+    d = td.table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("role"), F.lower(F.coalesce("text", F.lit(""))).alias("l"))
+
+
+@query(_BM25)
+def trigram_bm25(spark, sf_dir):
+    return _ranked(retrieval.bm25(_searchable(spark, sf_dir), ["the re", "tion"]))
+
+
+@query(_BM25)
+def indexed_bm25(spark, sf_dir):
+    """The same search through the trigram index, which is built here and would be kept elsewhere."""
+    rows = _searchable(spark, sf_dir)
+    return _ranked(retrieval.bm25(rows, ["the re", "tion"], retrieval.postings(rows, "id", "l")))
+
+
 @query("WITH k AS (SELECT lang AS role, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, doc_id, CAST(NULL AS DOUBLE) AS score FROM documents WHERE contains(lower(text), 'of') AND contains(lower(text), 'pathetic')) SELECT * FROM k WHERE rank <= 20")
 def short_literal_search(spark, sf_dir):
     return retrieval.search(td.table(spark, sf_dir, "documents"), "Of pathetic", 20, "doc_id", "text", "lang")
