@@ -112,14 +112,15 @@ def test_awkward_rows_in_small_segments(spark):
     assert tokenfiles.round_trip(empty(spark), tokenizer(WORDS)).count() == 0
 
 
-def test_plain_texts_are_encoded_in_the_jvm_as_the_library_does(spark, sf):
+@pytest.mark.parametrize("file", [WORDS, "byte_bpe_50k.json"])
+def test_plain_texts_are_encoded_in_the_jvm_as_the_library_does(spark, sf, file):
     jvm.register(spark)
-    name = jvm.words(spark, bpe.model(open(tokenizer(WORDS), "rb").read(), bpe.RankBpe))
-    lib = Tokenizer.from_file(tokenizer(WORDS))
+    name = jvm.words(spark, bpe.model(open(tokenizer(file), "rb").read(), bpe.RankBpe))
+    lib = Tokenizer.from_file(tokenizer(file))
     rng = np.random.default_rng(5)
     letters = [*"abcdefghijklmnopqrstuvwxyzABCXYZ", *"0123456789", *"    \t\n\r", *"'''.,;:!?()-_<>|#*$%&@", *"äöüßéèêçñÄÖÜÉ", *"’“…½²αΩЖ中İ́가\U0001f600\x1c\x85\xa0 Å"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(3000)]
-    texts += ["it's we're I'LL they've'd can't''s 'tis x'' 'S", "<|endoftext|> a", "a<|b", "x" * 990, "y" * 5000, "", "naïve café ÀÉÎ"]
+    texts += ["it's we're I'LL they've'd can't''s 'tis x'' 'S", "<|endoftext|> a", "a<|b", "x" * 990, "y" * 5000, "", "naïve café ÀÉÎ", "  two  blanks \n\n and\t\ttabs  ", " \n", "a \n b", " 's  's \u3000x\xa0 y"]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = {r.k: r.ids for r in df.select("k", F.expr(f"threadloom_words(cast(t AS binary), '{name}')").alias("ids")).collect()}
@@ -128,4 +129,4 @@ def test_plain_texts_are_encoded_in_the_jvm_as_the_library_does(spark, sf):
         if got[k] is not None:
             done += 1
             assert np.frombuffer(bytes(got[k]), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, t
-    assert done > 300 and all(got[3000 + k] is not None for k in (0, 3, 5, 6)) and got[3001] is None and got[3004] is None
+    assert done > 300 and all(got[3000 + k] is not None for k in (0, 3, 5, 6, 7, 8, 9, 10)) and got[3001] is None and got[3004] is None

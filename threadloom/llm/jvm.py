@@ -16,7 +16,8 @@ import zipfile
 from pathlib import Path
 
 import regex
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import WHITE, RankBpe, byte_letters
 
@@ -42,7 +43,7 @@ def register(spark: SparkSession) -> None:
             compiler.cook(Path(__file__).with_name(f"{name}.java").read_text())
             made = compiler.getBytecodes()
             files |= {f"{c.replace('.', '/')}.class": bytes(made[c]) for c in made}
-        _send(spark, "functions.jar", files)
+        _send(spark, "threadloom-functions.jar", files)
         sc._threadloom_jars = set()
     loader, nothing = spark._jsparkSession.sharedState().jarClassLoader(), sc._gateway.new_array(sc._jvm.java.lang.Object, 0)
     kind = sc._jvm.org.apache.spark.sql.types.DataType.fromDDL("binary")
@@ -52,18 +53,21 @@ def register(spark: SparkSession) -> None:
 
 
 @functools.cache
-def characters() -> bytes:
+def characters(words: bool) -> bytes:
     """Classes (0: not plain, 1: blank, 2: letter, 3: number, 4: other) and lower-case forms of the first 65536 characters.
 
-    Plain are those that stay what they are under NFC whatever stands beside them, with a lower-case form of one character,
-    from scripts without composing vowels or syllables.
+    For models with word ends those are plain that stay what they are under NFC whatever stands beside them, with a
+    lower-case form of one character, from scripts without composing vowels or syllables; for byte-level ones all that have
+    a meaning, with themselves for lower case.
     """
-    scripts = [range(0x00, 0x1C), range(0x20, 0x2C0), range(0x370, 0x483), range(0x48A, 0x530), range(0x2010, 0x2028), range(0x202F, 0x2060), range(0x2070, 0x2C00), range(0x3000, 0x302A), range(0x3041, 0x3097), range(0x30A1, 0x30FB), range(0x4E00, 0xA000)]
     blank, letter, number = (regex.compile(x) for x in (rf"[{WHITE}]", r"\p{L}", r"\p{N}"))
+    scripts = [range(0x00, 0x1C), range(0x20, 0x2C0), range(0x370, 0x483), range(0x48A, 0x530), range(0x2010, 0x2028), range(0x202F, 0x2060), range(0x2070, 0x2C00), range(0x3000, 0x302A), range(0x3041, 0x3097), range(0x30A1, 0x30FB), range(0x4E00, 0xA000)]
     kinds, lower = bytearray(65536), [0] * 65536
-    for c in (chr(x) for part in scripts for x in part):
-        low = c.lower()
-        if unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or len(low) != 1 or ord(low) > 0xFFFF or unicodedata.category(c) == "Cn":
+    for c in (chr(x) for part in (scripts if words else [range(0x00, 0x1C), range(0x20, 0xD800), range(0xE000, 0x10000)]) for x in part):
+        low = c.lower() if words else c
+        if unicodedata.category(c) in ("Cn", "Co", "Cs"):
+            continue
+        if words and (unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or len(low) != 1 or ord(low) > 0xFFFF):
             continue
         kinds[ord(c)] = 1 if blank.match(c) else 2 if letter.match(low) else 3 if number.match(low) else 4
         lower[ord(c)] = ord(low)
@@ -71,8 +75,8 @@ def characters() -> bytes:
 
 
 def words(spark: SparkSession, model: RankBpe) -> str | None:
-    """The resource of a word-end model with ids of 2 bytes, for ``threadloom_words``; None for other models."""
-    if not model.words or model.wide:
+    """The resource of a model with ids of 2 bytes, for ``threadloom_words``; None for other models."""
+    if model.wide:
         return None
     ids = {t: i for i, t in model.tokens.items()}
     letters = {b: c for c, b in byte_letters().items()}
@@ -81,9 +85,18 @@ def words(spark: SparkSession, model: RankBpe) -> str | None:
     if min(single) < 0 or min(last) < 0:
         return None
     merges = [x for k, r in sorted(model.rank.items(), key=lambda x: x[1]) for x in (*model.parts[k], k)]
-    data = struct.pack(f">{513 + len(merges)}i", *single, *last, len(model.rank), *merges) + characters()
+    data = struct.pack(f">{514 + len(merges)}i", model.words, *single, *last, len(model.rank), *merges) + characters(model.words)
     name = f"threadloom/words-{hashlib.sha256(data).hexdigest()[:16]}.bin"
     if name not in spark.sparkContext._threadloom_jars:
-        _send(spark, "words.jar", {name: data})
+        _send(spark, f"{Path(name).stem}.jar", {name: data})  # jars go by their names
         spark.sparkContext._threadloom_jars.add(name)
     return name
+
+
+def encoded(rows: DataFrame, model: RankBpe, text: str = "text") -> DataFrame:
+    """``rows`` with ``ids binary`` (little-endian, 2 bytes each) of the texts that the JVM can encode, whose ``text`` is then
+    null; the other rows keep their text. ``rows`` must not have a column ``ids``."""
+    register(rows.sparkSession)
+    known = words(rows.sparkSession, model)
+    made = rows.withColumn("ids", F.expr(f"threadloom_words(cast(`{text}` AS binary), '{known}')") if known else F.lit(None).cast("binary"))
+    return made.withColumn(text, F.when(F.col("ids").isNull(), F.col(text)))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, jvm
 from .shared import ship, written
 
 LENGTH, END = 2048, 1
@@ -35,22 +35,30 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     spec = bpe.load(spark, path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    model = bpe.model(spec.value, bpe.RankBpe)
+    width = 4 if model.wide else 2
+    rows = jvm.encoded(rows, model)  # a text that is not plain is left to the workers
 
     def run(batches):
-        encoder = bpe.model(spec.value, bpe.RankBpe)
-        last = end.to_bytes(4 if encoder.wide else 2, "little")
+        last, encoder = end.to_bytes(width, "little"), None
         part, served = TaskContext.get().partitionId(), {}
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 c = b.slice(at, 1000)
-                ids = [encoder.ids_bytes(t.as_py() or "") + last for t in c.column("text")]
-                n = [len(x) // len(last) for x in ids]
+                ids = []
+                for t, known in zip(c.column("text"), c.column("ids"), strict=True):
+                    if known.is_valid:
+                        ids.append(known.as_py() + last)
+                    else:
+                        encoder = encoder or bpe.model(spec.value, bpe.RankBpe)
+                        ids.append(encoder.ids_bytes(t.as_py()) + last)
+                n = [len(x) // width for x in ids]
                 local = []
                 for q, k in zip(c.column("source").to_pylist(), n, strict=True):
                     local.append(served.get(q, 0))
                     served[q] = local[-1] + k
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(local, pa.int64()), pa.array(n, pa.int64()), pa.array([len(last)] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "local", "n", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(local, pa.int64()), pa.array(n, pa.int64()), pa.array([width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "local", "n", "width", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, source string, part int, local long, n long, width int, ids binary")

@@ -84,9 +84,7 @@ def segments(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
     width = 4 if words.wide else 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id")  # the place parts the rows of a hot doc_id
-    known = jvm.words(spark, words)
-    rows = rows.withColumn("ids", F.expr(f"threadloom_words(cast(text AS binary), '{known}')") if known else F.lit(None).cast("binary"))
-    rows = rows.select("doc_id", F.when(F.col("ids").isNull(), F.col("text")).alias("text"), "ids")
+    rows = jvm.encoded(rows.select("doc_id", "text"), words)  # a text that is not plain is left to the workers
 
     def run(batches):
         stop = end.to_bytes(width, "little")
