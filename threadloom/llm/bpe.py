@@ -36,7 +36,7 @@ _ANY_WORD = re.compile(rf"[^{WHITE}]+")
 #: Marks that a word's end is tried without first.
 _MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 #: Entries that a worker's memo of words may hold before it starts anew (a bound of memory; results don't depend on it).
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 PAIR_ENTRIES = 500_000
 STEP_ENTRIES = 600_000
 
@@ -111,6 +111,7 @@ class PrefixBpe:
         self._left: dict[int, list[tuple[int, float]]] = {}
         self.packed = _Memo(self._packed)
         self.strings = _Memo(self._strings)
+        self._known_strings = _Memo(self._part_strings)
 
     @staticmethod
     def _check(d: dict, suffix: str) -> None:
@@ -218,29 +219,42 @@ class PrefixBpe:
             end -= sizes[end]
         return out[::-1]
 
+    def _parts(self, chunk: str) -> list[str]:
+        """Pre-tokens of a stretch as :meth:`_ids` describes it."""
+        if not chunk.isascii():
+            return self._split.findall("".join(c.lower() for c in unicodedata.normalize("NFC", chunk)) if self.words else chunk)
+        if not self.words:
+            return [chunk] if chunk[1:].isalpha() and chunk[0] != "'" else self._split.findall(chunk)
+        chunk = chunk.lower()
+        word = chunk.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._split.findall(chunk)
+        return [chunk] if len(word) == len(chunk) else [word, chunk[len(word) :]]
+
+    def _part_ids(self, part: str) -> list[int]:
+        symbols = [*part.encode("utf-8", "replace")]
+        if self.words:
+            symbols[-1] += 256
+        return self.encode_word(symbols)
+
     def _ids(self, chunk: str) -> list[int]:
         """Ids of a stretch between white space (word ends), or with the blank before it (byte-level)."""
-        if self.words:
-            chunk = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        if self.words and chunk.isascii() and chunk.isalpha():
-            pieces = [chunk]
-        else:
-            pieces = self._split.findall(chunk)
-        out: list[int] = []
-        for piece in pieces:
-            symbols = [*piece.encode("utf-8", "replace")]
-            if self.words:
-                symbols[-1] += 256
-            out += self.encode_word(symbols)
-        return out
+        return [i for part in self._parts(chunk) for i in self._part_ids(part)]
 
     def _packed(self, chunk: str) -> bytes:
         code = self._code
         return b"".join([code[i] for i in self._ids(chunk)])
 
     def _strings(self, chunk: str) -> tuple[str, str]:
-        ids = self._ids(chunk)
-        return " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
+        known = self._known_strings
+        if len(known) > MEMO_ENTRIES // 2:
+            known.clear()
+        found = [known[part] for part in self._parts(chunk)]
+        return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+
+    def _part_strings(self, part: str) -> tuple[str, str]:
+        ids, tokens = self._part_ids(part), self.tokens
+        return " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def chunks(self, text: str) -> list[str]:
         """Cuts where no pre-token can cross, so that the stretches can be encoded, and remembered, one by one."""
@@ -319,18 +333,6 @@ class RankBpe(PrefixBpe):
         self._known = _Memo(self._packed_part)
         self._piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
-    def _parts(self, chunk: str) -> list[str]:
-        """Pre-tokens of a stretch as :meth:`_ids` describes it."""
-        if not chunk.isascii():
-            return self._split.findall("".join(c.lower() for c in unicodedata.normalize("NFC", chunk)) if self.words else chunk)
-        if not self.words:
-            return [chunk] if chunk[1:].isalpha() and chunk[0] != "'" else self._split.findall(chunk)
-        chunk = chunk.lower()
-        word = chunk.rstrip(_MARKS)
-        if not word.isalpha():
-            return self._split.findall(chunk)
-        return [chunk] if len(word) == len(chunk) else [word, chunk[len(word) :]]
-
     def _ids(self, chunk: str) -> list[int]:
         names, piece, end = self._names, self._piece, b"\xff" if self.words else b""
         return [names[i] for part in self._parts(chunk) for i in piece(part.encode("utf-8", "replace") + end)]
