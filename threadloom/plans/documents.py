@@ -306,7 +306,7 @@ def repetition_windows(spark, sf_dir):
     return selection.repetition_windows(m, m.where("type = 'purchase'").select("conv_id", "content").distinct(), 3000)
 
 
-@query(_TURNS + " SELECT conv_id, count(*) AS turns, sum(n_messages) AS n_messages FROM tt GROUP BY conv_id")
+@query(_TURNS + " SELECT conv_id, count(*) AS turns, CAST(sum(n_messages) AS BIGINT) AS n_messages FROM tt GROUP BY conv_id")
 def turn_totals(spark, sf_dir):
     return sessions.speaker_turns(td.conversations(spark, sf_dir)).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n_messages").alias("n_messages"))
 
@@ -337,11 +337,11 @@ def first_occurrences(spark, sf_dir):
     return selection.first_occurrences(td.events(spark, sf_dir).withColumnRenamed("type", "event_type"), "event_type", "position")
 
 
-@query("WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_id % 20))) AS ids, list_distinct(list(event_id % 7)) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY user_id) SELECT user_id, [x FOR x IN ids IF list_contains(seen, x)] AS kept, [x FOR x IN ids IF NOT list_contains(seen, x)] AS gone FROM u")
+@query("WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_id % 20))) AS ids, list_distinct(list(event_id % 7)) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY user_id) SELECT user_id, array_to_string([x FOR x IN ids IF list_contains(seen, x)], ',') AS kept, array_to_string([x FOR x IN ids IF NOT list_contains(seen, x)], ',') AS gone FROM u")
 def pruned_ids(spark, sf_dir):
     e = td.table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set(F.col("event_id") % 20)).alias("ids"), F.collect_set(F.col("event_id") % 7).alias("seen"))
     kept, gone = selection.pruned("ids", "seen")
-    return e.select("user_id", kept.alias("kept"), gone.alias("gone"))
+    return e.select("user_id", *[F.array_join(x.cast("array<string>"), ",").alias(n) for n, x in (("kept", kept), ("gone", gone))])
 
 
 @query(_EV + " SELECT conv_id, idx AS original_index, CASE WHEN event_type = 'error' THEN '其他消息' ELSE event_type END AS type, event_type || ' [邮箱1] [手机号1]' AS content, CASE WHEN idx % 10 = 0 THEN 'at [手机号1]' ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS time_str, CASE WHEN idx % 2 = 0 THEN 'source:' || (idx + 1) END AS source_message_id FROM m")
@@ -421,13 +421,13 @@ def source_readings(spark, sf_dir):
     return claims.source_violations(facts, d.select("position"), d.select("position", "text"))
 
 
-@query("WITH c AS (SELECT l_orderkey AS claim_id, l_partkey AS position FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_partkey % 4 = 0) SELECT claim_id, list_sort(list_distinct(list(position))) AS positions FROM c GROUP BY claim_id")
+@query("WITH c AS (SELECT l_orderkey AS claim_id, l_partkey AS position FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_partkey % 4 = 0) SELECT claim_id, array_to_string(list_sort(list_distinct(list(position))), ',') AS positions FROM c GROUP BY claim_id")
 def unresolved_sources(spark, sf_dir):
     line = td.table(spark, sf_dir, "lineitem")
     cited = line.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("position"))
     facts = line.select(F.col("l_partkey").alias("position"), F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("me"))).alias("participants"))
     kinds = td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderkey") % 3 == 0, "uncertain").otherwise("fact").alias("kind"))
-    return claims.unresolved(kinds, cited, facts)
+    return claims.unresolved(kinds, cited, facts).select("claim_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 _UN = _CTX + """, u0 AS (SELECT *, max("right") OVER (PARTITION BY conv_id, session ORDER BY "left", position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM an),
@@ -436,11 +436,12 @@ uu AS (SELECT *, sum(CASE WHEN edge IS NULL OR "left" > edge + 1 THEN 1 ELSE 0 E
 
 @query(_UN + """, k AS (SELECT conv_id, CAST(unit AS BIGINT) AS unit, CASE position % 3 WHEN 0 THEN 'events' WHEN 1 THEN 'relation_signals' ELSE 'counter_evidence' END AS c, CASE WHEN position % 3 = 1 THEN CASE position % 2 WHEN 0 THEN 'support' ELSE 'against' END END AS d FROM uu),
 g AS (SELECT conv_id, unit, list_sort(list_distinct(list(c))) AS categories, list_sort(list_distinct(coalesce(list(d) FILTER (WHERE d IS NOT NULL), []))) AS directions FROM k GROUP BY ALL)
-SELECT *, (list_contains(directions, 'support') OR list_contains(categories, 'events')) AND (list_contains(directions, 'against') OR list_contains(categories, 'counter_evidence')) AS contrast FROM g""")
+SELECT conv_id, unit, array_to_string(categories, ',') AS categories, array_to_string(directions, ',') AS directions, (list_contains(directions, 'support') OR list_contains(categories, 'events')) AND (list_contains(directions, 'against') OR list_contains(categories, 'counter_evidence')) AS contrast FROM g""")
 def unit_label_sets(spark, sf_dir):
     a, p = _anchored(spark, sf_dir), F.col("position")
     labelled = a.select("conv_id", "position", F.when(p % 3 == 0, "events").when(p % 3 == 1, "relation_signals").otherwise("counter_evidence").alias("category"), F.when(p % 3 == 1, F.when(p % 2 == 0, "support").otherwise("against")).alias("direction"))
-    return sessions.unit_labels(sessions.candidate_units(a), labelled)
+    found = sessions.unit_labels(sessions.candidate_units(a), labelled)
+    return found.select("conv_id", "unit", *[F.array_join(c, ",").alias(c) for c in ("categories", "directions")], "contrast")
 
 
 @query("SELECT source AS conv_id, doc_id, CASE WHEN (rank - 1) % 12 < 10 THEN CAST((rank - 1) // 12 + 1 AS INTEGER) END AS chunk_index FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)")

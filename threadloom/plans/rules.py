@@ -206,10 +206,10 @@ def complete_snapshots(spark, sf_dir):
     return retrieval.complete_if_fits(td.documents(spark, sf_dir), 120_000)
 
 
-@query(_PQ + ", q2 AS (SELECT question, direction, query FROM q UNION ALL SELECT question, direction, upper(query) FROM q), s AS (SELECT question, upper(query) AS u, query, conv_id, doc_id FROM h), g AS (SELECT question, u, count(*) AS n FROM s GROUP BY ALL) SELECT question, n, [u, (SELECT min(query) FROM q WHERE upper(query) = u)] AS queries FROM g")
+@query(_PQ + ", q2 AS (SELECT question, direction, query FROM q UNION ALL SELECT question, direction, upper(query) FROM q), s AS (SELECT question, upper(query) AS u, query, conv_id, doc_id FROM h), g AS (SELECT question, u, count(*) AS n FROM s GROUP BY ALL) SELECT question, n, u || '|' || (SELECT min(query) FROM q WHERE upper(query) = u) AS queries FROM g")
 def merged_queries(spark, sf_dir):
     hits = _hits(spark, sf_dir)
-    return retrieval.merged_hit_sets(hits.union(hits.withColumn("query", F.upper("query")))).select("question", "n", "queries")
+    return retrieval.merged_hit_sets(hits.union(hits.withColumn("query", F.upper("query")))).select("question", "n", F.array_join("queries", "|").alias("queries"))
 
 
 @query(_CHUNK + """, k AS (SELECT conv_id, chunk_index, CAST(row_number() OVER (PARTITION BY conv_id, chunk_index ORDER BY position) - 1 AS BIGINT) AS r, position, bytes FROM c), z AS (SELECT conv_id, chunk_index, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ALL),
@@ -385,7 +385,7 @@ def reply_delta_sums(spark, sf_dir):
     return sessions.reply_deltas(td.events(spark, sf_dir)).where("delta is not null").groupBy("conv_id", "sender").agg(F.count("*").alias("n"), F.sum("delta").alias("seconds"))
 
 
-@query("SELECT o_custkey AS claim_id, list_concat(['local'], list_concat(CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) >= 2 AND count(DISTINCT strftime(o_orderdate, '%Y-%m')) >= 2 THEN ['repeated'] ELSE [] END, CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) >= 3 AND count(DISTINCT strftime(o_orderdate, '%Y-%m')) >= 3 AND date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) >= 30 THEN ['long_term'] ELSE [] END)) AS scopes, CASE WHEN bool_or(o_orderkey % 5 = 0) THEN ['user', 'interaction', 'peer'] ELSE ['user', 'interaction'] END AS subjects FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS claim_id, array_to_string(list_concat(['local'], list_concat(CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) >= 2 AND count(DISTINCT strftime(o_orderdate, '%Y-%m')) >= 2 THEN ['repeated'] ELSE [] END, CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) >= 3 AND count(DISTINCT strftime(o_orderdate, '%Y-%m')) >= 3 AND date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) >= 30 THEN ['long_term'] ELSE [] END)), ',') AS scopes, CASE WHEN bool_or(o_orderkey % 5 = 0) THEN 'user,interaction,peer' ELSE 'user,interaction' END AS subjects FROM orders GROUP BY o_custkey")
 def allowed_scopes(spark, sf_dir):
     refs = td.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("claim_id"), F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise("me").alias("sender"))
-    return claims.allowed(_covered(spark, sf_dir), refs)
+    return claims.allowed(_covered(spark, sf_dir), refs).select("claim_id", *[F.array_join(c, ",").alias(c) for c in ("scopes", "subjects")])
