@@ -30,6 +30,8 @@ from .shared import fresh, ship, worker_object
 LEAST, POWER = 8, 0.75
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
+#: N-grams that a fit works on at a time.
+_GRAMS = 1 << 20
 #: Rows of each class that a fit takes at most, and the longest text (code points) it takes: the bound of its memory.
 FIT_ROWS, FIT_CHARS = 3000, 8_000
 #: Scores that a worker remembers before it starts anew (a bound of memory; results don't depend on it).
@@ -104,15 +106,28 @@ class _Corpus:
             np.add.at(out, (group[key // BUCKETS], key % BUCKETS), 1)
         return out
 
+    def _parts(self):
+        """Runs of words with about a million n-grams: first and last word, first and last place in ``flat``."""
+        ends = self.first + self.sizes
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, self.first[i] + _GRAMS, "right")))
+            yield i, j, self.first[i], ends[j - 1]
+            i = j
+
     def margins(self, q: np.ndarray) -> np.ndarray:
-        words = np.add.reduceat(q[self.flat], self.first) / self.sizes
+        words = np.empty(len(self.sizes))
+        for i, j, a, z in self._parts():
+            words[i:j] = np.add.reduceat(q[self.flat[a:z]], self.first[i:j] - a) / self.sizes[i:j]
         return np.bincount(self.doc, words[self.word] * self.share, len(self.count))
 
     def pull(self, g: np.ndarray) -> np.ndarray:
         """What a gradient of the texts' margins is for each bucket."""
         per = np.bincount(self.word, g[self.doc] * self.share, len(self.sizes)) / self.sizes
-        live = np.flatnonzero(per)
-        return np.bincount(self._buckets(live), np.repeat(per[live], self.sizes[live]), BUCKETS)
+        out = np.zeros(BUCKETS)
+        for i, j, a, z in self._parts():
+            out += np.bincount(self.flat[a:z], np.repeat(per[i:j], self.sizes[i:j]), BUCKETS)
+        return out
 
 
 def _odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -243,13 +258,24 @@ def _held(i):
 
 
 def train(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    """The model of :func:`sample`'s rows, which come to the driver (``2 * FIT_ROWS`` texts of ``FIT_CHARS`` at most).
+    """The model of :func:`sample`'s rows, fitted in one task (``2 * FIT_ROWS`` texts of ``FIT_CHARS`` at most, whatever the
+    corpus), so that the driver holds nothing but the result, 8 MB.
 
     The same tables give the same model, however they are partitioned. Without any row of one class nothing is learned, and
     every text with a word scores the same.
     """
-    found = sorted(((zlib.crc32(str(r.i).encode()), str(r.i), r.text, r.toxic) for r in sample(docs, labels, **names).collect()))
-    return fit([r[2] for r in found], np.array([r[3] for r in found]))
+    ship(docs.sparkSession)
+
+    def run(batches):
+        found = sorted((zlib.crc32(str(i).encode()), str(i), t, x) for b in batches for i, t, x in zip(*(b.column(c).to_pylist() for c in ("i", "text", "toxic")), strict=True))
+        m = fit([r[2] for r in found], np.array([r[3] for r in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for x in (m.embedding, m.weights, m.bias)], ["embedding", "weights", "bias"])
+
+    made = sample(docs, labels, **names).repartition(1).mapInArrow(run, "embedding binary, weights binary, bias binary").first()
+    if made is None:  # no row at all, and so no task
+        return fit([], np.array([]))
+    embedding, weights, bias = (np.frombuffer(bytes(x), np.float64) for x in made)
+    return Model(embedding.reshape(BUCKETS, -1), weights.reshape(-1, 2), bias)
 
 
 def scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
