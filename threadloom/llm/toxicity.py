@@ -49,11 +49,21 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def core(word: str) -> str:
+    """A word without the marks at its ends; marks alone stay."""
+    return word.strip(_EDGE) or word
+
+
 def grams(word: str) -> list[int]:
     """Buckets of a word's n-grams; at least one for any word."""
-    w = f"<{word.strip(_EDGE) or word}>"
-    out = [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
-    out.append(zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS)
+    w = f"<{core(word)}>"
+    raw = w.encode("utf-8", "replace")
+    n, crc = len(w), zlib.crc32
+    if len(raw) == n:
+        out = [crc(raw[i : i + k]) % BUCKETS for k in GRAMS for i in range(n - k + 1)]
+    else:
+        out = [crc(w[i : i + k].encode("utf-8", "replace")) % BUCKETS for k in GRAMS for i in range(n - k + 1)]
+    out.append(crc(raw) % BUCKETS)
     return out
 
 
@@ -219,17 +229,24 @@ class Scorer:
     def __init__(self, margins: np.ndarray, bias: float):
         outer = self
 
+        class Cores(dict):
+            def __missing__(self, word):
+                of = grams(word)
+                value = self[word] = sum(map(outer.values.__getitem__, of)) / len(of)
+                return value
+
         class Memo(dict):
             def __missing__(self, word):
-                value = self[word] = float(outer.margins[grams(word)].mean())
+                value = self[word] = outer.cores[core(word)]
                 return value
 
-        self.margins, self.bias, self.memo = margins, bias, Memo()
+        self.values, self.bias, self.cores, self.memo = margins.tolist(), bias, Cores(), Memo()
 
     def __call__(self, text: str) -> float:
         """Probability of the toxic class; 0 for a text without words, which has nothing toxic in it."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
+            self.cores.clear()
         words = dict.fromkeys(words_of(text))  # distinct, in the order they come, so that sums are the same each time
         if not words:
             return 0.0
