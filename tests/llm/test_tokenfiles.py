@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.rows import awkward, empty
-from threadloom.llm import bpe, jvm, tokenfiles
+from threadloom.llm import jvm, tokenfiles
 from threadloom.llm.queries import op8_mixing_coder, tokenizer
 
 WORDS = "word_bpe_49k.json"
@@ -114,8 +114,8 @@ def test_awkward_rows_in_small_segments(spark):
 
 @pytest.mark.parametrize("file", [WORDS, "byte_bpe_50k.json"])
 def test_plain_texts_are_encoded_in_the_jvm_as_the_library_does(spark, sf, file):
-    jvm.register(spark)
-    name = jvm.words(spark, bpe.model(open(tokenizer(file), "rb").read(), bpe.RankBpe))
+    name, width = jvm.words(spark, open(tokenizer(file), "rb").read())
+    assert width == 2
     lib = Tokenizer.from_file(tokenizer(file))
     rng = np.random.default_rng(5)
     letters = [*"abcdefghijklmnopqrstuvwxyzABCXYZ", *"0123456789", *"    \t\n\r", *"'''.,;:!?()-_<>|#*$%&@", *"äöüßéèêçñÄÖÜÉ", *"’“…½²αΩЖ中İ́가\U0001f600\x1c\x85\xa0 Å"]

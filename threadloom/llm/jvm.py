@@ -10,16 +10,20 @@ import functools
 import hashlib
 import os
 import struct
+import sys
 import tempfile
 import unicodedata
 import zipfile
+from array import array
 from pathlib import Path
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WHITE, RankBpe, byte_letters
+from .shared import ship
 
 _SOURCES = ("MixingCoder", "WordBpe")
 _FUNCTIONS = {"threadloom_encode2": "MixingCoder$Encode2", "threadloom_encode4": "MixingCoder$Encode4", "threadloom_decode": "MixingCoder$Decode", "threadloom_words": "WordBpe$Words"}
@@ -44,7 +48,7 @@ def register(spark: SparkSession) -> None:
             made = compiler.getBytecodes()
             files |= {f"{c.replace('.', '/')}.class": bytes(made[c]) for c in made}
         _send(spark, "threadloom-functions.jar", files)
-        sc._threadloom_jars = set()
+        sc._threadloom_jars = {}
     loader, nothing = spark._jsparkSession.sharedState().jarClassLoader(), sc._gateway.new_array(sc._jvm.java.lang.Object, 0)
     kind = sc._jvm.org.apache.spark.sql.types.DataType.fromDDL("binary")
     for function, name in _FUNCTIONS.items():
@@ -74,8 +78,8 @@ def characters(words: bool) -> bytes:
     return bytes(kinds) + struct.pack(">65536H", *lower)
 
 
-def words(spark: SparkSession, model: RankBpe) -> str | None:
-    """The resource of a model with ids of 2 bytes, for ``threadloom_words``; None for other models."""
+def _tables(model: RankBpe) -> bytes | None:
+    """What ``WordBpe`` needs of a model with ids of 2 bytes; None for other models."""
     if model.wide:
         return None
     ids = {t: i for i, t in model.tokens.items()}
@@ -84,19 +88,39 @@ def words(spark: SparkSession, model: RankBpe) -> str | None:
     last = [ids.get(letters[b] + model.suffix, -1) for b in range(256)]
     if min(single) < 0 or min(last) < 0:
         return None
-    merges = [x for k, r in sorted(model.rank.items(), key=lambda x: x[1]) for x in (*model.parts[k], k)]
-    data = struct.pack(f">{514 + len(merges)}i", model.words, *single, *last, len(model.rank), *merges) + characters(model.words)
-    name = f"threadloom/words-{hashlib.sha256(data).hexdigest()[:16]}.bin"
-    if name not in spark.sparkContext._threadloom_jars:
-        _send(spark, f"{Path(name).stem}.jar", {name: data})  # jars go by their names
-        spark.sparkContext._threadloom_jars.add(name)
-    return name
-
-
-def encoded(rows: DataFrame, model: RankBpe, text: str = "text") -> DataFrame:
-    """``rows`` with ``ids binary`` (little-endian, 2 bytes each) of the texts that the JVM can encode, whose ``text`` is then
-    null; the other rows keep their text. ``rows`` must not have a column ``ids``."""
-    register(rows.sparkSession)
-    known = words(rows.sparkSession, model)
+    merges = array("i", [x for k, r in sorted(model.rank.items(), key=lambda x: x[1]) for x in (*model.parts[k], k)])
+    if sys.byteorder == "little":
+        merges.byteswap()
+    return struct.pack(">514i", model.words, *single, *last, len(model.rank)) + merges.tobytes() + characters(model.words)
+
+
+def words(spark: SparkSession, spec: bytes) -> tuple[str | None, int]:
+    """The resource of a tokenizer file for ``threadloom_words`` (None if it has ids of 4 bytes), and the bytes of its ids.
+
+    The file is taken apart once per application, by a worker, so that the driver holds nothing but the result (1 MB).
+    """
+    register(spark)
+    known = spark.sparkContext._threadloom_jars
+    key = hashlib.sha256(spec).hexdigest()[:16]
+    if key not in known:
+        ship(spark)
+        sent = spark.sparkContext.broadcast(spec)
+
+        def run(batches):
+            model = RankBpe(sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array([_tables(model)], pa.binary()), pa.array([4 if model.wide else 2], pa.int32())], ["tables", "width"])
+
+        made = spark.range(1, numPartitions=1).mapInArrow(run, "tables binary, width int").first()
+        name = f"threadloom/words-{key}.bin" if made.tables else None
+        if name:
+            _send(spark, f"words-{key}.jar", {name: bytes(made.tables)})  # jars go by their names
+        known[key] = name, made.width
+    return known[key]
+
+
+def encoded(rows: DataFrame, spec: bytes, text: str = "text") -> tuple[DataFrame, int]:
+    """``rows`` with ``ids binary`` (little-endian) of the texts that the JVM can encode, whose ``text`` is then null, and the
+    bytes of an id; the other rows keep their text. ``rows`` must not have a column ``ids``."""
+    known, width = words(rows.sparkSession, spec)
     made = rows.withColumn("ids", F.expr(f"threadloom_words(cast(`{text}` AS binary), '{known}')") if known else F.lit(None).cast("binary"))
-    return made.withColumn(text, F.when(F.col("ids").isNull(), F.col(text)))
+    return made.withColumn(text, F.when(F.col("ids").isNull(), F.col(text))), width

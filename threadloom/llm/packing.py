@@ -36,9 +36,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ship(spark)
     spec = bpe.load(spark, path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = bpe.model(spec.value, bpe.RankBpe)
-    width = 4 if model.wide else 2
-    rows = jvm.encoded(rows, model)  # a text that is not plain is left to the workers
+    rows, width = jvm.encoded(rows, spec.value)  # a text that is not plain is left to the workers
 
     def run(batches):
         last, encoder = end.to_bytes(width, "little"), None

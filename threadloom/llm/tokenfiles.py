@@ -80,11 +80,9 @@ def segments(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
     ship(spark)
     jvm.register(spark)
     spec = bpe.load(spark, path)
-    words = bpe.model(spec.value, bpe.RankBpe)
-    width = 4 if words.wide else 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id")  # the place parts the rows of a hot doc_id
-    rows = jvm.encoded(rows.select("doc_id", "text"), words)  # a text that is not plain is left to the workers
+    rows, width = jvm.encoded(rows.select("doc_id", "text"), spec.value)  # a text that is not plain is left to the workers
 
     def run(batches):
         stop = end.to_bytes(width, "little")
