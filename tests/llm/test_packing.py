@@ -58,6 +58,7 @@ def test_awkward_rows(spark):
     check(packing.packed(rows, tokenizer(BYTE), 64).collect(), rows.collect(), 64)
     assert packing.packed(empty(spark), tokenizer(BYTE)).count() == 0
     assert {r.source for r in packing.packed(rows, tokenizer(BYTE), 64).collect()} == {"s1", None}
+    check(packing.packed(rows, tokenizer(BYTE), 64, in_jvm=False).collect(), rows.collect(), 64)
 
 
 def test_every_source_keeps_its_queue_however_many_there_are(spark):

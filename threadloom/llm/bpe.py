@@ -353,6 +353,12 @@ def model(spec: bytes, kind: type[PrefixBpe] = PrefixBpe) -> PrefixBpe:
     return worker_object((hashlib.sha256(spec).digest(), kind.__name__), lambda: kind(spec))
 
 
+def width_of(spec: bytes) -> int:
+    """Bytes that an id of a tokenizer file takes, 2 or 4."""
+    d = json.loads(spec)
+    return 4 if max([*d["model"]["vocab"].values(), *(t["id"] for t in d.get("added_tokens") or [])]) > 0xFFFF else 2
+
+
 def load(spark: SparkSession, path: str):
     """The tokenizer file at ``path`` as a broadcast; such files are a few MB whatever the corpus."""
     with open(path, "rb") as f:

@@ -30,13 +30,19 @@ SOURCES = 1_000_000
 _CELLS, _DOCS = 1 << 21, 2000
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end: int = END) -> DataFrame:
-    """``doc_id, source, part, local, n, width, ids``: ids with the end id; ``local``: tokens of its source before it in its part."""
+def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end: int = END, in_jvm: bool = True) -> DataFrame:
+    """``doc_id, source, part, local, n, width, ids``: ids with the end id; ``local``: tokens of its source before it in its part.
+
+    ``in_jvm``: encode plain texts there, by functions that come as a jar; else the workers encode all. The ids are the same.
+    """
     spark = docs.sparkSession
     ship(spark)
     spec = bpe.load(spark, path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows, width = jvm.encoded(rows, spec.value)  # a text that is not plain is left to the workers
+    if in_jvm:
+        rows, width = jvm.encoded(rows, spec.value)  # a text that is not plain is left to the workers
+    else:
+        rows, width = rows.withColumn("ids", F.lit(None).cast("binary")), bpe.width_of(spec.value)
 
     def run(batches):
         last, encoder = end.to_bytes(width, "little"), None
