@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, tokenfiles, toxicity
+from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, tokenfiles, toxicity, trie
 from .shared import table
 
 
@@ -61,6 +61,10 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_stable_kdtree": op1_stable_kdtree,
     "op2_js_quality": op2_js_quality,
@@ -72,8 +76,23 @@ QUERIES = {
     "op8_mixing_coder": op8_mixing_coder,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_subword_toxicity": op10_subword_toxicity,
+    "op12_patricia_trie": op12_patricia_trie,
 }
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII string, half a byte at a time."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    half = lambda c: f"xor(({c}) >> 4, {table}[(({c}) & 15) + 1])"
+    step = half(half("xor(a, b)"))
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {step}), 4294967295)"
+
+
 _WARC = f"""'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || replace(replace(u, chr(13), ''), chr(10), '') || nl
   || 'WARC-Date: {fixity.DATE}' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(n, 1, 8) || '-' || substr(n, 9, 4) || '-5' || substr(n, 14, 3) || '-8' || substr(n, 18, 3) || '-' || substr(n, 21, 12) || '>' || nl
   || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(h) || nl || nl || h || nl || nl"""
@@ -92,4 +111,17 @@ SELECT page_id, file, CAST(seq AS INTEGER) AS seq,
   length, sha256, CASE WHEN fate < '02' AND body > 0 THEN 'altered' WHEN fate >= '02' AND fate < '04' THEN 'missing' ELSE 'ok' END AS status
 FROM f
 UNION ALL SELECT NULL, NULL, NULL, NULL, strlen({_WARC}), sha256({_WARC}), 'added' FROM s""",
+    "op12_patricia_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, sha256(strlen(r) || ':' || r || x) AS t, length(x) AS cp, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS k FROM t),
+c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 AS own, k, t, cp FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND k <= h UNION ALL SELECT conv_id, 1, k, t, cp FROM c JOIN o USING (conv_id) WHERE k > h),
+s AS (SELECT conv_id, cp, row_number() OVER w AS d, sha256(string_agg(t, '') OVER w) AS p FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, k ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS above FROM (SELECT * FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c)),
+e AS (SELECT p, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(p, d) AS p FROM m GROUP BY conv_id) GROUP BY p),
+n AS (SELECT p, d, above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(cp) AS saved FROM m GROUP BY p, d, above),
+k AS (SELECT above AS p, count(*) AS n_children FROM n GROUP BY above),
+a AS (SELECT m.p, count(*) FILTER (k.p IS NULL) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM n LEFT JOIN k USING (p) JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, '{trie.NO_ENDS}') AS ends_sha256
+FROM n LEFT JOIN n AS u ON u.p = n.above LEFT JOIN k ON k.p = n.p LEFT JOIN e ON e.p = n.p JOIN a ON a.p = n.p""",
 }
