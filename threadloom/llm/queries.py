@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fixity, packing, passages, quality, shards, simhash, tokenfiles, toxicity, trie
+from . import ann, bpe, fixity, merkle, packing, passages, quality, shards, simhash, tokenfiles, toxicity, trie, twotier
 from .shared import table
 
 
@@ -61,10 +61,22 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_mountain_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked against rows where the texts of one in five ids have been lower-cased."""
+    upper = "".join(map(chr, range(65, 91)))
+    bad = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = {"text": F.translate("text", upper, upper.lower())}
+    return merkle.audited(merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed, bad))
+
+
 def op12_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twotier.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_stable_kdtree": op1_stable_kdtree,
     "op2_js_quality": op2_js_quality,
@@ -76,7 +88,9 @@ QUERIES = {
     "op8_mixing_coder": op8_mixing_coder,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_subword_toxicity": op10_subword_toxicity,
+    "op11_mountain_merkle": op11_mountain_merkle,
     "op12_patricia_trie": op12_patricia_trie,
+    "op13_two_tier_bpe": op13_two_tier_bpe,
 }
 
 
@@ -97,7 +111,37 @@ _WARC = f"""'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI:
   || 'WARC-Date: {fixity.DATE}' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(n, 1, 8) || '-' || substr(n, 9, 4) || '-5' || substr(n, 14, 3) || '-8' || substr(n, 18, 3) || '-' || substr(n, 21, 12) || '>' || nl
   || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(h) || nl || nl || h || nl || nl"""
 
+
+def _merkle(levels: int = 6) -> str:
+    """SQL for the proofs: trees of at most 16 ** levels leaves, a level at a time; a node alone in its tree stays as it is."""
+    fields = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    out = [f"d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS key, {fields('text')} AS leaf, {fields(lower)} AS found FROM documents)"]
+    out.append("a0 AS MATERIALIZED (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY key) AS n, r FROM d)")
+
+    def tree(t: str) -> str:
+        for k in range(levels):
+            out.append(
+                f"{t}s{k} AS (SELECT key, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}{k} WINDOW w AS (PARTITION BY key, i // 16 ORDER BY i))"
+            )
+            out.append(f"{t}{k + 1} AS (SELECT key, i // 16 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, (n + 15) // 16 AS n FROM {t}{k} GROUP BY key, i // 16, n)")
+        return f"{t}{levels}"
+
+    top = tree("a")
+    out.append(f"b0 AS (SELECT '' AS key, row_number() OVER (ORDER BY encode(key)) - 1 AS i, h, count(*) OVER () AS n, key AS source FROM {top})")
+    root = tree("b")
+    joins = " ".join(f"JOIN as{k} ON as{k}.key = d.key AND as{k}.i = a0.i // {16**k}" for k in range(levels)) + " " + " ".join(f"JOIN bs{k} ON bs{k}.i = b0.i // {16**k}" for k in range(levels))
+    names = [f"{t}s{k}" for t in "ab" for k in range(levels)]
+    cols = ", ".join(f"{x}.l AS {x}l, {x}.r AS {x}r, {x}.n AS {x}n" for x in names)
+    out.append(f"p0 AS (SELECT doc_id, leaf, {top}.h AS subroot, {root}.h AS root, found AS node, {cols} FROM d JOIN a0 ON a0.r = d.r JOIN {top} ON {top}.key = d.key JOIN b0 ON b0.source = d.key CROSS JOIN {root} {joins})")
+    for k, x in enumerate(names):
+        out.append(f"p{k + 1} AS (SELECT * REPLACE (CASE WHEN {x}n > 1 THEN sha256({x}l || node || {x}r) ELSE node END AS node) FROM p{k})")
+    proof = " || ".join(f"{x}l || {x}r" for x in names)
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, node AS folded_root, node = root AS verified FROM p{len(names)}"
+
+
 ORACLES: dict[str, str] = {
+    "op11_mountain_merkle": _merkle(),
     "op9_merkle_fixity": f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, chr(13) || chr(10) AS nl FROM pages),
 q AS (SELECT *, sha256(coalesce(CAST(page_id AS VARCHAR), '') || u || h) AS n FROM p),
