@@ -366,3 +366,32 @@ def test_streams(spark, tmp_path):
     assert sorted(r.message_count for r in spark.table("s1").collect()) == [1, 3]
     assert [(r.sender, r.n_messages) for r in spark.table("s2").orderBy("first_time").collect()] == [("me", 2), ("other", 1)]
     assert spark.table("s3").first().total == 4
+
+
+def test_redaction_keeps_every_row(spark):
+    rows = [(None, 0, "a@b.com and Al"), (None, 0, "a@b.com and Al"), ("c", None, "Al c@d.org"), ("c", 1, "c@d.org 13800138000"), ("c", 1, None), ("c", 2, ""), ("c", 3, "﷐ e@f.net ﷑﷒﷓ ﷐x")]
+    alias = spark.createDataFrame([(None, "Al", "我"), ("c", "Al", "对方"), ("c", "﷐x", "对方")], "conv_id string, value string, alias string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id string, original_index int, content string, pattern string, at string")
+    got = sorted((repr((r.conv_id, r.original_index, r.content)), r.pattern + r.at) for r in redaction.redact(df, alias).collect())
+    want = [(None, 0, "[邮箱1] and 我")] * 2 + [("c", None, "对方 [邮箱1]"), ("c", 1, "[邮箱1] [手机号1]"), ("c", 1, None), ("c", 2, ""), ("c", 3, "﷐ [邮箱2] ﷑﷒﷓ 对方")]
+    assert got == sorted((repr(w), "xy") for w in want)
+    shot = redaction.snapshot(df.withColumn("type", F.lit("t")).withColumn("time_str", F.lit("never")).withColumn("source_message_id", F.lit("s")).where("original_index = 0 or original_index = 2"), ("t",))
+    assert shot.count() == 3
+    kinds = ["url", "email", "identity", "card", "account", "phone", "custom", "technical"]
+    text = "www.x.org/a a@b.co 11010519491231002X 6222020000000000000 wxid_abc +8613800138000 secret high|medium|low"
+    one = redaction.redact(spark.createDataFrame([("c", 0, text)], "conv_id string, original_index int, content string"), None, ["secret"]).first()
+    assert one.content == "[链接1] [邮箱1] [证件1] [银行卡1] [账号1] [手机号1] [自定义1] high|medium|low" and one.replaced == dict.fromkeys(kinds[:-1], 1)
+
+
+def test_grounding_sends_no_text_for_an_anchor(spark):
+    """One chunk of long texts and a few quotes: null keys, quotes of one id in two chunks, and what the plan moves."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(60)]
+    m = spark.createDataFrame([(None if k % 3 else "c", f"M{k}", k, t) for k, t in enumerate(texts)] + [("c", "M60", None, texts[0])], "c string, message_id string, position int, content string")
+    quotes = [(None, "q", texts[1][5:300]), ("c", "q", texts[1][5:300]), ("c", "r", texts[3][9:200]), ("c", "s", texts[0][7:400]), (None, "r", texts[4][:3]), (None, None, texts[4][100:300]), ("c", "r", "no such text " * 9)]
+    q = spark.createDataFrame([(*x, "x") for x in quotes], "c string, quote_id string, quote string, content string")
+    got = sorted((repr((r.c, r.quote_id, r.quote)), r.candidate_count) for r in grounding.ground(q, m, ("c",)).collect())
+    count = lambda c, s: sum(t.startswith(s, k) for cc, t in [(None if k % 3 else "c", t) for k, t in enumerate(texts)] + [("c", texts[0])] if cc == c for k in range(len(t)))
+    assert got == sorted((repr(x), count(x[0], x[2])) for x in quotes)
+    plan = grounding.candidates(q.where("quote <> ''"), m, ["c"])._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.ship import ship
+from ..sources.store import written
 
 #: References kept when a quote is ambiguous; categories, their required fields and enumerations.
 CANDIDATES = 20
@@ -21,19 +24,18 @@ FIELDS = {
     "uncertainties": ("question", "reason"),
 }
 ENUMS = {"confidence": ("high", "medium", "low"), "direction": ("support", "against", "mixed"), "stability": ("local", "repeated", "unclear")}
-#: Characters of a window that can be an anchor, and one in how many is.
-GRAM, EVERY = 12, 32
+#: Characters of a window that can be an anchor, one in how many is, and into how many blocks a chunk's messages fall.
+GRAM, EVERY, BLOCKS = 12, 32, 64
 STATUSES = ("matched", "unmatched", "ambiguous", "not_applicable")
 
 
-def anchors(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``anchors array<long>``: hashes of those of a text's ``GRAM``-character windows that fall on a mark.
+def anchors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, anchor long``: hashes of those of a text's ``GRAM``-character windows that fall on a mark, each once; no text.
 
     Whether a window falls on a mark depends on its characters alone, so whatever contains a quote has all of its anchors.
-    About one window in ``EVERY`` is one; a text without any, all short ones among them, gives an empty array.
+    About one window in ``EVERY`` is one; a text without any, all short ones among them, gives no row.
     """
     ship(rows.sparkSession)
-    at = rows.columns.index(text)
     power = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
 
     def of(t: str | None) -> np.ndarray:
@@ -43,33 +45,52 @@ def anchors(rows: DataFrame, text: str) -> DataFrame:
         h = sum((c[k : len(c) - GRAM + 1 + k] + np.uint64(1)) * power[k] for k in range(GRAM))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(h[h >> np.uint64(59) == 0]).view(np.int64)
+        return np.unique(h[h % np.uint64(EVERY) == 0]).view(np.int64)
 
     def run(batches):
         for b in batches:
-            found = [of(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "anchors"])
+            found = [of(t.as_py()) for t in b.column(text)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            hashes = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keys], pa.array(hashes, pa.int64())], [*keys, "anchor"])
+
+    kept = rows.select(*keys, text)
+    return kept.mapInArrow(run, StructType([*[kept.schema[k] for k in keys], StructField("anchor", LongType())]))
+
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("anchors", ArrayType(LongType()))]))
+def _equal(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    """Names are equal, or null on both sides."""
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
 
 
 def candidates(quotes: DataFrame, messages: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of quotes and messages of one chunk that share the quote's rarest anchor; a quote without one meets its whole chunk."""
-    q = anchors(quotes, "quote")
-    m = anchors(messages, "content")
-    wanted = q.select(*on, "quote_id", F.explode("anchors").alias("anchor"))
-    posted = m.select(*on, F.explode("anchors").alias("anchor")).join(wanted.select(*on, "anchor").distinct(), [*on, "anchor"], "left_semi")
-    counts = posted.groupBy(*on, "anchor").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, [*on, "anchor"]).groupBy(*on, "quote_id").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
-    # An anchor that no message holds leaves no row, and its quote no candidate, unless another anchor of it is held: then
-    # the quote cannot occur either, since a message that contains it has all of them.
-    whole = wanted.groupBy(*on, "quote_id").agg(F.count_distinct("anchor").alias("all"))
-    held = wanted.join(counts, [*on, "anchor"], "left_semi").groupBy(*on, "quote_id").agg(F.count_distinct("anchor").alias("held"))
-    rarest = rarest.join(whole.join(held, [*on, "quote_id"]).where(F.col("all") == F.col("held")).select(*on, "quote_id"), [*on, "quote_id"])
-    keyed = quotes.join(rarest, [*on, "quote_id"])
-    by_anchor = keyed.join(m.withColumn("anchor", F.explode("anchors")).drop("anchors"), [*on, "anchor"]).drop("anchor")
-    short = q.where(F.size("anchors") == 0).drop("anchors").join(messages, on)
-    return by_anchor.unionByName(short)
+    """``on, quote_id, position, message_id``: pairs of quotes and messages of one chunk that may match, each once.
+
+    They share the quote's rarest anchor, and the chunk holds all anchors of the quote. Anchors are posted with the keys of
+    their messages only, so nothing that is dealt out or sent has a text for each anchor. An anchor that many messages
+    hold is met block by block (``BLOCKS`` of a chunk's messages), and a quote without an anchor meets its whole chunk so.
+    """
+    key = [*on, "position", "message_id"]
+    block = F.expr(f"pmod(xxhash64(position, message_id), {BLOCKS})").alias("block")
+    wanted = written(anchors(quotes, [*on, "quote_id"], "quote").distinct(), "wanted")
+    named = wanted.select(*on, "anchor").distinct()
+    posted = anchors(messages, key, "content")
+    posted = written(posted.join(named, _equal(posted, named, [*on, "anchor"]), "left_semi").select("*", block), "posted")
+    counts = posted.groupBy(*on, "anchor", "block").agg(F.count("*").alias("n")).groupBy(*on, "anchor").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks"))
+    each = wanted.join(counts.withColumnsRenamed({c: f"_{c}" for c in [*on, "anchor"]}), reduce(lambda x, y: x & y, [wanted[c].eqNullSafe(F.col(f"_{c}")) for c in [*on, "anchor"]]), "left")
+    # An anchor that no message holds: the quote cannot occur, since a message that contains it has all of its anchors.
+    rarest = each.groupBy(*on, "quote_id").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("n", "anchor", "blocks"))).alias("r"), F.bool_and(F.col("n").isNotNull()).alias("held")).where("held")
+    rarest = rarest.select(*on, "quote_id", F.col("r.anchor").alias("anchor"), F.explode("r.blocks").alias("block"))
+    both = [*on, "anchor", "block"]
+    by_anchor = rarest.join(posted, _equal(rarest, posted, both)).select(*[rarest[c] for c in on], "quote_id", "position", "message_id")
+    bare = quotes.select(*on, "quote_id").distinct()
+    having = wanted.select(*on, "quote_id").distinct()
+    bare = bare.join(having, _equal(bare, having, [*on, "quote_id"]), "left_anti")
+    listed = messages.select(*key, block)
+    there = listed.select(*on, "block").distinct()
+    bare = bare.join(there, _equal(bare, there, on)).select(*[bare[c] for c in on], "quote_id", "block")
+    short = bare.join(listed, _equal(bare, listed, [*on, "block"])).select(*[bare[c] for c in on], "quote_id", "position", "message_id")
+    return by_anchor.union(short).distinct()
 
 
 def ground(quotes: DataFrame, messages: DataFrame, keys: tuple[str, ...] = ("conv_id", "chunk_index")) -> DataFrame:
@@ -77,20 +98,34 @@ def ground(quotes: DataFrame, messages: DataFrame, keys: tuple[str, ...] = ("con
 
     messages: keys, message_id, position, content, type-filtered to what may be quoted. A quote without text is not
     applicable. Occurrences may overlap; one is a match, several are ambiguous (the first CANDIDATES references are kept).
-    A quote meets only messages of its own chunk, and of those only the ones that :func:`candidates` finds.
+    A quote meets only messages of its own chunk, and of those only the ones that :func:`candidates` finds; then each
+    text is read once. A null key is a chunk of its own, and one quote_id may stand in several chunks; rows that agree in
+    keys, quote_id and quote (and hint) are answered alike. A message row that repeats counts once.
     """
-    q = quotes.where("quote is not null and quote <> ''")
-    on = list(keys)
-    both = candidates(q, messages.select(*on, "message_id", "position", "content"), on).where(F.contains("content", "quote"))
-    if "hint" in quotes.columns:
-        both = both.where("hint is null or hint = message_id")
-    hits = both.select("quote_id", "message_id", "position", F.explode(F.expr(tx.offsets("content", "quote"))).alias("start"), F.char_length("quote").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("quote_id").orderBy("position", "start"))
-    counts = hits.groupBy("quote_id").agg(F.count("*").alias("candidate_count"))
-    refs = hits.withColumn("r", rank).where(F.col("r") <= CANDIDATES).groupBy("quote_id").agg(F.sort_array(F.collect_list(F.struct("position", "start", (F.col("start") + F.col("n")).alias("end"), "message_id"))).alias("source_refs"))
+    on, hinted = list(keys), ["hint"] if "hint" in quotes.columns else []
+    named = [*on, "quote_id"]
+    q = quotes.where("quote is not null and quote <> ''").select(*named, "quote", *hinted).distinct()
+    m = messages.select(*on, "message_id", "position", "content").where("content is not null").distinct()
+    one = F.struct("quote_id", F.sha2("quote", 256).alias("of"))  # an id may have several quotes
+    pairs = candidates(q.select(*on, one.alias("quote_id"), "quote"), m, on)
+    own = q.withColumn("_one", one).withColumnsRenamed({c: f"_{c}" for c in on})
+    asked = pairs.withColumnRenamed("quote_id", "_q").join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], F.col("_q") == F.col("_one")))
+    if hinted:
+        asked = asked.where("hint is null or hint = message_id")
+    asked = asked.select(*named, "quote", *hinted, "position", "message_id")
+    at = [*on, "position", "message_id"]
+    texts = m.withColumnsRenamed({c: f"_{c}" for c in at})
+    both = asked.join(texts, reduce(lambda x, y: x & y, [asked[c].eqNullSafe(F.col(f"_{c}")) for c in at])).where(F.contains("content", "quote"))
+    row = [*named, "quote", *hinted]
+    hits = both.select(*row, "position", "message_id", F.explode(F.expr(tx.offsets("content", "quote"))).alias("start"))
+    whole = hits.withColumn("r", F.row_number().over(Window.partitionBy(*row).orderBy("position", "start", "message_id"))).where(F.col("r") <= CANDIDATES)
+    end = F.col("start") + F.char_length("quote")
+    refs = whole.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("position", "start", end.alias("end"), "message_id"))).alias("source_refs"))
+    counts = hits.groupBy(*row).agg(F.count("*").alias("candidate_count"))
+    found = counts.join(refs, _equal(counts, refs, row)).select(*[counts[c].alias(f"_{c}") for c in row], "candidate_count", "source_refs")
     status = F.when(F.col("quote").isNull() | (F.col("quote") == ""), "not_applicable").when(F.col("candidate_count") == 1, "matched").when(F.col("candidate_count") > 1, "ambiguous").otherwise("unmatched")
-    out = quotes.join(counts, "quote_id", "left").fillna(0, ["candidate_count"]).join(refs, "quote_id", "left")
-    return out.withColumn("status", status)
+    out = quotes.join(found, reduce(lambda x, y: x & y, [quotes[c].eqNullSafe(F.col(f"_{c}")) for c in row]), "left").select(*quotes.columns, "candidate_count", "source_refs")
+    return out.fillna(0, ["candidate_count"]).withColumn("status", status)
 
 
 def status_counts(grounded: DataFrame, *by: str) -> DataFrame:
