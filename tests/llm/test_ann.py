@@ -75,13 +75,20 @@ def test_the_stopping_test_leaves_over_half_of_the_vectors_unverified(spark):
         def verify(r, k=at[q]):
             nonlocal seen
             seen += len(r)
-            return np.sqrt(((u[r] - u[k]) ** 2).sum(1))
+            return u[r] @ u[k]
 
-        got = {rows[r][0] for _, r in tree.nearest(p[at[q]], verify, 6, math.inf, ann.radius())}
+        got = {rows[r][0] for r in tree.nearest(p[at[q]], verify, 6, math.inf, ann.radius())[0]}
         hits += len({i for i, _ in w} & got)
     assert seen < 0.48 * len(want) * len(rows) and hits >= 0.93 * 5 * len(want)
 
 
+def test_ties_between_vectors_of_one_direction_go_by_id(spark):
+    base = np.random.default_rng(5).normal(size=16)
+    rows = [(50, base.tolist())] + [(i, (base * 2.0 ** ((i * 7) % 20 - 10)).tolist()) for i in range(1, 21)]
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 50").collect())
+    assert got == [(k, k) for k in range(1, 6)]
+
+
 def test_very_large_and_small_components(spark):
     rows = [(0, [1e200, 1e200]), (1, [1e-200, 1.1e-200]), (2, [1.0, -1.0]), (3, [1e308, 1e300])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

@@ -27,6 +27,8 @@ M, CERTAIN, SEED = 24, 0.93, 20
 #: Rows that the upper tree is fitted on at most; rows per cell aimed at; cells, rows of a subtree and its queries at most.
 SAMPLE, CELL, CELLS, SHARD, BLOCK = 20_000, 4096, 4096, 16_384, 4096
 LEAF, STEP = 64, 32
+#: Cosines that differ by less are compared exactly, row by row.
+TIE = 1e-12
 
 
 def chi_square(x: float, m: int = M) -> float:
@@ -97,30 +99,43 @@ class Subtree:
         self.low = np.array([self.points[a:z].min(0) for a, z in zip(self.starts, self.starts[1:], strict=False)])
         self.high = np.array([self.points[a:z].max(0) for a, z in zip(self.starts, self.starts[1:], strict=False)])
 
-    def nearest(self, query: np.ndarray, verify, k: int, known: float, factor: float) -> list[tuple[float, int]]:
-        """Up to ``k`` (distance, row) by ``verify``; ``known``: a distance that k vectors are known to be within."""
+    def nearest(self, query: np.ndarray, verify, k: int, known: float, factor: float) -> tuple[np.ndarray, float | None]:
+        """Rows among which the ``k`` of largest cosine are (``verify`` gives cosines), and the k-th's distance if there are k.
+
+        Leaves are opened by the distance of their boxes, a few at a time; rows nearer than any leaf still closed are verified
+        in projected order. Rows within ``TIE`` of the k-th all come back. ``known``: a distance that k vectors are within.
+        """
         gap = np.maximum(0, np.maximum(self.low - query, query - self.high))
-        leaves = np.flatnonzero((gap * gap).sum(1) <= _reach(known, factor))
-        if not len(leaves):
-            return []
-        rows = np.concatenate([np.arange(self.starts[x], self.starts[x + 1]) for x in leaves])
-        apart = self.points[rows] - query
-        apart = (apart * apart).sum(1)
-        order = np.argsort(apart, kind="stable")
-        rows, apart = self.order[rows[order]], apart[order]
-        best_d, best_r = np.empty(0), np.empty(0, np.int64)
-        at, step, worst = 0, STEP, known
-        while at < len(rows):
-            stop = min(at + step, int(np.searchsorted(apart, _reach(worst, factor), "right")))
-            if stop <= at:
-                break  # the test holds for all that is left
-            best_d, best_r = np.concatenate([best_d, verify(rows[at:stop])]), np.concatenate([best_r, rows[at:stop]])
-            keep = np.lexsort((best_r, best_d))[:k]
-            best_d, best_r = best_d[keep], best_r[keep]
-            if len(best_d) == k:
-                worst = min(worst, float(best_d[-1]))
-            at, step = stop, min(2 * step, 256)
-        return list(zip(best_d.tolist(), best_r.tolist(), strict=True))
+        gap = (gap * gap).sum(1)
+        leaves = np.argsort(gap, kind="stable")
+        found, rows = np.empty(0), np.empty(0, np.int64)
+        far, waiting = np.empty(0), np.empty(0, np.int64)  # of opened leaves, not verified yet
+        at, wide, step, worst = 0, 4, STEP, known
+        while at < len(leaves) and gap[leaves[at]] <= _reach(worst, factor):
+            own = np.concatenate([np.arange(self.starts[x], self.starts[x + 1]) for x in leaves[at : at + wide]])
+            apart = self.points[own] - query
+            far, waiting = np.concatenate([far, (apart * apart).sum(1)]), np.concatenate([waiting, own])
+            at, wide = at + wide, 2 * wide
+            border = gap[leaves[at]] if at < len(leaves) else math.inf
+            ready = far <= border
+            order = np.argsort(far[ready], kind="stable")
+            near, next_, done = far[ready][order], self.order[waiting[ready][order]], 0
+            far, waiting = far[~ready], waiting[~ready]
+            while done < len(near):
+                stop = min(done + step, int(np.searchsorted(near, _reach(worst, factor), "right")))
+                if stop <= done:
+                    break  # the test holds for all that is left
+                found, rows = np.concatenate([found, verify(next_[done:stop])]), np.concatenate([rows, next_[done:stop]])
+                if len(found) >= k:
+                    kth = np.partition(found, -k)[-k]
+                    keep = found >= kth - TIE
+                    found, rows = found[keep], rows[keep]
+                    worst = min(worst, math.sqrt(max(0.0, 2 - 2 * kth)))
+                done, step = stop, min(2 * step, 256)
+            if done < len(near):
+                break
+        last = math.sqrt(max(0.0, 2 - 2 * float(np.partition(found, -k)[-k]))) if len(found) >= k else None
+        return rows, last
 
 
 def _reach(distance: float, factor: float) -> float:
@@ -236,13 +251,8 @@ def _search_one(index: DataFrame, n: int, k: int, factor: float) -> DataFrame:
             size = math.sqrt(float(x @ x))
             u = x / size
 
-            def verify(r, u=u):
-                apart = unit[r] - u
-                return np.sqrt((apart * apart).sum(1))
-
-            got = tree.nearest(np.asarray(p), verify, k + 1, known, factor)
-            pairs = sorted((-float(v[r] @ x / (norm[r] * size)), int(i)) for _, r in got for i in ids[r])[: k + 1]
-            kth = got[-1][0] if len(got) == k + 1 else None
+            got, kth = tree.nearest(np.asarray(p), lambda r, u=u: unit[r] @ u, k + 1, known, factor)
+            pairs = sorted((-float(v[r] @ x / (norm[r] * size)), int(i)) for r in got for i in ids[r])[: k + 1]
             out += [(key, -s, i, kth) for s, i in pairs]
         return pd.DataFrame(out, columns=["key", "score", "vec_id", "kth"])
 
