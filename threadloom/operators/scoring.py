@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -114,6 +115,53 @@ def drawn_weights(profiles: DataFrame, repeats: int = REPEATS, seed: int = SEED)
     return spark.range(repeats).mapInArrow(run, "rep int, k long, weight int").join(numbered, "k").select("rep", "profile", "weight")
 
 
+def poisson_limits(most: int = 12) -> list[int]:
+    """How far a 32-bit number must reach for 1, 2, ... draws of a Poisson law of mean 1."""
+    term, total, out = math.exp(-1), 0.0, []
+    for k in range(1, most + 1):
+        total += term
+        out.append(math.floor(total * 2**32))
+        term /= k
+    return out
+
+
+def hashed_weights(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` (profile, rep) with ``weight``, how often the profile is drawn in the repeat: a Poisson number read from the MD5
+    of ``profile:rep:seed``.
+
+    Draws of one profile don't depend on the others, so no table of draws is made, and every method that is compared meets
+    the same ones.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.col("profile").cast("string"), F.lit(":"), F.col("rep").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("_u", u).withColumn("weight", sum((F.when(F.col("_u") >= limit, 1).otherwise(0) for limit in poisson_limits()), F.lit(0))).drop("_u")
+
+
+def _repeated(each: DataFrame, names: list[str], weights: DataFrame | None, repeats: int = REPEATS) -> DataFrame:
+    """``rep`` and the weighted sums of ``names`` over a row per profile: with drawn weights, or else hashed ones in one pass."""
+    if weights is not None:
+        both = each.join(weights, "profile")
+    else:
+        both = hashed_weights(each.where("profile is not null").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))).where("weight > 0")
+    return both.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("weight")).cast("double").alias(n) for n in names])
+
+
+def _ends(values: DataFrame, *by: str) -> DataFrame:
+    """``low, high`` of ``x``, order statistics over the repeats (REPEATS rows each) in which it is defined."""
+    w = Window.partitionBy(*by)
+    ranked = values.where("x is not null").withColumn("r", F.row_number().over(w.orderBy("x")) - 1).withColumn("n", F.count("*").over(w))
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("r") == F.floor(q * (F.col("n") - 1)), F.col("x"))).alias(name) for q, name in zip(TAILS, ("low", "high"), strict=True)])
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, weights: DataFrame | None = None, repeats: int = REPEATS) -> DataFrame:
+    """``low, high`` of the micro F1 of method a less that of b over the same draws of profiles; a profile that only one of
+    them has counts as empty for the other."""
+    of = lambda rows, k: scores(rows, "profile").select("profile", *[F.col(c).alias(f"{c}_{k}") for c in ("tp", "fp", "fn")])
+    names = [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")]
+    each = of(a, "a").join(of(b, "b"), "profile", "full").fillna(0, names)
+    f1 = lambda k: ratio(2 * F.col(f"tp_{k}"), 2 * F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
+    return _ends(_repeated(each, names, weights, repeats).select((f1("a") - f1("b")).alias("x")))
+
+
 def bootstrap_f1(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Clustered interval of the micro F1: profiles are drawn whole, and order statistics give the ends."""
     s = scores(rows, "profile").select("profile", "tp", "fp", "fn")
@@ -190,8 +238,8 @@ def uniform(rows: DataFrame, trial: int = 0, levels: int = 3) -> DataFrame:
 INTERVALS = ("micro_f1", "coverage", "mae_penalised", "coupling", "weighted_kappa", "icc")
 
 
-def bootstrap(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """``metric, low, high`` of all INTERVALS: profiles are drawn whole with ``weights (rep, profile, weight)``.
+def bootstrap(rows: DataFrame, weights: DataFrame | None = None, repeats: int = REPEATS) -> DataFrame:
+    """``metric, low, high`` of all INTERVALS: profiles are drawn whole with ``weights (rep, profile, weight)``, or by hash.
 
     Every metric is a function of counts that add up over profiles, so a repeat is a weighted sum of a row per profile. A
     metric takes the repeats in which it is defined, and order statistics give its ends.
@@ -201,26 +249,33 @@ def bootstrap(rows: DataFrame, weights: DataFrame) -> DataFrame:
     base = {"known": F.count("gold"), "silent": F.count_if(g.isNotNull() & p.isNull())}
     each = rows.groupBy("profile").agg(*[c.alias(n) for n, c in {**base, **cells}.items()])
     names = [*base, *cells]
-    s = each.join(weights, "profile").groupBy("rep").agg(*[F.sum(F.col(n) * F.col("weight")).cast("double").alias(n) for n in names])
-    c = lambda i, j: F.col(f"c{i}{j}")
+    s = _repeated(each, names, weights, repeats)
     pairs = [(i, j) for i in range(3) for j in range(3)]
-    n, tp = sum((c(i, j) for i, j in pairs), F.lit(0.0)), sum((c(i, i) for i in range(3)), F.lit(0.0))
-    f1 = ratio(2 * tp, 2 * tp + (n - tp) + (n - tp) + F.col("silent"))
-    off = sum((c(i, j) * abs(i - j) / 2.0 for i, j in pairs), F.lit(0.0))
-    mae = ratio(off + F.col("silent"), F.col("known"))
-    gold, pred = [[sum((c(i, j) if k == 0 else c(j, i) for j in range(3)), F.lit(0.0)) for i in range(3)] for k in (0, 1)]
-    chance = sum((gold[i] * pred[j] * float((i - j) ** 2) for i, j in pairs), F.lit(0.0))
-    seen = sum((c(i, j) * float((i - j) ** 2) for i, j in pairs), F.lit(0.0))
-    a, b = (sum((m[i] * float(i) for i in range(3)), F.lit(0.0)) for m in (gold, pred))
-    squares, sums = sum((c(i, j) * float(i * i + j * j) for i, j in pairs), F.lit(0.0)), sum((c(i, j) * float((i + j) ** 2) for i, j in pairs), F.lit(0.0))
-    mean = (a + b) * (a + b) / (2 * n)
-    msr, msc = (sums / 2 - mean) / (n - 1), (a * a + b * b) / n - mean
-    mse = (squares - mean - (sums / 2 - mean) - msc) / (n - 1)
-    down = msr + mse + 2 * (msc - mse) / n
-    values = {"micro_f1": f1, "coverage": ratio(n, F.col("known")), "mae_penalised": mae, "coupling": (f1 + 1 - mae) / 2, "weighted_kappa": F.when(n > 0, F.when(chance != 0, 1 - seen * n / chance)), "icc": F.when(n > 1, F.when(F.abs(down) > 1e-15, (msr - mse) / down))}
-    long = s.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("x")) for k, v in values.items()])).alias("e")).select("rep", "e.metric", "e.x").where("x is not null")
-    ranked = long.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy("x")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("metric")))  # REPEATS rows each
-    return ranked.groupBy("metric").agg(*[F.max(F.when(F.col("r") == F.floor(q * (F.col("n") - 1)), F.col("x"))).alias(name) for q, name in zip(TAILS, ("low", "high"), strict=True)])
+
+    def total(f) -> Column:
+        """The sum of f(gold, pred) over the cells."""
+        return sum((F.col(f"c{i}{j}") * float(f(i, j)) for i, j in pairs if f(i, j)), F.lit(0.0))
+
+    of = lambda k, i: sum((F.col(f"c{i}{j}" if k else f"c{j}{i}") for j in range(3)), F.lit(0.0))
+    chance = sum((of(1, i) * of(0, j) * float((i - j) ** 2) for i, j in pairs if i != j), F.lit(0.0))
+    c = F.col
+    # Step by step, so that no expression repeats what another one has computed.
+    steps = [
+        {"n": total(lambda i, j: 1), "tp": total(lambda i, j: i == j), "off": total(lambda i, j: abs(i - j) / 2), "seen": total(lambda i, j: (i - j) ** 2), "chance": chance,
+         "a": total(lambda i, j: i), "b": total(lambda i, j: j), "squares": total(lambda i, j: i * i + j * j), "sums": total(lambda i, j: (i + j) ** 2)},
+        {"mean": ratio((c("a") + c("b")) * (c("a") + c("b")), 2 * c("n")), "f1": ratio(2 * c("tp"), 2 * c("n") + c("silent")), "mae": ratio(c("off") + c("silent"), c("known"))},
+        {"msr": ratio(c("sums") / 2 - c("mean"), c("n") - 1), "msc": ratio(c("a") * c("a") + c("b") * c("b"), c("n")) - c("mean")},
+        {"mse": ratio(c("squares") - c("mean") - (c("sums") / 2 - c("mean")) - c("msc"), c("n") - 1)},
+        {"down": c("msr") + c("mse") + ratio(2 * (c("msc") - c("mse")), c("n"))},
+    ]
+    for columns in steps:
+        s = s.withColumns(columns)
+    values = {
+        "micro_f1": c("f1"), "coverage": ratio(c("n"), c("known")), "mae_penalised": c("mae"), "coupling": (c("f1") + 1 - c("mae")) / 2,
+        "weighted_kappa": F.when((c("n") > 0) & (c("chance") != 0), 1 - c("seen") * c("n") / c("chance")), "icc": F.when((c("n") > 1) & (F.abs("down") > 1e-15), (c("msr") - c("mse")) / c("down")),
+    }
+    long = s.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("x")) for k, v in values.items()])).alias("e")).select("rep", "e.metric", "e.x")
+    return _ends(long, "metric")
 
 
 def prediction_violations(cases: DataFrame, predictions: DataFrame) -> DataFrame:

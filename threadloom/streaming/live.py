@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import usage
 from ..operators.sessions import GAP
+from ..sources.store import Published
 
 
 def sessions(stream: DataFrame, late: str = "1 hour", gap: int = GAP) -> DataFrame:
@@ -73,6 +74,39 @@ class Progress(StreamingQueryListener):
         self.events.append(("failed" if event.exception else "ended", str(event.id), None, None))
 
 
+class Sink:
+    """For ``foreachBatch``: appends each batch to a published table exactly once.
+
+    A batch is written as a segment and counts only by the pointer's move, which also says how far the stream has come. A
+    batch that is played again after a stop, or twice, finds its number passed and does nothing; one that was written but
+    not committed is written anew, and what it left is swept. One stream writes to one name.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.at = Published(spark, root, name)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> bool:
+        """Whether the batch was new."""
+        entry = self.at.entry() or {"generation": 0, "segments": [], "batch": -1}
+        if batch_id <= entry["batch"]:
+            return False
+        folder = self.at.write({"rows": batch})
+        self.at.commit(folder, f"batch {batch_id}", ["rows"], entry["generation"], {"segments": [*entry["segments"], folder], "batch": batch_id})
+        return True
+
+    def table(self) -> DataFrame:
+        entry = self.at.entry()
+        if entry is None:
+            raise FileNotFoundError(f"no batch has come to {self.at.path}")
+        return self.at.spark.read.parquet(*[f"{self.at.path}/{s}/rows" for s in entry["segments"]])
+
+    def compact(self) -> None:
+        """All segments as one; the place in the stream stays."""
+        entry = self.at.entry()
+        folder = self.at.write({"rows": self.table()})
+        self.at.commit(folder, "compacted", ["rows"], entry["generation"], {"segments": [folder], "batch": entry["batch"]})
+
+
 def turns(stream: DataFrame) -> DataFrame:
     """Finished speaker turns, with the running one kept as state per conversation."""
     def step(key, batches, state):
