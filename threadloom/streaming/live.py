@@ -10,8 +10,9 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
+from ..functions.ship import ship
 from ..operators import usage
 from ..operators.sessions import GAP
 from ..sources.store import Published
@@ -54,6 +55,76 @@ def usage_log(spark: SparkSession, path: str) -> DataFrame:
     return usage.normalised(spark.readStream.schema(schema).json(path)).groupBy("stage").agg(*usage.measures())
 
 
+class _Ordered(StatefulProcessor):
+    """Speaker turns in event order: rows wait until the watermark has passed them, and a timer wakes the earliest."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, seq long, sender string")
+        self.turn = handle.getValueState("turn", "sender string, n int, first long, last long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802  names of the interface
+        for frame in rows:
+            ms = frame["time"].astype("datetime64[ms]").astype("int64")
+            new = list(zip(ms.tolist(), frame["seq"].astype("int64").tolist(), frame["sender"].tolist(), strict=True))
+            if new:
+                self.waiting.appendList(new)
+                self.handle.registerTimer(min(r[0] for r in new))
+        yield _turn_frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        sender, n, first, last = self.turn.get() if self.turn.exists() else (None, 0, None, None)
+        out = []
+        for ms, _, who in ready:
+            if n and who != sender:
+                out.append((sender, n, first, last))
+                n = 0
+            sender, n, first, last = who, n + 1, ms if not n else first, ms
+        if n and not rest and now >= last + self.idle:  # nobody has gone on: the turn ends, and nothing is kept
+            out.append((sender, n, first, last))
+            n = 0
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        else:
+            self.waiting.clear()
+        if n:
+            self.turn.update((sender, n, first, last))
+            if not rest:
+                self.handle.registerTimer(last + self.idle)
+        else:
+            self.turn.clear()
+        yield _turn_frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def _turn_frame(key, turns_: list) -> pd.DataFrame:
+    when = lambda k: pd.to_datetime(pd.Series([t[k] for t in turns_], dtype="int64"), unit="ms").astype("datetime64[us]")
+    return pd.DataFrame({"conv_id": pd.Series([key[0]] * len(turns_), dtype="object"), "sender": pd.Series([t[0] for t in turns_], dtype="object"), "n_messages": pd.Series([t[1] for t in turns_], dtype="int32"), "first_time": when(2), "last_time": when(3)})
+
+
+def ordered_turns(stream: DataFrame, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Speaker turns of ``stream`` (conv_id, time, seq, sender) as the batch operator gives them, whatever order rows come in.
+
+    Rows wait as state until the watermark (``late`` behind the newest time) has passed them and are then taken by (time,
+    seq); rows later than that are dropped by the engine. A turn is given out when another sender goes on, or when the
+    watermark is ``idle`` past it; then the conversation has no state left, and whatever comes later opens a new turn. Needs
+    the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    ship(stream.sparkSession)
+    schema = f"conv_id {stream.schema['conv_id'].dataType.simpleString()}, sender string, n_messages int, first_time timestamp, last_time timestamp"
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return stream.withWatermark("time", late).groupBy("conv_id").transformWithStateInPandas(_Ordered(ms), schema, "Append", "EventTime")
+
+
 class Progress(StreamingQueryListener):
     """Keeps the last events of queries: (event, query's name or id, batch, input rows)."""
 
