@@ -110,3 +110,21 @@ def test_files_round_trip(spark, tmp_path):
         fixity.write_warc(pages.select(fixity.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")), out, 7, gz)
         back = fixity.read_warc(spark, out).collect()
         assert sorted((r.url, r.sha256, r.length) for r in back) == sorted((u or "", hashlib.sha256(plain_record(i, u, h)).hexdigest(), len(plain_record(i, u, h))) for i, u, h in rows)
+
+
+def test_only_ranges_that_differ_are_looked_into(spark):
+    rows = [(k, f"http://{k}", f"page {k}") for k in range(3000)]
+    manifest = fixity.laid_out(fixity.records(frame(spark, rows)))
+    count = lambda t: t.groupBy("record_id", "sha256").agg(F.count("*").alias("n"), F.min("length").alias("long"))
+    there = manifest.select("record_id", "sha256", "length")
+    changed = there.where("sha256 > '004'").union(there.where("sha256 < '002'").withColumn("sha256", F.lit("f" * 64)))  # some altered, some missing
+    n = there.where("sha256 <= '004'").count()
+    trees = [fixity.range_tree(count(t), 2, 16) for t in (there, changed)]
+    bad = fixity.suspects(*trees)
+    fetched = manifest.withColumn("at", F.expr("0") + F.floor(fixity.place(F.col("record_id")) * 256 / 2**32)).join(bad, "at", "left_semi").count()
+    assert 0 < bad.count() <= n and fetched < 40 * n < 3000
+    assert fixity.suspects(trees[0], trees[0]).count() == 0
+    got = Counter(r.status for r in fixity.audit(manifest, changed).collect())
+    assert got["ok"] == 3000 - n and got["altered"] == there.where("sha256 < '002'").count() and sum(got.values()) == 3000
+    assert Counter(r.status for r in fixity.audit(manifest, there.limit(0)).collect()) == {"missing": 3000}
+    assert Counter(r.status for r in fixity.audit(manifest.limit(0), there).collect()) == {"added": 3000}

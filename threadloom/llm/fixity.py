@@ -5,9 +5,11 @@ order, so a record has a file, an offset and a length. A leaf is the SHA-256 of
 ``FANOUT`` children in order, together with the range of offsets that each covers.
 
 A replica is a folder of WARC files, written by whoever and cut and ordered in any way. Its records are read back, hashed
-as they lie there, and put at their record ids' places in the manifest's order, which gives the replica's tree of every
-file. Files agree if their roots do; where roots differ, only children of differing nodes are compared, level by level,
-down to the records: altered, or missing. Records whose id the manifest does not know are added ones.
+as they lie there, and make a tree of their own, over ranges of an order that both sides share (by a hash of the record id,
+so that a record left out or put in shifts no other one). The manifest makes the same tree. Where roots differ, children of
+differing nodes are compared, level by level; only records of ranges that differ meet: altered, missing, or added.
+
+Two replicas of one layout can be compared by :func:`tree` and :func:`differing`, over the offset ranges of each file.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .shared import claim, shared_dir, ship, written
 
 FANOUT, FILE = 16, 4096
+#: Records of a range that an audit's tree hashes together, about.
+RANGE = 16
 #: The date and the header lines of the records written here.
 DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 1 << 20
@@ -104,28 +108,76 @@ def differing(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFr
     return both.select("file", F.explode("bad0").alias("seq"))
 
 
-def audit(manifest: DataFrame, replica: DataFrame, per_file: int = FILE, fanout: int = FANOUT) -> DataFrame:
+def place(record_id: Column) -> Column:
+    """Where a record stands in the order that trees of any two layouts share: 32 bits of its id's hash."""
+    return F.conv(F.substring(F.sha2(F.coalesce(record_id, F.lit("")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
+
+
+def range_tree(held: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """The levels of one side's tree, root first, each ``at, digest``. ``held``: record_id, sha256, n, long.
+
+    The order of :func:`place` falls into fanout ** depth ranges. A leaf of the tree hashes the records of one range in order,
+    each with the offsets that it begins and ends at in the range and its number of copies; a node hashes its children.
+    Ranges without a record have no node.
+    """
+    p = place(F.col("record_id"))
+    at = F.expr(f"cast((_p * {fanout**depth}) div 4294967296 as long)")
+    rows = held.withColumn("_p", p).withColumn("at", at)
+    order = F.sort_array(F.collect_list(F.struct("_p", "record_id", "sha256", "long", "n")))
+    text = """aggregate(x, struct(cast(0 as long) as o, array('') as t),
+      (s, r) -> struct(s.o + r.long * r.n as o, array(concat(s.t[0], s.o, ':', s.o + r.long * r.n, ':', r.n, ':', coalesce(r.record_id, ''), ':', r.sha256, '|')) as t)).t[0]"""
+    out = [written(rows.groupBy("at").agg(order.alias("x")).select("at", F.sha2(F.expr(text), 256).alias("digest")), "tree")]
+    for _ in range(depth):
+        kids = F.sort_array(F.collect_list(F.struct("at", "digest")))  # fanout at most
+        node = F.array_join(F.transform("x", lambda k: F.concat_ws(":", k["at"].cast("string"), k["digest"])), "|")
+        up = out[0].groupBy(F.expr(f"at div {fanout}").alias("up")).agg(kids.alias("x")).select(F.col("up").alias("at"), F.sha2(node, 256).alias("digest"))
+        out.insert(0, written(up, "tree"))
+    return out
+
+
+def suspects(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """``at`` of the ranges in which two trees differ: roots are compared first, then only children of differing nodes."""
+    bad = None
+    for a, b in zip(ours, theirs, strict=True):
+        if bad is not None:
+            below = bad.select(F.col("at").alias("up"))
+            a, b = (t.withColumn("up", F.expr(f"at div {fanout}")).join(below, "up", "left_semi").drop("up") for t in (a, b))
+        both = a.join(b.select("at", F.col("digest").alias("other")), "at", "full")
+        bad = written(both.where(~F.col("digest").eqNullSafe(F.col("other"))).select("at"), "differing")
+    return bad
+
+
+def audit(manifest: DataFrame, replica: DataFrame, per_range: int = RANGE, fanout: int = FANOUT) -> DataFrame:
     """``page_id, file, seq, offset, length, sha256, status`` of every record of ``manifest`` and every added one.
 
     ``replica``: record_id, sha256, length of the records that a replica holds, see :func:`read_warc`. status: ``ok``,
     ``altered``, ``missing``, or ``added``: a record that the manifest does not have, or has fewer of; its page_id, file, seq
     and offset are null. Of equal records the first ones count as held. Empty tables on either side are allowed.
+
+    Each side is hashed into its own tree, over ranges of about ``per_range`` records; records of the two sides meet in the
+    ranges whose digests differ, and nowhere else.
     """
-    held = written(replica.groupBy("record_id", "sha256").agg(F.count("*").alias("n"), F.min("length").alias("long")), "held")
+    count = lambda t: t.groupBy("record_id", "sha256").agg(F.count("*").alias("n"), F.min("length").alias("long"))
+    ours, theirs = written(count(manifest), "known"), written(count(replica), "held")
+    depth, ranges = 0, ours.count() / per_range
+    while fanout**depth < ranges:
+        depth += 1
+    bad = suspects(range_tree(ours, depth, fanout), range_tree(theirs, depth, fanout), fanout)
+    at = F.expr(f"cast((_p * {fanout**depth}) div 4294967296 as long)")
+    dealt = lambda t: t.withColumn("_p", place(F.col("record_id"))).withColumn("at", at).drop("_p")
+    rows = dealt(manifest)
+    doubted = written(rows.join(bad, "at", "left_semi").drop("at"), "doubted")
+    held = written(dealt(theirs).join(bad, "at", "left_semi").drop("at"), "found")
     good = held.withColumnRenamed("n", "intact").drop("long")
-    total = held.groupBy("record_id").agg(F.sum("n").alias("there"), F.min("sha256").alias("other"), F.max("sha256").alias("another"))
-    both = manifest.join(good, ["record_id", "sha256"], "left").join(total, "record_id", "left")
+    total = held.groupBy("record_id").agg(F.sum("n").alias("there"))
+    both = doubted.join(good, ["record_id", "sha256"], "left").join(total, "record_id", "left")
     intact, there = F.coalesce("intact", F.lit(0)), F.coalesce("there", F.lit(0))
-    wrong = F.when(F.col("other") == F.col("sha256"), F.col("another")).otherwise(F.col("other"))
-    digest = F.when(F.col("copy") < intact, F.col("sha256")).when(F.col("copy") < there, wrong).otherwise(F.lit("-"))
-    both = written(both.withColumn("found", digest), "matched")
-    leaf = lambda name: both.select("file", "seq", F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), F.col(name).alias("digest"))
-    bad = differing(written(tree(leaf("sha256"), per_file, fanout), "tree"), written(tree(leaf("found"), per_file, fanout), "tree"), fanout).withColumn("bad", F.lit(True))
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("found") == "-", "missing").otherwise("altered")
-    kept = both.join(bad, ["file", "seq"], "left").select("page_id", "file", "seq", "offset", "length", "sha256", status.alias("status"))
-    known = manifest.groupBy("record_id").agg(F.max("copies").alias("copies"))
-    own = manifest.groupBy("record_id", "sha256").agg(F.count("*").alias("own"))
-    stray = held.join(known, "record_id", "left").join(own, ["record_id", "sha256"], "left").join(total.select("record_id", "there"), "record_id", "left")
+    status = F.when(F.col("copy") < intact, "ok").when(F.col("copy") < there, "altered").otherwise("missing")
+    columns = ["page_id", "file", "seq", "offset", "length", "sha256"]
+    kept = both.select(*columns, status.alias("status")).union(rows.join(bad, "at", "left_anti").select(*columns, F.lit("ok").alias("status")))
+    known = doubted.groupBy("record_id").agg(F.max("copies").alias("copies"))
+    own = doubted.groupBy("record_id", "sha256").agg(F.count("*").alias("own"))
+    stray = held.join(known, "record_id", "left").join(own, ["record_id", "sha256"], "left").join(total, "record_id", "left")
     # Beyond the manifest's copies: all of an unknown id, else what is over of the intact ones, then of the others.
     over = F.when(F.col("copies").isNull(), F.col("n")).otherwise(F.greatest(F.lit(0), F.least(F.col("there") - F.col("copies"), F.col("n") - F.coalesce("own", F.lit(0)))))
     stray = stray.withColumn("over", over.cast("int")).where("over > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("over"))))
@@ -227,4 +279,4 @@ def drill(pages: DataFrame, altered: Column, missing: Column, added: Column, per
     manifest = written(laid_out(records(pages, **names), per_file), "manifest")
     path = claim(spark, f"{shared_dir(spark)}/threadloom/replica-{uuid.uuid4().hex}")
     write_warc(damaged(pages, altered, missing, added, **names), path, per_file)
-    return audit(manifest, read_warc(spark, path), per_file, fanout)
+    return audit(manifest, read_warc(spark, path), fanout=fanout)
