@@ -171,3 +171,13 @@ def test_stored_index_passes_over_blocks_and_reads_no_text(spark, tmp_path):
     empty = index.TrigramIndex(spark, str(tmp_path), "empty")
     empty.append(spark.createDataFrame([], "id long, role string, text string"))
     assert empty.search("abc abcd", 3).count() == 0
+
+
+def test_a_store_that_only_hadoop_reaches(spark, tmp_path):
+    """There the pointer is put in place by a rename that refuses an existing target."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    pub = store.Published(spark, "viewfs://other/in", "x")
+    assert [pub.publish({"a": rows(spark, n, "t")}, f"r{n}") for n in (3, 5)] == [1, 2] and pub.table("a").count() == 5
+    with pytest.raises(store.Conflict):
+        pub.publish({"a": rows(spark, 7, "t")}, "late", expected=1)
+    assert pub.table("a").count() == 5 and len(pub.sweep(1, 0)) == 1 and pub.generations() == [2]
