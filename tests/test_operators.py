@@ -138,6 +138,36 @@ def test_resolve_prefixes(spark):
     assert {r.ref: (r.status, r.id) for r in retrieval.resolve(refs, ids).collect()} == {"ab": ("ambiguous", None), "abc": ("resolved", "abc"), "x": ("resolved", "xyz"), "q": ("missing", None)}
 
 
+def most_rows(df):
+    """Rows that the busiest step of a plan gives when it runs."""
+    df._jdf.collect()
+
+    def walk(node):
+        if "AdaptiveSparkPlan" in node.nodeName():
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows").get().value() if node.metrics().contains("numOutputRows") else 0
+        return max([own, *[walk(node.children().apply(k)) for k in range(node.children().size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_prefixes_meet_no_ids_that_they_do_not_fit(spark):
+    names = [f"{k:04x}" for k in range(1 << 12)]
+    ids = spark.createDataFrame([(x,) for x in [*names, "0", None, "ab"]], "id string")
+    refs = [x[: 1 + k % 4] for k, x in enumerate(names)] + ["", "00001", "zz", None]
+    found = retrieval.resolve(spark.createDataFrame([(r,) for r in refs], "ref string"), ids)
+    known = {*names, "0", "ab"}
+    want = {}
+    for r in set(refs):
+        fits = [] if r is None else [x for x in known if x.startswith(r)]
+        want[r] = ("missing" if not fits else "resolved" if len(fits) == 1 else "ambiguous", fits[0] if len(fits) == 1 else None)
+    assert {r.ref: (r.status, r.id) for r in found.collect()} == want
+    run = retrieval.resolve(spark.createDataFrame([(r,) for r in refs], "ref string"), ids)
+    assert most_rows(run) <= 7 * len(known)  # at most a row for each length of a reference
+
+
 def test_redaction_numbers_by_order_and_is_idempotent(spark):
     rows = spark.createDataFrame([("c", 0, "mail a@b.com or +86 138 0013 8000"), ("c", 1, "13800138000, then A@b.com and a@b.com by Bob"), ("d", 0, "see https://x.y/z. " + "M_" + "0" * 32), ("d", 1, None)], "conv_id string, original_index int, content string")
     alias = redaction.alias_registry(spark.createDataFrame([("c", "Bob", "other"), ("c", "me", "me"), ("d", "Al", "me"), ("d", "Al", "other")], "conv_id string, value string, role string"))

@@ -94,12 +94,13 @@ def look_back(hits: DataFrame, occurrences: DataFrame, messages: DataFrame) -> D
 
 def resolve(refs: DataFrame, ids: DataFrame) -> DataFrame:
     """``ref, status, id``: prefixes that fit one id are resolved, several ambiguous, none missing."""
-    short = refs.select(F.min(F.char_length("ref")).alias("n")).first()["n"] or 1
-    # An equi-join on the shortest reference's length narrows the prefix test.
-    a = refs.distinct().withColumn("k", F.substring("ref", 1, short))
-    b = ids.select("id").distinct().withColumn("k", F.substring("id", 1, short))
-    got = a.join(b, "k", "left").withColumn("hit", F.col("id").isNotNull() & F.col("id").startswith(F.col("ref")))
-    each = got.groupBy("ref").agg(F.count_if("hit").alias("n"), F.min(F.when(F.col("hit"), F.col("id"))).alias("one"))
+    want = refs.distinct()
+    lengths = want.agg(F.array_sort(F.collect_set(F.char_length("ref"))).alias("lengths"))  # one row; no more than the longest reference has characters
+    each = ids.select("id").distinct().crossJoin(F.broadcast(lengths))
+    # Every id under its own prefixes of those lengths: an equal prefix is a hit, so no pair is made that is none.
+    heads = each.select("id", F.explode(F.filter("lengths", lambda n: n <= F.char_length("id"))).alias("n")).select(F.expr("substring(id, 1, n)").alias("ref"), "id")
+    held = heads.groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("one"))
+    each = want.join(held, "ref", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"), "one")
     status = F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
     return each.select("ref", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("id"))
 
