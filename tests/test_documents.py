@@ -327,3 +327,10 @@ def test_postings_count_every_trigram(spark):
         for k in range(len(low) - 2):
             want[low[k : k + 3], i] = want.get((low[k : k + 3], i), 0) + 1
     assert {(r.trigram, r.doc): r.tf for r in retrieval.postings(spark.createDataFrame(texts, "evidence_id int, search_text string")).collect()} == want
+
+
+def test_hit_sets_whose_hashes_add_up_beyond_a_long(spark):
+    rows = spark.range(4000).select(F.lit("q").alias("question"), F.lit("a").alias("query"), F.lit(1).alias("conv_id"), F.col("id").alias("position"))
+    rows = rows.where(F.xxhash64("conv_id", "position") > 1 << 61)
+    got = retrieval.merged_hit_sets(rows.union(rows.withColumn("query", F.lit("A")))).collect()
+    assert [(r.question, r.n, r.queries) for r in got] == [("q", rows.count(), ["A", "a"])]

@@ -126,7 +126,7 @@ def query_weights(queries: DataFrame, hits: DataFrame, total: int) -> DataFrame:
 
 def merged_hit_sets(hits: DataFrame) -> DataFrame:
     """Queries of one question with equal hit sets are one: ``question, hit_key, queries``."""
-    each = hits.select("question", "query", F.xxhash64("conv_id", "position").alias("h")).groupBy("question", "query").agg(F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 8)).alias("s"), F.count("*").alias("n"))
+    each = hits.select("question", "query", F.xxhash64("conv_id", "position").alias("h")).groupBy("question", "query").agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.count("*").alias("n"))
     return each.groupBy("question", "x", "s", "n").agg(F.sort_array(F.collect_set("query")).alias("queries")).select("question", "n", "queries")
 
 
