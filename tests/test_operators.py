@@ -425,3 +425,11 @@ def test_grounding_sends_no_text_for_an_anchor(spark):
     assert got == sorted((repr(x), count(x[0], x[2])) for x in quotes)
     plan = grounding.candidates(q.where("quote <> ''"), m, ["c"])._jdf.queryExecution().executedPlan().toString()
     assert "content#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_a_catalogue_makes_no_pairs_that_do_not_fit(spark):
+    ids = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("h"), "id")
+    evidence = ids.select(F.concat(F.lit("E_"), "h").alias("id"), F.when(F.col("id") % 6 == 0, "ambiguous").otherwise("matched").alias("status"))
+    tokens = ids.select(F.expr("concat(CASE WHEN id % 2 = 0 THEN 'E_' ELSE 'M_' END, left(h, cast(1 + id % 8 as int)), '…')").alias("ref"))
+    found = retrieval.catalogue(tokens, evidence, ids.select(F.concat(F.lit("M_"), "h").alias("id")), spark.range(3).select(F.col("id").alias("chunk_index")))
+    assert most_rows(found) <= 8 * 6000 and found.count() == tokens.distinct().count()
