@@ -1,5 +1,6 @@
 """Operators on tiny tables, against rules restated plainly."""
 
+import functools
 import json
 import random
 import re
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions import times
-from threadloom.operators import chunks, claims, grounding, messages, redaction, retrieval, scoring, selection, sessions, usage
+from threadloom.operators import chunks, claims, grounding, messages, redaction, retrieval, scoring, selection, sessions, statistics, usage
 from threadloom.sources import exports
 from threadloom.streaming import live
 
@@ -433,3 +434,17 @@ def test_a_catalogue_makes_no_pairs_that_do_not_fit(spark):
     tokens = ids.select(F.expr("concat(CASE WHEN id % 2 = 0 THEN 'E_' ELSE 'M_' END, left(h, cast(1 + id % 8 as int)), '…')").alias("ref"))
     found = retrieval.catalogue(tokens, evidence, ids.select(F.concat(F.lit("M_"), "h").alias("id")), spark.range(3).select(F.col("id").alias("chunk_index")))
     assert most_rows(found) <= 8 * 6000 and found.count() == tokens.distinct().count()
+
+
+def test_means_over_sessions_add_up_in_their_order(spark):
+    rng, held = random.Random(1), {}
+    while len(held) < 6:  # lists whose mean, added up backwards, rounds to another tenth
+        x = [rng.randrange(2000) / 10 for _ in range(20)]
+        one, two = (functools.reduce(lambda a, b: a + b, y) / len(y) for y in (x, x[::-1]))
+        if f"{one:.1f}" != f"{two:.1f}":
+            held[len(held)] = (x, float(f"{one:.1f}"))
+    rows = [(c, k, v, 1, "me", "me") for c, (x, _) in held.items() for k, v in reversed(list(enumerate(x)))]
+    summary = spark.createDataFrame(rows, "conv_id int, session int, duration_minutes double, message_count int, initiator string, closer string").coalesce(1)
+    assert {r.conv_id: r.avg_minutes for r in statistics.session_shape(summary).collect()} == {c: want for c, (_, want) in held.items()}
+    none = statistics.session_shape(summary.withColumn("duration_minutes", F.lit(None).cast("double"))).first()
+    assert none.avg_minutes is None and none.n_sessions == 20

@@ -66,10 +66,19 @@ def top_sessions(summary: DataFrame, k: int = 10) -> DataFrame:
     return summary.withColumn("rank", rank).where(F.col("rank") <= k).select("conv_id", "rank", "session", "message_count")
 
 
+def _running(value: str, *by: str) -> Column:
+    """The sum so far, session by session: fractions are added in that order, since a sum's last bits depend on it."""
+    return F.sum(value).over(Window.partitionBy(*by).orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _mean(value: str) -> Column:
+    return F.max_by("_held", "session") / F.nullif(F.count(value), F.lit(0))
+
+
 def session_shape(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("conv_id").agg(
+    return summary.withColumn("_held", _running("duration_minutes", "conv_id")).groupBy("conv_id").agg(
         F.count("*").alias("n_sessions"), times.round1(F.avg("message_count")).alias("avg_size"), times.round1(F.median("message_count")).alias("median_size"),
-        times.round1(F.avg("duration_minutes")).alias("avg_minutes"), times.round1(F.median("duration_minutes")).alias("median_minutes"),
+        times.round1(_mean("duration_minutes")).alias("avg_minutes"), times.round1(F.median("duration_minutes")).alias("median_minutes"),
         F.count_if(F.col("initiator") == "me").alias("initiated_by_me"), F.count_if(F.col("closer") == "me").alias("closed_by_me"),
     )
 
@@ -86,7 +95,8 @@ def session_reply_latency(m: DataFrame) -> DataFrame:
     lo, hi = sessions.SESSION_REPLY
     d = sessions.reply_deltas(sessions.gap_sessions(m), "session").where((F.col("delta") > lo) & (F.col("delta") < hi))
     each = d.groupBy("conv_id", "session", "sender").agg(times.round1(F.avg("delta")).alias("a"))
-    return each.groupBy("conv_id", "sender").agg(F.count("*").alias("n_sessions"), times.round1(F.avg("a")).alias("avg_seconds"))
+    each = each.withColumn("_held", _running("a", "conv_id", "sender"))
+    return each.groupBy("conv_id", "sender").agg(F.count("*").alias("n_sessions"), times.round1(_mean("a")).alias("avg_seconds"))
 
 
 def text_length(m: DataFrame) -> DataFrame:
