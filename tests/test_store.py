@@ -181,3 +181,14 @@ def test_a_store_that_only_hadoop_reaches(spark, tmp_path):
     with pytest.raises(store.Conflict):
         pub.publish({"a": rows(spark, 7, "t")}, "late", expected=1)
     assert pub.table("a").count() == 5 and len(pub.sweep(1, 0)) == 1 and pub.generations() == [2]
+
+
+def test_stored_index_has_a_row_for_each_trigram_and_block(spark, tmp_path):
+    docs = [(k, "support", f"abc \0\0{k} abc") for k in range(600)]
+    idx = index.TrigramIndex(spark, str(tmp_path))
+    idx.append(spark.createDataFrame(docs, "id long, role string, text string"))
+    held, blocks = idx._table("postings"), idx._table("docs").select("block").distinct().count()
+    want = {t[k : k + 3] for _, _, t in docs for k in range(len(t) - 2)}
+    assert {r.trigram for r in held.collect()} == want and held.count() <= len(want) * blocks
+    assert {(r.trigram, r.n) for r in held.where("trigram in ('abc', ' \0\0')").groupBy("trigram").agg(F.sum("df").alias("n")).collect()} == {("abc", 600), (" \0\0", 600)}
+    assert {r.tf for r in idx.phrase("abc").collect()} == {2} and idx.phrase("c \0\0").count() == 600

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -232,3 +233,36 @@ def level_from_words(text: Column, words: dict[int, list[str]]) -> Column:
     best = F.array_max(F.transform(sums, lambda s: s["n"]))
     top = F.filter(sums, lambda s: s["n"] == best)
     return F.when((best > 0) & (F.size(top) == 1), top[0]["level"])
+
+
+class Trigrams(NamedTuple):
+    """Trigrams of some texts: ``names`` in order; trigram k has the postings ``first[k]`` up to ``first[k + 1]``, posting i is
+    of text ``rows[i]`` and has the ``places`` (from 0) ``starts[i]`` up to ``starts[i + 1]``. ``lengths``: each text's trigrams."""
+
+    names: list[str]
+    first: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    lengths: np.ndarray
+
+
+def trigrams(texts: list[str]) -> Trigrams:
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    lengths = np.maximum(sizes - 2, 0)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = (np.cumsum(sizes) - sizes)[row] + place
+    code = chars[at] << np.uint64(42) | chars[at + 1] << np.uint64(21) | chars[at + 2]
+    order = np.argsort(code, kind="stable")
+    code, row, place = code[order], row[order], place[order]
+    other = np.ones(len(code), bool)
+    other[1:] = code[1:] != code[:-1]
+    new = other.copy()
+    new[1:] |= row[1:] != row[:-1]
+    starts = np.flatnonzero(new)
+    first = np.append(np.flatnonzero(other[starts]), len(starts))
+    known = code[starts[first[:-1]]]
+    text = np.stack([known >> np.uint64(42), known >> np.uint64(21) & np.uint64((1 << 21) - 1), known & np.uint64((1 << 21) - 1)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return Trigrams([text[k : k + 3] for k in range(0, len(text), 3)], first, row[starts], np.append(starts, len(code)), place, lengths)

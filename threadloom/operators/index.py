@@ -1,13 +1,14 @@
 """A stored trigram index: ranked search over evidence from postings alone, whatever became of the texts.
 
-An index is published (``sources.store``): its pointer lists segments, and every append adds one. A segment is three tables.
-``docs`` has every row's id, role, length and block (rows of one role, about ``BLOCK`` of them, by a hash of the id).
-``postings`` has a row for each trigram and row of text, with the places where it stands; it is sorted by trigram, block and
-impact, so a scan for some trigrams skips the rest by Parquet's statistics. ``blocks`` has for each trigram and block how
-many rows hold it, the most places in one of them and the shortest length, which bounds the score of any of its rows.
+An index is published (``sources.store``): its pointer lists segments, and every append adds one. A segment is two tables.
+``docs`` has every row's id, role, length, block (rows of one role, about ``BLOCK`` of them, by a hash of the id) and its
+number in the block, in the order of ids. ``postings`` has a row for each trigram and block: how many rows hold it (``df``), the
+most places in one of them and the shortest length, which bounds the score of any of its rows; their numbers, and their places
+one after the other (``starts`` tells where each row's begin, and where the last one's end). A block's postings are made where
+its texts are, and sorted by trigram in every file, so a scan for some trigrams skips the rest by Parquet's statistics.
 
 Terms are found as phrases of trigrams: places shifted by each trigram's offset, intersected. So scores are those of a
-search over the texts. Where all terms are single trigrams, how many rows hold each is in ``blocks``; then only the most
+search over the texts. Where all terms are single trigrams, how many rows hold each is the sum of ``df``; then only the most
 promising blocks are read at first, and of the rest those whose bound reaches the worst score kept of their role.
 """
 
@@ -15,13 +16,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+from ..functions.text import trigrams
 from ..sources.store import Published, written
 from .retrieval import FLOOR, K1, B, check_query
 
 BLOCK, FIRST = 256, 4
+POSTINGS = "trigram string, block string, df int, most int, shortest int, rows array<int>, starts array<int>, places array<int>"
 
 
 class TrigramIndex:
@@ -52,15 +58,11 @@ class TrigramIndex:
         blocks = max(1, texts.count() // BLOCK)
         block = F.concat(F.coalesce(F.concat(F.lit("="), "role"), F.lit("")), F.lit(f"/{entry['generation'] + 1}/"), F.expr(f"pmod(xxhash64(id), {blocks})").cast("string"))
         texts = texts.withColumn("block", block)
-        chars = texts.where("len > 0").select("id", "block", "len", F.split("l", "").alias("c"))
-        grams = F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.concat(F.get("c", i - 1), F.get("c", i), F.get("c", i + 1)))
-        each = chars.select("id", "block", "len", F.posexplode(grams).alias("p", "trigram"))
-        posted = each.groupBy("trigram", "block", "id", "len").agg(F.sort_array(F.collect_list("p")).alias("places")).withColumn("tf", F.size("places"))
-        postings = written(posted, "postings")
+        number = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+        ship(self.spark)
         tables = {
-            "docs": texts.select("id", "role", "len", "block"),
-            "postings": postings.repartitionByRange("trigram", "block", "id").sortWithinPartitions("trigram", "block", F.desc("tf"), "id"),
-            "blocks": postings.groupBy("trigram", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("len").alias("shortest")).repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block"),
+            "docs": texts.select("id", "role", "len", "block", number.alias("nr")),
+            "postings": texts.select("id", "block", "l").groupBy("block").applyInArrow(_posted, POSTINGS).sortWithinPartitions("trigram", "block"),
         }
         total = texts.agg(F.count("*").alias("n"), F.sum("len").alias("length")).first()
         return self._commit(tables, entry, entry["segments"], entry["rows"] + total["n"], entry["length"] + (total["length"] or 0))
@@ -73,33 +75,34 @@ class TrigramIndex:
     def merge(self) -> int:
         """All segments as one; searches give the same rows before and after."""
         entry = self.at.entry()
-        order = {"docs": ["block", "id"], "postings": ["trigram", "block", F.desc("tf"), "id"], "blocks": ["trigram", "block"]}
-        ranges = {"docs": ["block", "id"], "postings": ["trigram", "block", "id"], "blocks": ["trigram", "block"]}
-        tables = {t: self._table(t).repartitionByRange(*ranges[t]).sortWithinPartitions(*order[t]) for t in order}
+        order = {"docs": ["block", "nr"], "postings": ["trigram", "block"]}
+        tables = {t: self._table(t).repartitionByRange(*order[t]).sortWithinPartitions(*order[t]) for t in order}
         return self._commit(tables, entry, [], entry["rows"], entry["length"])
 
     def _postings(self, grams: list[str]) -> DataFrame:
         return self._table("postings").where(F.col("trigram").isin(sorted(set(grams))))
 
     def phrase(self, term: str, within: DataFrame | None = None) -> DataFrame:
-        """``id, block, len, tf`` of the rows that hold a term of 3 characters or more; ``within``: only these blocks."""
+        """``block, nr, tf`` of the rows that hold a term of 3 characters or more; ``within``: only these blocks."""
         grams = [term[k : k + 3] for k in range(len(term) - 2)]
         found = self._postings(grams)
         if within is not None:
             found = found.join(within.select("block"), "block", "left_semi")
+        first, stop = (lambda i: F.get("starts", i)), (lambda i: F.get("starts", i + 1))
         if len(grams) == 1:
-            return found.select("id", "block", "len", "tf")
+            return found.select("block", F.inline(F.transform("rows", lambda nr, i: F.struct(nr.alias("nr"), (stop(i) - first(i)).alias("tf")))))
+        each = found.select("trigram", "block", F.inline(F.transform("rows", lambda nr, i: F.struct(nr.alias("nr"), F.slice("places", first(i) + 1, stop(i) - first(i)).alias("places")))))
         offsets = F.create_map(*[x for g in sorted(set(grams)) for x in (F.lit(g), F.array(*[F.lit(k) for k, h in enumerate(grams) if h == g]))])
-        each = found.select("id", "block", "len", "places", F.explode(offsets[F.col("trigram")]).alias("k"))
-        each = each.select("id", "block", "len", F.transform("places", lambda p: p - F.col("k")).alias("starts"))
+        each = each.select("block", "nr", "places", F.explode(offsets[F.col("trigram")]).alias("k"))
+        each = each.select("block", "nr", F.transform("places", lambda p: p - F.col("k")).alias("starts"))
         # At most as many arrays as a query has characters.
-        both = each.groupBy("id", "block", "len").agg(F.collect_list("starts").alias("s")).where(F.size("s") == len(grams))
+        both = each.groupBy("block", "nr").agg(F.collect_list("starts").alias("s")).where(F.size("s") == len(grams))
         starts = F.aggregate("s", F.get("s", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-        return both.select("id", "block", "len", F.size(starts).alias("tf")).where("tf > 0")
+        return both.select("block", "nr", F.size(starts).alias("tf")).where("tf > 0")
 
     def _bounds(self, terms: list[str], stats: dict[str, float], mean: float) -> DataFrame:
         """``block, role_key, bound``: blocks that hold every trigram of the terms, with the best score a row there can have."""
-        found = self._table("blocks").where(F.col("trigram").isin(sorted(set(terms))))
+        found = self._postings(terms)
         value = F.create_map(*[x for t in sorted(set(terms)) for x in (F.lit(t), F.lit(stats[t] * terms.count(t)))])
         best = value[F.col("trigram")] * _impact(F.col("most"), F.col("shortest"), mean)
         each = found.groupBy("block").agg(F.sum(best).alias("bound"), F.count_distinct("trigram").alias("n")).where(F.col("n") == len(set(terms)))
@@ -109,10 +112,11 @@ class TrigramIndex:
         """``id, block, score`` of the rows that hold all terms; less is better."""
         hits, score = None, F.lit(0.0)
         for k, t in enumerate(terms):
-            one = self.phrase(t, within).select("id", "block", "len", F.col("tf").alias(f"tf{k}"))
-            hits = one if hits is None else hits.join(one.drop("block", "len"), "id")
+            one = self.phrase(t, within).withColumnRenamed("tf", f"tf{k}")
+            hits = one if hits is None else hits.join(one, ["block", "nr"])
             score = score - F.lit(stats[t]) * _impact(F.col(f"tf{k}"), F.col("len"), mean)
-        return hits.select("id", "block", score.alias("score"))
+        sized = hits.join(self._table("docs").select("block", "nr", "id", "len"), ["block", "nr"])
+        return sized.select("id", "block", score.alias("score"))
 
     def weights(self, terms: list[str]) -> tuple[dict[str, float], float]:
         """Each term's weight by how many rows hold it, and the mean length; a few numbers."""
@@ -120,7 +124,7 @@ class TrigramIndex:
         single = [t for t in set(terms) if len(t) == 3]
         n = {t: 0 for t in terms}
         if single:
-            n |= {r["trigram"]: r["n"] for r in self._table("blocks").where(F.col("trigram").isin(single)).groupBy("trigram").agg(F.sum("df").alias("n")).collect()}
+            n |= {r["trigram"]: r["n"] for r in self._postings(single).groupBy("trigram").agg(F.sum("df").alias("n")).collect()}
         for t in set(terms) - set(single):
             n[t] = self.phrase(t).count()
         raw = self.spark.range(1).select(*[F.log((F.lit(entry["rows"]) - n[t] + 0.5) / (F.lit(n[t]) + 0.5)).alias(f"w{k}") for k, t in enumerate(terms)]).first()
@@ -158,3 +162,25 @@ class TrigramIndex:
 
 def _impact(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / F.lit(mean)))
+
+
+def _posted(block: pa.Table) -> pa.Table:
+    """The postings of one block's rows (id, block, l)."""
+    block = block.sort_by("id").combine_chunks()
+    found = trigrams(block.column("l").to_pylist())
+    first = found.first  # of each trigram, its first row
+    df, tf = np.diff(first), np.diff(found.starts)
+    sizes = found.lengths[found.rows]
+    ends = np.append(found.starts[first[:-1]], found.starts[-1:])  # of each trigram, its first place
+    at = np.arange(len(found.rows) + len(df)) - np.repeat(np.arange(len(df)), df + 1)  # each trigram's rows and one more
+    at_first = np.repeat(ends[:-1], df + 1)
+    starts = found.starts[at] - at_first
+    none = not len(df)
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    return pa.table(
+        {
+            "trigram": pa.array(found.names, pa.string()), "block": pa.array([block.column("block")[0].as_py()] * len(df), pa.string()), "df": pa.array(df, pa.int32()),
+            "most": pa.array([] if none else np.maximum.reduceat(tf, first[:-1]), pa.int32()), "shortest": pa.array([] if none else np.minimum.reduceat(sizes, first[:-1]), pa.int32()),
+            "rows": lists(first, found.rows), "starts": lists(first + np.arange(len(first)), starts), "places": lists(ends, found.places),
+        }
+    )

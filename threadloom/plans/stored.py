@@ -28,7 +28,7 @@ def fingerprint(rows: DataFrame) -> str:
 def _index(spark, sf_dir) -> TrigramIndex:
     """The index of the documents as they are now: built in two appends if it is not stored yet, else only opened."""
     rows = td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("role"), "text")
-    index = TrigramIndex(spark, f"{working_dir(spark)}/threadloom/indexes", fingerprint(rows))
+    index = TrigramIndex(spark, f"{working_dir(spark)}/threadloom/block-indexes", fingerprint(rows))
     if index.at.entry() is None:
         for part in (rows.where("id % 2 = 0 OR id IS NULL"), rows.where("id % 2 <> 0")):
             index.append(part)

@@ -101,7 +101,7 @@ class Published:
         folder = f"rev-{uuid.uuid4().hex}"
         try:
             for name, df in tables.items():
-                df.write.mode("errorifexists").parquet(f"{self.path}/{folder}/{name}")
+                df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{folder}/{name}")
         except Exception:
             _delete(self.spark, f"{self.path}/{folder}")
             raise
