@@ -88,3 +88,17 @@ def test_paired_bootstrap_of_a_method_with_itself_and_with_a_worse_one(spark):
     same = scoring.paired_bootstrap(a, a, repeats=50).first()
     worse = scoring.paired_bootstrap(a, a.withColumn("pred", F.lit(0)), repeats=50).first()
     assert (same.low, same.high) == (0, 0) and 0.2 < worse.low < 5 / 12 < worse.high < 0.6
+
+
+def test_a_round_reads_its_chunks_once(spark, tmp_path):
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            count.add(len(f))
+            yield f
+
+    rows = spark.range(40).selectExpr("'c' AS conv_id", "int(id) AS chunk_index", "string(id) AS transcript").mapInPandas(seen, "conv_id string, chunk_index int, transcript string")
+    results = extraction.Results(spark, str(tmp_path / "store"), "m1")
+    done = results.run(rows, lambda f, a: f.assign(answer="x")[["conv_id", "chunk_index", "answer"]][(f["chunk_index"] % 2 == 0) | (a > 1)], attempts=3, slices=4)
+    assert done == 8 and count.value == 40 and results.missing(rows, 3).isEmpty()

@@ -1,7 +1,7 @@
 """Extraction that resumes: answers by chunk in a keyed store, with retries, and failures set aside.
 
-A chunk's key is the revision of its text and of the model, so a changed chunk or model is another one. Each run reads the
-store, takes the planned chunks without an answer, and commits slice after slice; a run that is stopped loses its running
+A chunk's key is the revision of its text and of the model, so a changed chunk or model is another one. Each round reads the
+store, sets the planned chunks without an answer aside, and commits slice after slice; a run that is stopped loses its running
 slice at most. Inside a slice Spark repeats the tasks of lost executors; a batch that the extractor fails on is tried row
 by row, so one bad chunk costs no other one its answer.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from ..sources.store import Published
+from ..sources.store import Published, written
 from .retrieval import revision
 
 
@@ -60,12 +60,13 @@ class Results:
         ship(self.spark)
         done = 0
         for _ in range(attempts):
-            if self.missing(chunks, attempts).isEmpty():
+            # Once a round; what a later round finds missing is among what this one has tried.
+            chunks = written(self.missing(chunks, attempts).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices))), "missing", "slice")
+            if chunks.isEmpty():
                 break
             for k in range(slices):
-                todo = self.missing(chunks, attempts).where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k)
                 entry = self.at.entry() or {"generation": 0, "segments": []}
-                folder = self.at.write({"answers": self._answers(todo, extractor)})
+                folder = self.at.write({"answers": self._answers(chunks.where(F.col("slice") == k), extractor)})
                 self.at.commit(folder, self.model, ["answers"], entry["generation"], {"segments": [*entry["segments"], folder]})
                 done += 1
         return done

@@ -12,7 +12,7 @@ from ..operators import scans, scoring
 from ..operators.extraction import Results
 from ..operators.index import TrigramIndex
 from ..sources import exports
-from ..sources.store import Cache, Published, working_dir, working_path
+from ..sources.store import Cache, Published, working_dir, working_path, written
 from ..streaming import live
 from . import testdata as td
 from .registry import _GOLD, ORACLES, _labelled, query
@@ -176,6 +176,8 @@ def resumed_extraction(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("doc_id")
     rows = td.table(spark, sf_dir, "documents").withColumn("chunk_index", F.row_number().over(w)).where("text is not null").select(F.col("source").alias("conv_id"), "chunk_index", F.col("text").alias("transcript"))
 
+    rows = written(rows, "chunks")
+
     def model(frame, attempt):
         n = frame["transcript"].str.len()
         if ((n % 7 == 0) | ((n % 5 == 0) & (attempt == 1))).any():
