@@ -32,6 +32,7 @@ def _stage(f):
         before = _MADE.pop((sf_dir, _NAMES[k - 1]), None) if k else None
         if before:
             before.free(spark)
+        shared.small_batches(spark)
         with shared.scope() as made:
             out = f(spark, docs, sf_dir)
         _MADE[sf_dir, f.__name__] = made
@@ -66,6 +67,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (similarity of 5-word shingles of at least 0.8) one document stays.
 
+    Links come from SimHash over positional bytes, verified on the texts, and for the rest of that similarity from sketches.
     It is the one with the smallest doc_id, documents without one last, and of several texts under that doc_id the one of
     the smallest hash. Rows that repeat it are one document. A null text counts as empty, and all texts without words are
     one group.
@@ -110,6 +112,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written to the shared folder and read again by the next."""
+    shared.small_batches(spark)
     docs = shared.table(spark, sf_dir, "documents")
     before = None
     for k, (name, stage) in enumerate(STAGES):

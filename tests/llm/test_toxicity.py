@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.rows import awkward, empty
-from threadloom.llm import toxicity
+from threadloom.llm import shared, toxicity
 from threadloom.llm.queries import op10_subword_toxicity
 
 
@@ -114,3 +114,21 @@ def test_awkward_rows(spark):
     with pytest.raises(ValueError, match="score"):
         toxicity.scores(clashing, m, keep=("score",))
     assert toxicity.train(empty(spark), labels).margins().max() == 0
+
+
+def test_a_fit_and_its_counts_hold_little_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts, y = _corpus(rng, 60)
+    c, most = toxicity._Corpus(texts), []
+    made = toxicity._Corpus._buckets
+    monkeypatch.setattr(toxicity._Corpus, "_buckets", lambda self, words: most.append(int(self.sizes[words].sum())) or made(self, words))
+    whole = c.holding(np.array(y), 2, 1 << 30)
+    assert len(most) == 1
+    largest = max(int(c.sizes[c.word[c.doc == k]].sum()) for k in range(60))
+    assert (c.holding(np.array(y), 2, 3000) == whole).all() and max(most[1:]) <= max(3000, largest) and sum(most[1:]) == most[0]
+
+
+def test_a_step_without_a_worker_object_lets_go_of_it():
+    shared.worker_object("left by another step", dict)
+    shared.spare()
+    assert not shared._HEAVY

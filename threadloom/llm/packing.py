@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, jvm
-from .shared import ship, written
+from .shared import ship, spare, written
 
 LENGTH, END = 2048, 1
 #: Sources whose totals the driver and every worker hold (a bound of memory); more raise.
@@ -146,6 +146,7 @@ def pieces(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         place_of, rounds = sent.value
+        spare()
         for b in batches:
             for first in range(0, b.num_rows, _DOCS):
                 c = b.slice(first, _DOCS)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, written
+from .shared import fresh, ship, spare, written
 
 MIN_WORDS = 20
 _UNIT = re.compile(r"\n|(?<=\w[.!?])\s+")
@@ -41,6 +41,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches):
+        spare()
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 c = b.slice(first, 500)
@@ -91,6 +92,7 @@ def cut(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", tex
     at = both.columns.index(text_col)
 
     def run(batches):
+        spare()
         for b in batches:
             texts = []
             for t, spans_ in zip(b.column(at), b.column("removed"), strict=True):

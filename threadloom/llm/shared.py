@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +87,34 @@ _HEAVY: dict = {}
 def worker_object(key, make):
     """What ``make()`` gives, once per Python worker; a worker keeps one such object, since it outlives stages and their memory."""
     if key not in _HEAVY:
-        _HEAVY.clear()
+        spare()
         _HEAVY[key] = make()
     return _HEAVY[key]
 
 
+#: Rows of an Arrow batch in :func:`small_batches`.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers ``BATCH_ROWS`` at a time, unless the session asks for fewer.
+
+    A batch is held in the JVM and once more in the worker, by every task; results don't depend on it. It is a setting of the
+    session, read when a plan is made, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def spare() -> None:
+    """Let go of what an earlier step left in this Python worker; for steps that keep no such object, or need much memory."""
+    if _HEAVY:
+        _HEAVY.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, ship, worker_object
+from .shared import fresh, ship, spare, worker_object
 
 #: How a text's length divides the sum over its words.
 LEAST, POWER = 8, 0.75
@@ -105,15 +105,18 @@ class _Corpus:
         n = self.sizes[words]
         return self.flat[np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    def holding(self, group: np.ndarray, groups: int, step: int = 200) -> np.ndarray:
-        """Texts of each group (rows) that hold each bucket (columns)."""
+    def holding(self, group: np.ndarray, groups: int, most: int = _GRAMS // 4) -> np.ndarray:
+        """Texts of each group (rows) that hold each bucket (columns); about ``most`` n-grams are worked on at a time."""
         out, ends = np.zeros((groups, BUCKETS), np.int32), np.cumsum(self.count)
-        for k in range(0, len(group), step):
-            last = min(k + step, len(group))
+        total = np.cumsum(np.add.reduceat(self.sizes[self.word], ends - self.count))  # every text has a word
+        k = 0
+        while k < len(group):
+            last = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + most, "right")))
             own = slice(ends[k] - self.count[k], ends[last - 1])
             words = self.word[own]
             key = np.unique(np.repeat(self.doc[own], self.sizes[words]) * BUCKETS + self._buckets(words))
             np.add.at(out, (group[key // BUCKETS], key % BUCKETS), 1)
+            k = last
         return out
 
     def _parts(self):
@@ -284,6 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> Model:
     ship(docs.sparkSession)
 
     def run(batches):
+        spare()
         found = sorted((zlib.crc32(str(i).encode()), str(i), t, x) for b in batches for i, t, x in zip(*(b.column(c).to_pylist() for c in ("i", "text", "toxic")), strict=True))
         m = fit([r[2] for r in found], np.array([r[3] for r in found]))
         yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for x in (m.embedding, m.weights, m.bias)], ["embedding", "weights", "bias"])
@@ -307,15 +311,17 @@ def scores(docs: DataFrame, fitted: Model, threshold: float = THRESHOLD, id_col:
     key = hashlib.sha256(sent.value[0].tobytes()).digest()
     if clash := {c.lower() for c in keep} & {"doc_id", "held_out", "score", "predicted"}:
         raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
-    read = fresh(docs, "read")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _held(F.col(id_col)).alias("held_out"), F.col(text_col).alias(read), *[F.col(c) for c in keep])
+    read = text_col if text_col in keep else fresh(docs, "read")  # a text that is kept is sent once
+    rows = docs.select(F.col(id_col).alias("doc_id"), _held(F.col(id_col)).alias("held_out"), *[F.col(text_col).alias(read)][: read not in keep], *[F.col(c) for c in keep])
 
     def run(batches):
         score = worker_object(key, lambda: Scorer(*sent.value))
-        for batch in batches:
-            s = [score(t.as_py() or "") for t in batch.column(read)]
-            kept = [batch.column(c) for c in ("doc_id", "held_out", *keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", *keep, "score", "predicted"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != read)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                s = [score(t.as_py() or "") for t in batch.column(read)]
+                kept = [batch.column(c) for c in ("doc_id", "held_out", *keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", *keep, "score", "predicted"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != read or read in keep)
     return rows.mapInArrow(run, f"{types}, score double, predicted int")
