@@ -1,9 +1,10 @@
 import random
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from tests.llm.rows import awkward, empty
-from threadloom.llm import similar
+from threadloom.llm import simhash, similar
 
 
 def plain_set(text):
@@ -102,3 +103,22 @@ def test_stage_keeps_one_document_where_ids_repeat(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = pipeline.drop_near_duplicates(spark, docs, "ids").collect()
     assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("3", "w0 w1"), ("9", "v0 v1"), ("None", "alone")]
+
+
+def test_fingerprint_links_come_first(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(2000)]
+    rows = [(k, " ".join(_edited(rng, base, 1) if k else base)) for k in range(6)] + [(9, " ".join(base[:1200])), (10, "other words"), (11, "no word of those at all")]
+    texts = similar._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    marks = similar.sketches(texts).cache()
+    for r in marks.collect():
+        text = dict(rows)[r.doc_id].encode()
+        assert r.fp & (1 << 64) - 1 == simhash.majority(similar.shingles(text))
+    of = {r.node: r.doc_id for r in marks.collect()}
+    met = [{of[r.a], of[r.b]} for r in similar.fingerprint_links(marks, texts).collect()]
+    assert met and all(m <= set(range(6)) for m in met)
+    # Where the sketches of no two texts meet, these links are still there; where they do, the classes are those of the texts.
+    blind = marks.withColumn("keys", F.array(F.col("node")))
+    roots = {of[r.node]: r.root for r in similar.links(blind, texts).collect()}
+    assert len(roots) >= 2 and set(roots) <= set(range(6))
+    assert got(similar.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_components(rows)

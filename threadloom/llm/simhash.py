@@ -43,6 +43,11 @@ def fingerprint(raw: bytes) -> int:
     starts = np.concatenate(([0], ends[:-SHINGLE] + 1)).tolist()
     cuts = map(slice, starts, ends[SHINGLE - 1 :].tolist())
     h = np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), repeat(SEED)), np.uint64, len(starts))
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes ``h``."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

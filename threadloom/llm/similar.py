@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, ship, written
+from . import simhash
+from .shared import components, ship, spare, written
 
 #: Words of a shingle, seed of its hash, least similarity of a link.
 SHINGLE, SEED, LEAST = 5, 42, 0.8
@@ -80,15 +81,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """``doc_id, node, keys, bytes`` of every row of ``rows (doc_id, node, text)``."""
+    """``doc_id, node, keys, bytes, fp`` of every row of ``rows (doc_id, node, text)``; ``fp``: the SimHash of the shingles."""
     ship(rows.sparkSession)
 
     def run(batches):
-        for b in batches:
-            made = [sketch(shingles(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]], ["doc_id", "node", "keys", "bytes"])
+        spare()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                made, fps = [], []
+                for t in b.column("text"):
+                    found = shingles(t.as_py())
+                    made.append(sketch(found))
+                    fps.append(simhash.majority(found))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "node", "keys", "bytes", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, keys array<long>, bytes array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, keys array<long>, bytes array<long>, fp long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -191,15 +199,33 @@ def settled(members: DataFrame, rows: DataFrame, size: int = TREE_ROWS, volume:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(marks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b``: texts whose fingerprints the SimHash operator links (``marks (node, fp)``) and whose sets reach ``LEAST``.
+
+    Of the texts of one fingerprint each is compared with the smallest, and of linked fingerprints the smallest ones, so there
+    are no more pairs than texts and links. Those that fail stay apart until the sketches settle them.
+    """
+    of = written(marks.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprints")
+    one, two = (of.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}")) for c in ("a", "b"))
+    across = simhash.links(of.select("fp")).join(one, "a").join(two, "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
+    within = marks.select("node", "fp").join(of, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return verified(across.union(within).distinct(), rows)
+
+
 def links(marks: DataFrame, rows: DataFrame, limit: int = LIST_ROWS, size: int = TREE_ROWS) -> DataFrame:
-    """``node, root`` of every text that has a near-duplicate. ``marks``: node, keys, bytes, a row a node; ``rows``: node, text."""
+    """``node, root`` of every text that has a near-duplicate. ``marks``: node, keys, bytes, fp, a row a node; ``rows``: node, text."""
+    sure = fingerprint_links(marks, rows)
+    known = components(sure)
     postings = marks.select("node", F.explode("keys").alias("list"))
     lists = postings.groupBy("list").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("list", "hub")
     shared = written(postings.join(lists, "list"), "lists")
     of = marks.select("node", "bytes")
     first = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    for c in ("a", "b"):
+        first = first.join(known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    first = first.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     first = first.join(of.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
-    linked = verified(first.where(tally("x", "y") >= SHARED).select("a", "b"), rows)
+    linked = sure.union(verified(first.where(tally("x", "y") >= SHARED).select("a", "b"), rows))
     roots = components(linked)
     member = written(shared.select("list", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     several = member.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("list", "n")
@@ -227,7 +253,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     """
     rows = _texts(docs, id_col, text_col)
     marks = written(sketches(rows), "sketches")
-    roots = links(marks.select("node", "keys", "bytes").dropDuplicates(["node"]), rows, limit, size)
+    roots = links(marks.select("node", "keys", "bytes", "fp").dropDuplicates(["node"]), rows, limit, size)
     least = marks.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("f"))
