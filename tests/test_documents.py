@@ -334,3 +334,14 @@ def test_hit_sets_whose_hashes_add_up_beyond_a_long(spark):
     rows = rows.where(F.xxhash64("conv_id", "position") > 1 << 61)
     got = retrieval.merged_hit_sets(rows.union(rows.withColumn("query", F.lit("A")))).collect()
     assert [(r.question, r.n, r.queries) for r in got] == [("q", rows.count(), ["A", "a"])]
+
+
+def test_ranked_search_goes_through_its_index_once(spark):
+    texts = [(k, "x", t) for k, t in enumerate(("a\U0001f600b\U0001f600b tion the re", "tion\ntion the re the re", "ti on", "", "the re", "tion the re " * 9))]
+    rows = spark.createDataFrame(texts, "id int, role string, l string")
+    index = retrieval.postings(rows, "id", "l")
+    assert {r.trigram for r in index.where("doc = 0").collect()} == {t[k : k + 3] for t in (texts[0][2],) for k in range(len(t) - 2)}
+    found = retrieval.bm25(rows, ["the re", "tion"], index)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan  # what is left to read are numbers
+    assert sorted(found.collect()) == sorted(retrieval.bm25(rows, ["the re", "tion"]).collect()) and {r.id for r in found.collect()} == {0, 1, 5}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.store import written
 
 #: The ranking's k1 and b, and the floor of its inverse document frequency.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -24,10 +25,9 @@ def check_query(query: str, limit: int) -> list[str]:
 
 def postings(docs: DataFrame, id_col: str = "evidence_id", text_col: str = "search_text") -> DataFrame:
     """``trigram, doc, tf``: an index that narrows a large store before the exact test; a null or shorter text has no entry."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.split(F.lower(text_col), "").alias("c")).where(F.size("c") >= 3)
-    both = lambda a, b: F.concat(a, b)
-    grams = F.zip_with(F.zip_with("c", F.slice("c", 2, F.size("c")), both), F.slice("c", 3, F.size("c")), both)  # null at the end
-    return rows.select("doc", F.explode(grams).alias("trigram")).where("trigram is not null").groupBy("trigram", "doc").agg(F.count("*").alias("tf"))
+    # One pass over a text: each match takes a code point and looks at the two after it.
+    grams = F.regexp_extract_all(F.lower(text_col), F.lit("(?s)(?=(...))."), F.lit(1))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(grams).alias("trigram")).groupBy("trigram", "doc").agg(F.count("*").alias("tf"))
 
 
 def search(docs: DataFrame, query: str, limit: int, id_col: str = "evidence_id", text_col: str = "search_text", role_col: str | None = "role") -> DataFrame:
@@ -67,6 +67,8 @@ def bm25(rows: DataFrame, terms: list[str], index: DataFrame | None = None) -> D
         each = sized.join(found.where(whole).select(F.col("doc").alias("id")), "id", "left_semi")
     for k, t in enumerate(terms):
         each = each.withColumn(f"w{k}", F.lit(t.lower())).withColumn(f"tf{k}", F.expr(tx.overlapping("l", f"w{k}")))
+    each = each.where(" or ".join(f"tf{k} > 0" for k in range(len(terms)))).select("id", "role", "len", *[f"tf{k}" for k in range(len(terms))])
+    each = written(each, "bm25-terms")  # numbers only; read for the totals and for the hits, so texts and index are gone through once
     holds = each.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).crossJoin(holds)  # one row of totals each
     hits = each.where(" and ".join(f"tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats))
