@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
 from tests.llm.rows import awkward, empty
-from threadloom.llm import simhash, similar
+from threadloom.llm import shared, simhash, similar
 
 
 def plain_set(text):
@@ -122,3 +122,19 @@ def test_fingerprint_links_come_first(spark):
     roots = {of[r.node]: r.root for r in similar.links(blind, texts).collect()}
     assert len(roots) >= 2 and set(roots) <= set(range(6))
     assert got(similar.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_components(rows)
+
+
+def test_components_stop_as_soon_as_all_are_stars(spark):
+    def tables(edges):
+        with shared.scope() as made:
+            found = shared.components(spark.createDataFrame(edges, "a long, b long"))
+            rows = sorted(tuple(r) for r in found.collect())
+        names = [p.rpartition("/")[2].rpartition("-")[0] for p in made.paths]
+        made.free(spark)
+        return rows, names
+
+    stars = [(1, 5), (6, 1), (7, 1), (2, 3), (3, 2), (4, 4)]
+    assert tables(stars) == ([(1, 1), (2, 2), (3, 2), (5, 1), (6, 1), (7, 1)], ["edges", "least"])
+    chain = [(k, k + 1) for k in range(20)] + [(40, 30), (40, 31), (31, 32)]
+    assert tables(chain)[0] == [(k, 0) for k in range(21)] + [(k, 30) for k in (30, 31, 32, 40)]
+    assert tables([]) == ([], ["edges", "least"])

@@ -128,22 +128,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """Connected components of ``edges (a, b)`` as rows ``(node, root)``, root the smallest node reachable.
+    """Connected components of ``edges (a, b)`` as rows ``(node, root)``, one a node, root the smallest node reachable.
 
     Alternates the large-star and small-star steps, which keep connectivity and only ever add edges to smaller
-    neighbours, and writes the edge table after each round. Nodes without an edge are absent; an empty table gives an
-    empty result. Minima are pre-aggregated before each shuffle, and the joins are plain, so skewed hubs can be split.
+    neighbours, and writes the edge table after each round. Each round begins with every node's least neighbour, which also
+    tells whether all components are stars by now: then those rows are the result. Nodes without an edge are absent; an
+    empty table gives an empty result. Minima are pre-aggregated before each shuffle, and the joins are plain, so skewed
+    hubs can be split.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     for _ in range(limit):
-        seen = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
-        if (seen["n"], seen["h"]) == state or not seen["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
-        state = (seen["n"], seen["h"])
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        # In a star the centre has larger neighbours only, and any other node has one neighbour.
+        other = (F.min("b") < F.col("a")) & (F.min("b") < F.max("b"))
+        least = written(now.union(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), other.alias("other")), "least")
+        if not least.agg(F.max("other").alias("other")).first()["other"]:
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        large = up.join(least.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")

@@ -212,10 +212,15 @@ def fingerprint_links(marks: DataFrame, rows: DataFrame) -> DataFrame:
     return verified(across.union(within).distinct(), rows)
 
 
+def joined(known: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``known (node, root)`` after the links ``more (a, b)``, a written table; ``known`` itself if there are none."""
+    return known if more.isEmpty() else components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
 def links(marks: DataFrame, rows: DataFrame, limit: int = LIST_ROWS, size: int = TREE_ROWS) -> DataFrame:
     """``node, root`` of every text that has a near-duplicate. ``marks``: node, keys, bytes, fp, a row a node; ``rows``: node, text."""
     sure = fingerprint_links(marks, rows)
-    known = components(sure)
+    known = components(sure)  # from here on links are added to its stars, not to the links that made them
     postings = marks.select("node", F.explode("keys").alias("list"))
     lists = postings.groupBy("list").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("list", "hub")
     shared = written(postings.join(lists, "list"), "lists")
@@ -225,8 +230,7 @@ def links(marks: DataFrame, rows: DataFrame, limit: int = LIST_ROWS, size: int =
         first = first.join(known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
     first = first.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     first = first.join(of.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
-    linked = sure.union(verified(first.where(tally("x", "y") >= SHARED).select("a", "b"), rows))
-    roots = components(linked)
+    roots = joined(known, verified(first.where(tally("x", "y") >= SHARED).select("a", "b"), rows))
     member = written(shared.select("list", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     several = member.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("list", "n")
     member = member.join(several, "list")
@@ -236,11 +240,11 @@ def links(marks: DataFrame, rows: DataFrame, limit: int = LIST_ROWS, size: int =
     met = written(forest(member.join(of, "node")), "forest")
     if met.isEmpty():
         return roots
-    trees = components(met.union(linked)).withColumnRenamed("root", "tree")
+    trees = joined(roots, met).withColumnRenamed("root", "tree")
     inside = trees.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = inside.groupBy("tree").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tree")
     more = written(settled(inside.join(open_, "tree", "left_semi").join(of, "node"), rows, size), "settled")
-    return components(linked.union(more))
+    return joined(roots, more)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIST_ROWS, size: int = TREE_ROWS) -> DataFrame:
