@@ -192,3 +192,12 @@ def test_stored_index_has_a_row_for_each_trigram_and_block(spark, tmp_path):
     assert {r.trigram for r in held.collect()} == want and held.count() <= len(want) * blocks
     assert {(r.trigram, r.n) for r in held.where("trigram in ('abc', ' \0\0')").groupBy("trigram").agg(F.sum("df").alias("n")).collect()} == {("abc", 600), (" \0\0", 600)}
     assert {r.tf for r in idx.phrase("abc").collect()} == {2} and idx.phrase("c \0\0").count() == 600
+
+
+def test_stored_index_finds_the_rows_of_a_long_term_once(spark, tmp_path):
+    idx = index.TrigramIndex(spark, str(tmp_path))
+    idx.append(spark.createDataFrame([(k, "support", f"abcd abc {k}") for k in range(300)], "id long, role string, text string"))
+    top = idx.search("abcd abc abcd", 3)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4 and "trigram" not in plan  # the rows of the terms, and docs; no postings
+    assert [r.id for r in top.orderBy("rank").collect()] == [0, 1, 2]

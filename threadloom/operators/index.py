@@ -5,7 +5,8 @@ An index is published (``sources.store``): its pointer lists segments, and every
 number in the block, in the order of ids. ``postings`` has a row for each trigram and block: how many rows hold it (``df``), the
 most places in one of them and the shortest length, which bounds the score of any of its rows; their numbers, and their places
 one after the other (``starts`` tells where each row's begin, and where the last one's end). A block's postings are made where
-its texts are, and sorted by trigram in every file, so a scan for some trigrams skips the rest by Parquet's statistics.
+its texts are, and sorted by trigram in every file, in pages of few rows, so a scan for some trigrams skips the other pages
+by Parquet's statistics.
 
 Terms are found as phrases of trigrams: places shifted by each trigram's offset, intersected. So scores are those of a
 search over the texts. Where all terms are single trigrams, how many rows hold each is the sum of ``df``; then only the most
@@ -27,6 +28,8 @@ from ..sources.store import Published, written
 from .retrieval import FLOOR, K1, B, check_query
 
 BLOCK, FIRST = 256, 4
+#: Rows of a page, and bytes of a group of pages, of the postings; by default a page has 20,000 rows, and a query a few hundred.
+PAGES = {"postings": {"parquet.page.row.count.limit": "256", "parquet.block.size": str(16 << 20)}}
 POSTINGS = "trigram string, block string, df int, most int, shortest int, rows array<int>, starts array<int>, places array<int>"
 
 
@@ -68,7 +71,7 @@ class TrigramIndex:
         return self._commit(tables, entry, entry["segments"], entry["rows"] + total["n"], entry["length"] + (total["length"] or 0))
 
     def _commit(self, tables: dict[str, DataFrame], before: dict, segments: list[str], rows: int, length: int) -> int:
-        folder = self.at.write(tables)
+        folder = self.at.write(tables, PAGES)
         more = {"segments": [*segments, folder], "rows": rows, "length": length}
         return self.at.commit(folder, folder, list(tables), before["generation"], more)
 
@@ -108,25 +111,25 @@ class TrigramIndex:
         each = found.groupBy("block").agg(F.sum(best).alias("bound"), F.count_distinct("trigram").alias("n")).where(F.col("n") == len(set(terms)))
         return each.select("block", F.regexp_replace("block", "/[0-9]+/[0-9]+$", "").alias("role_key"), "bound")
 
-    def scored(self, terms: list[str], stats: dict[str, float], mean: float, within: DataFrame | None = None) -> DataFrame:
-        """``id, block, score`` of the rows that hold all terms; less is better."""
+    def scored(self, terms: list[str], stats: dict[str, float], mean: float, within: DataFrame | None = None, found: dict[str, DataFrame] | None = None) -> DataFrame:
+        """``id, role, block, score`` of the rows that hold all terms; less is better. ``found``: the rows of each term, if known."""
         hits, score = None, F.lit(0.0)
         for k, t in enumerate(terms):
-            one = self.phrase(t, within).withColumnRenamed("tf", f"tf{k}")
+            one = (found[t] if found else self.phrase(t, within)).withColumnRenamed("tf", f"tf{k}")
             hits = one if hits is None else hits.join(one, ["block", "nr"])
             score = score - F.lit(stats[t]) * _impact(F.col(f"tf{k}"), F.col("len"), mean)
-        sized = hits.join(self._table("docs").select("block", "nr", "id", "len"), ["block", "nr"])
-        return sized.select("id", "block", score.alias("score"))
+        sized = hits.join(self._table("docs").select("block", "nr", "id", "role", "len"), ["block", "nr"])
+        return sized.select("id", "role", "block", score.alias("score"))
 
-    def weights(self, terms: list[str]) -> tuple[dict[str, float], float]:
-        """Each term's weight by how many rows hold it, and the mean length; a few numbers."""
+    def weights(self, terms: list[str], found: dict[str, DataFrame] | None = None) -> tuple[dict[str, float], float]:
+        """Each term's weight by how many rows hold it, and the mean length; a few numbers. ``found``: as in ``scored``."""
         entry = self.at.entry()
         single = [t for t in set(terms) if len(t) == 3]
         n = {t: 0 for t in terms}
         if single:
             n |= {r["trigram"]: r["n"] for r in self._postings(single).groupBy("trigram").agg(F.sum("df").alias("n")).collect()}
         for t in set(terms) - set(single):
-            n[t] = self.phrase(t).count()
+            n[t] = (found[t] if found else self.phrase(t)).count()
         raw = self.spark.range(1).select(*[F.log((F.lit(entry["rows"]) - n[t] + 0.5) / (F.lit(n[t]) + 0.5)).alias(f"w{k}") for k, t in enumerate(terms)]).first()
         return {t: (FLOOR if raw[k] <= 0 else raw[k]) for k, t in enumerate(terms)}, entry["length"] / max(1, entry["rows"])
 
@@ -139,10 +142,11 @@ class TrigramIndex:
         terms = [t.lower() for t in check_query(query, limit)]
         if any(len(t) < 3 for t in terms):
             raise ValueError("a term of a stored index has 3 characters or more")
-        stats, mean = self.weights(terms)
-        hits = self.scored(terms, stats, mean) if any(len(t) > 3 for t in terms) else self._pruned(terms, stats, mean, limit, first)
-        named = hits.join(self._table("docs").select("id", "role"), "id")
-        top = named.withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)
+        # How many rows hold a longer term is known only from its rows: they are found once, for the weights and the scores.
+        found = {t: written(self.phrase(t), "phrase") for t in sorted(set(terms))} if any(len(t) > 3 for t in terms) else None
+        stats, mean = self.weights(terms, found)
+        hits = self.scored(terms, stats, mean, found=found) if found else self._pruned(terms, stats, mean, limit, first)
+        top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= limit)
         return top.select("role", "rank", "id", "score")
 
     def _pruned(self, terms: list[str], stats: dict[str, float], mean: float, limit: int, first: int) -> DataFrame:

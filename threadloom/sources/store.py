@@ -96,12 +96,15 @@ class Published:
         found = self.generations() if generation is None else [generation]
         return json.loads(_read(self.spark, f"{self.path}/{POINTER}/{found[-1]:012d}")) if found else None
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write tables as a revision's folder that nothing points to yet. If one fails, the folder goes."""
+    def write(self, tables: dict[str, DataFrame], options: dict[str, dict[str, str]] | None = None) -> str:
+        """Write tables as a revision's folder that nothing points to yet. If one fails, the folder goes.
+
+        ``options``: of some tables, further options of the writer.
+        """
         folder = f"rev-{uuid.uuid4().hex}"
         try:
             for name, df in tables.items():
-                df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{folder}/{name}")
+                df.write.mode("errorifexists").options(**{"compression": "zstd"} | (options or {}).get(name, {})).parquet(f"{self.path}/{folder}/{name}")
         except Exception:
             _delete(self.spark, f"{self.path}/{folder}")
             raise
