@@ -1,9 +1,14 @@
 """Extraction that resumes, and a stream's sink that takes a batch once."""
 
+import sys
+
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import extraction, scoring
+from threadloom.plans import registry, stored  # noqa: F401  adds its queries to the registry
 from threadloom.streaming import live
 
 
@@ -102,3 +107,44 @@ def test_a_round_reads_its_chunks_once(spark, tmp_path):
     results = extraction.Results(spark, str(tmp_path / "store"), "m1")
     done = results.run(rows, lambda f, a: f.assign(answer="x")[["conv_id", "chunk_index", "answer"]][(f["chunk_index"] % 2 == 0) | (a > 1)], attempts=3, slices=4)
     assert done == 8 and count.value == 40 and results.missing(rows, 3).isEmpty()
+
+
+def test_rows_tried_alone_cost_little_beside_the_extractor(spark, tmp_path):
+    rows = spark.range(300).selectExpr("CASE WHEN id % 3 > 0 THEN 'c' END AS conv_id", "int(id) AS chunk_index", "string(id) AS transcript").coalesce(1)
+    calls = [0]
+
+    def count(*_):
+        calls[0] += 1
+
+    def model(frame, attempt):
+        sys.setprofile(None)
+        if len(frame) > 1 or frame["chunk_index"].iloc[0] == 7:
+            raise ValueError("not these")
+        n, calls[0] = calls[0], 0
+        out = pd.DataFrame({"conv_id": frame["conv_id"], "chunk_index": frame["chunk_index"], "answer": [f"{frame['transcript'].iloc[0]} {n}" if frame["chunk_index"].iloc[0] != 9 else None]})
+        if frame["chunk_index"].iloc[0] < 290:
+            sys.setprofile(count)
+        return out
+
+    results = extraction.Results(spark, str(tmp_path / "store"), "m1")
+    results.run(rows, model, attempts=1, slices=1)
+    got = {r.chunk_index: r for r in results.table(rows).collect()}
+    assert (got[7].error, got[9].error) == ("ValueError: not these", "no answer")
+    told = {k: r.answer.split() for k, r in got.items() if k not in (7, 9)}
+    assert len(told) == 298 and all(x[0] == str(k) for k, x in told.items())
+    between = sorted(int(x[1]) for x in told.values())
+    assert 0 < between[len(between) // 2] < 1500  # calls made between two rows
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_resumed_extraction_equals_its_sql_on_odd_rows(spark, tmp_path, some):
+    """Null and empty texts, null sources and ids (last, one to a source), and no rows at all."""
+    source = "CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'b' ELSE 'a' END AS source"
+    rows = spark.range(600).selectExpr("nullif(id, CASE WHEN id < 3 THEN id END) AS doc_id", source, "CASE id % 13 WHEN 7 THEN NULL WHEN 8 THEN '' ELSE repeat('é', int(id % 97)) END AS text")
+    rows.where(F.lit(some)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["resumed_extraction"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(registry.ORACLES["resumed_extraction"])
+        names = [d[0] for d in want.description]
+        assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(map(repr, want.fetchall()))

@@ -9,7 +9,6 @@ by row, so one bad chunk costs no other one its answer.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,9 @@ from ..sources.store import Published, written
 from .retrieval import revision
 
 
+ANSWERS = "key string, answer string, error string, attempt int"
+
+
 class Results:
     """The answers of one model (or its stand-in), under ``root``."""
 
@@ -28,8 +30,7 @@ class Results:
 
     def _stored(self) -> DataFrame | None:
         entry = self.at.entry()
-        parts = [self.spark.read.parquet(f"{self.at.path}/{s}/answers") for s in entry["segments"]] if entry else []
-        return reduce(DataFrame.union, parts) if parts else None
+        return self.spark.read.schema(ANSWERS).parquet(*[f"{self.at.path}/{s}/answers" for s in entry["segments"]]) if entry else None
 
     def _keyed(self, chunks: DataFrame) -> DataFrame:
         return chunks.select("conv_id", "chunk_index", "transcript", revision(F.lit(self.model), F.col("conv_id"), F.col("chunk_index"), F.col("transcript")).alias("key"))
@@ -73,6 +74,18 @@ class Results:
 
     def _answers(self, todo: DataFrame, extractor) -> DataFrame:
         names = ["conv_id", "chunk_index"]
+        same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
+        told = lambda e: f"{type(e).__name__}: {e}"[:500]
+
+        def alone(row: pd.DataFrame, conv_id, chunk_index, attempt: int) -> tuple[str | None, str | None]:
+            try:
+                got = extractor(row, attempt)
+                for c, k, answer in zip(got["conv_id"], got["chunk_index"], got["answer"], strict=True):
+                    if same(c, conv_id) and same(k, chunk_index):
+                        return (None, "no answer") if pd.isna(answer) else (answer, None)
+                return None, "no answer"
+            except Exception as e:
+                return None, told(e)
 
         def one(frame: pd.DataFrame, attempt: int) -> pd.DataFrame:
             try:
@@ -80,9 +93,10 @@ class Results:
                 out = frame[[*names, "key"]].merge(got, "left", names)
                 out["error"] = out["answer"].isna().map({True: "no answer", False: None})
             except Exception as e:
-                if len(frame) > 1:
-                    return pd.concat([one(frame.iloc[k : k + 1], attempt) for k in range(len(frame))])
-                out = frame[["key"]].assign(answer=None, error=f"{type(e).__name__}: {e}"[:500])
+                # Row by row the answers are only listed: a frame is made of them once.
+                chunks = frame[[*names, "transcript"]]
+                each = [(None, told(e))] if len(frame) == 1 else [alone(chunks.iloc[k : k + 1].copy(), c, i, attempt) for k, (c, i) in enumerate(zip(frame["conv_id"], frame["chunk_index"], strict=True))]
+                out = frame[["key"]].assign(answer=[a for a, _ in each], error=[e for _, e in each])
             return out[["key", "answer", "error"]].assign(attempt=attempt)
 
         def run(frames):
@@ -90,7 +104,7 @@ class Results:
                 for tried, some in frame.groupby("tried"):
                     yield one(some, int(tried) + 1)
 
-        return todo.mapInPandas(run, "key string, answer string, error string, attempt int")
+        return todo.mapInPandas(run, ANSWERS)
 
     def table(self, chunks: DataFrame) -> DataFrame:
         """``chunks`` with ``answer, error, attempts``: error tells why there is none (``pending``: not tried yet)."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import messages as ms
@@ -173,16 +174,15 @@ def scanned_positions(spark, sf_dir):
 SELECT source AS conv_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN n % 7 <> 0 THEN CAST(n AS VARCHAR) END AS answer, CASE WHEN n % 7 = 0 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS attempts, n % 7 = 0 AS failed FROM k WHERE n IS NOT NULL""")
 def resumed_extraction(spark, sf_dir):
     """A stand-in model that fails once on some chunks and always on others; a second run computes what is missing only."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = td.table(spark, sf_dir, "documents").withColumn("chunk_index", F.row_number().over(w)).where("text is not null").select(F.col("source").alias("conv_id"), "chunk_index", F.col("text").alias("transcript"))
-
+    texts = td.table(spark, sf_dir, "documents").select(F.col("source").alias("conv_id"), "doc_id", F.col("text").alias("transcript"))
+    rows = scans.Scan.of(texts, [F.col("doc_id").isNull(), F.col("doc_id")]).numbered("chunk_index").result().where("transcript is not null").select("conv_id", "chunk_index", "transcript")
     rows = written(rows, "chunks")
 
     def model(frame, attempt):
-        n = frame["transcript"].str.len()
-        if ((n % 7 == 0) | ((n % 5 == 0) & (attempt == 1))).any():
+        n = [len(text) for text in frame["transcript"]]
+        if any(k % 7 == 0 or k % 5 == 0 and attempt == 1 for k in n):
             raise ValueError("no answer")
-        return frame.assign(answer=n.astype(str))[["conv_id", "chunk_index", "answer"]]
+        return pd.DataFrame({"conv_id": frame["conv_id"], "chunk_index": frame["chunk_index"], "answer": [str(k) for k in n]})
 
     results = Results(spark, working_path(spark, "extraction"), "stand-in 1")
     results.run(rows, model, attempts=1)
