@@ -63,7 +63,8 @@ class Scan:
     def numbered(self, name: str = "position") -> Scan:
         """Places from 1 in each conversation."""
         carry = self._carry(F.struct(F.count("*").alias("n"), F.min("_at").alias("a")), F.struct(F.coalesce(F.sum("v.n").over(self._ranges()), F.lit(0)).alias("n"), F.col("v.a").alias("a")))
-        return self._with(carry, name, (F.col("carried.n") + F.col("_at") - F.col("carried.a") + 1).cast("int"))
+        # Written, so that its true size is known: where conversations are few, the rows stay where they are.
+        return self._with(written(carry, "handed-on"), name, (F.col("carried.n") + F.col("_at") - F.col("carried.a") + 1).cast("int"))
 
     def running(self, flag: Column, name: str) -> Scan:
         """The sum of ``flag`` over all rows up to this one."""
